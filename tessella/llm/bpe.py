@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of, with_workers
 
-#: Chunks of text, and segments of ids, that a Python worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Pieces of text, and segments of ids, in each of a worker's two generations of memory.
+REMEMBERED = 250_000
 #: Words that one recursive query merges at a time; bounds DuckDB's memory.
 WORDS_A_QUERY = 50_000
 DUCKDB_MEMORY = "300MB"
@@ -46,19 +46,58 @@ FROM tokens JOIN vocab USING (id) GROUP BY s ORDER BY s
 """
 
 
+class Remembered(dict):
+    """piece -> bytes. When full, the older generation goes; pieces still in use come along."""
+
+    def __init__(self, make: Callable[[list], Iterable[bytes]], most: int = REMEMBERED) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def join(self, lists: list[list]) -> list[bytes]:
+        """The bytes of each list's pieces, joined; those not known are made together."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        need: set = set()
+        for pieces in lists:
+            need.update(pieces)
+        need -= self.keys()
+        if found := need & self.old.keys():
+            self.update((k, self.old[k]) for k in found)
+            need -= found
+        if need:
+            self.update(zip(missing := list(need), self.make(missing), strict=True))
+        return [b"".join([self[k] for k in pieces]) for pieces in lists]
+
+
+class Cutter:
+    """Cuts text where the pattern surely starts a new match."""
+
+    def __init__(self, pattern: str) -> None:
+        self.find = regex.compile(pattern).findall
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces whose concatenation is the text, each of whole matches of the pattern.
+
+        Where only single spaces and newlines part the words, each of those starts a new
+        match and a newline ends one, so the text is cut there; any other is matched whole.
+        """
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+            return self.find(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 class Codec:
     """Encodes and decodes; one in each Python worker for a rank file.
 
-    ``encode`` and ``decode`` cut their input at places that no token crosses and remember
+    ``encode`` and ``decode`` cut their input at places that no merge crosses and remember
     the pieces, so a piece goes through DuckDB once in a worker while it is remembered.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.find = regex.compile(pattern).findall
-        # chunks may only be cut where the pattern surely starts anew: see split()
-        self.odd = regex.compile(r"\s\s|[^\S \n]").search
+        self.cutter = Cutter(pattern)
         l, r, merged = [], [], []
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -74,8 +113,13 @@ class Codec:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.opens = np.zeros(max(ranks.values()) + 1, bool)  # ids that start with a space
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.segments: dict[bytes, bytes] = {}
+        self.pieces = Remembered(self._encode_pieces)
+        self.segments = Remembered(self._decode_segments)
+
+    def _encode_pieces(self, pieces: list[str]) -> Iterable[bytes]:
+        words = [self.cutter.find(p) for p in pieces]
+        ids = self._merge(list({w for ws in words for w in ws}))
+        return (b"".join([ids[w] for w in ws]) for ws in words)
 
     def _merge(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words as little-endian 32-bit integers."""
@@ -95,62 +139,29 @@ class Codec:
                 out[w] = flat[ends[i] : ends[i + 1]].tobytes()
         return out
 
-    def split(self, text: str) -> list[str]:
-        """Pieces whose concatenation is the text and that the pattern matches one by one alike.
-
-        A single space or newline between two other characters always starts a new match,
-        and a newline ends one, so ordinary texts are cut there; others are matched whole.
-        """
-        if not text:
-            return []
-        if self.odd(text):
-            return self.find(text)
-        lines = text.split("\n")
-        out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            if line:
-                first, *rest = line.split(" ")
-                if first:
-                    out.append(first)
-                out += [" " + x for x in rest]
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        pieces = [self.split(x) for x in texts]
-        known = self.chunks
-        if len(known) > REMEMBERED:
-            known.clear()
-        if missing := list({c for p in pieces for c in p if c not in known}):
-            words = [self.find(c) for c in missing]
-            ids = self._merge(list({w for ws in words for w in ws}))
-            known.update((c, b"".join([ids[w] for w in ws])) for c, ws in zip(missing, words, strict=True))
-        return [b"".join([known[c] for c in p]) for p in pieces]
-
-    def _segments(self, ids: bytes) -> list[bytes]:
+        return self.pieces.join([self.cutter.cut(x) for x in texts])
+
+    def _cut_ids(self, ids: bytes) -> list[bytes]:
         at = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
         ends = [0, *(4 * at[at > 0]).tolist(), len(ids)]
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False) if a < b]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids. Decoding is a homomorphism, so any cut will do."""
-        parts = [self._segments(x) for x in ids]
-        known = self.segments
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing = list({s for p in parts for s in p if s not in known})
-        for k in range(0, len(missing), WORDS_A_QUERY):
-            part = missing[k : k + WORDS_A_QUERY]
+    def _decode_segments(self, segments: list[bytes]) -> Iterable[bytes]:
+        for k in range(0, len(segments), WORDS_A_QUERY):
+            part = segments[k : k + WORDS_A_QUERY]
             n = np.array([len(s) // 4 for s in part])
-            flat = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-            first = np.cumsum(n) - n
-            self.db.register("tokens", pa.table({"s": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(len(flat)) - np.repeat(first, n)).astype(np.int32), "id": flat}))
-            got = self.db.sql(DECODE).to_arrow_table()
+            ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
+            pos = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            self.db.register("tokens", pa.table({"s": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": pos, "id": ids}))
+            got = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
             self.db.unregister("tokens")
-            known.update(zip(part, got.column("bytes").to_pylist(), strict=True))
-        return [b"".join([known[s] for s in p]) for p in parts]
+            yield from got
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Bytes of each list of ids. Decoding is a homomorphism, so any cut will do."""
+        return self.segments.join([self._cut_ids(x) for x in ids])
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 

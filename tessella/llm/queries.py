@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import classify, held_out, learn
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
 
@@ -32,6 +33,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    content = learn(docs.where(~held_out("doc_id", 3, 1)))
+    return classify(docs, content).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN)
 

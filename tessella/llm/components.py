@@ -21,9 +21,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     split; the edge list is checkpointed each round and never leaves the executors. An
     empty edge list, loops and repeated edges are allowed; nulls are ignored.
     """
-    known = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("a is not null and b is not null")
-    loops = known.where("lo = hi").select(F.col("lo").alias("node")).distinct()
-    links = checkpoint(known.where("lo <> hi").distinct())
+    known = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("a is not null and b is not null").distinct()
+    known = checkpoint(known)
+    loops = known.where("lo = hi").select(F.col("lo").alias("node"))
+    links = known.where("lo <> hi")
     before = None
     for _ in range(max_rounds):
         both = links.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))

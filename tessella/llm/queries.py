@@ -14,6 +14,8 @@ from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
+from .toxicity import THRESHOLD, toxicity
+from .toxicity import learn as learn_toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +35,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
+    scored = toxicity(docs, net)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = learn(docs.where(~held_out("doc_id", 3, 1)))

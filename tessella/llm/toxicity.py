@@ -26,8 +26,12 @@ WINDOW, STRIDE = 32, 16
 WORD, CHAR, STATE, ATTEND = 8, 8, 8, 8
 TRIGRAMS = 1 << 13
 #: Learning is from so many documents of each label at most, none longer than LONGEST characters.
-SAMPLE, LONGEST = 1500, 20_000
-EPOCHS, RATE, BATCH, SEED = 24, 0.01, 256, 5
+SAMPLE, LONGEST = 1200, 20_000
+EPOCHS, RATE, BATCH, SEED = 18, 0.01, 256, 5
+#: Small samples take smaller batches, and more epochs till they have made so many steps.
+STEPS = 400
+#: The first epochs take windows by their words; then the network chooses, every few epochs.
+FIRST, AGAIN = 4, 4
 #: A word has a vector of its own if so many sampled documents have it.
 SEEN = 3
 #: So many negatives also give a window of one of their words only, as junk texts have;
@@ -74,7 +78,7 @@ class Network:
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         small = lambda *shape: (0.1 * rng.standard_normal(shape)).astype(np.float32)
         self.vocabulary, self.constant = vocabulary, None
-        self.p = {"word": small(len(vocabulary) + 1, WORD), "char": small(TRIGRAMS, CHAR), "v": draw(ATTEND), "A": draw(2 * STATE, ATTEND), "out": draw(2 * STATE), "bias": np.zeros(1, np.float32)}
+        self.p = {"word": small(len(vocabulary) + 1, WORD), "char": small(TRIGRAMS, CHAR), "v": draw(ATTEND), "A": draw(2 * STATE, ATTEND), "out": draw(2 * STATE), "bias": np.full(1, -2, np.float32)}  # texts are seldom toxic
         self.p["word"][0] = 0  # words without a vector of their own
         for d in "fb":
             self.p |= {f"W{d}": draw(WORD + CHAR, 3 * STATE), f"U{d}": draw(STATE, 3 * STATE), f"c{d}": np.zeros(3 * STATE, np.float32)}
@@ -207,10 +211,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     odds = {w: np.log((positive[w] + 0.5) / (n - positive[w] + 0.5)) for w, n in in_docs.items()}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    size = min(BATCH, max(32, len(y) // 8))
+    epochs = max(epochs, -(-STEPS * size // (2 * len(y))))
     for epoch in range(epochs):
-        if epoch < 4:
+        if epoch < FIRST:
             best = [np.array([max((odds[w] for w in ws[s : s + WINDOW]), default=0.0) for s in windows(len(ws))]) for ws in lists]
-        elif epoch % 2 == 0:
+        elif (epoch - FIRST) % AGAIN == 0:
             best = net.window_scores(lists)
         chosen: list[tuple[list[str], float]] = []
         for ws, one, b in zip(lists, y, best, strict=True):
@@ -219,10 +225,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             chosen += [(ws[starts[k] : starts[k] + WINDOW], float(one)) for k in picks]
             if not one and ws and rng.random() < REPEATED:
                 chosen.append(([ws[int(rng.integers(len(ws)))]] * WINDOW, 0.0))
-        chosen += [([], 0.0)] * (len(chosen) // 100)
+        chosen += [([], 0.0)] * (1 + len(chosen) // 100)
         order = rng.permutation(len(chosen))
-        for k in range(0, len(order), BATCH):
-            batch = [chosen[i] for i in order[k : k + BATCH]]
+        for k in range(0, len(order), size):
+            batch = [chosen[i] for i in order[k : k + size]]
             known: dict[str, int] = {}
             index = np.zeros((len(batch), WINDOW), np.int64)
             for i, (ws, _) in enumerate(batch):

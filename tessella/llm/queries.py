@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import table
+from .edit_fingerprint import compare_edited
 from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
 from .packing import pack_documents
@@ -35,6 +36,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))

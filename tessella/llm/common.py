@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +45,9 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder that the session names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,11 +15,13 @@ from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
+from .token_scan import document_token_counts
 from .toxicity import THRESHOLD, toxicity
 from .toxicity import learn as learn_toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 BPE_VOCABULARY = "byte_bpe_50k.json"
+END_OF_TEXT = 50256
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN, END_OF_TEXT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -13,6 +13,8 @@ from .common import table
 from .edit_fingerprint import compare_edited
 from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
+from .licenses import oracle as license_oracle
+from .licenses import scan_licenses
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
 from .token_scan import document_token_counts
@@ -55,6 +57,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, content).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN)
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_licenses": license_oracle(),
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

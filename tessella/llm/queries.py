@@ -15,6 +15,8 @@ from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
 from .licenses import oracle as license_oracle
 from .licenses import scan_licenses
+from .line_dedup import ORACLE as LINE_ORACLE
+from .line_dedup import line_dedup
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
 from .token_scan import document_token_counts
@@ -40,6 +42,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": LINE_ORACLE,
         "op7_licenses": license_oracle(),
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -22,8 +22,9 @@ SLOTS, EXCERPT = 512, 1024
 BLOCK = 2048
 #: Lazy matching that also takes matches of three bytes: syllables count.
 LEVEL, SHORTEST = 6, 3
-#: A text is rejected where the second-best size is within this share of the best.
-NARROW = 0.002
+#: A text of at least ENOUGH bytes of letters is rejected where the second-best size is
+#: within this share of the best; a shorter text's margin is too coarse to reject it.
+NARROW, ENOUGH = 0.002, 1024
 UNKNOWN = "und"
 
 
@@ -76,8 +77,7 @@ class Compressors:
             d.precompute_compress(compression_params=how)
             self.of.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
-    def sizes(self, text: str, block: int = BLOCK) -> np.ndarray:
-        raw = _letters(text).encode()
+    def sizes(self, raw: bytes, block: int = BLOCK) -> np.ndarray:
         return np.array([sum(len(c.compress(raw[k : k + block])) for k in range(0, len(raw), block)) for c in self.of], np.int64)
 
     def predict(self, text: str | None, narrow: float = NARROW) -> tuple[str, float, bool]:
@@ -86,10 +86,11 @@ class Compressors:
             return UNKNOWN, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        sizes = self.sizes(text)
+        raw = _letters(text).encode()
+        sizes = self.sizes(raw)
         best, second = np.partition(sizes, 1)[:2].tolist()
         margin = (second - best) / second
-        return self.langs[int(np.argmin(sizes))], float(1 - 0.5 * np.exp(-25 * margin)), margin <= narrow
+        return self.langs[int(np.argmin(sizes))], float(1 - 0.5 * np.exp(-25 * margin)), margin <= narrow and len(raw) >= ENOUGH
 
 
 _made: dict[int, Compressors] = {}
@@ -99,7 +100,7 @@ def classify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     """``<id>, [keep...,] lang_pred, score, rejected`` for each row; narrow, over whole texts.
 
     ``und`` with score 0, rejected: null text or no letter (also where nothing was learned).
-    A narrow margin is rejected but still gets the best language. Texts of any length go
+    A longer text with a narrow margin is rejected but still gets the best language. Texts of any length go
     block by block; ties go to the first language in alphabet; repeated rows, null ids and
     extra columns pass row by row; an empty table gives an empty result.
     """

@@ -68,7 +68,7 @@ def summary(records: DataFrame, item: str, approved: str, stopped: list[str]) ->
 
 def broken_order(records: DataFrame, item: str, accept: str) -> DataFrame:
     """Accepted stages whose predecessor in the ledger was not accepted."""
-    order = Window.partitionBy(item).orderBy("ordinal")
+    order = Window.partitionBy(item).orderBy("ordinal", "status")
     before = F.lag("status").over(order)
     return records.withColumn("before", before).where((F.col("status") == accept) & F.col("before").isNotNull() & (F.col("before") != accept)).select(item, "ordinal", "status", "before")
 

@@ -174,10 +174,10 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches where column 1 passes so many bytes, to bound what a step holds."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Cut batches where a column passes so many bytes, to bound what a step holds."""
     for batch in batches:
-        sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist()), np.int64, batch.num_rows)
+        sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows)
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))

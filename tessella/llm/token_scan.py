@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .common import shared_folder, text_of, with_workers
 from .packing import encode
 
 #: Bytes of a block; a multiple of the two bytes of an id.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int, text_col: str = "text") -> None:
@@ -25,7 +26,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column=0):
             ids = [np.frombuffer(x, "<u4") for x in encode(batch.column(0).to_pylist(), path, pattern)]
             if any(len(x) and (x.max() > 0xFFFF or (x == end_id).any()) for x in ids):
                 raise ValueError("an id has more than 16 bits or is the separator")

@@ -22,33 +22,38 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc", (F.col("k") + 1).alias("line_no"), "line")
 
 
+def _split(line: Column) -> Column:
+    """A line's words, repeats included; one-character split, which needs no regular expression."""
+    return F.filter(F.split(F.translate(line, "\t\r\f\x0b", "    "), " "), lambda w: w != "")
+
+
 def _words(line: Column) -> Column:
     """A line's distinct words."""
-    return F.filter(F.array_distinct(F.split(line, SPACE)), lambda w: w != "")
+    return F.array_distinct(_split(line))
 
 
-def _rarity(lines: DataFrame) -> bytearray:
+def _rarity(lines: DataFrame) -> list[int]:
     """Counts of all lines' words by hash bucket, as logarithms: a table of fixed size."""
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w")).select(_bucket(F.col("w")).alias("b"))
-    levels = bytearray(RARITY_BUCKETS)
+    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
+    levels = [0] * RARITY_BUCKETS
     for b, n in words.groupBy("b").count().collect():
         levels[b] = min(127, int(3 * math.log2(n)))
     return levels
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(RARITY_BUCKETS - 1).cast("int")
-
-
 def _literal(df: DataFrame, values: list[int], kind: str) -> Column:
     """An array of fixed size as one value of the plan."""
     return df.sparkSession.createDataFrame([(values,)], f"v array<{kind}>").scalar()
 
 
-def _ordered(words: Column, levels: bytearray) -> Column:
-    """Each word as a number, sorted: rarer words come first; equal words are equal."""
-    level = lambda w: F.ascii(F.substring(F.lit(levels), _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.transform(words, lambda w: F.shiftleft(level(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
+def _ordered(line: Column, levels: list[int]) -> Column:
+    """Each distinct word as a number, sorted: rarer words come first; equal words are equal.
+
+    Words are told apart by 64-bit hashes here; verification compares the words themselves.
+    """
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded to one literal
+    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _bitmap(keys: Column, part: int, parts: int) -> Column:
@@ -58,13 +63,13 @@ def _bitmap(keys: Column, part: int, parts: int) -> Column:
     return F.aggregate(own, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
 
 
-def _postings(lines: DataFrame, levels: bytearray, keep: list[str], bitmaps: int, similar: float) -> DataFrame:
+def _postings(lines: DataFrame, levels: list[int], keep: list[str], bitmaps: int, similar: float) -> DataFrame:
     """A row for each word of each line's prefix: ``key, i, n, bitmaps...`` and ``keep``.
 
     Two sets of at least this similarity share one of the first n - ceil(similar * n) + 1
     of their words in any common order.
     """
-    keys = _ordered(_words(F.col("line")), levels)
+    keys = _ordered(F.col("line"), levels)
     rows = lines.select(*keep, keys.alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)

@@ -6,9 +6,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, batch by batch; null stays null."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

@@ -97,42 +97,66 @@ def _verified(pairs: DataFrame, classes: DataFrame, similar: float) -> DataFrame
     return both.where(shared >= F.lit(similar) * (F.size("wx") + F.size("wy") - shared) - F.lit(1e-9)).select("x").distinct()
 
 
+def _bit_set(values: DataFrame, name: str) -> list[int]:
+    """Bits of the hashes of a column, as an array of fixed size: a set with false positives only."""
+    bit = F.pmod(F.xxhash64(name), F.lit(SET_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
+    found = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    words = [0] * (SET_BITS // 64)
+    for word, bits in found.collect():
+        words[word] = bits
+    return words
+
+
+def _in_set(df: DataFrame, words: list[int], value: Column) -> Column:
+    own = F.pmod(F.xxhash64(value), F.lit(SET_BITS))
+    return F.getbit(F.element_at(_literal(df, words, "long"), (F.shiftright(own, 6) + 1).cast("int")), own.bitwiseAND(63).cast("int")) == 1
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """``line, at``: each text once, with its first place.
+
+    Lines whose hash occurs once, by far the most, are taken as they are; only the others
+    are shuffled, and copies are combined before that.
+    """
+    hashes = lines.select(F.xxhash64("line").alias("cid")).groupBy("cid").count().where("count > 1").select("cid")
+    repeated = _in_set(lines, _bit_set(hashes, "cid"), F.xxhash64("line"))
+    rows = lines.select("line", F.struct("doc", "line_no").alias("at"), repeated.alias("r"))
+    return rows.where("not r").select("line", "at").unionByName(rows.where("r").groupBy("line").agg(F.min("at").alias("at")))
+
+
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``doc, line_no`` of each line that is the first of its text yet matches an earlier line.
 
-    1. Postings of all lines' prefixes meet by word; a semi-join with the filters keeps
-       the texts (by hash) that may match another, at most one row for each posting.
-    2. Only those lines are fetched, one class for each text, with its first place.
-    3. Each class is verified against the first class of each of its words' lists. In a
-       large group of near copies nearly all are settled here by one pair each.
+    1. Each text is one class, so copies cost nothing in what follows.
+    2. Postings of all classes' prefixes meet by word; a semi-join with the filters keeps
+       the classes (by hash) that may match another, at most one row for each posting.
+    3. Only those classes are fetched. Each is verified against the first class of each of
+       its words' lists. In a large group of near copies nearly all are settled here by
+       one pair each.
     4. Those still open are verified against all earlier classes in their lists.
     No list is cut and no pair is left out: what step 3 settles has an earlier match.
     """
     lines = _lines(docs, id_col, text_col)
     levels = _rarity(lines)
-    light = _postings(lines.withColumn("cid", F.xxhash64("line")), levels, ["cid"], 1, similar)
+    every = _classes(lines)
+    light = _postings(every.withColumn("cid", F.xxhash64("line")), levels, ["cid"], 1, similar)
     a, b = light.alias("a"), light.alias("b")
     maybe = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & _may_match("a", "b", 1, similar), "left_semi").select("cid")
-    bit = F.pmod(F.xxhash64("cid"), F.lit(SET_BITS))
-    found = maybe.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("bits"))
-    words = [0] * (SET_BITS // 64)
-    for word, bits in found.collect():  # a table of fixed size
-        words[word] = bits
-    own = F.pmod(F.xxhash64(F.xxhash64("line")), F.lit(SET_BITS))
-    held = F.getbit(F.element_at(_literal(lines, words, "long"), (F.shiftright(own, 6) + 1).cast("int")), own.bitwiseAND(63).cast("int")) == 1
+    held = _in_set(lines, _bit_set(maybe, "cid"), F.xxhash64("line"))
     spark = docs.sparkSession
     folder = shared_folder(spark, "line_classes")
     lines.where(held).groupBy("line").agg(F.min(F.struct("doc", "line_no")).alias("at")).write.parquet(folder)
     classes = spark.read.parquet(folder)
 
-    postings = _postings(classes, levels, ["at"], 4, similar)
-    first = checkpoint(postings.groupBy("key").agg(F.min(F.struct("at", "n", "i", "b0", "b1", "b2", "b3")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "f.*"))
+    postings = _postings(classes, levels, ["at"], 1, similar)
+    first = checkpoint(postings.groupBy("key").agg(F.min(F.struct("at", "n", "i", "b0")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "f.*"))
     a, b = postings.alias("a"), first.alias("b")
-    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & _may_match("a", "b", 4, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
+    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & _may_match("a", "b", 1, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
     settled = checkpoint(_verified(pairs, classes, similar))
     still = postings.join(settled, F.col("at") == F.col("x"), "left_anti").join(first.select("key", F.col("at").alias("head")), "key")
     a, b = still.alias("a"), postings.alias("b")
-    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & (F.col("b.at") != F.col("a.head")) & _may_match("a", "b", 4, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
+    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & (F.col("b.at") != F.col("a.head")) & _may_match("a", "b", 1, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
     return settled.unionByName(_verified(pairs, classes, similar)).select("x.doc", "x.line_no")
 
 

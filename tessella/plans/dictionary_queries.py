@@ -64,7 +64,7 @@ ORACLES = {
     "dictionary_coverage": f"""WITH {_ENTRIES}, s AS (SELECT heading[1] AS letter, count(*) AS n, count(*) FILTER (status = 'AUTO') AS auto FROM ent GROUP BY 1), x AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS letter)
         SELECT letter, coalesce(n, 0) AS n, coalesce(auto, 0) AS auto, 60 AS expected, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE round_even(100.0 * auto / n, 1) END::DOUBLE AS auto_rate, coalesce(n, 0) < 12 AS thin FROM x LEFT JOIN s USING (letter)""",
     "line_regions": f"""WITH {_LINES}, p AS (SELECT *, length(line)::DOUBLE AS s, (k % 20) / 20.0::DOUBLE AS y FROM l), q AS (SELECT *, greatest(50 - s / 8, 0) AS x0, least(50 + s / 8, 100) AS x1 FROM p)
-        SELECT CASE WHEN y > 0.93 THEN 'HEADER' WHEN s < 40 THEN 'HEADING' WHEN y < 0.12 THEN 'FOOTNOTE' WHEN x1 - x0 < 55 AND abs((x0 + x1) / 2 - 50) < 10 THEN 'POETRY' ELSE 'BODY' END AS region, count(*) AS n FROM q GROUP BY 1""",
+        SELECT CASE WHEN y > 0.93 THEN 'HEADER' WHEN s < 40 THEN 'HEADING' WHEN y < 0.12 THEN 'FOOTNOTE' WHEN x1 - x0 < 100::DOUBLE * 0.55::DOUBLE AND abs((x0 + x1) / 2 - 50) < 10 THEN 'POETRY' ELSE 'BODY' END AS region, count(*) AS n FROM q GROUP BY 1""",
     "repaired_roots": """WITH p AS (SELECT p_partkey, left(p_name, 3) AS a, left(reverse(p_name), 3) AS b FROM part),
         r AS (SELECT *, CASE WHEN coalesce(b, '') = '' THEN 'NO_PARSE' WHEN coalesce(a, '') = '' THEN 'WAS_BLANK' WHEN a = b THEN 'SAME' WHEN length(b) NOT BETWEEN 2 AND 4 THEN 'BAD_LENGTH' WHEN list_sort(string_split(a, '')) = list_sort(string_split(b, '')) THEN 'SWAP'
           WHEN a[1] <> b[1] THEN 'FIRST_LETTER' WHEN (a[1] <> b[1])::INT + (a[2] <> b[2])::INT + (a[3] <> b[3])::INT = 1 THEN 'ONE_RADICAL' ELSE 'TOO_DIFFERENT' END AS reason FROM p)

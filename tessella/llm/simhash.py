@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cells import BLOCK, cell_links
 from .common import checkpoint, text_of, with_workers
 from .components import connected_components
 
@@ -20,10 +21,6 @@ SHINGLE, DISTANCE = 4, 4
 SEGMENT = 2
 #: Segments are dealt to so many groups; a cell of the grid fixes GROUPS - DISTANCE of them.
 GROUPS = 7
-#: Cells with more fingerprints are cut into blocks and joined block by block.
-BLOCK = 4096
-#: Cells up to this size are first screened together, without a loop over cells.
-SMALL = 48
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -92,90 +89,16 @@ def _near(fp_a: np.ndarray, fp_b: np.ndarray, distance: int) -> np.ndarray:
     return near
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of one cell's links: at most one less than it has rows."""
-    left, edges = np.arange(len(fps)), []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _near(np.broadcast_to(fps[at], left.shape), fps[left], distance)
-            if near.any():
-                hit = left[near]
-                edges += [(at, x) for x in hit.tolist()]
-                queue += hit.tolist()
-                left = left[~near]
-    return edges
-
-
-def _cell_links(cell: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows of whole cells; ``cell`` is sorted. Spanning forests, never all pairs."""
-    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    sizes = np.diff(np.append(starts, len(cell)))
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    linked = sizes > SMALL
-    small = ~linked[owner]
-    for d in range(1, int(sizes[~linked].max(initial=1))):
-        a = np.flatnonzero(small[:-d] & (owner[d:] == owner[:-d]))
-        if not len(a):
-            break
-        linked[owner[a[_near(fps[a], fps[a + d], distance)]]] = True
-    edges = [(starts[c] + x, starts[c] + y) for c in np.flatnonzero(linked) for x, y in _forest(fps[starts[c] : starts[c] + sizes[c]], distance)]
-    a = np.array(edges, np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
-
-
-def _link(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; a cell has at most two blocks of rows, so little is held."""
-        kept = None
-
-        def emit(t: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([t.column(k).to_numpy() for k in range(4)])
-            cell = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-            fps = t.column(4).to_numpy()
-            a, b = _cell_links(cell, fps.view(np.uint64), distance)
-            return pa.record_batch([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            last = np.ones(t.num_rows, bool)  # rows of the last cell wait for the next batch
-            for k in range(4):
-                column = t.column(k).to_numpy()
-                last &= column == column[-1:]
-            first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            kept = t.slice(first)
-            if first:
-                yield emit(t.slice(0, first))
-        if kept is not None and kept.num_rows > 1:
-            yield emit(kept)
-
-    return run
-
-
 def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``), enough to span each component.
 
-    Grid join: a fingerprint goes to one cell for each choice of whole segment groups. A cell
-    of more than ``block`` rows is cut into blocks and each pair of blocks is a task of its
-    own, so no group of any size meets in one task.
+    Grid join: a fingerprint goes to one cell for each choice of whole segment groups, and
+    the rows of a cell are compared (see ``cells``).
     """
-    masks = grid_masks(groups, distance)
     emb = popcounts(F.col("fp"))
-    cells = with_workers(fps).select(
-        F.col("fp"), F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), emb.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])).alias("c")
-    ).select("fp", "c.choice", "c.cell")
-    heavy = cells.groupBy("choice", "cell").count().where(F.col("count") > block)
-    blocks = F.coalesce(F.ceil(F.col("count") / F.lit(block)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = (
-        cells.join(heavy, ["choice", "cell"], "left")
-        .select("choice", "cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("choice", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    )
-    keys = ["choice", "cell", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link(distance), "a long, b long")
+    choices = F.array(*[F.struct(F.lit(i).alias("choice"), emb.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grid_masks(groups, distance))])
+    cells = fps.select("fp", F.explode(choices).alias("c")).select("c.choice", "c.cell", F.col("fp").alias("value"))
+    return cell_links(cells, lambda a, b: _near(a, b, distance), lambda column: column.to_numpy().view(np.uint64), block)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:

@@ -125,6 +125,19 @@ def test_edit_fingerprints(spark, docs, none):
     assert edit_fingerprint.fingerprints(docs).count() == len(ROWS)
 
 
+def test_edit_near_duplicates(spark, docs, none):
+    rng = np.random.default_rng(2)
+    text = lambda: "".join(rng.choice(list("abcdefghijklmnop "), 900))
+    base = [text() for _ in range(5)]
+    rows = [(k, b) for k, b in enumerate(base)] + [(10 + k, b[:850] + "inserted" + b[850:]) for k, b in enumerate(base)] + [(20, base[0]), (21, None), (22, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 3):
+        found = {r["doc_id"]: r["component_id"] for r in edit_fingerprint.near_duplicates(df, block=block).collect()}
+        assert found == {**{k: k for k in range(5)}, **{10 + k: k for k in range(5)}, 20: 0, 21: 21, 22: 21}
+    assert edit_fingerprint.near_duplicates(none).count() == 0
+    assert edit_fingerprint.near_duplicates(docs).count() == len(ROWS)
+
+
 def test_walk_alone_equals_walk_together():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abcdefgh "), 300 + k)) for k in range(60)]

@@ -11,8 +11,9 @@ from .common import checkpoint, shared_folder, text_of
 
 #: Jaccard similarity from which two lines match.
 SIMILAR = 0.8
-#: Buckets of the word counts that rarity is read from, and bits of the set of lines kept for verification.
-RARITY_BUCKETS, SET_BITS = 1 << 15, 1 << 23
+#: Buckets of the word counts that rarity is read from; bits of the sets of lines that repeat
+#: and of lines that may match another. Full sets let more lines through and lose none.
+RARITY_BUCKETS, REPEATED_BITS, MATCH_BITS = 1 << 15, 1 << 20, 1 << 20
 SPACE = r"[ \t\r\f\x0B]+"
 
 
@@ -41,11 +42,6 @@ def _rarity(lines: DataFrame) -> list[int]:
     return levels
 
 
-def _literal(df: DataFrame, values: list[int], kind: str) -> Column:
-    """An array of fixed size as one value of the plan."""
-    return df.sparkSession.createDataFrame([(values,)], f"v array<{kind}>").scalar()
-
-
 def _ordered(line: Column, levels: list[int]) -> Column:
     """Each distinct word as a number, sorted: rarer words come first; equal words are equal.
 
@@ -97,20 +93,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, similar: float) -> DataFrame
     return both.where(shared >= F.lit(similar) * (F.size("wx") + F.size("wy") - shared) - F.lit(1e-9)).select("x").distinct()
 
 
-def _bit_set(values: DataFrame, name: str) -> list[int]:
-    """Bits of the hashes of a column, as an array of fixed size: a set with false positives only."""
-    bit = F.pmod(F.xxhash64(name), F.lit(SET_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
-    found = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
-    words = [0] * (SET_BITS // 64)
-    for word, bits in found.collect():
-        words[word] = bits
-    return words
+def _bit_set(values: DataFrame, name: str, size: int) -> bytearray:
+    """Bits of the hashes of a column, of fixed size: a set with false positives only."""
+    bit = F.pmod(F.xxhash64(name), F.lit(size))
+    one = F.call_function("shiftleft", F.lit(1), F.col("bit").bitwiseAND(7).cast("int"))
+    found = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).cast("int").alias("byte")).agg(F.bit_or(one).alias("bits"))
+    out = bytearray(size // 8)
+    for byte, bits in found.collect():
+        out[byte] = bits
+    return out
 
 
-def _in_set(df: DataFrame, words: list[int], value: Column) -> Column:
-    own = F.pmod(F.xxhash64(value), F.lit(SET_BITS))
-    return F.getbit(F.element_at(_literal(df, words, "long"), (F.shiftright(own, 6) + 1).cast("int")), own.bitwiseAND(63).cast("int")) == 1
+def _in_set(members: bytearray, value: Column) -> Column:
+    """Whether a value may be in the set; the set is a literal of the plan, a byte of it is read."""
+    own = F.pmod(F.xxhash64(value), F.lit(8 * len(members)))
+    byte = F.conv(F.hex(F.substring(F.lit(members), (F.shiftright(own, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, own.bitwiseAND(7).cast("int")) == 1
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -120,7 +118,7 @@ def _classes(lines: DataFrame) -> DataFrame:
     are shuffled, and copies are combined before that.
     """
     hashes = lines.select(F.xxhash64("line").alias("cid")).groupBy("cid").count().where("count > 1").select("cid")
-    repeated = _in_set(lines, _bit_set(hashes, "cid"), F.xxhash64("line"))
+    repeated = _in_set(_bit_set(hashes, "cid", REPEATED_BITS), F.xxhash64("line"))
     rows = lines.select("line", F.struct("doc", "line_no").alias("at"), repeated.alias("r"))
     return rows.where("not r").select("line", "at").unionByName(rows.where("r").groupBy("line").agg(F.min("at").alias("at")))
 
@@ -143,7 +141,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     light = _postings(every.withColumn("cid", F.xxhash64("line")), levels, ["cid"], 1, similar)
     a, b = light.alias("a"), light.alias("b")
     maybe = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & _may_match("a", "b", 1, similar), "left_semi").select("cid")
-    held = _in_set(lines, _bit_set(maybe, "cid"), F.xxhash64("line"))
+    held = _in_set(_bit_set(maybe, "cid", MATCH_BITS), F.xxhash64("line"))
     spark = docs.sparkSession
     folder = shared_folder(spark, "line_classes")
     lines.where(held).groupBy("line").agg(F.min(F.struct("doc", "line_no")).alias("at")).write.parquet(folder)

@@ -49,10 +49,14 @@ def imperfect_endings() -> list[tuple[str, str, str, str, str, str, str]]:
     return out
 
 
+def _forms() -> list[tuple]:
+    """``tense, mood, person, number, gender, mark, tail, prefix``: 64 in all."""
+    return [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS] + [("IMPERFECT", *row) for row in imperfect_endings()]
+
+
 def endings(spark: SparkSession) -> DataFrame:
-    """One row for each tense, mood, person, number and gender; 64 in all."""
-    past = [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS]
-    return spark.createDataFrame(past + [("IMPERFECT", *row) for row in imperfect_endings()], "tense string, mood string, person string, number string, gender string, mark string, tail string, prefix string")
+    """The same as a table."""
+    return spark.createDataFrame(_forms(), "tense string, mood string, person string, number string, gender string, mark string, tail string, prefix string")
 
 
 def conjugate(verbs: DataFrame, voices: list[str] = ("ACTIVE", "PASSIVE")) -> DataFrame:
@@ -61,15 +65,13 @@ def conjugate(verbs: DataFrame, voices: list[str] = ("ACTIVE", "PASSIVE")) -> Da
     ``surface`` is null, and ``status`` DEFER, for a root that is not sound, a class that is
     not bare or unknown.
     """
-    spark = verbs.sparkSession
-    classes = spark.createDataFrame(CLASS_VOWELS, "bab_id string, past_vowel string, imperfect_vowel string")
-    table = endings(spark).select("*", F.explode(F.array(*[F.lit(v) for v in voices])).alias("voice"))
+    classes = verbs.sparkSession.createDataFrame(CLASS_VOWELS, "bab_id string, past_vowel string, imperfect_vowel string")
     rows = verbs.join(F.broadcast(classes), "bab_id", "left")
     # every verb has every form: the fixed table is spread as an array, not joined
-    forms = [tuple(r) for r in table.orderBy(*table.columns).collect()]
-    names = table.columns
-    array = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, form, strict=True)]) for form in forms])
-    rows = rows.select("*", F.explode(array).alias("e")).select(*rows.columns, "e.*")
+    names = ["tense", "mood", "person", "number", "gender", "mark", "tail", "prefix", "voice"]
+    quoted = lambda v: "cast(null as string)" if v is None else f"'{v}'"
+    forms = [f"named_struct({', '.join(f'{quoted(n)}, {quoted(v)}' for n, v in zip(names, (*form, voice), strict=True))})" for form in _forms() for voice in voices]
+    rows = rows.select("*", F.explode(F.expr(f"array({', '.join(forms)})")).alias("e")).select(*rows.columns, "e.*")
     c1, c2, c3 = (F.col("root")[i] for i in range(3))
     active = F.col("voice") == "ACTIVE"
     past = F.concat(c1, F.when(active, FATHA).otherwise(DAMMA), c2, F.when(active, F.col("past_vowel")).otherwise(KASRA), c3, F.col("mark"), F.col("tail"))

@@ -11,10 +11,11 @@ from .common import checkpoint, shared_folder, text_of
 
 #: Jaccard similarity from which two lines match.
 SIMILAR = 0.8
-#: Buckets of the word counts that rarity is read from; bits of the sets of lines that repeat
-#: and of lines that may match another. Full sets let more lines through and lose none.
-RARITY_BUCKETS, REPEATED_BITS, MATCH_BITS = 1 << 15, 1 << 20, 1 << 20
-SPACE = r"[ \t\r\f\x0B]+"
+#: Buckets of the word counts that rarity is read from; bits of the set of lines that may match
+#: another. A full set lets more lines through and loses none.
+RARITY_BUCKETS, MATCH_BITS = 1 << 15, 1 << 20
+#: Lines of more distinct words have twice as many parities.
+LONG = 64
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,13 +25,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _split(line: Column) -> Column:
-    """A line's words, repeats included; one-character split, which needs no regular expression."""
-    return F.filter(F.split(F.translate(line, "\t\r\f\x0b", "    "), " "), lambda w: w != "")
+    """A line between its blanks, empty strings included; most lines have spaces only."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    return F.split(F.when(other, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line), " ")
 
 
 def _words(line: Column) -> Column:
     """A line's distinct words."""
-    return F.array_distinct(_split(line))
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
 def _rarity(lines: DataFrame) -> list[int]:
@@ -42,120 +44,123 @@ def _rarity(lines: DataFrame) -> list[int]:
     return levels
 
 
+def _numbers(values: list[int], kind: str) -> Column:
+    """An array of numbers that is folded to one literal of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _ordered(line: Column, levels: list[int]) -> Column:
     """Each distinct word as a number, sorted: rarer words come first; equal words are equal.
 
     Words are told apart by 64-bit hashes here; verification compares the words themselves.
     """
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded to one literal
-    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    table = _numbers(levels, "bigint")
+    hashes = F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _bitmap(keys: Column, part: int, parts: int) -> Column:
-    """Parities of the words, 64 in each part: a word that one line only has flips one bit in all."""
-    one = F.lit(1).cast("long")
-    own = keys if parts == 1 else F.filter(keys, lambda k: F.shiftright(k, 6) % parts == part)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
+def _bitmap(keys: Column, odd: bool = False) -> Column:
+    """Parities of the words by 64 buckets: a word that one line only has flips one bit.
+
+    ``odd``: of the words alone whose number has bit 6; together these are 128 buckets.
+    """
+    bit = lambda k: F.shiftright(k, 6).bitwiseAND(1) if odd else F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(63).cast("int"))))
 
 
-def _postings(lines: DataFrame, levels: list[int], keep: list[str], bitmaps: int, similar: float) -> DataFrame:
-    """A row for each word of each line's prefix: ``key, i, n, bitmaps...`` and ``keep``.
+def _postings(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
+    """``n, bits, odd, at, i, key``: a row for each word of the prefix of each distinct text.
 
-    Two sets of at least this similarity share one of the first n - ceil(similar * n) + 1
-    of their words in any common order.
+    ``at`` is the text's first place. Two sets of at least this similarity share one of the
+    first n - ceil(similar * n) + 1 of their words in any common order. Texts are told apart
+    by a hash, their number of words and their parities; copies are combined before the
+    shuffle, and no text is shuffled.
     """
-    keys = _ordered(F.col("line"), levels)
-    rows = lines.select(*keep, keys.alias("keys")).where(F.size("keys") > 0)
+    rows = lines.select(F.struct("doc", "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
-    rows = rows.select(*keep, n.alias("n"), *[_bitmap(F.col("keys"), p, bitmaps).alias(f"b{p}") for p in range(bitmaps)], prefix.alias("prefix"))
-    return rows.select(*keep, "n", *[f"b{p}" for p in range(bitmaps)], F.posexplode("prefix").alias("i", "key"))
+    odd = F.when(n > LONG, _bitmap(F.col("keys"), odd=True)).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("at", "text", n.alias("n"), _bitmap(F.col("keys")).alias("bits"), odd.alias("odd"), prefix.alias("prefix"))
+    once = rows.groupBy("text", "n", "bits", "odd").agg(F.min("at").alias("at"), F.min("prefix").alias("prefix"))
+    return once.select("n", "bits", "odd", "at", F.posexplode("prefix").alias("i", "key"))
+
 
+def _differ() -> Column:
+    """The least number of words that only one of two lines has: 128 buckets if both are long."""
+    every, odd = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "odd"))
+    return F.when((F.col("a.n") > LONG) & (F.col("b.n") > LONG), F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
 
-def _may_match(a: str, b: str, bitmaps: int, similar: float) -> Column:
-    """Length, positional and bitmap filters on two postings of one word."""
-    col = lambda side, name: F.col(f"{side}.{name}")
-    n_a, n_b = col(a, "n"), col(b, "n")
+
+def _may_match(similar: float) -> Column:
+    """Length, positional and bitmap filters on two postings, a and b, of one word."""
+    n_a, n_b = F.col("a.n"), F.col("b.n")
     need = F.lit(similar / (1 + similar)) * (n_a + n_b) - F.lit(1e-9)
-    most = F.least(n_a - col(a, "i"), n_b - col(b, "i"))
-    differ = F.lit(0)
-    for p in range(bitmaps):
-        differ = differ + F.bit_count(col(a, f"b{p}").bitwiseXOR(col(b, f"b{p}")))
-    return (F.least(n_a, n_b) >= F.lit(similar) * F.greatest(n_a, n_b) - F.lit(1e-9)) & (most >= need) & ((n_a + n_b - differ) / 2 >= need)
+    most = F.least(n_a - F.col("a.i"), n_b - F.col("b.i"))
+    return (F.least(n_a, n_b) >= F.lit(similar) * F.greatest(n_a, n_b) - F.lit(1e-9)) & (most >= need) & ((n_a + n_b - _differ()) / 2 >= need)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
-    """Of pairs (x, y) of class positions, the x whose Jaccard similarity is high enough."""
-    x, y = (classes.select(F.col("at").alias(side), _words(F.col("line")).alias(f"w{side}")) for side in "xy")
-    both = pairs.join(x, "x").join(y, "y")
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Of pairs (x, y) of places, the x whose Jaccard similarity is high enough."""
+    x, y = (texts.select(F.col("at").alias(side), F.col("line").alias(f"l{side}")) for side in "xy")
+    both = pairs.join(x, "x").join(y, "y").select("x", _words(F.col("lx")).alias("wx"), _words(F.col("ly")).alias("wy"))
     shared = F.size(F.array_intersect("wx", "wy"))
-    return both.where(shared >= F.lit(similar) * (F.size("wx") + F.size("wy") - shared) - F.lit(1e-9)).select("x").distinct()
-
+    return both.where(F.lit(1 + similar) * shared >= F.lit(similar) * (F.size("wx") + F.size("wy")) - F.lit(1e-9)).select("x").distinct()
 
-def _bit_set(values: DataFrame, name: str, size: int) -> bytearray:
-    """Bits of the hashes of a column, of fixed size: a set with false positives only."""
-    bit = F.pmod(F.xxhash64(name), F.lit(size))
-    one = F.call_function("shiftleft", F.lit(1), F.col("bit").bitwiseAND(7).cast("int"))
-    found = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).cast("int").alias("byte")).agg(F.bit_or(one).alias("bits"))
-    out = bytearray(size // 8)
-    for byte, bits in found.collect():
-        out[byte] = bits
-    return out
 
+def _place(at: Column) -> Column:
+    return F.pmod(F.xxhash64(at), F.lit(MATCH_BITS))
 
-def _in_set(members: bytearray, value: Column) -> Column:
-    """Whether a value may be in the set; the set is a literal of the plan, a byte of it is read."""
-    own = F.pmod(F.xxhash64(value), F.lit(8 * len(members)))
-    byte = F.conv(F.hex(F.substring(F.lit(members), (F.shiftright(own, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, own.bitwiseAND(7).cast("int")) == 1
 
+def _bit_set(places: DataFrame) -> list[int]:
+    """Bits of the hashes of the places, of fixed size: a set with false positives only."""
+    one = F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, F.col("p").bitwiseAND(31).cast("int"))
+    found = places.select(_place(F.col("at")).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    out = [0] * (MATCH_BITS >> 5)
+    for word, bits in found.collect():
+        out[word] = bits
+    return out
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """``line, at``: each text once, with its first place.
 
-    Lines whose hash occurs once, by far the most, are taken as they are; only the others
-    are shuffled, and copies are combined before that.
-    """
-    hashes = lines.select(F.xxhash64("line").alias("cid")).groupBy("cid").count().where("count > 1").select("cid")
-    repeated = _in_set(_bit_set(hashes, "cid", REPEATED_BITS), F.xxhash64("line"))
-    rows = lines.select("line", F.struct("doc", "line_no").alias("at"), repeated.alias("r"))
-    return rows.where("not r").select("line", "at").unionByName(rows.where("r").groupBy("line").agg(F.min("at").alias("at")))
+def _in_set(members: list[int], at: Column) -> Column:
+    """Whether a place may be in the set."""
+    word = F.get(_numbers(members, "bigint"), F.shiftright(_place(at), 5).cast("int"))
+    return F.getbit(word, _place(at).bitwiseAND(31).cast("int")) == 1
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``doc, line_no`` of each line that is the first of its text yet matches an earlier line.
 
     1. Each text is one class, so copies cost nothing in what follows.
-    2. Postings of all classes' prefixes meet by word; a semi-join with the filters keeps
-       the classes (by hash) that may match another, at most one row for each posting.
-    3. Only those classes are fetched. Each is verified against the first class of each of
-       its words' lists. In a large group of near copies nearly all are settled here by
-       one pair each.
+    2. Postings of all prefixes meet by word; a semi-join with the filters keeps those that
+       may match another, at most one row for each posting. Both sides are one shuffle.
+    3. Texts of those classes only are fetched. Each class is verified against one first
+       class of its words' lists, that of the nearest bitmap. In a large group of near
+       copies nearly all are settled here by one pair each.
     4. Those still open are verified against all earlier classes in their lists.
     No list is cut and no pair is left out: what step 3 settles has an earlier match.
     """
     lines = _lines(docs, id_col, text_col)
-    levels = _rarity(lines)
-    every = _classes(lines)
-    light = _postings(every.withColumn("cid", F.xxhash64("line")), levels, ["cid"], 1, similar)
-    a, b = light.alias("a"), light.alias("b")
-    maybe = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & _may_match("a", "b", 1, similar), "left_semi").select("cid")
-    held = _in_set(_bit_set(maybe, "cid", MATCH_BITS), F.xxhash64("line"))
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "line_classes")
-    lines.where(held).groupBy("line").agg(F.min(F.struct("doc", "line_no")).alias("at")).write.parquet(folder)
-    classes = spark.read.parquet(folder)
-
-    postings = _postings(classes, levels, ["at"], 1, similar)
-    first = checkpoint(postings.groupBy("key").agg(F.min(F.struct("at", "n", "i", "b0")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "f.*"))
-    a, b = postings.alias("a"), first.alias("b")
-    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & _may_match("a", "b", 1, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
-    settled = checkpoint(_verified(pairs, classes, similar))
-    still = postings.join(settled, F.col("at") == F.col("x"), "left_anti").join(first.select("key", F.col("at").alias("head")), "key")
-    a, b = still.alias("a"), postings.alias("b")
-    pairs = a.join(b, "key").where((F.col("b.at") < F.col("a.at")) & (F.col("b.at") != F.col("a.head")) & _may_match("a", "b", 1, similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
-    return settled.unionByName(_verified(pairs, classes, similar)).select("x.doc", "x.line_no")
+    postings = _postings(lines, _rarity(lines), similar)
+    earlier = F.col("b.at") < F.col("a.at")
+    a, b = postings.alias("a"), postings.alias("b")
+    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") != F.col("b.at")) & _may_match(similar), "left_semi"))
+    held = _in_set(_bit_set(hits.select("at")), F.col("at"))
+    folder = shared_folder(docs.sparkSession, "line_texts")
+    lines.select(F.struct("doc", "line_no").alias("at"), "line").where(held).write.parquet(folder)
+    texts = docs.sparkSession.read.parquet(folder)
+
+    first = hits.groupBy("key").agg(F.min(F.struct("at", "n", "i", "bits", "odd")).alias("f")).select("key", "f.*")
+    a, b = hits.alias("a"), first.alias("b")
+    found = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar))
+    near = found.select(F.col("a.at").alias("x"), F.struct(_differ().alias("differ"), F.col("b.at").alias("y")).alias("to"))
+    tried = checkpoint(near.groupBy("x").agg(F.min("to").alias("to")).select("x", "to.y"))
+    settled = checkpoint(_verified(tried, texts, similar))
+    still = hits.join(settled, F.col("at") == F.col("x"), "left_anti")
+    a, b = still.alias("a"), hits.alias("b")
+    rest = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
+    rest = rest.join(tried, ["x", "y"], "left_anti")
+    return settled.unionByName(_verified(rest, texts, similar)).select("x.doc", "x.line_no")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:

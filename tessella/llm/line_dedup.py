@@ -13,7 +13,7 @@ from .common import checkpoint, shared_folder, text_of
 SIMILAR = 0.8
 #: Buckets of the word counts that rarity is read from; bits of the set of lines that may match
 #: another. A full set lets more lines through and loses none.
-RARITY_BUCKETS, MATCH_BITS = 1 << 15, 1 << 20
+RARITY_BUCKETS, MATCH_BITS = 1 << 18, 1 << 20
 #: Lines of more distinct words have twice as many parities.
 LONG = 64
 
@@ -144,7 +144,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = _postings(lines, _rarity(lines), similar)
     earlier = F.col("b.at") < F.col("a.at")
     a, b = postings.alias("a"), postings.alias("b")
-    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") != F.col("b.at")) & _may_match(similar), "left_semi"))
+    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & (F.col("a.at") != F.col("b.at")), "left_semi"))
     held = _in_set(_bit_set(hits.select("at")), F.col("at"))
     folder = shared_folder(docs.sparkSession, "line_texts")
     lines.select(F.struct("doc", "line_no").alias("at"), "line").where(held).write.parquet(folder)

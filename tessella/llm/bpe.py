@@ -20,6 +20,8 @@ REMEMBERED = 250_000
 #: Words that one recursive query merges at a time; bounds DuckDB's memory.
 WORDS_A_QUERY = 50_000
 DUCKDB_MEMORY = "300MB"
+#: White space, of ``str.split`` or of patterns, besides single spaces and newlines.
+OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Each step joins all token-position rows to the merge table, takes each word's leftmost
 #: pair of least rank and contracts it; a word without a pair is done.
@@ -81,8 +83,9 @@ class Cutter:
 
         Where only single spaces and newlines part the words, each of those starts a new
         match and a newline ends one, so the text is cut there; any other is matched whole.
+        Other white space parts words too and would hide a run of blanks from the counts.
         """
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text or any(c in text for c in OTHER_SPACES):
             return self.find(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 

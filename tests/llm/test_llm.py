@@ -78,6 +78,18 @@ def test_bpe_matches_the_libraries(docs, none):
     assert bpe.bpe_round_trip(none, RANKS, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a\n\u00a0\u00a0b", "a\tb\tc\n\n\nd", "a\rb  c", "a\u3000b\u2003c   d", "a \tb\n\tc", "a\x1cb  c", "a\x85b\n\nc"])
+def test_bpe_of_any_white_space(text):
+    c = bpe.codec(RANKS, PATTERN)
+    ref = tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == ref.encode_ordinary(text)
+
+
+def test_all_white_space_is_known():
+    found = {c for c in map(chr, range(0x110000)) if c.isspace() or not "\ud800" <= c <= "\udfff" and bpe.regex.match(r"\s", c)}
+    assert found == set(bpe.OTHER_SPACES) | {" ", "\n"}
+
+
 def test_bpe_forgets_and_makes_anew():
     c = bpe.Codec(RANKS, PATTERN)
     c.pieces.most = c.segments.most = 3

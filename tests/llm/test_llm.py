@@ -236,6 +236,21 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, VOCABULARY, PATTERN).count() == 0
 
 
+def test_packing_takes_special_strings_as_the_file_does(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t or "") for i, (_, t, _) in enumerate([*ROWS, (0, "one<|endoftext|> two  <|endoftext|><|endoftext|>\n", ""), (0, "<|endoftext| >", "")])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ref = Tokenizer.from_file(VOCABULARY)
+    ids = {i: ref.encode(t, add_special_tokens=False).ids + [0] for i, t in rows}
+    assert max(ids[len(ROWS)]) == queries.END_OF_TEXT
+    for packed in (queries.op8_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")):
+        found = packed.collect()
+        assert {r["doc_id"]: r["doc_tokens"] for r in found} == {i: len(x) for i, x in ids.items()}
+        for r in found:
+            assert zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+
+
 def _simhash(t):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -14,7 +14,7 @@ _SUFFIXES = [("ing",), ("ed",), ("er",), ("s",), ("tion",), ("eux",), ("ung",),
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words of documents with an id of their own."""
-    w = table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).where("length(word) < 12").distinct()
+    w = table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
     return w.select(F.col("word").alias("word_id"), "word")
 
 

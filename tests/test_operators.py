@@ -123,6 +123,30 @@ def test_ambiguous_key_is_no_match(spark):
     assert found == {1: "COLLISION", 2: "FOUND"}
 
 
+def test_lexicon_queries_take_words_of_any_length(spark, tmp_path):
+    from tessella.plans import lexicon_queries
+
+    words = {"Weltanschauungen", "internationalisationing", "situaciónungs", "cat", "x" * 40 + "ings"}
+    entries = {"weltanschauungen", "Weltanschau", "internationalisa", "situación", "x" * 40}
+    for name, ws in (("documents", words), ("benchmark", entries)):
+        spark.createDataFrame([(" ".join(sorted(ws)),)], "text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    suffixes = [s for (s,) in lexicon_queries._SUFFIXES]
+
+    def ways(stem, taken=(), depth=3):
+        yield stem, "+".join(taken)
+        for s in suffixes if depth else ():
+            if stem.endswith(s) and len(stem) - len(s) >= 2:
+                yield from ways(stem[: len(stem) - len(s)], (s, *taken), depth - 1)
+
+    run = lambda f: [tuple(r) for r in f(spark, str(tmp_path)).collect()]
+    assert sorted(run(lexicon_queries.suffix_ways)) == sorted((w, *x) for w in words for x in ways(w))
+    known = {w: [x for x in ways(w) if x[0] in entries] for w in words}
+    verdict = lambda k: ("CLOSED", *k[0]) if len(k) == 1 else ("AMBIGUOUS" if k else "OPEN", None, None)
+    assert sorted(run(lexicon_queries.chosen_segmentation), key=str) == sorted(((w, *verdict(k)) for w, k in known.items()), key=str)
+    assert run(lexicon_queries.tiered_lookup) == [("Weltanschauungen", "NORMALISED", "weltanschauungen", 1)]
+    assert {r[0]: r[3] for r in run(lexicon_queries.colliding_lookup)} == {w: "FOUND" if w == "Weltanschauungen" else "NOT_FOUND" for w in words}
+
+
 def test_quality_helpers_on_empty_tables(spark):
     empty = spark.createDataFrame([], "k int, v int")
     assert quality.first_wins(empty, F.col("k"), ["v"]).count() == 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.operators.quality import share
 
@@ -13,29 +16,40 @@ def group_lines(observations: DataFrame, page: str = "page", y: str = "y", toler
     """``line`` number of each observation of a page.
 
     Greedy in the order of ``y``: an observation joins the latest line whose running mean
-    is within the tolerance. The mean moves with each, so this is no window; a page is
-    a few hundred rows and is handled by itself.
+    is within the tolerance. The mean moves with each, so this is no window. Spark sorts a
+    page and it streams by: since ``y`` falls, a line once out of reach stays so, and only
+    lines within the tolerance are held, however many rows a page has.
     """
-    names = observations.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, "obs_id"], ascending=[False, True])
-        lines: list[list[float]] = []  # count and mean of each line
-        out = []
-        for v in pdf[y]:
-            for k in range(len(lines) - 1, -1, -1):
-                if abs(lines[k][1] - v) <= tolerance:
-                    n, mean = lines[k]
-                    lines[k] = [n + 1, mean + (v - mean) / (n + 1)]
-                    break
-            else:
-                k = len(lines)
-                lines.append([1, v])
-            out.append(k)
-        return pdf.assign(line=out)[[*names, "line"]]
-
-    schema = observations.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", line int"
-    return observations.groupBy(page).applyInPandas(run, schema)
+    at, y_at = observations.columns.index(page), observations.columns.index(y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, made = object(), 0
+        lines: list[list] = []  # number, count and mean of each line within reach
+        for batch in batches:
+            out = []
+            for key, v in zip(batch.column(at).to_pylist(), batch.column(y_at).to_pylist(), strict=True):
+                if key != now:
+                    now, made, lines = key, 0, []
+                if v is None or v != v:
+                    out.append(made)
+                    made += 1
+                    continue
+                lines = [x for x in lines if x[2] - v <= tolerance]
+                for x in reversed(lines):
+                    if abs(x[2] - v) <= tolerance:
+                        x[1], x[2] = x[1] + 1, x[2] + (v - x[2]) / (x[1] + 1)
+                        break
+                else:
+                    x = [made, 1, v]
+                    lines.append(x)
+                    made += 1
+                out.append(x[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "line"])
+
+    value = F.col(y).cast("double")
+    order = [F.col(page), F.when(~F.isnan(value), value).desc_nulls_last(), F.col("obs_id")]
+    schema = T.StructType([*observations.schema, T.StructField("line", T.IntegerType())])
+    return observations.repartition(page).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def merge_lines(lined: DataFrame, page: str = "page", k: int = 3) -> DataFrame:
@@ -48,18 +62,40 @@ def merge_lines(lined: DataFrame, page: str = "page", k: int = 3) -> DataFrame:
     )
 
 
-def entries(lines: DataFrame, book: str, pos: str, heading: Column, text: str, origin: str) -> DataFrame:
-    """A heading opens an entry; lines belong to it until the next, across pages.
+def _before(counts: DataFrame, book: str, part: str, n: str) -> DataFrame:
+    """``<book>, <part>, before``: the sum of ``n`` over the earlier parts of a book.
+
+    Parts are dealt by ranges; a window over the ranges' sums, one row for each range of a
+    book, and one within each range give the prefix sums.
+    """
+    ranged = counts.repartitionByRange(book, part).select("*", F.spark_partition_id().alias("__r"))
+    ranges = ranged.groupBy(book, "__r").agg(F.sum(n).alias("__n"), F.collect_list(F.struct(part, n)).alias("__parts"))
+    earlier = F.sum("__n").over(Window.partitionBy(book).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranges.select(book, "__r", F.coalesce(earlier, F.lit(0)).alias("__past"), "__parts").select(book, "__r", "__past", F.inline("__parts"))
+    within = F.sum(n).over(Window.partitionBy(book, "__r").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.select(book, part, (F.col("__past") + F.coalesce(within, F.lit(0))).alias("before"))
+
+
+def entries(lines: DataFrame, book: str, part: str, k: str, pos: str, heading: Column, text: str, origin: str) -> DataFrame:
+    """A heading opens an entry; lines belong to it until the next, across pages and parts.
 
-    The first line that matches ``origin`` gives the entry's origin and makes it AUTO.
-    Lines before the first heading belong to no entry.
+    A book's lines are in order of ``part`` and ``k``; ``pos`` is what names a line. The
+    first line that matches ``origin`` gives the entry's origin and makes it AUTO. Lines
+    before the first heading belong to no entry. Headings are numbered within each part,
+    and after those of earlier parts, so no task sorts a whole book.
     """
-    order = Window.partitionBy(book).orderBy(pos)
     rows = lines.withColumn("__h", heading)
-    rows = rows.withColumn("entry", F.sum(F.col("__h").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("entry > 0")
-    found = F.min_by(text, F.when(~F.col("__h") & F.col(text).rlike(origin), F.col(pos)))
+    h = F.col("__h").cast("int")
+    counts = rows.groupBy(book, part).agg(F.coalesce(F.sum(h), F.lit(0)).alias("__n"))
+    before = _before(counts, book, part, "__n").withColumnsRenamed({book: "__book", part: "__part"})
+    order = Window.partitionBy(book, part).orderBy(k)
+    rows = rows.withColumn("__in", F.coalesce(F.sum(h).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    rows = rows.join(before, F.col(book).eqNullSafe(F.col("__book")) & F.col(part).eqNullSafe(F.col("__part")))
+    rows = rows.withColumn("entry", F.col("before") + F.col("__in")).where("entry > 0")
+    at = F.struct(part, k)
+    found = F.min_by(text, F.when(~F.col("__h") & F.col(text).rlike(origin), at))
     return rows.groupBy(book, "entry").agg(
-        F.min_by(text, pos).alias("heading"), (F.count(F.lit(1)) - 1).alias("n_lines"), found.alias("origin"), F.when(found.isNotNull(), "AUTO").otherwise("REVIEW").alias("status"), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos")
+        F.min_by(text, at).alias("heading"), (F.count(F.lit(1)) - 1).alias("n_lines"), found.alias("origin"), F.when(found.isNotNull(), "AUTO").otherwise("REVIEW").alias("status"), F.min_by(pos, at).alias("first_pos"), F.max_by(pos, at).alias("last_pos")
     )
 
 

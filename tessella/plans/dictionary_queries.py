@@ -13,12 +13,12 @@ from tessella.sources import readers
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents of a source as one book."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return docs.select("source", (F.col("doc_id") * 100000 + F.col("k")).alias("pos"), "k", "line")
+    return docs.select("source", "doc_id", (F.col("doc_id") * 100000 + F.col("k")).alias("pos"), "k", "line")
 
 
 def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.length("line") < 40
-    return dictionary.entries(_doc_lines(spark, sf_dir), "source", "pos", heading, "line", "(License|licensed)")
+    return dictionary.entries(_doc_lines(spark, sf_dir), "source", "doc_id", "k", "pos", heading, "line", "(License|licensed)")
 
 
 def dictionary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

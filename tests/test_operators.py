@@ -160,6 +160,38 @@ def test_group_lines_by_running_mean(spark):
     assert [r["text"] for r in lines] == ["a b", "c"]
 
 
+def test_group_lines_of_a_long_page_in_order(spark):
+    rng = __import__("random").Random(5)
+    rows = [(rng.choice(["p", "q", None]), i, rng.choice([None, float("nan"), *[rng.random() for _ in range(20)]])) for i in range(3000)]
+    want = {}
+    for page in ("p", "q", None):
+        lines = []
+        for _, i, v in sorted((r for r in rows if r[0] == page), key=lambda r: (r[2] is None or r[2] != r[2], -(r[2] or 0) if r[2] == r[2] else 0, r[1])):
+            k = next((k for k in range(len(lines) - 1, -1, -1) if v is not None and abs(lines[k][1] - v) <= 0.01), len(lines))
+            if k == len(lines):
+                lines.append([0, float("nan") if v is None else v])
+            n, mean = lines[k]
+            lines[k] = [n + 1, mean if n == 0 else mean + (v - mean) / (n + 1)]
+            want[i] = k
+    lined = dictionary.group_lines(spark.createDataFrame(rows, "page string, obs_id int, y double"))
+    assert {r["obs_id"]: r["line"] for r in lined.collect()} == want
+    assert "FlatMapGroupsInPandas" not in lined._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_entries_number_headings_by_document(spark, tmp_path, partitions):
+    from tessella.plans import dictionary_queries
+
+    long = "x" * 50
+    texts = {1: "\n".join(["A one", *[long] * 100001, "B last of the first"]), 2: "\n".join([long + " License", "C", long]), 3: long, 4: "D\n" + long + " licensed"}
+    rows = [("s", i, t) for i, t in texts.items()] + [(None, 7, "E\n" + long), ("t", 9, None), ("t", 10, long)]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(partitions).write.parquet(f"{tmp_path}/documents.parquet")
+    df = dictionary_queries.dictionary_entries(spark, str(tmp_path))
+    found = {(r["source"], r["entry"]): (r["heading"], r["n_lines"], r["origin"]) for r in df.collect()}
+    lic = long + " License"
+    assert found == {("s", 1): ("A one", 100001, None), ("s", 2): ("B last of the first", 1, lic), ("s", 3): ("C", 2, None), ("s", 4): ("D", 1, long + " licensed"), (None, 1): ("E", 1, None)}
+
+
 def test_readers_and_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], None), (2, [], "x")], "id int, tags array<string>, note string")
     sinks.write_json(df, f"{tmp_path}/j", one_file=True)

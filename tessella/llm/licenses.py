@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,21 @@ _BSD_END = (
     "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
-#: Known licences by SPDX identifier, whole texts and customary notices.
+#: Known licences by SPDX identifier, whole texts (long ones in files) and customary notices.
 KNOWN = [
+    *((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
+    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+        "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any "
+        "and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <https://unlicense.org/>",
+    ),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _AUTHOR),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -90,9 +105,13 @@ SPELLINGS = [
     (r"\borganisation", "organization"),
     (r"\bwilful", "willful"),
     (r"\bwhilst\b", "while"),
+    # numbers of list items, which some copies have as bullets
+    (r"\b(?:[1-9]|[a-c]) (redistributions of source|redistributions in binary|neither the name|the origin of|altered source|this notice may)", r"$1"),
 ]
-#: Whole lines that differ between copies of a licence: who holds the rights.
-HOLDERS = r"(?im)^[ \t#*/;-]*(copyright\b|©|\(c\)|all rights reserved)[^\n]*"
+_TITLE = r"(the )?(mit|isc|zlib|mit no attribution|bsd zero[ -]clause|(bsd )?[023][ -]clause( bsd)?|(simplified|new|modified|revised) bsd)( licen[cs]e)?([ \t]*\([a-z0-9 -]+\))?[ \t\r]*$"
+#: Whole lines that differ between copies of a licence: who holds the rights, and titles. A
+#: line of a text that only starts with the word copyright is none.
+HOLDERS = r"(?im)^[ \t#*/;-]*(copyright[ \t:]*(\(c\)|©|[<\[{])[^\n]*|copyright\b[^\n]*\b(19|20)[0-9][0-9]\b[^\n]*|©[^\n]*|\(c\)[ \t]*(19|20)[0-9][0-9][^\n]*|all rights reserved[^\n]*|" + _TITLE + ")"
 #: Every known text holds one of these stems, in any spelling, so others need no digest.
 STEMS = "(?i)licen[cs]e|permission|redistribution"
 

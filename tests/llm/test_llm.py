@@ -212,6 +212,24 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_stock_license_files(spark):
+    import textwrap
+
+    whole = {name: t for name, t in licenses.KNOWN if len(t) > 300}
+    assert set(whole) >= {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "MIT"}
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": "The 2-Clause BSD License"}
+    texts = [(name, t) for name, t in whole.items()]
+    for name, title in titles.items():
+        for width in (30, 55, 72, 79, 100):
+            body = textwrap.fill(whole[name], width)
+            texts.append((name, f"{title}\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n{body}\n"))
+            texts.append((name, f"{title}\n\nCopyright 2020 Somebody\n\n" + re.sub(r"\b[123]\. ", "* ", body)))
+    apache = "\n\n".join(textwrap.fill(p, 60) for p in whole["Apache-2.0"].split("\n\n"))
+    texts += [("Apache-2.0", apache), ("MIT", "The MIT License (MIT)\r\n\r\n" + whole["MIT"]), (None, "MIT License"), (None, whole["MIT"] + " Or not.")]
+    found = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")).where("line_no = 0").collect()
+    assert {r["doc_id"]: r["license"] for r in found} == {i: name for i, (name, _) in enumerate(texts) if name}
+
+
 def test_packing(docs, none):
     found = [r.asDict() for r in packing.pack_documents(docs, VOCABULARY, PATTERN, buffer=4000).collect()]
     ref = Tokenizer.from_file(VOCABULARY)

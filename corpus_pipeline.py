@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, toxicity
-from tessella.llm.common import shared_folder, table
+from tessella.llm.common import shared_folder, table, text_of
 from tessella.llm.exact_dedup import exact_distinct
 from tessella.llm.packing import pack_documents
 from tessella.llm.simhash import simhash_components
@@ -32,9 +32,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, that of the smallest id."""
-    stay = simhash_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of linked fingerprints, that of the smallest id.
+
+    A document without an id has a large number made of its text in place of one, so it
+    stays only where its component has no id, and then it alone.
+    """
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("__text"), 2)
+    none = docs.where("doc_id IS NULL").withColumn("__text", text_of(docs)).dropDuplicates(["__text"]).withColumn("__id", made).drop("__text")
+    all_docs = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long")).unionByName(none)
+    stay = simhash_components(all_docs, "__id").where(F.col("__id") == F.col("component_id")).select("__id")
+    return all_docs.join(stay, "__id", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

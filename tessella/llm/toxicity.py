@@ -205,7 +205,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     in_docs = Counter(w for ws in lists for w in set(ws))
     net = Network({w: i + 1 for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= SEEN))}, seed)
     if not len(y) or y.min() == y.max():
-        net.constant = float((y.sum() + 0.5) / (len(y) + 1))
+        net.constant = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0  # without labels nothing is toxic
         return net
     positive = Counter(w for ws, one in zip(lists, y, strict=True) if one for w in set(ws))
     odds = {w: np.log((positive[w] + 0.5) / (n - positive[w] + 0.5)) for w, n in in_docs.items()}

@@ -363,3 +363,17 @@ def test_pipeline_against_its_operators(spark):
     assert {r["doc_id"] for r in near.collect()} == {min(s) for s in label.values()}
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.columns[0] == "doc_id" and packed.count() > 0
+
+
+def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = np.random.default_rng(4)
+    one, two, three, four = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80)) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two.upper()), (None, two), (5, three), (None, three.upper()), (6, three.title()), (7, four), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r["doc_id"], (r["text"] or "").lower()) for r in stages["simhash_dedup"](spark, df, "").collect())
+    assert found == Counter([(None, one), (None, two), (5, three), (7, four), (None, "")])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert stages["toxicity"](spark, df, str(tmp_path)).count() == len(rows)

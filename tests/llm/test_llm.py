@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -82,7 +84,30 @@ def test_bpe_matches_the_libraries(docs, none):
 def test_bpe_of_any_white_space(text):
     c = bpe.codec(RANKS, PATTERN)
     ref = tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks=c.ranks, special_tokens={})
-    assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == ref.encode_ordinary(text)
+    assert np.frombuffer(c.encode(pa.array([text]))[0].as_py(), "<u4").tolist() == ref.encode_ordinary(text)
+
+
+def _same_as_tiktoken(texts):
+    c = bpe.codec(RANKS, PATTERN)
+    ref = tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    ids = c.encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [ref.encode_ordinary(t) for t in texts]
+    assert c.decode(ids).to_pylist() == [t.encode() for t in texts]
+
+
+def test_bpe_fuzzed():
+    rng = random.Random(1)
+    _same_as_tiktoken(["".join(rng.choice("ab \n\t\u00a0\u3000\u00e9\u65e5x\r's.,1\0\x85\x1c") for _ in range(rng.randint(0, 30))) for _ in range(3000)])
+    _same_as_tiktoken([])
+    _same_as_tiktoken(["", ""])
+
+
+def test_bpe_of_long_words():
+    rng = random.Random(2)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [draw("etaoinshrdlu", n) for n in (255, 256, 257, 384, 385, 900, 20_000)] + [draw(["the", "ing", "un", "re"], 500), "x" * 3001, "ab" * 777 + "a", "=" * 3000, "  " * 700]
+    texts += [draw([chr(0x4E00 + i) for i in range(900)], 5000), draw([chr(0xE01 + i) for i in range(46)], 5000), *(draw("ab", rng.randint(200, 900)) for _ in range(20))]
+    _same_as_tiktoken(texts)
 
 
 def test_all_white_space_is_known():
@@ -90,13 +115,6 @@ def test_all_white_space_is_known():
     assert found == set(bpe.OTHER_SPACES) | {" ", "\n"}
 
 
-def test_bpe_forgets_and_makes_anew():
-    c = bpe.Codec(RANKS, PATTERN)
-    c.pieces.most = c.segments.most = 3
-    texts = ["one two three four", "five six seven", "one eight", "one two three four"]
-    assert [c.decode(c.encode([t]))[0].decode() for t in texts] == texts
-
-
 def _words(line):
     return frozenset(x for x in re.split(r"[ \t\r\f\x0b]+", line) if x)
 

@@ -1,9 +1,10 @@
 """Document fingerprints by a randomised edit embedding (Chakraborty, Goldenberg, Koucky 2016).
 
-A shared random walk reads a text: at step j it emits the character under its pointer and
-moves on or stays, by a random bit shared by all texts for (j, character). Texts a few
-edits apart fall into step again soon after each edit, so edit distance becomes Hamming
-distance of what was emitted. A fingerprint samples the walk of 2n steps at shared places.
+A shared random walk reads a text: at step j it emits the class of the character under its
+pointer and moves on or stays, by a random bit shared by all texts for (j, class). Texts a
+few edits apart fall into step again soon after each edit, so edit distance becomes Hamming
+distance of what was emitted. A walk has 3n steps and so reads a text to its end; a
+fingerprint samples it at shared places.
 """
 
 from __future__ import annotations
@@ -24,17 +25,23 @@ from .components import connected_components
 
 #: Sampled places; each gives one hexadecimal digit.
 SAMPLES = 256
-#: Code points that are walked together, which bounds what a task holds.
-TOGETHER = 4 << 20
+#: Classes of characters, and that of a text's end, which no random bit moves on from.
+CLASSES, END = 30, 32
+#: Digits of classes, of which 0 is the end's.
+DIGITS = 15
+#: Steps of a walk for each character.
+PACE = 3
+#: Bytes of text that are walked together, which bounds what a task holds.
+TOGETHER = 8 << 20
+#: Steps that are walked before samples are taken and texts that have ended leave.
+STRIDE = 256
 #: With fewer texts still walking, each is walked on its own.
 FEW = 40
 SEED = 0x5EED
 #: Bit-sampled banding: so many bands, each of so many of the fingerprint's digits.
-BANDS, DIGITS = 32, 6
+BANDS, BAND = 20, 10
 #: Likeness from which two texts are near duplicates.
 LIKE = 0.8
-_A, _B = 0x9E3779B1, 0x85EBCA77
-_MASK = 0xFFFFFFFF
 
 
 def _records() -> list[np.ndarray]:
@@ -60,68 +67,73 @@ _RECORDS = _records()
 
 
 def _noise(start: int, stop: int) -> np.ndarray:
-    """Shared random words of steps ``start`` to ``stop``."""
+    """Shared random words of steps ``start`` to ``stop``; bit c moves class c on."""
     x = np.arange(start, stop, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
-def _alone(codes: list[int], at: int, step: int, steps: int) -> np.ndarray:
-    """The rest of one text's walk, from pointer ``at``; 0 once the text has ended."""
-    out = np.zeros(steps - step, np.uint8)
-    n = len(codes)
-    for j, r in enumerate(_noise(step, steps).tolist()):
-        if at >= n:
-            break
-        t = ((codes[at] + r) * _A) & _MASK
-        t = ((t ^ (t >> 15)) * _B) & _MASK
-        out[j] = 1 + (codes[at] * 7 + (codes[at] >> 4)) % 15
-        at += t >> 31
+def _classes(text: str) -> np.ndarray:
+    """The class of each code point, then the end."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.append((codes * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(CLASSES), np.uint32(END)).astype(np.uint32)
+
+
+def _digit(classes: np.ndarray) -> np.ndarray:
+    return np.where(classes == END, 0, 1 + classes % DIGITS).astype(np.uint8)
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Sampled steps of walks through texts of so many characters, a row for each."""
+    return np.stack([r[np.maximum(np.searchsorted(r, PACE * sizes, "left") - 1, 0)] for r in _RECORDS], axis=1)
+
+
+def _alone(classes: np.ndarray, at: int, step: int, where: np.ndarray) -> np.ndarray:
+    """Classes that one text's walk emits at the sorted steps ``where``, going on from ``step``."""
+    out, k, n = np.full(len(where), END, np.uint32), 0, len(classes) - 1
+    while k < len(where) and at < n:
+        stop = min(step + (1 << 16), int(where[-1]) + 1)
+        near = classes[at : at + stop - step + 1].tolist()
+        walked, i = [], 0
+        for r in _noise(step, stop).tolist():
+            walked.append(c := near[i])
+            i += r >> c & 1
+        end = int(np.searchsorted(where, stop))
+        out[k:end] = np.array(walked, np.uint32)[where[k:end] - step]
+        at, step, k = at + i, stop, end
     return out
 
 
 def _fingerprints(texts: list[str]) -> np.ndarray:
     """Digits of each text, one row of SAMPLES; 0 stands for no character."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    codes = [np.frombuffer(texts[i].encode("utf-32-le"), np.uint32) for i in order]
-    sizes = np.array([len(c) for c in codes], np.int64)
-    steps = 2 * sizes
-    flat = np.concatenate([*(x for c in codes for x in (c, np.zeros(1, np.uint32))), np.zeros(0, np.uint32)])
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1].astype(np.int64)
-    ends, at = begin + sizes, begin.copy()
-    digit_of = 1 + (flat * np.uint32(7) + (flat >> np.uint32(4))) % np.uint32(15)
-    digit_of[ends] = 0
-    digit_of = digit_of.astype(np.uint8)
-    active = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0)) + 1), "left")  # texts that still walk at a step
-    together = int(np.searchsorted(-active, -FEW, "right")) if len(texts) > FEW else 0
-    together = min(together, int(steps.max(initial=0)))
-    row = np.concatenate(([0], np.cumsum(active[:together]))).astype(np.int64)
-    emitted = np.empty(int(row[-1]), np.uint8)
-    a, b, half, top = np.uint32(_A), np.uint32(_B), np.uint32(15), np.uint32(31)
-    for k in range(0, together, 1 << 16):
-        for j, r in enumerate(_noise(k, min(together, k + (1 << 16)))):
-            n = active[k + j]
-            p = at[:n]
-            emitted[row[k + j] : row[k + j] + n] = digit_of[p]
-            t = flat[p]
-            t += r
-            t *= a
-            t ^= t >> half
-            t *= b
-            t >>= top
-            p += t
-            np.minimum(p, ends[:n], out=p)
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(_classes(texts[i]) for i in order)])
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    at, where = begin.copy(), places(sizes) if len(sizes) else np.zeros((0, SAMPLES), np.int64)
+    found = np.full(where.size, END, np.uint32)
+    by_place = np.argsort(where, axis=None, kind="stable")
+    sorted_places = where.ravel()[by_place]
+    step, lanes = 0, int(np.count_nonzero(sizes))
+    one = np.uint32(1)
+    while lanes > FEW:
+        walked, p = np.empty((STRIDE, lanes), np.uint32), at[:lanes]
+        for out, r in zip(walked, _noise(step, step + STRIDE), strict=True):
+            np.take(flat, p, out=out, mode="clip")
+            p += (r >> out) & one
+        some = by_place[slice(*np.searchsorted(sorted_places, (step, step + STRIDE)))]
+        some = some[some < lanes * SAMPLES]
+        found[some] = walked[where.ravel()[some] - step, some // SAMPLES]
+        step += STRIDE
+        reading = np.flatnonzero(flat[p] != END)
+        lanes = int(reading[-1]) + 1 if len(reading) else 0
+    for d in range(lanes):
+        own = np.argsort(where[d], kind="stable")
+        own = own[where[d][own] >= step]
+        found[d * SAMPLES + own] = _alone(flat[begin[d] : begin[d] + sizes[d] + 1], int(at[d] - begin[d]), step, where[d][own])
     out = np.zeros((len(texts), SAMPLES), np.uint8)
-    places = np.stack([r[np.maximum(np.searchsorted(r, steps, "left") - 1, 0)] for r in _RECORDS], axis=1)
-    for d in np.flatnonzero(steps):
-        where = places[d]
-        near = where < together
-        digits = np.zeros(SAMPLES, np.uint8)
-        digits[near] = emitted[row[where[near]] + d]
-        if steps[d] > together:
-            digits[~near] = _alone(flat[begin[d] : ends[d]].tolist(), int(at[d] - begin[d]), together, int(steps[d]))[where[~near] - together]
-        out[order[d]] = digits
+    out[order] = _digit(found).reshape(-1, SAMPLES)
     return out
 
 
@@ -130,8 +142,11 @@ def _hex(digits: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal digits of rows of fingerprints, less what chance gives; 0 to 1."""
-    return np.maximum(0.0, ((a == b).mean(axis=-1) - 1 / 16) / (15 / 16))
+    """Share of equal digits of rows of fingerprints, where either text goes on, less chance; 0 to 1."""
+    reads = (a | b) > 0
+    n = reads.sum(axis=-1)
+    share = np.where(n > 0, ((a == b) & reads).sum(axis=-1) / np.maximum(n, 1), 1.0)
+    return np.maximum(0.0, (share - 1 / DIGITS) / (1 - 1 / DIGITS))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,21 +274,25 @@ def _digits(column: pa.Array) -> np.ndarray:
     return np.stack((raw >> 4, raw & 15), axis=2).reshape(-1, SAMPLES)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE, bands: int = BANDS, digits: int = DIGITS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE, bands: int = BANDS, digits: int = BAND, block: int = BLOCK) -> DataFrame:
     """``<id>, fingerprint, component_id``: banding of fingerprints, verified by likeness.
 
     A band is ``digits`` sampled digits, shared by all; fingerprints that agree on a whole
-    band are compared in full. Two of likeness 0.8 miss all bands with a chance of about
-    0.003 by these defaults. Equal fingerprints are one node, so copies cost nothing;
-    nulls, ties and empty tables as in ``fingerprints``. The smallest id of a component
-    names it.
+    band are compared in full. About a third of the sampled steps lie past the texts' ends
+    and agree anyhow, so two of likeness 0.8 miss all bands with a chance of about 0.003
+    by these defaults. Equal fingerprints are one node, so copies cost nothing; cells of
+    one fingerprint are dropped before fingerprints are fetched. Nulls, ties and empty
+    tables as in ``fingerprints``. The smallest id of a component names it; a component
+    of null ids only has none.
     """
     rng = np.random.default_rng(SEED)
-    places = [sorted(rng.choice(SAMPLES, digits, replace=False).tolist()) for _ in range(bands)]
+    chosen = [sorted(rng.choice(SAMPLES, digits, replace=False).tolist()) for _ in range(bands)]
     prints = checkpoint(fingerprints(docs, id_col, text_col))
     nodes = checkpoint(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")).withColumn("node", F.xxhash64("fingerprint")))
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[F.substring("fingerprint", p + 1, 1) for p in band]).alias("cell")) for i, band in enumerate(places)])
-    cells = nodes.select(F.explode(keys).alias("c"), F.col("fingerprint").alias("value")).select("c.choice", "c.cell", "value")
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[F.substring("fingerprint", p + 1, 1) for p in band]).alias("cell")) for i, band in enumerate(chosen)])
+    cells = nodes.select("node", F.explode(keys).alias("c")).select("c.choice", "c.cell", "node")
+    shared = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = cells.join(shared, ["choice", "cell"], "left_semi").join(nodes.select("node", F.col("fingerprint").alias("value")), "node").select("choice", "cell", "value")
     found = cell_links(cells, lambda a, b: likeness(a, b) >= like, _digits, block)
     parts = connected_components(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))).withColumnRenamed("node", "n")
     named = nodes.join(parts, F.col("node") == F.col("n"), "left").select("fingerprint", "least", F.coalesce("component", "node").alias("part"))

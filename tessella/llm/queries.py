@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import table
-from .edit_fingerprint import compare_edited
+from .edit_fingerprint import compare_edited, near_duplicates
 from .exact_dedup import exact_dedup
 from .langid import classify, held_out, learn
 from .licenses import oracle as license_oracle
@@ -51,6 +51,11 @@ def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
 
+def edit_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4's banding and verification, over all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
@@ -81,7 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"edit_near_duplicates": edit_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -168,12 +168,48 @@ def test_edit_near_duplicates(spark, docs, none):
     assert edit_fingerprint.near_duplicates(docs).count() == len(ROWS)
 
 
-def test_walk_alone_equals_walk_together():
+def _plain_walk(text):
+    """The embedding step by step: what is emitted, and the steps taken to the text's end."""
+    classes, at, emitted = edit_fingerprint._classes(text), 0, []
+    for r in edit_fingerprint._noise(0, 3 * len(text)):
+        emitted.append(int(classes[at]))
+        at += int(classes[at] != edit_fingerprint.END and int(r) >> int(classes[at]) & 1)
+    return emitted, at == len(text)
+
+
+def test_walks_against_a_plain_one():
     rng = np.random.default_rng(0)
-    texts = ["".join(rng.choice(list("abcdefgh "), 300 + k)) for k in range(60)]
-    together = edit_fingerprint._fingerprints(texts)
+    texts = ["", "a", "ab"] + ["".join(rng.choice(list("abcdefgh \u00e9\u65e5"), 300 + 7 * k)) for k in range(60)] + ["xy" * 3000]
+    found = edit_fingerprint._fingerprints(texts)
+    for text, digits in zip(texts, found, strict=True):
+        emitted, ended = _plain_walk(text)
+        assert ended
+        places = edit_fingerprint.places(np.array([len(text)]))[0]
+        assert digits.tolist() == [0 if not text or emitted[k] == edit_fingerprint.END else 1 + emitted[k] % 15 for k in places]
     alone = np.concatenate([edit_fingerprint._fingerprints([t]) for t in texts])
-    assert (together == alone).all()
+    assert (found == alone).all()
+
+
+def test_last_character_is_read():
+    texts = ["".join(np.random.default_rng(k).choice(list("abcdefgh "), 400)) for k in range(20)]
+    for text in texts:
+        (one, _), (two, _) = _plain_walk(text + "q"), _plain_walk(text + "z")
+        assert one != two
+
+
+def test_edit_banding_finds_near_pairs(spark):
+    docs = read(spark, "documents").select("doc_id", "text")
+    found = {r["doc_id"]: r["component_id"] for r in edit_fingerprint.near_duplicates(docs).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(texts)
+    prints = edit_fingerprint._fingerprints([texts[i] for i in ids])
+    near = [(a, b) for k, a in enumerate(ids) for b, x in zip(ids[k + 1 :], edit_fingerprint.likeness(prints[k], prints[k + 1 :]), strict=True) if x >= edit_fingerprint.LIKE]
+    assert len(near) > 10 and np.mean([found[a] == found[b] for a, b in near]) >= 0.9
+    label = {i: i for i in ids}
+    for a, b in near:
+        old, new = label[a], label[b]
+        label = {i: new if x == old else x for i, x in label.items()}
+    assert all(label[i] == label[c] for i, c in found.items())
 
 
 def test_toxicity_learns(spark, docs, none):

@@ -43,6 +43,17 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """These names, each with so many underscores before it that no column has it (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

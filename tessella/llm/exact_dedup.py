@@ -51,12 +51,14 @@ def exact_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, one for each text, with all their columns.
 
     The same grouping as ``exact_dedup``, carrying the row of the best id along, so texts
-    are shuffled once. Of rows that repeat both id and text one stays; a null id stays
-    only where a text has no other.
+    are shuffled once. Of rows that repeat both id and text one stays: the least by its
+    other columns (for ``max`` the greatest), which must be of types that have an order; a null id
+    stays only where a text has no other. Columns may have any names.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
-    row = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null"))
-    best = F.min_by(row, F.struct(F.col(id_col).isNull(), F.col(id_col))) if keep == "min" else F.max_by(row, F.struct(F.col(id_col).isNotNull(), F.col(id_col)))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.struct(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True) if c != text_col], F.col(text_col).isNull().alias("none"))
+    best = F.min_by(row, F.struct(F.col(id_col).isNull(), F.col(id_col), row)) if keep == "min" else F.max_by(row, F.struct(F.col(id_col).isNotNull(), F.col(id_col), row))
     texts = docs.groupBy(F.unhex(F.md5(text_of(docs, text_col))).alias("__h"), text_of(docs, text_col).alias("__text")).agg(best.alias("__row"))
-    return texts.select(*[F.when(~F.col("__row.__null"), F.col("__text")).alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    return texts.select(*[F.when(~F.col("__row.none"), F.col("__text")).alias(c) if c == text_col else F.col(f"__row.{o}").alias(c) for c, o in zip(docs.columns, own, strict=True)])

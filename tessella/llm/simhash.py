@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from .components import connected_components
 SHINGLE, DISTANCE = 4, 4
 #: Bits of one segment; 64 / SEGMENT counts make the embedding of a fingerprint.
 SEGMENT = 2
-#: Segments are dealt to so many groups; a cell of the grid fixes GROUPS - DISTANCE of them.
+#: Segments are dealt to so many groups at least; a cell of the grid fixes all but DISTANCE of them.
 GROUPS = 7
+#: A component's smallest id goes back to its fingerprints in so many shares.
+SHARES = 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -47,12 +50,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
-        yield pa.record_batch([batch.column(0), pa.array([fingerprint(x) for x in texts], pa.int64())], names=["id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array([fingerprint(x) for x in texts], pa.int64())], names=["key", "fp"])
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart and orders them: ids, null last, then texts."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(docs, text_col)).alias("tie"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` for each row (null text: empty); a narrow job, one pass over the texts."""
-    return with_workers(docs).select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text")).mapInArrow(_sign, "id long, fp long")
+    """``key, fp`` for each row (null text: empty); a narrow job, one pass over the texts."""
+    rows = with_workers(docs).select(_key(docs, id_col, text_col).alias("key"), text_of(docs, text_col).alias("text"))
+    return rows.mapInArrow(_sign, "key struct<none: boolean, id: long, tie: long>, fp long")
 
 
 def popcounts(fp: Column) -> Column:
@@ -76,6 +85,16 @@ def grid_masks(groups: int = GROUPS, distance: int = DISTANCE) -> list[int]:
     return [_signed(sum(own[g] for g in chosen)) for chosen in combinations(range(groups), groups - distance)]
 
 
+def groups_for(n: int, distance: int = DISTANCE) -> int:
+    """Groups for so many fingerprints: more make more cells and fewer pairs in each.
+
+    All find the same links. A row of a cell costs about 50 comparisons; the counts of 32
+    segments carry 1.5 bits each.
+    """
+    cost = lambda g: comb(g, distance) * (n + n * n / 2 ** (48 * (g - distance) / g) / 50)
+    return min(range(GROUPS, 21), key=cost)
+
+
 _LOW = np.uint64(0x5555555555555555)
 
 
@@ -92,8 +111,10 @@ def _near(fp_a: np.ndarray, fp_b: np.ndarray, distance: int) -> np.ndarray:
 def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``), enough to span each component.
 
-    Grid join: a fingerprint goes to one cell for each choice of whole segment groups, and
-    the rows of a cell are compared (see ``cells``).
+    A fingerprint goes to the cell of each choice of whole segment groups. Of two within
+    the Manhattan distance, some choice has the same counts in all its segments, so the
+    range join becomes an equality of cells that loses no link; the rows of a cell are
+    compared (see ``cells``).
     """
     emb = popcounts(F.col("fp"))
     choices = F.array(*[F.struct(F.lit(i).alias("choice"), emb.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grid_masks(groups, distance))])
@@ -101,20 +122,49 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block:
     return cell_links(cells, lambda a, b: _near(a, b, distance), lambda column: column.to_numpy().view(np.uint64), block)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def _firsts(fps: DataFrame, distance: int, groups: int | None, block: int) -> DataFrame:
+    """``fp, first`` for each of ``fps(fp, least)``: the least key reachable over links.
+
+    The keys of a component are aggregated, which combines before its shuffle, and go
+    back to its members in shares, so no task meets a large component as a whole.
+    """
+    groups = groups or groups_for(fps.count(), distance)
+    parts = connected_components(links(fps.select("fp"), distance, groups, block))
+    linked = checkpoint(fps.join(parts, F.col("fp") == F.col("node")).select("fp", "least", "component"))
+    share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    first = linked.groupBy("component").agg(F.min("least").alias("first")).select("component", "first", share.alias("share"))
+    members = linked.withColumn("share", F.pmod(F.xxhash64("fp"), F.lit(SHARES)).cast("int")).join(first, ["component", "share"]).select("fp", "first")
+    return fps.join(members, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None, block: int = BLOCK) -> DataFrame:
     """``<id>, fp, component_id`` for each row: the smallest id reachable over linked fingerprints.
 
     Equal fingerprints are one node, so a group of copies of any size costs one row in the
     join. Null and blank texts have fingerprint 0 and link like any other; a null id takes
-    part with its fingerprint but is never the smallest; repeated rows are kept; extra
-    columns are ignored; an empty table gives an empty result.
+    part with its fingerprint but is the smallest only of a component without ids;
+    repeated rows are kept; extra columns are ignored; an empty table gives an empty result.
     """
     signed = checkpoint(fingerprints(docs, id_col, text_col))
-    fps = checkpoint(signed.groupBy("fp").agg(F.min("id").alias("least")))
-    parts = connected_components(links(fps.select("fp"), distance, groups, block))
-    named = fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    return signed.join(named.join(least, "part").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    fps = checkpoint(signed.groupBy("fp").agg(F.min("key").alias("least")))
+    return signed.join(_firsts(fps, distance, groups, block), "fp").select(F.col("key.id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
+
+
+def simhash_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component of linked fingerprints.
+
+    That is the row of the smallest id; a null id stays only in a component without ids,
+    a tie goes to the smaller hash of the text, and of rows that repeat id and text one
+    stays. Columns may have any names; an empty table gives an empty result.
+    """
+    signed = checkpoint(fingerprints(docs, id_col, text_col))
+    fps = checkpoint(signed.groupBy("fp").agg(F.min("key").alias("least")))
+    stay = _firsts(fps, distance, groups, block).select(F.col("first.none").alias("n"), F.coalesce("first.id", F.lit(0)).alias("i"), F.col("first.tie").alias("t")).distinct()
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    key = _key(docs, id_col, text_col)
+    rows = docs.select(key["none"].alias("n"), F.coalesce(key["id"], F.lit(0)).alias("i"), key["tie"].alias("t"), own.alias("row"))
+    kept = rows.join(stay, ["n", "i", "t"], "left_semi").groupBy("n", "i", "t").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def fp_hex(fp: Column) -> Column:

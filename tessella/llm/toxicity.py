@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import free, with_workers
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
 #: Sizes: word vector, trigram vector, states of each direction, attention.
 WORD, CHAR, STATE, ATTEND = 8, 8, 8, 8
 TRIGRAMS = 1 << 13
-#: Learning is from so many documents of each label at most, none longer than LONGEST characters.
+#: Learning is from so many documents of each label at most, drawn from those of at most
+#: LONGEST characters; scoring reads texts of any length.
 SAMPLE, LONGEST = 1200, 20_000
 EPOCHS, RATE, BATCH, SEED = 18, 0.01, 256, 5
 #: Small samples take smaller batches, and more epochs till they have made so many steps.
@@ -252,27 +253,33 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Network:
     """Train on a bounded sample: of each label up to ``sample`` documents, dealt by a hash of the id.
 
-    The ids are found on ``labels`` alone (an aggregation that combines before its
-    shuffle); their number bounds the broadcast that fetches their texts.
+    Only labelled documents of at most ``longest`` characters are drawn from, so a slot
+    of the sample is filled as long as any such document falls into it. Ids and lengths
+    alone are joined to ``labels`` and aggregated, which combines before its shuffle; the
+    number of ids bounds the broadcast that fetches their texts. Of ids that several rows
+    share the first text in order is learned from.
     """
-    h = F.xxhash64(F.col(id_col))
+    h = F.xxhash64("__id")
+    short = docs.where((F.length(text_col) <= longest) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     picked = (
-        labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-        .groupBy(F.col(label_col).cast("int").alias("__y"), F.pmod(h, F.lit(sample)).alias("__slot"))
-        .agg(F.min_by(id_col, F.struct(h, F.col(id_col))).alias(id_col))
-        .select(id_col, "__y")
+        marked.join(short, "__id", "left_semi")
+        .groupBy("__y", F.pmod(h, F.lit(sample)).alias("__slot"))
+        .agg(F.min_by("__id", F.struct(h, F.col("__id"))).alias("__id"))
+        .select("__id", "__y")
     )
-    texts = docs.where(F.length(text_col) <= longest).select(id_col, F.col(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(picked), id_col).groupBy(id_col, "__y").agg(F.min("__text").alias("__text")).orderBy(id_col, "__y").collect()
+    texts = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id", "__y").collect()
     return train([r["__text"] for r in rows], [r["__y"] for r in rows])
 
 
-def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``<id>, [keep...,] score`` for each row: all overlapping windows of the whole text; narrow.
 
     Null, empty and wordless texts have no window and get the network's score of an empty
-    one. Texts of any length go window by window in chunks; ties, repeated rows, null ids
-    and extra columns pass row by row; an empty table gives an empty result. Without
+    one. Texts of any length go window by window in chunks; ties, repeated rows and null
+    ids pass row by row, as do the columns of ``keep`` (if one of them is called ``score``,
+    give another ``name``); an empty table gives an empty result. Without
     labelled rows of both kinds the score is the constant share of positives.
     """
     kept = list(dict.fromkeys([id_col, *keep]))
@@ -288,7 +295,7 @@ def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
                     scores += shared.value.score(held)
                     held, size = [], 0
             scores += shared.value.score(held)
-            yield pa.record_batch([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*kept, "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*kept, name])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
-    return with_workers(docs).select(docs[text_col].cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
+    return with_workers(docs).select(docs[text_col].cast("string").alias(free(kept, "text")[0]), *kept).mapInArrow(run, schema)

@@ -338,8 +338,13 @@ def test_simhash_against_brute_force(spark, docs, none):
     assert simhash.simhash_components(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_links_lose_none(spark, block):
+def test_more_groups_for_more_fingerprints():
+    assert [simhash.groups_for(n) for n in (0, 10**5, 10**7)] == [7] * 3
+    assert 7 < simhash.groups_for(10**9) < simhash.groups_for(10**11)
+
+
+@pytest.mark.parametrize(("block", "groups"), [(4096, 7), (7, 7), (4096, 9)])
+def test_links_lose_none(spark, block, groups):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
     fps = {int(c) for c in centres} | {0}
@@ -351,7 +356,7 @@ def test_links_lose_none(spark, block):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=block)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), groups=groups, block=block)
     assert all((int(r["a"]) ^ int(r["b"])) & (1 << 64) - 1 for r in edges.collect())
     found = {r["node"] & (1 << 64) - 1: r["component"] for r in connected_components(edges).collect()}
     label = {x: {x} for x in fps}
@@ -431,3 +436,46 @@ def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
     assert found == Counter([(None, one), (None, two), (5, three), (7, four), (None, "")])
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert stages["toxicity"](spark, df, str(tmp_path)).count() == len(rows)
+
+
+CLASHING = "doc_id long, text string, lang string, score double, rejected boolean, lang_pred string, __null string, __id string, __text int, __row int, `key` int, fp long, component_id long, line_no int, removed string, n_tokens int"
+
+
+def _hard(spark):
+    """Nulls in all columns, empty, blank and long texts, ties and repeated rows, names that clash."""
+    texts = [(1, "one of the texts " * 9), (2, "one of the texts " * 9), (2, "one of the texts " * 9), (2, "another text of the same id " * 7), (None, None), (None, "no id here at all"), (None, "no id here at all"), (3, ""), (4, " \n\t "), (5, "a\n" * 3000), (6, "w" * 70_000), (7, "long words " * 20_000), (8, None), (-9, "\u65e5\u672c\u8a9e \U0001f600\r\n")]
+    return spark.createDataFrame([(i, t, None if i is None else "en", 0.5, None, "xx", None, "x", 1, None, 2, 3, 4, 5, "r", None) for i, t in texts], CLASHING)
+
+
+def test_hard_rows_through_all_operators(spark, tmp_path):
+    _hard(spark).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n = _hard(spark).count()
+    for name, query in queries.queries().items():
+        found = query(spark, str(tmp_path))
+        if name == "op7_licenses":
+            assert found.count() == 0
+        elif name == "op8_packing":
+            assert found.where("start = 0").count() == n
+        else:
+            assert found.count() == n, name
+    (tmp_path / "none").mkdir()
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    for query in queries.queries().values():
+        assert query(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_hard_rows_through_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    _hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {"toxicity": 14, "exact_dedup": 9, "simhash_dedup": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or found.columns == docs.columns
+        assert found.count() == want.get(name, found.count()), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0

@@ -7,23 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, toxicity
-from tessella.llm.common import shared_folder, table, text_of
+from tessella.llm.common import free, shared_folder, table
 from tessella.llm.exact_dedup import exact_distinct
 from tessella.llm.packing import pack_documents
-from tessella.llm.simhash import simhash_components
+from tessella.llm.simhash import simhash_distinct
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from labelled rows outside the held-out fold."""
     net = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 4, 2)))
-    scored = toxicity.toxicity(docs, net, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    (score,) = free(docs.columns, "score")
+    scored = toxicity.toxicity(docs, net, keep=tuple(docs.columns), name=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; learned from rows outside the held-out fold."""
     content = langid.learn(docs.where(~langid.held_out("doc_id", 3, 1)))
-    return langid.classify(docs, content, keep=tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    names = free(docs.columns, *langid.NAMES)
+    return langid.classify(docs, content, keep=tuple(docs.columns), names=tuple(names)).where(~F.col(names[-1])).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints, that of the smallest id.
 
-    A document without an id has a large number made of its text in place of one, so it
-    stays only where its component has no id, and then it alone.
+    A document without an id stays only where its component has no id, and then one alone;
+    of documents that share an id, one text stays.
     """
-    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("__text"), 2)
-    none = docs.where("doc_id IS NULL").withColumn("__text", text_of(docs)).dropDuplicates(["__text"]).withColumn("__id", made).drop("__text")
-    all_docs = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long")).unionByName(none)
-    stay = simhash_components(all_docs, "__id").where(F.col("__id") == F.col("component_id")).select("__id")
-    return all_docs.join(stay, "__id", "left_semi").select(*docs.columns)
+    return simhash_distinct(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpoint, text_of
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
@@ -112,8 +115,8 @@ _TITLE = r"(the )?(mit|isc|zlib|mit no attribution|bsd zero[ -]clause|(bsd )?[02
 #: Whole lines that differ between copies of a licence: who holds the rights, and titles. A
 #: line of a text that only starts with the word copyright is none.
 HOLDERS = r"(?im)^[ \t#*/;-]*(copyright[ \t:]*(\(c\)|©|[<\[{])[^\n]*|copyright\b[^\n]*\b(19|20)[0-9][0-9]\b[^\n]*|©[^\n]*|\(c\)[ \t]*(19|20)[0-9][0-9][^\n]*|all rights reserved[^\n]*|" + _TITLE + ")"
-#: Every known text holds one of these stems, in any spelling, so others need no digest.
-STEMS = "(?i)licen[cs]e|permission|redistribution"
+#: Known texts up to so many are broadcast.
+LISTED = 10_000
 
 
 def canonical(text: Column) -> Column:
@@ -125,23 +128,46 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def _marks(table: list[tuple[str, str]]) -> list[str]:
+    """Words of which each canonical known text has one: what can't hold any can't match any.
+
+    Taken from ``(canonical text, licence)``: greedily, the word that most of the texts
+    left have, of equal ones the longest. Words that a spelling rule may have written are
+    passed over, so a mark stands in any text of that canonical form as it is, but for case.
+    """
+    written = {"http", "holder", "copyright", "license", "noncommercial", "noninfringement", "acknowledgment", "percent", "favor", "organization", "willful", "while"}
+    left = [{w for w in text.split() if not any(x in w for x in written)} for text, _ in table]
+    if not all(left):  # such a text can only be found by looking at all
+        return []
+    marks = []
+    while left:
+        n = Counter(w for words in left for w in words)
+        marks.append(max(n, key=lambda w: (len(w) >= 4, n[w] * len(w), w)))
+        left = [words for words in left if marks[-1] not in words]
+    return marks
+
+
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, line_no, license``: entire texts (line 0) and entire lines that are a known licence.
 
     A document's text, and each of its lines (numbered from 1), is normalised, and its
-    digest joined to those of ``known``, a short list and so a bounded broadcast. A
+    digest joined to those of ``known`` (broadcast up to LISTED texts). Only what holds
+    no word of any known text (see ``_marks``) is spared the digest. A
     one-line text that matches gives both rows. Null and empty texts match nothing;
     texts of any length, ties, repeated rows, null ids and extra columns are taken row by
     row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(known, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
-    table = table.groupBy("digest").agg(F.min("license").alias("license"))
-    held = docs.select(F.col(id_col), text_of(docs, text_col).alias("text")).where(F.col("text").rlike(STEMS))
+    table = checkpoint(spark.createDataFrame(known, "license string, text string").select(canonical(F.col("text")).alias("text"), "license"))
+    marks = _marks([(r["text"], r["license"]) for r in table.collect()])
+    may = lambda unit: reduce(or_, [F.contains(F.lower(unit), F.lit(m)) for m in marks]) if marks else F.lit(True)
+    table = table.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("license").alias("license"))
+    held = docs.select(F.col(id_col), text_of(docs, text_col).alias("text")).where(may(F.col("text")))
     whole = F.array(F.struct(F.lit(0).alias("line_no"), F.col("text").alias("unit")))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("unit")))
-    units = held.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*").where(F.col("unit").rlike(STEMS))
-    return units.withColumn("digest", F.sha2(canonical(F.col("unit")), 256)).join(F.broadcast(table), "digest").select(id_col, "line_no", "license")
+    units = held.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*").where(may(F.col("unit")))
+    found = units.withColumn("digest", F.sha2(canonical(F.col("unit")), 256))
+    return found.join(F.broadcast(table) if len(known) <= LISTED else table, "digest").select(id_col, "line_no", "license")
 
 
 def oracle() -> str:
@@ -155,5 +181,4 @@ def oracle() -> str:
         WITH known AS (SELECT sha256({canon}) AS digest, min(license) AS license FROM (VALUES {rows}) t(license, unit) GROUP BY 1),
         lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
         units AS (SELECT doc_id, 0 AS line_no, text AS unit FROM documents UNION ALL SELECT doc_id, line_no, unit FROM lines)
-        SELECT doc_id, line_no::INT AS line_no, license FROM units JOIN known ON sha256({canon}) = digest
-        WHERE regexp_matches(unit, {quoted(STEMS)})"""
+        SELECT doc_id, line_no::INT AS line_no, license FROM units JOIN known ON sha256({canon}) = digest"""

@@ -266,6 +266,12 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_the_caller(spark):
+    known = [("PD", "Dedicated to the public domain."), ("HTTP", "https"), ("X", "zq")]
+    df = spark.createDataFrame([(1, "dedicated TO the public-domain"), (2, "http"), (3, "ZQ!"), (4, "other")], "doc_id int, text string")
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(df, known).collect()} == {(1, "PD"), (2, "HTTP"), (3, "X")}
+
+
 def test_stock_license_files(spark):
     import textwrap
 

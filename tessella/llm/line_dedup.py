@@ -7,21 +7,45 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_folder, text_of
+from .common import checkpoint, free, shared_folder, text_of
 
 #: Jaccard similarity from which two lines match.
 SIMILAR = 0.8
 #: Buckets of the word counts that rarity is read from; bits of the set of lines that may match
 #: another. A full set lets more lines through and loses none.
 RARITY_BUCKETS, MATCH_BITS = 1 << 18, 1 << 20
+#: Repeated ids up to so many are broadcast.
+LISTED = 100_000
+#: Lines with a word.
+WORDED = "[^ \\t\\r\\f\\x0B]"
 #: Lines of more distinct words have twice as many parities.
 LONG = 64
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, line_no, line`` of all lines; numbers start at 1, as in the document."""
+def _repeated_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """Ids of more than one row, which is what most tables have none of, and how many there are."""
+    found = checkpoint(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc")).count().where("count > 1").select("doc"))
+    return found, found.count()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, repeated: tuple[DataFrame, int]) -> DataFrame:
+    """``doc, tie, text``: what tells documents apart is the id and, where ids are null or repeated, the text's hash.
+
+    Rows that share both are one document. The hash is 0 elsewhere, which costs nothing in
+    shuffles; only with repeated ids is there a join, a broadcast up to LISTED of them.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(docs, text_col).alias("text"))
-    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc", (F.col("k") + 1).alias("line_no"), "line")
+    own, none = F.xxhash64("text"), F.lit(0).cast("long")
+    ids, n = repeated
+    if not n:
+        return rows.select("doc", F.when(F.col("doc").isNull(), own).otherwise(none).alias("tie"), "text")
+    marked = rows.join(F.broadcast(ids.withColumn("twice", F.lit(True))) if n <= LISTED else ids.withColumn("twice", F.lit(True)), "doc", "left")
+    return marked.select("doc", F.when(F.col("doc").isNull() | F.col("twice").isNotNull(), own).otherwise(none).alias("tie"), "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """``doc, tie, line_no, line`` of all lines; numbers start at 1, as in the document."""
+    return rows.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc", "tie", (F.col("k") + 1).alias("line_no"), "line")
 
 
 def _split(line: Column) -> Column:
@@ -76,7 +100,7 @@ def _postings(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
     by a hash, their number of words and their parities; copies are combined before the
     shuffle, and no text is shuffled.
     """
-    rows = lines.select(F.struct("doc", "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
+    rows = lines.select(F.struct("doc", "tie", "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
     odd = F.when(n > LONG, _bitmap(F.col("keys"), odd=True)).otherwise(F.lit(0).cast("long"))
@@ -128,8 +152,8 @@ def _in_set(members: list[int], at: Column) -> Column:
     return F.getbit(word, _place(at).bitwiseAND(31).cast("int")) == 1
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``doc, line_no`` of each line that is the first of its text yet matches an earlier line.
+def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``doc, tie, line_no`` of each line of ``rows(doc, tie, text)`` that is the first of its text yet matches an earlier line.
 
     1. Each text is one class, so copies cost nothing in what follows.
     2. Postings of all prefixes meet by word; a semi-join with the filters keeps those that
@@ -140,15 +164,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     4. Those still open are verified against all earlier classes in their lists.
     No list is cut and no pair is left out: what step 3 settles has an earlier match.
     """
-    lines = _lines(docs, id_col, text_col)
+    lines, spark = _lines(rows), rows.sparkSession
     postings = _postings(lines, _rarity(lines), similar)
     earlier = F.col("b.at") < F.col("a.at")
     a, b = postings.alias("a"), postings.alias("b")
     hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & (F.col("a.at") != F.col("b.at")), "left_semi"))
     held = _in_set(_bit_set(hits.select("at")), F.col("at"))
-    folder = shared_folder(docs.sparkSession, "line_texts")
-    lines.select(F.struct("doc", "line_no").alias("at"), "line").where(held).write.parquet(folder)
-    texts = docs.sparkSession.read.parquet(folder)
+    folder = shared_folder(spark, "line_texts")
+    lines.select(F.struct("doc", "tie", "line_no").alias("at"), "line").where(held).write.parquet(folder)
+    texts = spark.read.parquet(folder)
 
     first = hits.groupBy("key").agg(F.min(F.struct("at", "n", "i", "bits", "odd")).alias("f")).select("key", "f.*")
     a, b = hits.alias("a"), first.alias("b")
@@ -160,37 +184,41 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a, b = still.alias("a"), hits.alias("b")
     rest = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
     rest = rest.join(tried, ["x", "y"], "left_anti")
-    return settled.unionByName(_verified(rest, texts, similar)).select("x.doc", "x.line_no")
+    return settled.unionByName(_verified(rest, texts, similar)).select("x.doc", "x.tie", "x.line_no")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``<id>, n_lines, n_removed, removed``: numbers of the lines that match an earlier line.
+    """``<id>, n_lines, n_removed, removed, text_hash``: numbers of the lines that match an earlier line.
 
     Lines are sets of words between ASCII white space, in the order of (id, line number);
     a line goes if the Jaccard similarity with any earlier line is ``similar`` or more, its
     own document's included. Lines without a word stay. Null and empty texts are one
     empty line; lines of any length and words of any frequency are compared. Rows of a
-    null id come first; rows that repeat an id are one document of several texts in the
-    result, one row for each. Extra columns are ignored; an empty table gives an empty
-    result.
+    null id come first; those and rows that repeat an id are told apart by their texts, in
+    the order of a hash. Rows that repeat id and text are one document, and each has its
+    result. Extra columns are ignored; an empty table gives an empty result.
     """
-    lines = _lines(docs, id_col, text_col).where(F.col("line").rlike("[^ \\t\\r\\f\\x0B]"))
-    kept = lines.groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct("doc", "line_no")).alias("at")).select("at.*")
-    later = similar_lines(docs, id_col, text_col, similar).withColumn("later", F.lit(1))
-    same = F.col("k.doc").eqNullSafe(F.col("l.doc")) & (F.col("k.line_no") == F.col("l.line_no"))
-    kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy("doc").agg(F.collect_list("line_no").alias("kept"))
-    rows = docs.select(F.col(id_col), F.split(text_of(docs, text_col), "\n").alias("ls"))
-    rows = rows.select(id_col, F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike("[^ \\t\\r\\f\\x0B]"), i + 1)), lambda x: x.isNotNull()).alias("worded"))
-    out = rows.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("doc")), "left")
+    repeated = _repeated_ids(docs, id_col)
+    every = _rows(docs, id_col, text_col, repeated)
+    worded = F.col("line").rlike(WORDED)
+    kept = _lines(every).where(worded).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct("doc", "tie", "line_no")).alias("at")).select("at.*")
+    later = similar_lines(every, similar).withColumn("later", F.lit(1))
+    same = F.col("k.doc").eqNullSafe(F.col("l.doc")) & (F.col("k.tie") == F.col("l.tie")) & (F.col("k.line_no") == F.col("l.line_no"))
+    kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy("doc", "tie").agg(F.collect_list("line_no").alias("kept"))
+    rows = every.select(F.col("doc").alias("id"), F.col("tie").alias("t"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("ls"))
+    rows = rows.select("id", "t", "text_hash", F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(WORDED), i + 1)), lambda x: x.isNotNull()).alias("worded"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("tie")), "left")
     removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
-    return out.select(id_col, "n_lines", removed.alias("removed")).select(id_col, "n_lines", F.size("removed").alias("n_removed"), "removed")
+    return out.select(F.col("id").alias(id_col), "n_lines", removed.alias("removed"), "text_hash").select(id_col, "n_lines", F.size("removed").alias("n_removed"), "removed", "text_hash")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``line_dedup`` found taken out of their texts."""
-    found = removed.select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"))
-    left = F.filter(F.split(text_of(docs, text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce("__removed", F.array().cast("array<int>")), i + 1))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__id")), "left").withColumn(text_col, F.array_join(left, "\n")).drop("__id", "__removed")
+    key, digest, gone = free(docs.columns, "key", "digest", "gone")
+    found = removed.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(digest)).agg(F.first("removed").alias(gone))
+    own = F.xxhash64(text_of(docs, text_col))
+    left = F.filter(F.split(text_of(docs, text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce(gone, F.array().cast("array<int>")), i + 1))
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(key)) & (own == F.col(digest)), "left").withColumn(text_col, F.array_join(left, "\n")).drop(key, digest, gone)
 
 
 #: The same for DuckDB: exact word frequencies, prefixes, then all their pairs verified.

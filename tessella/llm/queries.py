@@ -44,7 +44,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
-    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ",")).drop("text_hash")
 
 
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

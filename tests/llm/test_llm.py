@@ -139,6 +139,17 @@ def test_line_dedup_against_brute_force(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    a, b = "alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta"
+    rows = [(None, a + "\nx"), (None, b), (7, "one two three four five\nq"), (7, "one two three four five six"), (8, "r s t\nr s t"), (8, "r s t\nr s t"), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.line_dedup(df).collect()
+    gone = lambda i: sorted(r["removed"] for r in found if r["doc_id"] == i)
+    assert len(found) == 7 and gone(None) == gone(7) == [[], [1]] and gone(8) == [[2], [2]] and gone(9) == [[1]]
+    texts = sorted(r["text"] for r in line_dedup.without_lines(df, line_dedup.line_dedup(df)).collect())
+    assert len(texts) == 7 and texts.count("r s t") == 2 and texts.count("") == sum(r["n_lines"] == 1 and r["removed"] == [1] for r in found)
+
+
 def test_edit_fingerprints(spark, docs, none):
     found = edit_fingerprint.compare_edited(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), partitions=3).collect()
     rows = sorted({i: t or "" for i, t, _ in ROWS if i is not None}.items(), reverse=True)

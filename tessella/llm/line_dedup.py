@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,30 +24,31 @@ WORDED = "[^ \\t\\r\\f\\x0B]"
 LONG = 64
 
 
-def _repeated_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int]:
-    """Ids of more than one row, which is what most tables have none of, and how many there are."""
-    found = checkpoint(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc")).count().where("count > 1").select("doc"))
-    return found, found.count()
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, text``, and where an id is null or repeated also ``tie``, a hash of the text of such rows.
 
-
-def _rows(docs: DataFrame, id_col: str, text_col: str, repeated: tuple[DataFrame, int]) -> DataFrame:
-    """``doc, tie, text``: what tells documents apart is the id and, where ids are null or repeated, the text's hash.
-
-    Rows that share both are one document. The hash is 0 elsewhere, which costs nothing in
-    shuffles; only with repeated ids is there a join, a broadcast up to LISTED of them.
+    These columns tell documents apart; rows that share all are one document. Most tables
+    have no such ids, and then nothing is carried along for them. Repeated ids are
+    joined, by a broadcast up to LISTED of them.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(docs, text_col).alias("text"))
-    own, none = F.xxhash64("text"), F.lit(0).cast("long")
-    ids, n = repeated
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("doc")).count().where("doc IS NULL OR count > 1")
+    ids = checkpoint(ids.select("doc", F.lit(True).alias("twice")))
+    n, rows = ids.count(), docs.select(F.col(id_col).cast("long").alias("doc"), text_of(docs, text_col).alias("text"))
     if not n:
-        return rows.select("doc", F.when(F.col("doc").isNull(), own).otherwise(none).alias("tie"), "text")
-    marked = rows.join(F.broadcast(ids.withColumn("twice", F.lit(True))) if n <= LISTED else ids.withColumn("twice", F.lit(True)), "doc", "left")
-    return marked.select("doc", F.when(F.col("doc").isNull() | F.col("twice").isNotNull(), own).otherwise(none).alias("tie"), "text")
+        return rows
+    marked = rows.join(F.broadcast(ids) if n <= LISTED else ids, "doc", "left")
+    tie = F.when(F.col("doc").isNull() | F.col("twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return marked.select("doc", tie.alias("tie"), "text")
+
+
+def _document(df: DataFrame) -> list[str]:
+    return [c for c in ("doc", "tie") if c in df.columns]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """``doc, tie, line_no, line`` of all lines; numbers start at 1, as in the document."""
-    return rows.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc", "tie", (F.col("k") + 1).alias("line_no"), "line")
+    """``doc, [tie,] line_no, line`` of all lines; numbers start at 1, as in the document."""
+    own = _document(rows)
+    return rows.select(*own, F.posexplode(F.split("text", "\n")).alias("k", "line")).select(*own, (F.col("k") + 1).alias("line_no"), "line")
 
 
 def _split(line: Column) -> Column:
@@ -59,9 +62,9 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def _rarity(lines: DataFrame) -> list[int]:
-    """Counts of all lines' words by hash bucket, as logarithms: a table of fixed size."""
-    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
+def _rarity(rows: DataFrame) -> list[int]:
+    """Counts of all texts' words by hash bucket, as logarithms: a table of fixed size."""
+    words = rows.select(F.explode(F.split(F.translate("text", "\n\t\r\f\x0b", "     "), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
     levels = [0] * RARITY_BUCKETS
     for b, n in words.groupBy("b").count().collect():
         levels[b] = min(127, int(3 * math.log2(n)))
@@ -100,7 +103,7 @@ def _postings(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
     by a hash, their number of words and their parities; copies are combined before the
     shuffle, and no text is shuffled.
     """
-    rows = lines.select(F.struct("doc", "tie", "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
+    rows = lines.select(F.struct(*_document(lines), "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
     odd = F.when(n > LONG, _bitmap(F.col("keys"), odd=True)).otherwise(F.lit(0).cast("long"))
@@ -153,7 +156,7 @@ def _in_set(members: list[int], at: Column) -> Column:
 
 
 def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc, tie, line_no`` of each line of ``rows(doc, tie, text)`` that is the first of its text yet matches an earlier line.
+    """``doc, [tie,] line_no`` of each line of ``rows(doc, [tie,] text)`` that is the first of its text yet matches an earlier line.
 
     1. Each text is one class, so copies cost nothing in what follows.
     2. Postings of all prefixes meet by word; a semi-join with the filters keeps those that
@@ -165,13 +168,13 @@ def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     No list is cut and no pair is left out: what step 3 settles has an earlier match.
     """
     lines, spark = _lines(rows), rows.sparkSession
-    postings = _postings(lines, _rarity(lines), similar)
+    postings = _postings(lines, _rarity(rows), similar)
     earlier = F.col("b.at") < F.col("a.at")
     a, b = postings.alias("a"), postings.alias("b")
     hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & (F.col("a.at") != F.col("b.at")), "left_semi"))
     held = _in_set(_bit_set(hits.select("at")), F.col("at"))
     folder = shared_folder(spark, "line_texts")
-    lines.select(F.struct("doc", "tie", "line_no").alias("at"), "line").where(held).write.parquet(folder)
+    lines.select(F.struct(*_document(lines), "line_no").alias("at"), "line").where(held).write.parquet(folder)
     texts = spark.read.parquet(folder)
 
     first = hits.groupBy("key").agg(F.min(F.struct("at", "n", "i", "bits", "odd")).alias("f")).select("key", "f.*")
@@ -184,7 +187,7 @@ def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     a, b = still.alias("a"), hits.alias("b")
     rest = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
     rest = rest.join(tried, ["x", "y"], "left_anti")
-    return settled.unionByName(_verified(rest, texts, similar)).select("x.doc", "x.tie", "x.line_no")
+    return settled.unionByName(_verified(rest, texts, similar)).select("x.*")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -198,18 +201,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the order of a hash. Rows that repeat id and text are one document, and each has its
     result. Extra columns are ignored; an empty table gives an empty result.
     """
-    repeated = _repeated_ids(docs, id_col)
-    every = _rows(docs, id_col, text_col, repeated)
+    every = _rows(docs, id_col, text_col)
+    own = _document(every)
     worded = F.col("line").rlike(WORDED)
-    kept = _lines(every).where(worded).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct("doc", "tie", "line_no")).alias("at")).select("at.*")
+    kept = _lines(every).where(worded).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct(*own, "line_no")).alias("at")).select("at.*")
     later = similar_lines(every, similar).withColumn("later", F.lit(1))
-    same = F.col("k.doc").eqNullSafe(F.col("l.doc")) & (F.col("k.tie") == F.col("l.tie")) & (F.col("k.line_no") == F.col("l.line_no"))
-    kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy("doc", "tie").agg(F.collect_list("line_no").alias("kept"))
-    rows = every.select(F.col("doc").alias("id"), F.col("tie").alias("t"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("ls"))
-    rows = rows.select("id", "t", "text_hash", F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(WORDED), i + 1)), lambda x: x.isNotNull()).alias("worded"))
-    out = rows.join(kept, F.col("id").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("tie")), "left")
+    same = reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*own, "line_no")])
+    kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy(*own).agg(F.collect_list("line_no").alias("kept"))
+    rows = every.select(*own, F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("ls"))
+    rows = rows.select(*own, "text_hash", F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(WORDED), i + 1)), lambda x: x.isNotNull()).alias("worded"))
+    out = rows.alias("k").join(kept.alias("l"), reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in own]), "left")
     removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
-    return out.select(F.col("id").alias(id_col), "n_lines", removed.alias("removed"), "text_hash").select(id_col, "n_lines", F.size("removed").alias("n_removed"), "removed", "text_hash")
+    return out.select(F.col("k.doc").alias(id_col), "n_lines", removed.alias("removed"), "text_hash").select(id_col, "n_lines", F.size("removed").alias("n_removed"), "removed", "text_hash")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stage identifiers in order, and the scope from which each applies.
 STAGES = [
@@ -29,6 +33,11 @@ STAGES = [
 ]
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """These names, with underscores before those that a column has."""
+    return ["_" * next(i for i in range(99) if "_" * i + n not in taken) + n for n in names]
+
+
 def densify(executed: DataFrame, item: str) -> DataFrame:
     """One row for each item and stage: ``ordinal, stage_id, status, executed``.
 
@@ -126,14 +135,56 @@ def answer_audit(leaps: Column, residuals: Column) -> Column:
     return F.when(F.size(leaps) > 0, "BLOCKED").when(F.size(residuals) > 0, "DEFERRED").otherwise("APPROVED")
 
 
-def guarded_writes(log: DataFrame, field: str, order: str, value: str, state: str, terminal: list[str], rank: Column) -> DataFrame:
-    """``outcome`` of each write of an ordered log: idempotent, terminal, downgrade or written.
+def write_judge(terminal: list[str], filled: str | None = None) -> Callable:
+    """A function of what a field holds and a write to it: the outcome, and what the field holds then.
+
+    Held is None or (value, state, rank) of the last write that took effect; refused writes
+    change nothing.
+    """
 
-    The latest write that took effect decides; as refused writes change nothing, a write is
-    held against the running maximum of the ranks before it.
+    def judge(held: tuple | None, value: object, state: str | None, rank: float | None, allowed: bool = True) -> tuple[str, tuple | None]:
+        if not allowed:
+            return "NON_OWNER", held
+        if held is not None:
+            last, was, top = held
+            if value == last:
+                return "IDEMPOTENT", held
+            if was in terminal:
+                return "TERMINAL", held
+            if filled is not None and was == state == filled:
+                return "VALUE_CHANGE", held
+            if top is not None and (rank is None or rank < top):
+                return "DOWNGRADE", held
+        return "WRITTEN", (value, state, rank)
+
+    return judge
+
+
+def guarded_writes(log: DataFrame, field: str, order: str, value: str, state: str, terminal: list[str], rank: Column, allowed: Column | None = None, filled: str | None = None) -> DataFrame:
+    """``outcome`` of each write of an ordered log, all columns kept.
+
+    In this order: NON_OWNER where ``allowed`` is false; IDEMPOTENT for the value that the
+    field holds; TERMINAL after a terminal state; VALUE_CHANGE of a value in the state
+    ``filled``; DOWNGRADE to a lower rank; else WRITTEN. Each write is judged by the last one
+    that took effect, so a field's log is read in order, as a stream: a task holds a
+    batch and one value. Null values are values; a null rank is below all others. Fields
+    are dealt over tasks; equal orders of a field follow each other by value and state.
     """
-    before = Window.partitionBy(field).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumns({"__r": rank, "__t": F.col(state).isin(terminal).cast("int")})
-    rows = rows.withColumns({"__top": F.max("__r").over(before), "__end": F.coalesce(F.max("__t").over(before), F.lit(0)), "__same": F.lag(value).over(Window.partitionBy(field).orderBy(order))})
-    outcome = F.when(F.col(value).eqNullSafe(F.col("__same")) & F.col("__top").isNotNull(), "IDEMPOTENT").when(F.col("__end") == 1, "TERMINAL").when(F.col("__r") < F.col("__top"), "DOWNGRADE").otherwise("WRITTEN")
-    return rows.withColumn("outcome", outcome).select(*log.columns, "outcome")
+    names = free(log.columns, "value", "state", "rank", "allowed")
+    extra = [F.col(value).cast("string"), F.col(state), rank.cast("double"), F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True)]
+    rows = log.select("*", *[c.alias(n) for c, n in zip(extra, names, strict=False)])
+    rows = rows.repartition(F.col(field)).sortWithinPartitions(field, order, value, state)
+    width, at, names, judge = len(log.columns), log.columns.index(field), [*log.columns, "outcome"], write_judge(terminal, filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = object(), None
+        for batch in batches:
+            out = []
+            for key, *write in zip(*(batch.column(i).to_pylist() for i in (at, *range(width, width + 4))), strict=True):
+                if key != now:
+                    now, held = key, None
+                outcome, held = judge(held, *write)
+                out.append(outcome)
+            yield pa.record_batch([*batch.columns[:width], pa.array(out, pa.string())], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*log.schema.fields, T.StructField("outcome", T.StringType())]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,35 +25,26 @@ ENDINGS = [
     ("PAST", "2", "DU", "M", SUKUN, "تُمَا"), ("PAST", "2", "DU", "F", SUKUN, "تُمَا"), ("PAST", "2", "PL", "M", SUKUN, "تُمْ"), ("PAST", "2", "PL", "F", SUKUN, "تُنَّ"),
     ("PAST", "1", "SG", "M", SUKUN, "تُ"), ("PAST", "1", "SG", "F", SUKUN, "تُ"), ("PAST", "1", "PL", "M", SUKUN, "نَا"), ("PAST", "1", "PL", "F", SUKUN, "نَا"),
 ]
-#: Mark without a tail, tail of 2 SG F, of duals, of masculine plurals, by mood.
-_MOODS = [("INDICATIVE", DAMMA, "ينَ", "انِ", "ونَ"), ("SUBJUNCTIVE", FATHA, "ي", "ا", "وا"), ("JUSSIVE", SUKUN, "ي", "ا", "وا")]
-_PREFIX = {"1SG": "أ", "1PL": "ن", "2": "ت", "3F": "ت", "3": "ي"}
-
-
-def imperfect_endings() -> list[tuple[str, str, str, str, str, str, str]]:
-    """``mood, person, number, gender, mark, tail, prefix letter`` of all imperfect forms, from the moods' rules."""
-    out = []
-    for mood, plain, second, dual, plural in _MOODS:
-        for person in "123":
-            for number in ("SG", "DU", "PL"):
-                for gender in "MF":
-                    if person == "1" and number == "DU":
-                        continue
-                    mark, tail = plain, ""
-                    if number == "DU":
-                        mark, tail = FATHA, dual
-                    elif number == "PL" and person != "1":
-                        mark, tail = (DAMMA, plural) if gender == "M" else (SUKUN, "نَ")
-                    elif (person, number, gender) == ("2", "SG", "F"):
-                        mark, tail = KASRA, second
-                    prefix = _PREFIX[person + number] if person == "1" else _PREFIX["2"] if person == "2" else _PREFIX["3F"] if gender == "F" and number != "PL" else _PREFIX["3"]
-                    out.append((mood, person, number, gender, mark, tail, prefix))
-    return out
+#: Mood, person, number, gender, mark on the third radical, tail and prefix letter of the imperfect.
+IMPERFECT_ENDINGS = [
+    ("INDICATIVE", "1", "SG", "M", DAMMA, "", "أ"), ("INDICATIVE", "1", "SG", "F", DAMMA, "", "أ"), ("INDICATIVE", "1", "PL", "M", DAMMA, "", "ن"), ("INDICATIVE", "1", "PL", "F", DAMMA, "", "ن"),
+    ("INDICATIVE", "2", "SG", "M", DAMMA, "", "ت"), ("INDICATIVE", "2", "SG", "F", KASRA, "ينَ", "ت"), ("INDICATIVE", "2", "DU", "M", FATHA, "انِ", "ت"), ("INDICATIVE", "2", "DU", "F", FATHA, "انِ", "ت"),
+    ("INDICATIVE", "2", "PL", "M", DAMMA, "ونَ", "ت"), ("INDICATIVE", "2", "PL", "F", SUKUN, "نَ", "ت"), ("INDICATIVE", "3", "SG", "M", DAMMA, "", "ي"), ("INDICATIVE", "3", "SG", "F", DAMMA, "", "ت"),
+    ("INDICATIVE", "3", "DU", "M", FATHA, "انِ", "ي"), ("INDICATIVE", "3", "DU", "F", FATHA, "انِ", "ت"), ("INDICATIVE", "3", "PL", "M", DAMMA, "ونَ", "ي"), ("INDICATIVE", "3", "PL", "F", SUKUN, "نَ", "ي"),
+    ("SUBJUNCTIVE", "1", "SG", "M", FATHA, "", "أ"), ("SUBJUNCTIVE", "1", "SG", "F", FATHA, "", "أ"), ("SUBJUNCTIVE", "1", "PL", "M", FATHA, "", "ن"), ("SUBJUNCTIVE", "1", "PL", "F", FATHA, "", "ن"),
+    ("SUBJUNCTIVE", "2", "SG", "M", FATHA, "", "ت"), ("SUBJUNCTIVE", "2", "SG", "F", KASRA, "ي", "ت"), ("SUBJUNCTIVE", "2", "DU", "M", FATHA, "ا", "ت"), ("SUBJUNCTIVE", "2", "DU", "F", FATHA, "ا", "ت"),
+    ("SUBJUNCTIVE", "2", "PL", "M", DAMMA, "وا", "ت"), ("SUBJUNCTIVE", "2", "PL", "F", SUKUN, "نَ", "ت"), ("SUBJUNCTIVE", "3", "SG", "M", FATHA, "", "ي"), ("SUBJUNCTIVE", "3", "SG", "F", FATHA, "", "ت"),
+    ("SUBJUNCTIVE", "3", "DU", "M", FATHA, "ا", "ي"), ("SUBJUNCTIVE", "3", "DU", "F", FATHA, "ا", "ت"), ("SUBJUNCTIVE", "3", "PL", "M", DAMMA, "وا", "ي"), ("SUBJUNCTIVE", "3", "PL", "F", SUKUN, "نَ", "ي"),
+    ("JUSSIVE", "1", "SG", "M", SUKUN, "", "أ"), ("JUSSIVE", "1", "SG", "F", SUKUN, "", "أ"), ("JUSSIVE", "1", "PL", "M", SUKUN, "", "ن"), ("JUSSIVE", "1", "PL", "F", SUKUN, "", "ن"),
+    ("JUSSIVE", "2", "SG", "M", SUKUN, "", "ت"), ("JUSSIVE", "2", "SG", "F", KASRA, "ي", "ت"), ("JUSSIVE", "2", "DU", "M", FATHA, "ا", "ت"), ("JUSSIVE", "2", "DU", "F", FATHA, "ا", "ت"),
+    ("JUSSIVE", "2", "PL", "M", DAMMA, "وا", "ت"), ("JUSSIVE", "2", "PL", "F", SUKUN, "نَ", "ت"), ("JUSSIVE", "3", "SG", "M", SUKUN, "", "ي"), ("JUSSIVE", "3", "SG", "F", SUKUN, "", "ت"),
+    ("JUSSIVE", "3", "DU", "M", FATHA, "ا", "ي"), ("JUSSIVE", "3", "DU", "F", FATHA, "ا", "ت"), ("JUSSIVE", "3", "PL", "M", DAMMA, "وا", "ي"), ("JUSSIVE", "3", "PL", "F", SUKUN, "نَ", "ي"),
+]
 
 
 def _forms() -> list[tuple]:
     """``tense, mood, person, number, gender, mark, tail, prefix``: 64 in all."""
-    return [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS] + [("IMPERFECT", *row) for row in imperfect_endings()]
+    return [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS] + [("IMPERFECT", *row) for row in IMPERFECT_ENDINGS]
 
 
 def endings(spark: SparkSession) -> DataFrame:
@@ -104,22 +97,37 @@ def root_class(root: Column) -> Column:
     )
 
 
+#: Residual codes of roots.
+ROOT_RESIDUALS = [
+    "block:root:insufficient_consonants",
+    "defer:root:two_consonant_form_unresolved",
+    "defer:root:quadriliteral_beyond_scope",
+    "defer:root:non_standard_consonant_count",
+    "defer:root:lafif_mafruq_unresolved",
+    "defer:root:lafif_maqrun_unresolved",
+    "defer:root:hollow_underlying_radical_unresolved",
+    "defer:root:defective_lam_unresolved",
+    "defer:root:assimilated_fa_unresolved",
+    "defer:root:prohibited_or_ambiguous_radical",
+]
+
+
 def analyze_root(host: Column) -> Column:
     """``directive, root, residual`` of a host by the number and weakness of its letters."""
-    cs = letters(normalize_host(host))
+    cs, code = letters(normalize_host(host)), ROOT_RESIDUALS
     n, fa, ayn, lam = F.size(cs), F.get(cs, F.lit(0)), F.get(cs, F.lit(1)), F.get(cs, F.lit(2))
     fa_weak, ayn_weak, lam_weak = fa.isin(WAW, YEH), ayn.isin(ALEF, WAW), lam.isin(ALEF, ALEF_MAQSURA, YEH)
     residual = (
-        F.when(n < 2, "block:root:insufficient_consonants")
-        .when(n == 2, "defer:root:two_consonant_form_unresolved")
-        .when(n == 4, "defer:root:quadriliteral_beyond_scope")
-        .when(n > 4, "defer:root:non_standard_consonant_count")
-        .when(fa_weak & lam_weak & ~ayn_weak, "defer:root:lafif_mafruq_unresolved")
-        .when(ayn_weak & lam_weak, "defer:root:lafif_maqrun_unresolved")
-        .when(ayn_weak, "defer:root:hollow_underlying_radical_unresolved")
-        .when(lam_weak, "defer:root:defective_lam_unresolved")
-        .when(fa_weak, "defer:root:assimilated_fa_unresolved")
-        .when(F.exists(cs, lambda c: c.isin(ALEF, ALEF_MAQSURA)), "defer:root:prohibited_or_ambiguous_radical")
+        F.when(n < 2, code[0])
+        .when(n == 2, code[1])
+        .when(n == 4, code[2])
+        .when(n > 4, code[3])
+        .when(fa_weak & lam_weak & ~ayn_weak, code[4])
+        .when(ayn_weak & lam_weak, code[5])
+        .when(ayn_weak, code[6])
+        .when(lam_weak, code[7])
+        .when(fa_weak, code[8])
+        .when(F.exists(cs, lambda c: c.isin(ALEF, ALEF_MAQSURA)), code[9])
         .otherwise("")
     )
     directive = F.when(residual == "", "ACCEPT").when(residual.startswith("block"), "BLOCK").otherwise("DEFER")
@@ -190,14 +198,22 @@ def tense(surface: Column) -> Column:
 
 
 def past_features(surface: Column) -> Column:
-    """``person, number, gender, voice`` of a past form by its ending, the longest first."""
-    bare = strip_marks(surface)
+    """``person, number, gender, voice`` of a past form: that of the longest ending it has.
+
+    The endings are those of ``ENDINGS``, with the mark before them; a word written
+    without that mark is told by the letters of its tail, if it has more than one letter
+    or a final alef. Where two forms share an ending the first listed is taken, and a form
+    without any is 3 SG M.
+    """
+    whole = [(mark + tail, True, p + n + g) for _, p, n, g, mark, tail in ENDINGS if tail]
+    bare = [(re.sub("[\u064b-\u0652]", "", tail), False, p + n + g) for _, p, n, g, _, tail in ENDINGS]
+    known: dict[tuple, str] = {}
+    for text, vocal, png in [*whole, *(x for x in bare if len(x[0]) > 1 or x[0] == ALEF)]:
+        known.setdefault((text, vocal), png)
+    table = F.array(*[F.struct(F.lit(text).alias("end"), F.lit(vocal).alias("vocal"), F.lit(png).alias("png")) for (text, vocal), png in sorted(known.items(), key=lambda x: (-len(re.sub("[\u064b-\u0652]", "", x[0][0])), not x[0][1], -len(x[0][0])))])
+    fits = F.filter(table, lambda e: F.when(e["vocal"], surface.endswith(e["end"])).otherwise(strip_marks(surface).endswith(e["end"])))
+    png = F.coalesce(F.get(fits, F.lit(0))["png"], F.lit("3SGM"))
     voice = F.when(surface.rlike(f"^.{DAMMA}.{KASRA}"), "PASSIVE").otherwise("ACTIVE")
-    png = (
-        F.when(surface.endswith("تُنَّ"), "2PLF").when(bare.endswith("تما"), "2DUM").when(bare.endswith("تم"), "2PLM").when(bare.endswith("نا"), "1PLM").when(bare.endswith("وا"), "3PLM")
-        .when(surface.endswith("ْنَ"), "3PLF").when(surface.endswith("تَا"), "3DUF").when(bare.endswith("ا") & ~bare.rlike("[ونت]ا$"), "3DUM")
-        .when(surface.endswith("تِ"), "2SGF").when(surface.endswith("تَ"), "2SGM").when(surface.endswith("تُ"), "1SGM").when(surface.endswith("تْ"), "3SGF").otherwise("3SGM")
-    )
     return F.struct(F.substring(png, 1, 1).alias("person"), F.substring(png, 2, 2).alias("number"), F.substring(png, 4, 1).alias("gender"), voice.alias("voice"))
 
 

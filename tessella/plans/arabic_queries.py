@@ -152,7 +152,7 @@ _CLASS = """CASE WHEN c2 = c3 AND c2 NOT IN ('و', 'ي', 'ا', 'ى') THEN 'GEMIN
   WHEN c2 = 'و' THEN 'HOLLOW_WAW' WHEN c2 = 'ي' THEN 'HOLLOW_YAA' WHEN c3 = 'و' THEN 'DEFECTIVE_WAW' WHEN c3 IN ('ي', 'ى') THEN 'DEFECTIVE_YAA' WHEN c1 = 'و' THEN 'ASSIMILATED_WAW' WHEN c1 = 'ي' THEN 'ASSIMILATED_YAA'
   WHEN c1 = 'ء' THEN 'HAMZATED_C1' WHEN c2 = 'ء' THEN 'HAMZATED_C2' WHEN c3 = 'ء' THEN 'HAMZATED_C3' ELSE 'SOUND' END"""
 _VERBS = f"""{values('v', 'root, c1, c2, c3, bab_id', [("".join(r), *r, b) for r, b in VERBS])}, {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, vk AS (SELECT v.*, pv, iv, {_CLASS} AS class FROM v LEFT JOIN k USING (bab_id))"""
-_ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix", [("PAST", None, *r[1:], None) for r in morphology.ENDINGS] + [("IMPERFECT", *r) for r in morphology.imperfect_endings()])
+_ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix", [("PAST", None, *r[1:], None) for r in morphology.ENDINGS] + [("IMPERFECT", *r) for r in morphology.IMPERFECT_ENDINGS])
 _L = f"string_split({_BARE.format(c=_HOST.format(c='surface'))}, '')"
 ORACLES = {
     "arabic_normal": f"WITH {_W} SELECT id, {_NORM.format(c='surface')} AS norm, {_HOST.format(c='surface')} AS host, {_BARE.format(c='surface')} AS bare, length({_BARE.format(c='surface')})::INT AS n, starts_with({_BARE.format(c='surface')}, 'ال') AS article FROM w",

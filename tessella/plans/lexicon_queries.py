@@ -61,11 +61,11 @@ def typed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as candidates: orders propose, finished ones close, suppliers list, balances certify."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
+    """Customers as candidates: orders propose, finished ones close, a segment lists, balances certify."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal", "c_mktsegment")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_totalprice")
     out = lexicon.evidence_chain(
-        customers.select("key"), "key", orders.select("key"), orders.where("o_totalprice > 400000").select("key"), customers.where("key % 3 = 0").select("key"), customers.where("c_acctbal > 0").select("key")
+        customers.select("key"), "key", orders.select("key"), orders.where("o_totalprice > 400000").select("key"), customers.where("c_mktsegment = 'BUILDING'").select("key"), customers.where("c_acctbal > 0").select("key")
     )
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -86,7 +86,7 @@ def ranked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [tiered_lookup, colliding_lookup, suffix_ways, chosen_segmentation, merged_entries, typed_lookup, evidence_outcomes, unique_proofs, form_consensus, ranked_rules]
 
-_W = r"""words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents) WHERE length(w) < 12),
+_W = r"""words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents)),
   entries AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS entry FROM benchmark)"""
 _TIERS = f"""{_W}, hits AS (SELECT word, 0 AS i, 'EXACT' AS tier, [entry] AS es FROM words JOIN entries ON entry = word
   UNION ALL SELECT word, 1, 'NORMALISED', list_sort(list(entry)) FROM words JOIN entries ON lower(entry) = lower(word) GROUP BY word
@@ -108,7 +108,7 @@ ORACLES = {
     "typed_lookup": """SELECT p_partkey, p_brand AS root, CASE WHEN p_partkey % 17 = 0 THEN 'INVALID' WHEN p_brand IN ('Brand#11', 'Brand#35') THEN 'FOUND_AUTO' WHEN p_brand = 'Brand#21' THEN 'FOUND_REVIEW'
         WHEN left(p_brand, 7) NOT IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'COVERAGE_GAP' ELSE 'NOT_FOUND' END AS result FROM part""",
     "evidence_outcomes": """SELECT CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'NOT_PROPOSED' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'CLOSED_FORM'
-        WHEN c_custkey % 3 <> 0 THEN 'NOT_IN_LEXICON' WHEN c_acctbal <= 0 THEN 'NOT_CERTIFIED' ELSE 'LICENSED' END AS outcome, count(*) AS n FROM customer GROUP BY 1""",
+        WHEN c_mktsegment <> 'BUILDING' THEN 'NOT_IN_LEXICON' WHEN c_acctbal <= 0 THEN 'NOT_CERTIFIED' ELSE 'LICENSED' END AS outcome, count(*) AS n FROM customer GROUP BY 1""",
     "unique_proofs": "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS value, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'LICENSED' ELSE 'AMBIGUOUS' END AS verdict FROM orders GROUP BY 1",
     "form_consensus": """SELECT l_orderkey, (l_linenumber % 3)::INT AS position, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS value, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN 'ACCEPT' ELSE 'DEFER' END AS verdict
         FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2""",

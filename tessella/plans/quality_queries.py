@@ -44,19 +44,19 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored, against what their lines say; differences of urgent orders are declared."""
     old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    new = old.where("o_orderkey % 50 <> 7").select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 31 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 37 != 0, F.col("o_orderpriority")).alias("o_orderpriority")
-    )
-    declared = old.where("o_orderkey % 62 = 0").select("o_orderkey", F.lit("o_orderstatus").alias("field"))
+    done = F.count_if(F.col("l_linestatus") == "F")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(done == F.count(F.lit(1)), "F").when(done == 0, "O").otherwise("P").alias("o_orderstatus"))
+    new = lines.join(old.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    declared = old.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("o_orderstatus").alias("field"))
     return quality.snapshot_diff(old, new, "o_orderkey", ["o_orderstatus", "o_orderpriority"], declared)
 
 
 def check_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.when(F.col("doc_id") % 2 == 0, F.col("toxic")).alias("toxic"))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3")
+    docs = table(spark, sf_dir, "documents")
     guess = docs.select("doc_id", (F.col("n_chars") > 400).cast("int").alias("quality"), F.lower("text").contains("idiot").cast("int").alias("toxic"))
-    return quality.check_gold(guess, labels, "doc_id", ["quality", "toxic"])
+    return quality.check_gold(guess, table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
 
 
 def outcome_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +100,14 @@ ORACLES = {
         firsts AS (SELECT rule, string_agg(k, ',' ORDER BY k) AS f FROM (SELECT DISTINCT rule, k, dense_rank() OVER (PARTITION BY rule ORDER BY k) AS r FROM broken) WHERE r <= 25 GROUP BY rule)
         SELECT r.rule, coalesce(n, 0) AS n, coalesce(f, '') AS first_offenders FROM (VALUES ('discount_over_8'), ('returned_open'), ('no_quantity'), ('late_line')) r(rule)
         LEFT JOIN (SELECT rule, count(*) AS n FROM broken GROUP BY rule) c USING (rule) LEFT JOIN firsts USING (rule)""",
-    "snapshot_diff": """WITH new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 37 <> 0 THEN o_orderpriority END AS p FROM orders WHERE o_orderkey % 50 <> 7),
-        pair AS (SELECT o.o_orderkey, 'o_orderstatus' AS field, o.o_orderstatus AS "old", n.s AS "new" FROM orders o LEFT JOIN new n USING (o_orderkey)
-                 UNION ALL SELECT o.o_orderkey, 'o_orderpriority', o.o_orderpriority, n.p FROM orders o LEFT JOIN new n USING (o_orderkey))
-        SELECT * FROM pair WHERE "old" IS DISTINCT FROM "new" AND NOT (field = 'o_orderstatus' AND o_orderkey % 62 = 0)""",
-    "check_gold": """WITH g AS (SELECT doc_id, quality, CASE WHEN doc_id % 2 = 0 THEN toxic END AS toxic FROM labels),
-        d AS (SELECT doc_id, (n_chars > 400)::INT AS quality, contains(lower(text), 'idiot')::INT AS toxic FROM documents WHERE doc_id % 10 <> 3)
-        SELECT 'quality' AS field, count(*) AS checked, count(*) FILTER (d.quality IS DISTINCT FROM g.quality) AS wrong FROM g LEFT JOIN d USING (doc_id) WHERE g.quality IS NOT NULL
-        UNION ALL SELECT 'toxic', count(*), count(*) FILTER (d.toxic IS DISTINCT FROM g.toxic) FROM g LEFT JOIN d USING (doc_id) WHERE g.toxic IS NOT NULL""",
+    "snapshot_diff": """WITH l AS (SELECT l_orderkey AS o_orderkey, CASE count(*) FILTER (l_linestatus = 'F') WHEN count(*) THEN 'F' WHEN 0 THEN 'O' ELSE 'P' END AS s FROM lineitem GROUP BY 1),
+        new AS (SELECT o_orderkey, s, o_orderpriority AS p FROM l JOIN orders USING (o_orderkey)),
+        pair AS (SELECT o.o_orderkey, 'o_orderstatus' AS field, o.o_orderstatus AS "old", n.s AS "new", o.o_orderpriority = '1-URGENT' AS declared FROM orders o LEFT JOIN new n USING (o_orderkey)
+                 UNION ALL SELECT o.o_orderkey, 'o_orderpriority', o.o_orderpriority, n.p, false FROM orders o LEFT JOIN new n USING (o_orderkey))
+        SELECT o_orderkey, field, "old", "new" FROM pair WHERE "old" IS DISTINCT FROM "new" AND NOT declared""",
+    "check_gold": """WITH d AS (SELECT doc_id, (n_chars > 400)::INT AS quality, contains(lower(text), 'idiot')::INT AS toxic FROM documents)
+        SELECT 'quality' AS field, count(*) AS checked, count(*) FILTER (d.quality IS DISTINCT FROM g.quality) AS wrong FROM labels g LEFT JOIN d USING (doc_id) WHERE g.quality IS NOT NULL
+        UNION ALL SELECT 'toxic', count(*), count(*) FILTER (d.toxic IS DISTINCT FROM g.toxic) FROM labels g LEFT JOIN d USING (doc_id) WHERE g.toxic IS NOT NULL""",
     "outcome_histogram": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL",
     "not_measured": "SELECT DISTINCT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events GROUP BY event_type",

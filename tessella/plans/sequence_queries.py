@@ -131,8 +131,10 @@ ORACLES = {
         JOIN sc ON sc.seq = t.seq AND pos > scope_start AND pos <= scope_end WHERE length(surface) > 3 GROUP BY ALL HAVING count(*) >= 2""",
     "sentence_geometry": f"WITH {_NUMBERED} SELECT seq, string_agg(DISTINCT clause::INT, ',' ORDER BY clause::INT) AS clauses, CASE WHEN count(DISTINCT clause) >= 2 THEN 'COMPOUND' ELSE 'SIMPLE' END AS kind FROM numbered GROUP BY seq",
     "opened_after_stop": "SELECT user_id, event_id, event_type FROM events e WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_id < e.event_id AND x.event_type = 'error')",
-    "guarded_writes": """WITH l AS (SELECT user_id, event_id, event_type, floor(value)::BIGINT AS v FROM events),
-        b AS (SELECT *, max(v) OVER p AS top, coalesce(max((event_type = 'error')::INT) OVER p, 0) AS ended, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS same FROM l
-              WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-        SELECT user_id, event_id, event_type, v, CASE WHEN top IS NOT NULL AND v IS NOT DISTINCT FROM same THEN 'IDEMPOTENT' WHEN ended = 1 THEN 'TERMINAL' WHEN v < top THEN 'DOWNGRADE' ELSE 'WRITTEN' END AS outcome FROM b""",
+    "guarded_writes": """WITH RECURSIVE l AS (SELECT user_id, event_id, event_type, floor(value)::BIGINT AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+        f AS (SELECT user_id, event_id, event_type, v, i, 'WRITTEN' AS outcome, v AS held, event_type AS was FROM l WHERE i = 1
+          UNION ALL SELECT user_id, event_id, event_type, v, i, outcome, CASE outcome WHEN 'WRITTEN' THEN v ELSE held END, CASE outcome WHEN 'WRITTEN' THEN event_type ELSE was END
+          FROM (SELECT l.*, held, was, CASE WHEN l.v IS NOT DISTINCT FROM held THEN 'IDEMPOTENT' WHEN was = 'error' THEN 'TERMINAL' WHEN l.v < held THEN 'DOWNGRADE' ELSE 'WRITTEN' END AS outcome
+                FROM f JOIN l ON l.user_id = f.user_id AND l.i = f.i + 1))
+        SELECT user_id, event_id, event_type, v, outcome FROM f""",
 }

@@ -210,6 +210,15 @@ def test_readers_and_sinks_round_trip(spark, tmp_path):
     assert readers.drifted(found, found.withColumn("sha256", F.lit("0"))).collect()[0]["problem"] == "DRIFTED"
 
 
+def test_writes_that_are_refused_change_nothing(spark):
+    writes = [(5.0, "a"), (3.0, "a"), (3.0, "a"), (2.0, "end"), (9.0, "a"), (9.0, "b"), (None, "a"), (9.5, "end"), (10.0, "a"), (9.5, "a")]
+    log = spark.createDataFrame([("u", i, v, s, i != 8) for i, (v, s) in enumerate(writes)], "field string, at long, v double, s string, own boolean")
+    judge = lambda **kw: [r["outcome"] for r in ledger.guarded_writes(log, "field", "at", "v", "s", ["end"], F.col("v"), **kw).orderBy("at").collect()]
+    assert judge() == ["WRITTEN", "DOWNGRADE", "DOWNGRADE", "DOWNGRADE", "WRITTEN", "IDEMPOTENT", "DOWNGRADE", "WRITTEN", "TERMINAL", "IDEMPOTENT"]
+    assert judge(allowed=F.col("own"))[8] == "NON_OWNER"
+    assert judge(filled="a") == ["WRITTEN", "VALUE_CHANGE", "VALUE_CHANGE", "DOWNGRADE", "VALUE_CHANGE", "WRITTEN", "DOWNGRADE", "WRITTEN", "TERMINAL", "IDEMPOTENT"]
+
+
 def test_write_guard_stream_equals_batch(spark, tmp_path):
     from tessella.streaming import stateful
 

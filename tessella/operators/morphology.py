@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.arabic import ALEF, ALEF_MAQSURA, DAMMA, FATHA, HAMZA, KASRA, SUKUN, WAW, YEH, letters, normalize_host, strip_marks
+from tessella.functions.arabic import ALEF, ALEF_MAQSURA, DAMMA, FATHA, HAMZA, KASRA, SHADDA, SUKUN, WAW, YEH, letters, normalize_host, strip_marks
 
 #: Vowel on the second radical in the past and the imperfect, by verb class.
 CLASS_VOWELS = [
@@ -42,41 +42,113 @@ IMPERFECT_ENDINGS = [
 ]
 
 
+#: Stems by root class, tense, voice and form. 1, 2 and 3 are the radicals, p and i
+#: the class's vowels, P the prefix, m and t mark and tail of the ending table. A form is
+#: named by person, number and gender, or by its shape: V and C in the past (a vowel or a
+#: consonant follows the third radical), PLAIN, 2SGF, DU, PLM, PLF in the imperfect, with or
+#: without the mood; ALL is the rest.
+STEMS = [
+    ("SOUND", "PAST", "ACTIVE", "ALL", "1َ2p3mt"), ("SOUND", "PAST", "PASSIVE", "ALL", "1ُ2ِ3mt"),
+    ("SOUND", "IMPERFECT", "ACTIVE", "ALL", "Pَ1ْ2i3mt"), ("SOUND", "IMPERFECT", "PASSIVE", "ALL", "Pُ1ْ2َ3mt"),
+    ("ASSIMILATED_WAW", "PAST", "ACTIVE", "ALL", "1َ2p3mt"), ("ASSIMILATED_WAW", "PAST", "PASSIVE", "ALL", "1ُ2ِ3mt"),
+    ("ASSIMILATED_WAW", "IMPERFECT", "ACTIVE", "ALL", "Pَ2i3mt"), ("ASSIMILATED_WAW", "IMPERFECT", "PASSIVE", "ALL", "Pُو2َ3mt"),
+    ("HOLLOW_WAW", "PAST", "ACTIVE", "V", "1َا3mt"), ("HOLLOW_WAW", "PAST", "ACTIVE", "C", "1ُ3mt"),
+    ("HOLLOW_WAW", "IMPERFECT", "ACTIVE", "PLAIN_JUSSIVE", "Pَ1ُ3mt"), ("HOLLOW_WAW", "IMPERFECT", "ACTIVE", "PLF", "Pَ1ُ3mt"), ("HOLLOW_WAW", "IMPERFECT", "ACTIVE", "ALL", "Pَ1ُو3mt"),
+    ("HOLLOW_YAA", "PAST", "ACTIVE", "V", "1َا3mt"), ("HOLLOW_YAA", "PAST", "ACTIVE", "C", "1ِ3mt"),
+    ("HOLLOW_YAA", "IMPERFECT", "ACTIVE", "PLAIN_JUSSIVE", "Pَ1ِ3mt"), ("HOLLOW_YAA", "IMPERFECT", "ACTIVE", "PLF", "Pَ1ِ3mt"), ("HOLLOW_YAA", "IMPERFECT", "ACTIVE", "ALL", "Pَ1ِي3mt"),
+    ("DEFECTIVE_WAW", "PAST", "ACTIVE", "3SGM", "1َ2َا"), ("DEFECTIVE_WAW", "PAST", "ACTIVE", "3SGF", "1َ2َتْ"), ("DEFECTIVE_WAW", "PAST", "ACTIVE", "3DUF", "1َ2َتَا"),
+    ("DEFECTIVE_WAW", "PAST", "ACTIVE", "3PLM", "1َ2َوْا"), ("DEFECTIVE_WAW", "PAST", "ACTIVE", "ALL", "1َ2َوmt"),
+    ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "PLAIN_INDICATIVE", "Pَ1ْ2ُو"), ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "PLAIN_SUBJUNCTIVE", "Pَ1ْ2ُوَ"), ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "PLAIN_JUSSIVE", "Pَ1ْ2ُ"),
+    ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "2SGF", "Pَ1ْ2ِt"), ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "DU", "Pَ1ْ2ُوَt"), ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "PLM", "Pَ1ْ2ُt"), ("DEFECTIVE_WAW", "IMPERFECT", "ACTIVE", "PLF", "Pَ1ْ2ُوt"),
+    ("DEFECTIVE_YAA", "PAST", "ACTIVE", "3SGM", "1َ2َى"), ("DEFECTIVE_YAA", "PAST", "ACTIVE", "3SGF", "1َ2َتْ"), ("DEFECTIVE_YAA", "PAST", "ACTIVE", "3DUF", "1َ2َتَا"),
+    ("DEFECTIVE_YAA", "PAST", "ACTIVE", "3PLM", "1َ2َوْا"), ("DEFECTIVE_YAA", "PAST", "ACTIVE", "ALL", "1َ2َيmt"),
+    ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "PLAIN_INDICATIVE", "Pَ1ْ2ِي"), ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "PLAIN_SUBJUNCTIVE", "Pَ1ْ2ِيَ"), ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "PLAIN_JUSSIVE", "Pَ1ْ2ِ"),
+    ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "2SGF", "Pَ1ْ2ِt"), ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "DU", "Pَ1ْ2ِيَt"), ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "PLM", "Pَ1ْ2ُt"), ("DEFECTIVE_YAA", "IMPERFECT", "ACTIVE", "PLF", "Pَ1ْ2ِيt"),
+    ("GEMINATED", "PAST", "ACTIVE", "V", "1َ2mّt"), ("GEMINATED", "PAST", "ACTIVE", "C", "1َ2p3mt"), ("GEMINATED", "PAST", "PASSIVE", "3SGM", "1ُ2mّt"),
+    ("GEMINATED", "IMPERFECT", "ACTIVE", "PLAIN_JUSSIVE", "Pَ1i2َّ"), ("GEMINATED", "IMPERFECT", "ACTIVE", "PLF", "Pَ1ْ2i3mt"), ("GEMINATED", "IMPERFECT", "ACTIVE", "ALL", "Pَ1i2mّt"),
+]
+#: Second person masculine singular of the imperative; W is the silent alef with the vowel that fits.
+IMPERATIVES = [
+    ("SOUND", "W1ْ2i3ْ"), ("ASSIMILATED_WAW", "2i3ْ"), ("HOLLOW_WAW", "1ُ3ْ"), ("HOLLOW_YAA", "1ِ3ْ"),
+    ("DEFECTIVE_WAW", "اُ1ْ2ُ"), ("DEFECTIVE_YAA", "اِ1ْ2ِ"), ("GEMINATED", "1i2َّ"),
+]
+#: The vowels for which these stems hold, past and imperfect; other verbs of the class are left open.
+STEM_VOWELS = {"DEFECTIVE_WAW": (FATHA, DAMMA), "DEFECTIVE_YAA": (FATHA, KASRA)}
+
+
+def _shape(tense: str, mood: str | None, person: str, number: str, gender: str, mark: str, tail: str) -> list[str]:
+    """Names of a form in the stem table, the most special first."""
+    if tense == "PAST":
+        return [person + number + gender, "C" if mark == SUKUN else "V", "ALL"]
+    kind = "PLAIN" if not tail else number if number == "DU" else "2SGF" if number == "SG" else number + gender
+    return [f"{kind}_{mood}", kind, "ALL"]
+
+
 def _forms() -> list[tuple]:
-    """``tense, mood, person, number, gender, mark, tail, prefix``: 64 in all."""
-    return [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS] + [("IMPERFECT", *row) for row in IMPERFECT_ENDINGS]
+    """``tense, mood, person, number, gender, mark, tail, prefix, special, kind, rest``: 64 in all."""
+    rows = [("PAST", None, *row[1:4], *row[4:], None) for row in ENDINGS] + [("IMPERFECT", *row) for row in IMPERFECT_ENDINGS]
+    return [(*row, *_shape(*row[:7])) for row in rows]
 
 
 def endings(spark: SparkSession) -> DataFrame:
     """The same as a table."""
-    return spark.createDataFrame(_forms(), "tense string, mood string, person string, number string, gender string, mark string, tail string, prefix string")
+    return spark.createDataFrame(_forms(), "tense string, mood string, person string, number string, gender string, mark string, tail string, prefix string, special string, kind string, rest string")
+
+
+def stem_class(root: Column) -> Column:
+    """The class whose stems a root takes: hamzated roots those of sound ones."""
+    kind = root_class(root)
+    return F.when(kind.startswith("HAMZATED"), "SOUND").otherwise(kind)
+
+
+def fill_stem(template: Column, root: Column, past: Column, imperfect: Column, prefix: Column, mark: Column, tail: Column) -> Column:
+    """A stem with its radicals, vowels and affixes in their places."""
+    out = template
+    for place, value in zip("123piPmt", (root[0], root[1], root[2], past, imperfect, prefix, mark, tail), strict=True):
+        out = F.replace(out, F.lit(place), F.coalesce(value, F.lit("")))
+    return out
+
+
+def seat_hamza(c: Column) -> Column:
+    """Bare hamzas on their seats by the vowels around them; before a sukun or at the end they stay bare."""
+    c = F.regexp_replace(c, f"({KASRA}{SHADDA}?){HAMZA}([{FATHA}{DAMMA}])", "$1ئ$2")
+    c = F.regexp_replace(F.regexp_replace(c, f"{HAMZA}([{FATHA}{DAMMA}])", "أ$1"), f"{HAMZA}{KASRA}", f"ئ{KASRA}")
+    return F.regexp_replace(c, f"{HAMZA}([^{SUKUN}])", "أ$1")
 
 
 def conjugate(verbs: DataFrame, voices: list[str] = ("ACTIVE", "PASSIVE")) -> DataFrame:
-    """All forms of sound verbs: ``verbs(root array<string>, bab_id)`` joined with the ending table.
+    """All forms of bare verbs: ``verbs(root array<string>, bab_id)`` with the fixed tables of stems and endings.
 
-    ``surface`` is null, and ``status`` DEFER, for a root that is not sound, a class that is
-    not bare or unknown.
+    ``surface`` is null, and ``status`` DEFER, where the tables have no stem: doubly weak
+    roots and those that begin with ya, unknown or augmented classes, passives of hollow and
+    defective verbs, defective verbs of other vowels than ``STEM_VOWELS``. Forms of weak roots
+    are the grammar's own, also where the surveyed generator joins stem and ending
+    without contraction.
     """
     classes = verbs.sparkSession.createDataFrame(CLASS_VOWELS, "bab_id string, past_vowel string, imperfect_vowel string")
-    rows = verbs.join(F.broadcast(classes), "bab_id", "left")
+    rows = verbs.join(F.broadcast(classes), "bab_id", "left").withColumn("stem", stem_class(F.col("root")))
     # every verb has every form: the fixed table is spread as an array, not joined
-    names = ["tense", "mood", "person", "number", "gender", "mark", "tail", "prefix", "voice"]
+    names = ["tense", "mood", "person", "number", "gender", "mark", "tail", "prefix", "special", "kind", "rest", "voice"]
     quoted = lambda v: "cast(null as string)" if v is None else f"'{v}'"
     forms = [f"named_struct({', '.join(f'{quoted(n)}, {quoted(v)}' for n, v in zip(names, (*form, voice), strict=True))})" for form in _forms() for voice in voices]
     rows = rows.select("*", F.explode(F.expr(f"array({', '.join(forms)})")).alias("e")).select(*rows.columns, "e.*")
-    c1, c2, c3 = (F.col("root")[i] for i in range(3))
-    active = F.col("voice") == "ACTIVE"
-    past = F.concat(c1, F.when(active, FATHA).otherwise(DAMMA), c2, F.when(active, F.col("past_vowel")).otherwise(KASRA), c3, F.col("mark"), F.col("tail"))
-    present = F.concat(F.col("prefix"), F.when(active, FATHA).otherwise(DAMMA), c1, F.lit(SUKUN), c2, F.when(active, F.col("imperfect_vowel")).otherwise(FATHA), c3, F.col("mark"), F.col("tail"))
-    sound = (root_class(F.col("root")) == "SOUND") & F.col("past_vowel").isNotNull()
-    surface = F.when(sound, F.when(F.col("tense") == "PAST", past).otherwise(present))
+    stems = F.create_map(*[F.lit(x) for *key, template in STEMS for x in ("|".join(key), template)])
+    of = lambda name: F.try_element_at(stems, F.concat_ws("|", "stem", "tense", "voice", name))
+    fits = F.col("past_vowel").isNotNull()
+    for kind, (past, imperfect) in STEM_VOWELS.items():
+        fits = fits & ((F.col("stem") != kind) | ((F.col("past_vowel") == past) & (F.col("imperfect_vowel") == imperfect)))
+    rows = rows.withColumn("template", F.when(fits, F.coalesce(of("special"), of("kind"), of("rest"))))
+    surface = seat_hamza(fill_stem(F.col("template"), F.col("root"), F.col("past_vowel"), F.col("imperfect_vowel"), F.col("prefix"), F.col("mark"), F.col("tail")))
     return rows.select("root", "bab_id", "tense", "mood", "voice", "person", "number", "gender", surface.alias("surface"), F.when(surface.isNotNull(), "HIGH").otherwise("DEFER").alias("status"))
 
 
 def imperative(root: Column, vowel: Column) -> Column:
-    """Second person masculine singular of a sound verb, from the imperfect's vowel."""
-    return F.concat(F.lit(ALEF), F.when(vowel == DAMMA, DAMMA).otherwise(KASRA), root[0], F.lit(SUKUN), root[1], vowel, root[2], F.lit(SUKUN))
+    """Second person masculine singular, from the imperfect's vowel; null where no stem is known."""
+    stems = F.create_map(*[F.lit(x) for row in IMPERATIVES for x in row])
+    silent = F.concat(F.lit(ALEF), F.when(vowel == DAMMA, DAMMA).otherwise(KASRA))
+    template = F.replace(F.try_element_at(stems, stem_class(root)), F.lit("W"), silent)
+    none = F.lit("")
+    return seat_hamza(fill_stem(template, root, none, vowel, none, none, none))
 
 
 def root_class(root: Column) -> Column:

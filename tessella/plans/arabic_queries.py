@@ -74,7 +74,7 @@ def verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def imperatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vowels = rows(spark, "bab_id string, past string, vowel string", morphology.CLASS_VOWELS)
-    verbs = rows(spark, "root array<string>, bab_id string", [(list(r), b) for r, b in VERBS]).join(F.broadcast(vowels), "bab_id").where(morphology.root_class(F.col("root")) == "SOUND")
+    verbs = rows(spark, "root array<string>, bab_id string", [(list(r), b) for r, b in VERBS]).join(F.broadcast(vowels), "bab_id")
     return verbs.select(F.concat_ws("", "root").alias("root"), "bab_id", morphology.imperative(F.col("root"), F.col("vowel")).alias("surface"))
 
 
@@ -152,7 +152,9 @@ _CLASS = """CASE WHEN c2 = c3 AND c2 NOT IN ('و', 'ي', 'ا', 'ى') THEN 'GEMIN
   WHEN c2 = 'و' THEN 'HOLLOW_WAW' WHEN c2 = 'ي' THEN 'HOLLOW_YAA' WHEN c3 = 'و' THEN 'DEFECTIVE_WAW' WHEN c3 IN ('ي', 'ى') THEN 'DEFECTIVE_YAA' WHEN c1 = 'و' THEN 'ASSIMILATED_WAW' WHEN c1 = 'ي' THEN 'ASSIMILATED_YAA'
   WHEN c1 = 'ء' THEN 'HAMZATED_C1' WHEN c2 = 'ء' THEN 'HAMZATED_C2' WHEN c3 = 'ء' THEN 'HAMZATED_C3' ELSE 'SOUND' END"""
 _VERBS = f"""{values('v', 'root, c1, c2, c3, bab_id', [("".join(r), *r, b) for r, b in VERBS])}, {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, vk AS (SELECT v.*, pv, iv, {_CLASS} AS class FROM v LEFT JOIN k USING (bab_id))"""
-_ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix", [("PAST", None, *r[1:], None) for r in morphology.ENDINGS] + [("IMPERFECT", *r) for r in morphology.IMPERFECT_ENDINGS])
+_ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix, special, kind, rest", morphology._forms())
+_FILL = "replace(replace(replace(replace(replace(replace(replace(replace(template, '1', c1), '2', c2), '3', c3), 'p', coalesce(pv, '')), 'i', coalesce(iv, '')), 'P', coalesce(prefix, '')), 'm', mark), 't', tail)"
+_SEATS = "regexp_replace(replace(regexp_replace(regexp_replace({c}, '(ِّ?)ء([َُ])', '\\1ئ\\2', 'g'), 'ء([َُ])', 'أ\\1', 'g'), 'ءِ', 'ئِ'), 'ء([^ْ])', 'أ\\1', 'g')"
 _L = f"string_split({_BARE.format(c=_HOST.format(c='surface'))}, '')"
 ORACLES = {
     "arabic_normal": f"WITH {_W} SELECT id, {_NORM.format(c='surface')} AS norm, {_HOST.format(c='surface')} AS host, {_BARE.format(c='surface')} AS bare, length({_BARE.format(c='surface')})::INT AS n, starts_with({_BARE.format(c='surface')}, 'ال') AS article FROM w",
@@ -175,11 +177,17 @@ ORACLES = {
           WHEN f THEN 'defer:root:assimilated_fa_unresolved' WHEN list_contains(c, 'ا') OR list_contains(c, 'ى') THEN 'defer:root:prohibited_or_ambiguous_radical' ELSE '' END AS residual FROM n)
         SELECT id, CASE WHEN residual = '' THEN 'ACCEPT' WHEN residual LIKE 'block%' THEN 'BLOCK' ELSE 'DEFER' END AS directive, CASE WHEN residual = '' THEN array_to_string(c, '') END AS root, residual FROM r""",
     "root_classes": f"WITH {_ROOTV} SELECT root, {_CLASS} AS class FROM r",
-    "verb_forms": f"""WITH {_VERBS}, {_ENDINGS}, vo AS (SELECT unnest(['ACTIVE', 'PASSIVE']) AS voice),
-        x AS (SELECT root, bab_id, tense, mood, voice, person, number, gender, CASE WHEN class <> 'SOUND' OR pv IS NULL THEN NULL WHEN tense = 'PAST' THEN c1 || CASE voice WHEN 'ACTIVE' THEN 'َ' ELSE 'ُ' END || c2 || CASE voice WHEN 'ACTIVE' THEN pv ELSE 'ِ' END || c3 || mark || tail
-          ELSE prefix || CASE voice WHEN 'ACTIVE' THEN 'َ' ELSE 'ُ' END || c1 || 'ْ' || c2 || CASE voice WHEN 'ACTIVE' THEN iv ELSE 'َ' END || c3 || mark || tail END AS surface FROM vk, e, vo)
-        SELECT *, CASE WHEN surface IS NULL THEN 'DEFER' ELSE 'HIGH' END AS status FROM x""",
-    "imperatives": f"WITH {_VERBS} SELECT root, bab_id, 'ا' || CASE iv WHEN 'ُ' THEN 'ُ' ELSE 'ِ' END || c1 || 'ْ' || c2 || iv || c3 || 'ْ' AS surface FROM vk WHERE class = 'SOUND' AND iv IS NOT NULL",
+    "verb_forms": f"""WITH {_VERBS}, {_ENDINGS}, vo AS (SELECT unnest(['ACTIVE', 'PASSIVE']) AS voice), {values("st", "stem, tense, voice, key, template", morphology.STEMS)},
+        x AS (SELECT vk.*, CASE WHEN class LIKE 'HAMZATED%' THEN 'SOUND' ELSE class END AS stem, e.*, voice FROM vk, e, vo),
+        y AS (SELECT x.*, CASE WHEN pv IS NULL OR (x.stem = 'DEFECTIVE_WAW' AND NOT (pv = 'َ' AND iv = 'ُ')) OR (x.stem = 'DEFECTIVE_YAA' AND NOT (pv = 'َ' AND iv = 'ِ')) THEN NULL ELSE coalesce(a.template, b.template, c.template) END AS template FROM x
+          LEFT JOIN st a ON a.stem = x.stem AND a.tense = x.tense AND a.voice = x.voice AND a.key = x.special LEFT JOIN st b ON b.stem = x.stem AND b.tense = x.tense AND b.voice = x.voice AND b.key = x.kind
+          LEFT JOIN st c ON c.stem = x.stem AND c.tense = x.tense AND c.voice = x.voice AND c.key = x.rest),
+        z AS (SELECT *, {_SEATS.format(c=_FILL)} AS surface FROM y)
+        SELECT root, bab_id, tense, mood, voice, person, number, gender, surface, CASE WHEN surface IS NULL THEN 'DEFER' ELSE 'HIGH' END AS status FROM z""",
+    "imperatives": f"""WITH {_VERBS}, {values("st", "stem, template", morphology.IMPERATIVES)},
+        y AS (SELECT root, bab_id, c1, c2, c3, iv, replace(template, 'W', CASE iv WHEN 'ُ' THEN 'اُ' ELSE 'اِ' END) AS template, '' AS pv, '' AS prefix, '' AS mark, '' AS tail
+              FROM vk LEFT JOIN st ON stem = CASE WHEN class LIKE 'HAMZATED%' THEN 'SOUND' ELSE class END WHERE iv IS NOT NULL)
+        SELECT root, bab_id, {_SEATS.format(c=_FILL)} AS surface FROM y""",
     "aligned_patterns": f"WITH {_ALIGN} SELECT * FROM al WHERE ending IS NOT NULL",
     "decided_patterns": f"""WITH {_ALIGN}, d AS (SELECT word_id, count(*) FILTER (ending IN ('clean', 'inflectional')) AS n, string_agg(wazn_id, ',' ORDER BY evidence_rank, wazn_id) AS candidates FROM al WHERE ending IS NOT NULL GROUP BY word_id)
         SELECT word_id, CASE WHEN n = 1 THEN 'ACCEPT' WHEN n IS NOT NULL THEN 'DEFER' ELSE 'BLOCK' END AS verdict, coalesce(candidates, '') AS candidates FROM w LEFT JOIN d USING (word_id)""",

@@ -71,7 +71,7 @@ def word_class() -> Column:
 def nominal_number() -> Column:
     """SG, DU or PL. "2" is a dual only where no person is given; other digits may be a person."""
     raw = F.trim(F.upper(F.col("number")))
-    raw = F.when((raw == "2") & F.col("person").isNull(), "DU").when((raw == "DUAL") & F.col("person").isNotNull(), "DUAL").otherwise(raw)
+    raw = F.when((raw == "2") & F.col("person").isNull(), "DU").otherwise(raw)
     f, digits = _feature("number", raw), raw.rlike("^[0-9]+$") & ~raw.isin("1", "3")
     return (
         F.when(F.col("number").isNull(), _made("CAP_NOMINAL_NUMBER", "NOT_APPLICABLE", residual="NUMBER_NOT_IN_MORPHOSYNTAX"))

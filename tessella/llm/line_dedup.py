@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,34 +95,49 @@ def _bitmap(keys: Column, odd: bool = False) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(63).cast("int"))))
 
 
+def _place(df: DataFrame) -> list[str]:
+    """Columns of a line's place, which also order lines."""
+    return [*_document(df), "line_no"]
+
+
 def _postings(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
-    """``n, bits, odd, at, i, key``: a row for each word of the prefix of each distinct text.
+    """``doc, [tie,] line_no, bits, odd, size, key``: a row for each word of the prefix of each distinct text.
 
-    ``at`` is the text's first place. Two sets of at least this similarity share one of the
-    first n - ceil(similar * n) + 1 of their words in any common order. Texts are told apart
+    The place is the text's first; ``size`` holds the number of words, and in its lower half
+    the word's position. Two sets of at least this similarity share one of the first
+    n - ceil(similar * n) + 1 of their words in any common order. Texts are told apart
     by a hash, their number of words and their parities; copies are combined before the
-    shuffle, and no text is shuffled.
+    shuffle, and no text is shuffled. Rows are flat and narrow, since there are many.
     """
-    rows = lines.select(F.struct(*_document(lines), "line_no").alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
+    rows = lines.select(F.struct(*_place(lines)).alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
     odd = F.when(n > LONG, _bitmap(F.col("keys"), odd=True)).otherwise(F.lit(0).cast("long"))
     rows = rows.select("at", "text", n.alias("n"), _bitmap(F.col("keys")).alias("bits"), odd.alias("odd"), prefix.alias("prefix"))
     once = rows.groupBy("text", "n", "bits", "odd").agg(F.min("at").alias("at"), F.min("prefix").alias("prefix"))
-    return once.select("n", "bits", "odd", "at", F.posexplode("prefix").alias("i", "key"))
+    spread = once.select("at", "n", "bits", "odd", F.posexplode("prefix").alias("i", "key"))
+    return spread.select("at.*", "bits", "odd", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("size"), "key")
+
+
+def _n(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.size"), 32).cast("int")
+
+
+def _i(side: str) -> Column:
+    return F.col(f"{side}.size").bitwiseAND(0xFFFFFFFF).cast("int")
 
 
 def _differ() -> Column:
     """The least number of words that only one of two lines has: 128 buckets if both are long."""
     every, odd = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "odd"))
-    return F.when((F.col("a.n") > LONG) & (F.col("b.n") > LONG), F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
+    return F.when((_n("a") > LONG) & (_n("b") > LONG), F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
 
 
 def _may_match(similar: float) -> Column:
     """Length, positional and bitmap filters on two postings, a and b, of one word."""
-    n_a, n_b = F.col("a.n"), F.col("b.n")
+    n_a, n_b = _n("a"), _n("b")
     need = F.lit(similar / (1 + similar)) * (n_a + n_b) - F.lit(1e-9)
-    most = F.least(n_a - F.col("a.i"), n_b - F.col("b.i"))
+    most = F.least(n_a - _i("a"), n_b - _i("b"))
     return (F.least(n_a, n_b) >= F.lit(similar) * F.greatest(n_a, n_b) - F.lit(1e-9)) & (most >= need) & ((n_a + n_b - _differ()) / 2 >= need)
 
 
@@ -134,7 +149,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return both.where(F.lit(1 + similar) * shared >= F.lit(similar) * (F.size("wx") + F.size("wy")) - F.lit(1e-9)).select("x").distinct()
 
 
-def _place(at: Column) -> Column:
+def _spot(at: Column) -> Column:
     return F.pmod(F.xxhash64(at), F.lit(MATCH_BITS))
 
 
@@ -142,7 +157,7 @@ def _bit_set(places: DataFrame) -> list[int]:
     """Bits of the hashes of the places, of fixed size: a set with false positives only."""
     one = F.lit(1).cast("long")
     bit = F.call_function("shiftleft", one, F.col("p").bitwiseAND(31).cast("int"))
-    found = places.select(_place(F.col("at")).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = places.select(_spot(F.col("at")).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     out = [0] * (MATCH_BITS >> 5)
     for word, bits in found.collect():
         out[word] = bits
@@ -151,8 +166,8 @@ def _bit_set(places: DataFrame) -> list[int]:
 
 def _in_set(members: list[int], at: Column) -> Column:
     """Whether a place may be in the set."""
-    word = F.get(_numbers(members, "bigint"), F.shiftright(_place(at), 5).cast("int"))
-    return F.getbit(word, _place(at).bitwiseAND(31).cast("int")) == 1
+    word = F.get(_numbers(members, "bigint"), F.shiftright(_spot(at), 5).cast("int"))
+    return F.getbit(word, _spot(at).bitwiseAND(31).cast("int")) == 1
 
 
 def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -171,13 +186,15 @@ def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     postings = _postings(lines, _rarity(rows), similar)
     earlier = F.col("b.at") < F.col("a.at")
     a, b = postings.alias("a"), postings.alias("b")
-    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & (F.col("a.at") != F.col("b.at")), "left_semi"))
+    place = _place(lines)
+    other = reduce(or_, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place])
+    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & other, "left_semi")).withColumn("at", F.struct(*place))
     held = _in_set(_bit_set(hits.select("at")), F.col("at"))
     folder = shared_folder(spark, "line_texts")
-    lines.select(F.struct(*_document(lines), "line_no").alias("at"), "line").where(held).write.parquet(folder)
+    lines.select(F.struct(*place).alias("at"), "line").where(held).write.parquet(folder)
     texts = spark.read.parquet(folder)
 
-    first = hits.groupBy("key").agg(F.min(F.struct("at", "n", "i", "bits", "odd")).alias("f")).select("key", "f.*")
+    first = hits.groupBy("key").agg(F.min(F.struct("at", "size", "bits", "odd")).alias("f")).select("key", "f.*")
     a, b = hits.alias("a"), first.alias("b")
     found = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar))
     near = found.select(F.col("a.at").alias("x"), F.struct(_differ().alias("differ"), F.col("b.at").alias("y")).alias("to"))

@@ -15,6 +15,8 @@ from .packing import encode
 
 #: Bytes of a block; a multiple of the two bytes of an id.
 BLOCK = 1 << 18
+#: Documents of one file at most: a file is read as a whole, by one task, before it is cut.
+RECORDS = 1 << 15
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int, text_col: str = "text") -> None:
@@ -33,7 +35,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
             yield pa.record_batch([pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["ids"])
 
     raw = with_workers(docs).select(text_of(docs, text_col)).mapInArrow(run, "ids binary")
-    raw.select(F.col("ids").cast("string")).write.option("encoding", "UTF-16LE").option("lineSep", chr(end_id)).text(folder)
+    raw.select(F.col("ids").cast("string")).write.option("maxRecordsPerFile", RECORDS).option("encoding", "UTF-16LE").option("lineSep", chr(end_id)).text(folder)
 
 
 def _scan(end_id: int):

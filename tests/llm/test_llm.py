@@ -401,8 +401,9 @@ def test_token_counts(spark, docs, tmp_path, block):
     docs.repartition(3).write.parquet(f"{tmp_path}/docs")
     stored = spark.read.parquet(f"{tmp_path}/docs")
     found = token_scan.document_token_counts(stored, VOCABULARY, PATTERN, 50256, block=block).collect()
-    ids = packing.encode([t or "" for _, t, _ in ROWS], VOCABULARY, PATTERN)
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter((i, len(x) // 4) for (i, _, _), x in zip(ROWS, ids, strict=True))
+    ref = Tokenizer.from_file(VOCABULARY)
+    ref.encode_special_tokens = True
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter((i, len(ref.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in ROWS)
     stored.where("false").write.parquet(f"{tmp_path}/none")
     assert token_scan.document_token_counts(spark.read.parquet(f"{tmp_path}/none"), VOCABULARY, PATTERN, 50256).count() == 0
 
@@ -496,3 +497,83 @@ def test_hard_rows_through_all_stages(spark, tmp_path):
         assert found.count() == want.get(name, found.count()), name
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def _plain_packing(sizes, length, quadratic):
+    """Whole sequences first; then, from the longest rest, each to the cheapest sequence that holds it, cut if none does."""
+    out, seq, rests = [], 0, []
+    for d, n in enumerate(sizes):
+        for k in range(n // length):
+            out.append((d, k * length, length, seq, 0))
+            seq += 1
+        rests.append([d, n // length * length, n % length])
+    total = sum(r[2] for r in rests)
+    bins = [[length, 0, 0.0] for _ in range(total // length)] + [[1 << b, 0, 0.0] for b in range(20, -1, -1) if 1 << b < length and total % length >> b & 1]
+    for d, at, left in sorted(rests, key=lambda r: -r[2]):
+        while left:
+            fits = [k for k, (size, used, _) in enumerate(bins) if size - used >= left] or [k for k, (size, used, _) in enumerate(bins) if size > used]
+            k = min(fits, key=lambda k: (bins[k][2], k))
+            n = min(left, bins[k][0] - bins[k][1])
+            out.append((d, at, n, seq + k, bins[k][1]))
+            bins[k][1] += n
+            bins[k][2] += n + quadratic * n * n
+            at, left = at + n, left - n
+    return out
+
+
+def test_packing_against_a_plain_one():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        sizes = rng.integers(1, 400, rng.integers(1, 40))
+        assert list(map(tuple, packing.pack(sizes, 64, 1 / 256).tolist())) == _plain_packing(sizes.tolist(), 64, 1 / 256)
+
+
+def test_toxicity_against_a_plain_forward_pass():
+    net = toxicity.Network({"aa": 1, "bb": 2, "dd": 3})
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, toxicity.STATE
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        raw = b"^" + word.encode() + b"$"
+        grams = [toxicity.trigrams([word])[0][k] for k in range(len(raw) - 2)]
+        return np.concatenate((p["word"][net.vocabulary.get(word, 0)], np.mean([p["char"][g] for g in grams], axis=0)))
+
+    def states(xs, d):
+        h, out = np.zeros(size), []
+        for x in xs:
+            a, b = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = s(a[:size] + b[:size]), s(a[size : 2 * size] + b[size : 2 * size])
+            h = (1 - z) * np.tanh(a[2 * size :] + r * b[2 * size :]) + z * h
+            out.append(h)
+        return out
+
+    def window(words):
+        xs = [vector(w) for w in words]
+        h = np.concatenate((states(xs, "f"), states(xs[::-1], "b")[::-1]), axis=1)
+        e = np.exp(np.tanh(h @ p["A"]) @ p["v"])
+        return s((e / e.sum()) @ h @ p["out"] + p["bias"][0])
+
+    words = ["aa", "bb", "cc", "dd", "other"] * 15
+    for n in (1, 7, 32, 33, 75):
+        starts = range(0, max(1, n - 31), 1)
+        want = max(window(words[:n][k : k + 32]) for k in starts if k in (*range(0, n - 32, 16), max(0, n - 32)))
+        assert abs(net.score([" ".join(words[:n])])[0] - want) < 1e-4
+
+
+def test_language_against_plain_compression():
+    import zstandard
+
+    content = {"de": b"der die das und ist nicht ein eine " * 30, "en": b"the of and is not a an this that " * 30, "fr": b"le la les et est pas un une des " * 30}
+    made = langid.Compressors(content)
+    for text in ["the cat is not a dog", "der Hund ist nicht die Katze", "le chat est un chien", "zzzz qqqq", "x", "the of " * 900 + "der die"]:
+        raw = langid._letters(text).encode()
+        while len(raw) < langid.SHORT:
+            raw += b" " + langid._letters(text).encode()
+        sizes = {}
+        for lang, words in content.items():
+            how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.BLOCK, dict_size=len(words), min_match=langid.SHORTEST, write_checksum=False, write_content_size=False, write_dict_id=False)
+            one = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[lang] = sum(len(one.compress(raw[k : k + langid.BLOCK])) for k in range(0, len(raw), langid.BLOCK))
+        best, second = sorted(sizes.values())[:2]
+        lang, _, rejected = made.predict(text)
+        assert abs(sizes[lang] - best) <= 2 and rejected == (second - best <= langid.NARROW * best**0.5)

@@ -57,11 +57,9 @@ def sentences(c: Column) -> Column:
 
 def strip_punctuation(word: Column, marks: str) -> Column:
     """``left, word, right``: what of ``marks`` stands at either end."""
-    klass = "[" + "".join("\\" + m if m in r"\[]^-&" else m for m in marks) + "]"
-    left = F.regexp_extract(word, f"^({klass}*)", 1)
-    rest = F.regexp_replace(word, f"^{klass}+", "")
-    right = F.regexp_extract(rest, f"({klass}*)$", 1)
-    return F.struct(left.alias("left"), F.regexp_replace(rest, f"{klass}+$", "").alias("word"), right.alias("right"))
+    rest = F.ltrim(word, F.lit(marks))
+    core = F.rtrim(rest, F.lit(marks))
+    return F.struct(F.left(word, F.length(word) - F.length(rest)).alias("left"), core.alias("word"), F.right(rest, F.length(rest) - F.length(core)).alias("right"))
 
 
 def split_prefix(word: Column, prefixes: list[str], bare: Column, protected: list[str]) -> Column:
@@ -89,6 +87,31 @@ def tokens(c: Column, marks: str, prefixes: list[str], bare, protected: list[str
     return F.flatten(F.transform(words(c), one))
 
 
+def token_rows(docs: DataFrame, keys: list[str], c: Column, marks: str, prefixes: list[str], bare, protected: list[str]) -> DataFrame:
+    """``<keys>, pos, part, surface, kind``: the tokens of ``tokens`` as rows.
+
+    Words are exploded first, and each step is a projection of its own, so that what a word
+    is cut into is computed once and in generated code. ``pos`` counts words from 0 and ``part``
+    the mark before (0), prefix (1), word (2) and mark after (3).
+    """
+    raw = docs.select(*keys, F.posexplode(words(c)).alias("pos", "__raw"))
+    rest = raw.select("*", F.ltrim("__raw", F.lit(marks)).alias("__rest"))
+    core = rest.select("*", F.rtrim("__rest", F.lit(marks)).alias("__word"))
+    word = F.col("__word")
+    prefix = F.when(bare(word).isin(protected), F.lit("")) if protected else F.when(F.lit(False), "")
+    for p in prefixes:
+        prefix = prefix.when(word.startswith(p) & (F.length(word) > len(p)), p)
+    cut = core.select("*", prefix.otherwise("").alias("__prefix"))
+    part = lambda i, s, kind: F.struct(F.lit(i).alias("part"), s.alias("surface"), F.lit(kind).alias("kind"))
+    parts = F.array(
+        part(0, F.left("__raw", F.length("__raw") - F.length("__rest")), "punct"),
+        part(1, F.col("__prefix"), "clitic"),
+        part(2, F.substr("__word", F.length("__prefix") + 1), "word"),
+        part(3, F.right("__rest", F.length("__rest") - F.length("__word")), "punct"),
+    )
+    return cut.select(*keys, "pos", F.inline(parts)).where("surface <> ''")
+
+
 def tidy_spacing(c: Column) -> Column:
     """One space at most; none before closing or after opening punctuation."""
     c = F.regexp_replace(c, r"\s+", " ")

@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def tiered_lookup(words: DataFrame, word_id: str, tiers: list[tuple[str, Column, DataFrame, bool]]) -> DataFrame:
     """``word_id, tier, entry, n_entries``: entries of the first tier in which a word is found.
 
     A tier is (name, key of a word, table(key, entry), guarded). A guarded tier only counts
-    where its key names a single entry: an ambiguous key is no match, never a pick. Each
-    tier is an equi-join; Spark broadcasts the tables that are small enough by their size.
+    where its key names a single entry: an ambiguous key is no match, never a pick. All
+    tiers meet in one equi-join: a word has a key for each tier, so words are read once;
+    Spark broadcasts the tables if their size allows.
     """
-    found = []
-    for i, (name, key, table, guarded) in enumerate(tiers):
-        index = table.groupBy("key").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
-        index = index.where(F.size("entries") == 1) if guarded else index
-        hit = words.select(word_id, key.alias("key")).where(F.col("key").isNotNull()).join(index, "key")
-        found.append(hit.select(word_id, F.lit(i).alias("__i"), F.lit(name).alias("tier"), "entries"))
-    best = reduce(DataFrame.unionByName, found).groupBy(word_id).agg(F.min_by(F.struct("tier", "entries"), "__i").alias("b"))
-    return best.select(word_id, "b.tier", F.array_join("b.entries", ",").alias("entry"), F.size("b.entries").alias("n_entries"))
+    tables = [t.select(F.lit(i).alias("__i"), F.lit(guarded).alias("__g"), "key", "entry") for i, (_, _, t, guarded) in enumerate(tiers)]
+    index = reduce(DataFrame.unionByName, tables).groupBy("__i", "__g", "key").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+    index = index.where(~F.col("__g") | (F.size("entries") == 1)).drop("__g")
+    keys = F.array(*[F.struct(F.lit(i).alias("__i"), key.alias("key")) for i, (_, key, _, _) in enumerate(tiers)])
+    hits = words.select(word_id, F.inline(keys)).where("key IS NOT NULL").join(index, ["__i", "key"])
+    best = hits.groupBy(word_id).agg(F.min_by(F.struct("__i", "entries"), "__i").alias("b"))
+    tier = F.element_at(F.array(*[F.lit(name) for name, *_ in tiers]), F.col("b.__i") + 1)
+    return best.select(word_id, tier.alias("tier"), F.array_join("b.entries", ",").alias("entry"), F.size("b.entries").alias("n_entries"))
 
 
 def lookup_or_collide(words: DataFrame, word_id: str, tiers: list[tuple[str, Column, DataFrame]]) -> DataFrame:
@@ -35,22 +35,28 @@ def lookup_or_collide(words: DataFrame, word_id: str, tiers: list[tuple[str, Col
     )
 
 
-def strip_suffixes(words: DataFrame, word_id: str, word: str, suffixes: DataFrame, depth: int = 3, shortest: int = 2) -> DataFrame:
+def strip_suffixes(words: DataFrame, word_id: str, word: str, suffixes: list[str], depth: int = 3, shortest: int = 2) -> DataFrame:
     """All ways to take up to ``depth`` suffixes off: ``word_id, stem, taken``.
 
-    ``suffixes(suffix)`` is joined on the word's endings of each length that a suffix has, an
-    equi-join in place of an ``endswith`` join; a stem keeps ``shortest`` letters.
+    ``suffixes`` is a closed list. A word's ways stay in its row, level by level, so words are
+    read once and nothing is joined; a stem keeps ``shortest`` letters.
     """
-    lengths = [r["n"] for r in suffixes.select(F.length("suffix").alias("n")).distinct().orderBy("n").collect()]  # a closed list
-    table = F.broadcast(suffixes.select(F.col("suffix").alias("__s")).distinct())
-    level = words.select(word_id, F.col(word).alias("stem"), F.lit("").alias("taken"))
-    out = [level]
-    for _ in range(depth):
-        ends = F.array(*[F.struct(F.right(F.col("stem"), F.lit(n)).alias("s"), F.expr(f"left(stem, length(stem) - {n})").alias("rest")) for n in lengths])
-        cut = level.select(word_id, "taken", F.explode(F.filter(ends, lambda e: F.length(e["rest"]) >= shortest)).alias("e"))
-        level = cut.join(table, F.col("e.s") == F.col("__s")).select(word_id, F.col("e.rest").alias("stem"), F.concat_ws("+", F.col("e.s"), F.when(F.col("taken") != "", F.col("taken"))).alias("taken"))
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+    by_length = {n: sorted({s for s in suffixes if len(s) == n}) for n in sorted({len(s) for s in suffixes if s})}
+
+    def shorter(way: Column) -> Column:
+        """What one more suffix leaves of a way; at most one suffix of each length fits."""
+        cuts = []
+        for n, endings in by_length.items():
+            end = F.right(way["stem"], F.lit(n))
+            fits = end.isin(endings) & (F.length(way["stem"]) >= n + shortest)
+            taken = F.concat_ws("+", end, F.when(way["taken"] != "", way["taken"]))
+            cuts.append(F.when(fits, F.struct(F.left(way["stem"], F.length(way["stem"]) - n).alias("stem"), taken.alias("taken"))))
+        return F.array_compact(F.array(*cuts))
+
+    out = words.select(word_id, F.array(F.struct(F.col(word).alias("stem"), F.lit("").alias("taken"))).alias("__0"))
+    for level in range(depth):
+        out = out.select("*", F.flatten(F.transform(f"__{level}", shorter)).alias(f"__{level + 1}"))
+    return out.select(word_id, F.inline(F.concat(*[F.col(f"__{level}") for level in range(depth + 1)])))
 
 
 def choose_segmentation(ways: DataFrame, word_id: str, stems: DataFrame) -> DataFrame:

@@ -39,11 +39,11 @@ def colliding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.strip_suffixes(_words(spark, sf_dir), "word_id", "word", rows(spark, "suffix string", _SUFFIXES))
+    return lexicon.strip_suffixes(_words(spark, sf_dir), "word_id", "word", [s for (s,) in _SUFFIXES])
 
 
 def chosen_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = lexicon.strip_suffixes(_words(spark, sf_dir), "word_id", "word", rows(spark, "suffix string", _SUFFIXES))
+    ways = lexicon.strip_suffixes(_words(spark, sf_dir), "word_id", "word", [s for (s,) in _SUFFIXES])
     return lexicon.choose_segmentation(ways, "word_id", _catalog(spark, sf_dir).select(F.col("entry").alias("stem")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
@@ -45,17 +45,17 @@ def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.tokens(F.lower("text"), '.,;:!?"()', ["un", "re"], lambda w: w, ["unter", "reich", "un", "und"])
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("t"))
-    return rows.groupBy("doc_id", F.col("t.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t.surface")).alias("letters"))
+    docs = table(spark, sf_dir, "documents")
+    rows = text.token_rows(docs, ["doc_id"], F.lower("text"), '.,;:!?"()', ["un", "re"], lambda w: w, ["unter", "reich", "un", "und"])
+    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("surface")).alias("letters"))
 
 
 def text_token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their offsets: a prefix sum over the array, not a window over rows."""
-    lines = F.split("text", "\n")
-    start = F.aggregate(F.slice(F.col("ls"), F.lit(1), F.col("k")), F.lit(0), lambda acc, s: acc + F.length(s) + 1)
-    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("ls")).select("doc_id", "ls", F.posexplode("ls").alias("k", "line"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("line_no"), start.alias("start"), F.size(text.words(F.col("line"))).alias("n_words"))
+    """Lines with their offsets: a running sum of lengths; only numbers are shuffled, no text."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    sizes = lines.select("doc_id", (F.col("k") + 1).alias("line_no"), (F.length("line") + 1).alias("n"), F.size(text.words(F.col("line"))).alias("n_words"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("doc_id", "line_no", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("start"), "n_words")
 
 
 def text_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,32 @@ def test_weak_verbs_by_the_grammar(spark):
     assert form["قول", "PAST", None, "PASSIVE", "3SGM"] is None
     asked = spark.createDataFrame([(list(r), v) for r, v in [("كتب", "ُ"), ("قول", "ُ"), ("بيع", "ِ"), ("دعو", "ُ"), ("رمي", "ِ"), ("وعد", "ِ"), ("مدد", "ُ"), ("وقي", "ِ")]], "root array<string>, v string")
     assert [r[0] for r in asked.select(morphology.imperative(F.col("root"), F.col("v"))).collect()] == ["اُكْتُبْ", "قُلْ", "بِعْ", "اُدْعُ", "اِرْمِ", "عِدْ", "مُدَّ", None]
+
+
+def test_claim_keys_equal_json_hashes(spark):
+    import hashlib
+    import json
+
+    from tessella.operators import claims
+
+    rows = [(1, 'a"b\\c', "كتب", ["e2", "e1"]), (2, "x", None, None), (3, None, "ÿ\t", [])]
+    df = spark.createDataFrame(rows, "id int, host string, root string, ev array<string>")
+    slots = claims.typed_slots({"SEGMENT_HOST": F.array("host"), "LEMMA_SLOT": F.array("root", "root")})
+    found = {r["id"]: r for r in claims.build_bundles(df, "K", "ROOT_CLAIM", slots, F.col("ev")).collect()}
+    for i, host, root, ev in rows:
+        held = {k: v for k, v in (("LEMMA_SLOT", root), ("SEGMENT_HOST", host)) if v is not None}
+        text = json.dumps({"claim_kind": "K", "profile_id": "ROOT_CLAIM", "slot_values": held, "evidence_codes": sorted(ev or [])}, ensure_ascii=False, sort_keys=True)
+        assert found[i]["claim_key"] == hashlib.sha256(text.encode()).hexdigest()
+    assert all(s["state"] == ("UNKNOWN" if s["value"] is None else "FILLED") for r in found.values() for s in r["slots"])
+
+
+def test_claim_profiles_and_documents(spark):
+    from tessella.operators import claims
+
+    df = spark.createDataFrame([("ROOT_CLAIM",), ("EXISTENCE_CLAIM",), ("NO_CLAIM",), (None,)], "p string")
+    slots = claims.typed_slots({"SEGMENT_HOST": F.array(F.lit("h")), "RADICAL_R1": F.array(F.lit("a"), F.lit("b"))})
+    found = df.select(claims.profile_problems(F.col("p"), slots, F.array(F.lit("CONTEXTUAL")))).collect()
+    assert [r[0] for r in found] == [["UNFILLED:RADICAL_R1", "UNFILLED:RADICAL_R2", "UNFILLED:RADICAL_R3", "NO_EVIDENCE"], ["RESERVED_PROFILE"], ["UNKNOWN_PROFILE"], ["UNKNOWN_PROFILE"]]
+    document = '{"claim_key": "k", "typed_slots": [{"slot_id": "LEMMA_SLOT", "state": "UNKNOWN", "value": "v"}]}'
+    read = spark.createDataFrame([(document,), (None,)], "d string").select(claims.from_document(F.col("d")).alias("b")).collect()
+    assert read[0]["b"]["typed_slots"][0]["value"] is None and read[1]["b"] is None

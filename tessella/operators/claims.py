@@ -136,8 +136,7 @@ def to_document(original: Column, normalized: Column) -> Column:
 def from_document(document: Column) -> Column:
     """The bundle of a JSON document; an UNKNOWN slot has no value, whatever the document says."""
     read = F.from_json(document, DOCUMENT)
-    slots = F.transform(read["typed_slots"], lambda s: s.withField("value", F.when(s["state"] != "UNKNOWN", s["value"])))
-    return F.when(read.isNotNull(), read.withField("typed_slots", slots))
+    return read.withField("typed_slots", F.transform(read["typed_slots"], lambda s: s.withField("value", F.when(s["state"] != "UNKNOWN", s["value"]))))
 
 
 def evidence_type(evidence_id: Column) -> Column:

@@ -135,8 +135,9 @@ def to_document(original: Column, normalized: Column) -> Column:
 
 def from_document(document: Column) -> Column:
     """The bundle of a JSON document; an UNKNOWN slot has no value, whatever the document says."""
-    read = F.from_json(document, DOCUMENT)
-    return read.withField("typed_slots", F.transform(read["typed_slots"], lambda s: s.withField("value", F.when(s["state"] != "UNKNOWN", s["value"]))))
+    known = lambda s: s.withField("value", F.when(s["state"] != "UNKNOWN", s["value"]))
+    # bound to a variable, as withField repeats what it is applied to for each field
+    return F.transform(F.array(F.from_json(document, DOCUMENT)), lambda b: b.withField("typed_slots", F.transform(b["typed_slots"], known)))[0]
 
 
 def evidence_type(evidence_id: Column) -> Column:

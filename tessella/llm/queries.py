@@ -19,13 +19,17 @@ from .line_dedup import ORACLE as LINE_ORACLE
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .simhash import fp_hex, simhash_components
+from .token_parquet import document_tokens
 from .token_scan import document_token_counts
 from .toxicity import THRESHOLD, toxicity
 from .toxicity import learn as learn_toxicity
+from .turn_repair import damage, repair_report
+from .whitening import whiten
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 BPE_VOCABULARY = "byte_bpe_50k.json"
 END_OF_TEXT = 50256
+END_OF_DOCUMENT = 2
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +89,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN, END_OF_TEXT)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_report(damage(turns), ids=turns.select("conv_id"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"edit_near_duplicates": edit_near_duplicates}
 

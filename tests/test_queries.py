@@ -7,7 +7,7 @@ import importlib
 import pytest
 from conftest import DATA, assert_same
 
-MODULES = [importlib.import_module(f"tessella.plans.{m}_queries") for m in ("text", "quality", "sequence", "ledger", "lexicon", "arabic", "dictionary", "word", "root", "claim", "span")]
+MODULES = [importlib.import_module(f"tessella.plans.{m}_queries") for m in ("text", "quality", "sequence", "ledger", "lexicon", "arabic", "dictionary", "word", "root", "claim", "span", "derivation", "judgment", "run")]
 CASES = [(f, m.ORACLES.get(f.__name__)) for m in MODULES for f in m.QUERIES]
 
 

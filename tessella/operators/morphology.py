@@ -269,6 +269,18 @@ def tense(surface: Column) -> Column:
     )
 
 
+def past_endings() -> list[tuple[str, bool, str]]:
+    """Endings of the past in the order in which they are tried: text, whether with marks, person, number and gender."""
+    unmarked = lambda x: re.sub("[\u064b-\u0652]", "", x)
+    whole = [(mark + tail, True, p + n + g) for _, p, n, g, mark, tail in ENDINGS if tail]
+    bare = [(unmarked(tail), False, p + n + g) for _, p, n, g, _, tail in ENDINGS]
+    known: dict[tuple[str, bool], str] = {}
+    for text, vocal, png in [*whole, *(x for x in bare if len(x[0]) > 1 or x[0] == ALEF)]:
+        known.setdefault((text, vocal), png)
+    longest = sorted(known.items(), key=lambda x: (-len(unmarked(x[0][0])), not x[0][1], -len(x[0][0])))
+    return [(text, vocal, png) for (text, vocal), png in longest]
+
+
 def past_features(surface: Column) -> Column:
     """``person, number, gender, voice`` of a past form: that of the longest ending it has.
 
@@ -277,12 +289,7 @@ def past_features(surface: Column) -> Column:
     or a final alef. Where two forms share an ending the first listed is taken, and a form
     without any is 3 SG M.
     """
-    whole = [(mark + tail, True, p + n + g) for _, p, n, g, mark, tail in ENDINGS if tail]
-    bare = [(re.sub("[\u064b-\u0652]", "", tail), False, p + n + g) for _, p, n, g, _, tail in ENDINGS]
-    known: dict[tuple, str] = {}
-    for text, vocal, png in [*whole, *(x for x in bare if len(x[0]) > 1 or x[0] == ALEF)]:
-        known.setdefault((text, vocal), png)
-    table = F.array(*[F.struct(F.lit(text).alias("end"), F.lit(vocal).alias("vocal"), F.lit(png).alias("png")) for (text, vocal), png in sorted(known.items(), key=lambda x: (-len(re.sub("[\u064b-\u0652]", "", x[0][0])), not x[0][1], -len(x[0][0])))])
+    table = F.array(*[F.struct(F.lit(text).alias("end"), F.lit(vocal).alias("vocal"), F.lit(png).alias("png")) for text, vocal, png in past_endings()])
     fits = F.filter(table, lambda e: F.when(e["vocal"], surface.endswith(e["end"])).otherwise(strip_marks(surface).endswith(e["end"])))
     png = F.coalesce(F.get(fits, F.lit(0))["png"], F.lit("3SGM"))
     voice = F.when(surface.rlike(f"^.{DAMMA}.{KASRA}"), "PASSIVE").otherwise("ACTIVE")

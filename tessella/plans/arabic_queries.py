@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arabic
 from tessella.operators import morphology
-from tessella.plans.inputs import rows, values
+from tessella.plans.inputs import arabic_words, arabic_words_sql, rows, values
 
 WORDS = list(
     enumerate(
@@ -22,32 +22,32 @@ EVIDENCE = [(1, arabic.FATHA, arabic.DAMMA), (2, arabic.FATHA, None), (3, arabic
 DERIVED = [(1, "MUJARRAD", "TRANSITIVE"), (2, "MUJARRAD", "INTRANSITIVE"), (3, "AUGMENTED", "TRANSITIVE"), (4, "AUGMENTED", "INTRANSITIVE")]
 
 
-def _words(spark: SparkSession) -> DataFrame:
-    return rows(spark, "id int, surface string", WORDS)
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arabic_words(spark, sf_dir, WORDS)
 
 
 def arabic_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("surface")
-    return _words(spark).select("id", arabic.normalize(s).alias("norm"), arabic.normalize_host(s).alias("host"), arabic.strip_marks(s).alias("bare"), arabic.count_letters(s).alias("n"), arabic.starts_with_article(s).alias("article"))
+    return _words(spark, sf_dir).select("id", arabic.normalize(s).alias("norm"), arabic.normalize_host(s).alias("host"), arabic.strip_marks(s).alias("bare"), arabic.count_letters(s).alias("n"), arabic.starts_with_article(s).alias("article"))
 
 
 def arabic_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("id", arabic.project_article(F.col("surface")).alias("a")).select("id", "a.*")
+    return _words(spark, sf_dir).select("id", arabic.project_article(F.col("surface")).alias("a")).select("id", "a.*")
 
 
 def arabic_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _words(spark).select("id", F.posexplode(arabic.phones(F.col("surface"))).alias("pos", "p"))
+    found = _words(spark, sf_dir).select("id", F.posexplode(arabic.phones(F.col("surface"))).alias("pos", "p"))
     return found.select("id", "pos", "p.*", arabic.gate_phone(F.col("p")).alias("cell"))
 
 
 def arabic_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = _words(spark).select("id", arabic.syllables(arabic.phones(F.col("surface"))).alias("s"))
+    slots = _words(spark, sf_dir).select("id", arabic.syllables(arabic.phones(F.col("surface"))).alias("s"))
     return slots.select("id", F.array_join(F.transform("s", lambda x: x["pattern"]), ".").alias("patterns"), arabic.word_gate(F.col("s")).alias("verdict"))
 
 
 def arabic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's second to fourth character, in the normalised word."""
-    entries = _words(spark).withColumn("e", arabic.align_spans(F.col("surface")))
+    entries = _words(spark, sf_dir).withColumn("e", arabic.align_spans(F.col("surface")))
     return entries.select("id", F.size("e").alias("entries"), arabic.project_span(F.col("e"), F.lit(1), F.lit(4)).alias("p")).select("id", "entries", "p.*")
 
 
@@ -55,11 +55,11 @@ def arabic_mark_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of all words by the state of their marks."""
     units = F.regexp_extract_all("surface", F.lit(r"([ء-غف-ي][ً-ٰٕ]*)"), F.lit(1))
     marks = lambda u: F.filter(F.transform(F.split(F.substring(u, F.lit(2), F.length(u)), ""), arabic.mark_class), lambda m: m != "UNKNOWN")
-    return _words(spark).select(F.explode(F.transform(units, lambda u: arabic.mark_state(marks(u)))).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return _words(spark, sf_dir).select(F.explode(F.transform(units, lambda u: arabic.mark_state(marks(u)))).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def root_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("id", morphology.analyze_root(F.col("surface")).alias("r")).select("id", "r.*")
+    return _words(spark, sf_dir).select("id", morphology.analyze_root(F.col("surface")).alias("r")).select("id", "r.*")
 
 
 def root_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +97,20 @@ def verb_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("id", morphology.tense(F.col("surface")).alias("tense"))
+    return _words(spark, sf_dir).select("id", morphology.tense(F.col("surface")).alias("tense"))
 
 
 def past_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).where(morphology.tense(F.col("surface")) == "PAST").select("id", morphology.past_features(F.col("surface")).alias("f")).select("id", "f.*")
+    return _words(spark, sf_dir).where(morphology.tense(F.col("surface")) == "PAST").select("id", morphology.past_features(F.col("surface")).alias("f")).select("id", "f.*")
 
 
 def imperfect_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _words(spark).where(morphology.tense(F.col("surface")) == "IMPERFECT")
+    found = _words(spark, sf_dir).where(morphology.tense(F.col("surface")) == "IMPERFECT")
     return found.select("id", F.explode(morphology.imperfect_readings(F.col("surface"))).alias("r")).select("id", "r.*")
 
 
 def augmented_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only in the oracle's sense: RE2 has no back references; the tests list the forms."""
-    return _words(spark).select("id", morphology.augmented_form(F.col("surface")).alias("form")).where("form is not null")
+    return _words(spark, sf_dir).select("id", morphology.augmented_form(F.col("surface")).alias("form")).where("form is not null")
 
 
 def derived_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +135,7 @@ _M, _OM, _B = "[ً-ٰٕ]", "[ً-ِْ-ٰٕ]", "[ء-غف-ي]"
 _HOST = f"regexp_replace(regexp_replace(replace({{c}}, 'آ', 'ءَا'), '[أإؤئ]', 'ء', 'g'), '({_B})({_OM}*)ّ({_OM}*)', '\\1ْ\\1\\2\\3', 'g')"
 _NORM = f"regexp_replace(regexp_replace(regexp_replace(replace({{c}}, 'آ', 'ءَا'), '[أإؤئ]', 'ء', 'g'), '(^| )ال', '\\1ءَل', 'g'), '({_B})({_OM}*)ّ({_OM}*)', '\\1ْ\\1\\2\\3', 'g')"
 _SHADDA = f"regexp_replace(replace(replace({{c}}, 'ـ', ''), 'آ', 'ءَا'), '({_B})({_OM}*)ّ({_OM}*)', '\\1ْ\\1\\2\\3', 'g')"
-_W = values("w", "id, surface", WORDS)
+_W = arabic_words_sql(WORDS)
 _BARE = f"regexp_replace({{c}}, '{_M}', '', 'g')"
 _UNITS = f"""{_W}, u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT id, regexp_extract_all({_SHADDA.format(c='surface')}, '{_B}{_M}*') AS x FROM w)),
   ph AS (SELECT id, i, n, u, u[1] AS char, u[2:] AS marks, CASE WHEN u[1] IN ('ا', 'ى') OR (u[1] IN ('و', 'ي') AND NOT regexp_matches(u, '[ً-ِ]')) THEN 'VL' WHEN regexp_matches(u, '[ً-ِ]') THEN 'M' ELSE 'S' END AS role FROM u)"""
@@ -156,8 +155,17 @@ _ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix,
 _FILL = "replace(replace(replace(replace(replace(replace(replace(replace(template, '1', c1), '2', c2), '3', c3), 'p', coalesce(pv, '')), 'i', coalesce(iv, '')), 'P', coalesce(prefix, '')), 'm', mark), 't', tail)"
 _SEATS = "regexp_replace(replace(regexp_replace(regexp_replace({c}, '(ِّ?)ء([َُ])', '\\1ئ\\2', 'g'), 'ء([َُ])', 'أ\\1', 'g'), 'ءِ', 'ئِ'), 'ء([^ْ])', 'أ\\1', 'g')"
 _L = f"string_split({_BARE.format(c=_HOST.format(c='surface'))}, '')"
+_V = "[\u064e\u064f\u0650]"
+#: Skeletons of the augmented forms in order; {2} marks a letter that must be the one before it, which RE2 cannot say.
+_FORMS = " ".join(
+    f"WHEN regexp_matches(h, '^{p.format(v=_V, a='.', b='.')}$')" + (f" AND regexp_extract(h, '^{p.format(v=_V, a='(.)', b='.')}$', 1) = regexp_extract(h, '^{p.format(v=_V, a='.', b='(.)')}$', 1)" if "{a}" in p else "") + f" THEN '{form}'"
+    for form, p in [
+        ("FORM_X", "ا{v}?سْت{v}.ْ.{v}.{v}?"), ("FORM_VII", "ا{v}?نْ.{v}.{v}.{v}?"), ("FORM_VIII", "ا{v}?.ْت{v}.{v}.{v}?"), ("FORM_V", "ت{v}.{v}{a}ْ{b}{v}.{v}?"),
+        ("FORM_VI", "ت{v}.{v}ا.{v}.{v}?"), ("FORM_IV", "ء{v}.ْ.{v}.{v}?"), ("FORM_II", ".{v}{a}ْ{b}{v}.{v}?"), ("FORM_III", ".{v}ا.{v}.{v}?"),
+    ]
+)
 ORACLES = {
-    "arabic_normal": f"WITH {_W} SELECT id, {_NORM.format(c='surface')} AS norm, {_HOST.format(c='surface')} AS host, {_BARE.format(c='surface')} AS bare, length({_BARE.format(c='surface')})::INT AS n, starts_with({_BARE.format(c='surface')}, 'ال') AS article FROM w",
+    "arabic_normal": f"WITH {_W} SELECT id, {_NORM.format(c='surface')} AS norm, {_HOST.format(c='surface')} AS host, {_BARE.format(c='surface')} AS bare, length(regexp_replace({_BARE.format(c='surface')}, '[^{_B[1:-1]}]', '', 'g'))::INT AS n, starts_with({_BARE.format(c='surface')}, 'ال') AS article FROM w",
     "arabic_article": f"""WITH {_W} SELECT id, CASE WHEN regexp_matches(surface, '^الْ.') THEN 'LUNAR' WHEN regexp_matches(surface, '^ال[تثدذرزسشصضطظلن]{_OM}*ّ') THEN 'SOLAR' ELSE 'NONE' END AS kind,
         CASE WHEN regexp_matches(surface, '^الْ.') THEN 'الْ' WHEN regexp_matches(surface, '^ال[تثدذرزسشصضطظلن]{_OM}*ّ') THEN 'ال' ELSE '' END AS article,
         CASE WHEN regexp_matches(surface, '^الْ.') THEN surface[4:] WHEN regexp_matches(surface, '^ال[تثدذرزسشصضطظلن]{_OM}*ّ') THEN regexp_replace(surface[3:], '^(.)({_OM}*)ّ', '\\1\\2') ELSE surface END AS rest FROM w""",
@@ -170,7 +178,7 @@ ORACLES = {
               WHEN role = 'VL' AND pat = '' AND char = 'ا' AND coalesce(ns, false) THEN list_append(done, 'WASL') WHEN role = 'VL' AND pat = 'CVV' AND char = 'ا' AND x.i = n THEN list_concat(done, ['CVV', 'FARQA']) ELSE done END
           FROM f JOIN x ON x.id = f.id AND x.i = f.i + 1),
         z AS (SELECT f.id, CASE WHEN pat = '' THEN done ELSE list_append(done, pat) END AS s FROM f JOIN (SELECT id, max(i) AS n FROM ph GROUP BY id) m ON m.id = f.id AND f.i = m.n)
-        SELECT id, array_to_string(s, '.') AS patterns, CASE WHEN len(list_filter(s, lambda p: p NOT IN ('WASL', 'FARQA', 'C', 'CV', 'CVV', 'CVC', 'CVVC', 'CVCC', 'CVVCC'))) > 0 THEN 'BLOCK' WHEN list_contains(s, 'C') THEN 'DEFER' ELSE 'ACCEPT' END AS verdict FROM z""",
+        SELECT w.id, coalesce(array_to_string(s, '.'), '') AS patterns, CASE WHEN s IS NULL THEN 'DEFER' WHEN len(list_filter(s, lambda p: p NOT IN ('WASL', 'FARQA', 'C', 'CV', 'CVV', 'CVC', 'CVVC', 'CVCC', 'CVVCC'))) > 0 THEN 'BLOCK' WHEN list_contains(s, 'C') THEN 'DEFER' ELSE 'ACCEPT' END AS verdict FROM w LEFT JOIN z ON z.id = w.id""",
     "root_analysis": f"""WITH {_W}, l AS (SELECT id, {_L} AS c FROM w), n AS (SELECT *, len(c) AS n, c[1] IN ('و', 'ي') AS f, c[2] IN ('ا', 'و') AS a, c[3] IN ('ا', 'ى', 'ي') AS l FROM l),
         r AS (SELECT *, CASE WHEN n < 2 THEN 'block:root:insufficient_consonants' WHEN n = 2 THEN 'defer:root:two_consonant_form_unresolved' WHEN n = 4 THEN 'defer:root:quadriliteral_beyond_scope' WHEN n > 4 THEN 'defer:root:non_standard_consonant_count'
           WHEN f AND l AND NOT a THEN 'defer:root:lafif_mafruq_unresolved' WHEN a AND l THEN 'defer:root:lafif_maqrun_unresolved' WHEN a THEN 'defer:root:hollow_underlying_radical_unresolved' WHEN l THEN 'defer:root:defective_lam_unresolved'
@@ -194,10 +202,19 @@ ORACLES = {
     "verb_class_candidates": f"""WITH {values('v', 'verb_id, p, i', EVIDENCE)}, {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, j AS (SELECT verb_id, bab_id FROM v LEFT JOIN k ON pv = p AND (i IS NULL OR iv = i))
         SELECT verb_id, CASE count(bab_id) WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'ACCEPT' ELSE 'DEFER' END AS directive, coalesce(string_agg(bab_id, ',' ORDER BY bab_id), '') AS babs FROM j GROUP BY verb_id""",
     "tenses": f"WITH {_TENSE} SELECT id, tense FROM t",
-    "past_features": f"""WITH {_TENSE}, p AS (SELECT id, CASE WHEN surface LIKE '%تُنَّ' THEN '2PLF' WHEN bare LIKE '%تما' THEN '2DUM' WHEN bare LIKE '%تم' THEN '2PLM' WHEN bare LIKE '%نا' THEN '1PLM' WHEN bare LIKE '%وا' THEN '3PLM' WHEN surface LIKE '%ْنَ' THEN '3PLF'
-          WHEN surface LIKE '%تَا' THEN '3DUF' WHEN bare LIKE '%ا' AND NOT regexp_matches(bare, '[ونت]ا$') THEN '3DUM' WHEN surface LIKE '%تِ' THEN '2SGF' WHEN surface LIKE '%تَ' THEN '2SGM' WHEN surface LIKE '%تُ' THEN '1SGM' WHEN surface LIKE '%تْ' THEN '3SGF' ELSE '3SGM' END AS png,
-          CASE WHEN regexp_matches(surface, '^.ُ.ِ') THEN 'PASSIVE' ELSE 'ACTIVE' END AS voice FROM t WHERE tense = 'PAST')
-        SELECT id, png[1] AS person, png[2:3] AS number, png[4] AS gender, voice FROM p""",
+    "past_features": f"""WITH {_TENSE}, {values('e', 'rank, ending, vocal, png', [(k, text, int(vocal), png) for k, (text, vocal, png) in enumerate(morphology.past_endings())])},
+        p AS (SELECT id, any_value(surface) AS surface, arg_min(png, rank) AS png FROM t LEFT JOIN e ON ends_with(CASE WHEN vocal = 1 THEN surface ELSE bare END, ending) WHERE tense = 'PAST' GROUP BY id),
+        q AS (SELECT id, surface, coalesce(png, '3SGM') AS png FROM p)
+        SELECT id, png[1] AS person, png[2:3] AS number, png[4] AS gender, CASE WHEN regexp_matches(surface, '^.\u064f.\u0650') THEN 'PASSIVE' ELSE 'ACTIVE' END AS voice FROM q""",
+    "arabic_spans": f"""WITH {_W}, u AS (SELECT id, unnest(x) AS r, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(surface, '{_B}{_M}*|.') AS x FROM w)),
+        n AS (SELECT id, i, length(r) AS a, length({_HOST.format(c='r')}) AS b FROM u),
+        e AS (SELECT id, a, b, sum(a) OVER o AS r_end, sum(b) OVER o AS n_end FROM n WINDOW o AS (PARTITION BY id ORDER BY i)),
+        m AS (SELECT id, CASE WHEN a = b THEN n_end - b + greatest(1 - (r_end - a), 0) ELSE n_end - b END AS s, CASE WHEN a = b THEN n_end - greatest(r_end - 4, 0) ELSE n_end END AS t FROM e WHERE r_end - a < 4 AND r_end > 1)
+        SELECT w.id, (SELECT count(*) FROM e WHERE e.id = w.id)::INT AS entries, coalesce(min(s), 1)::INT AS start, coalesce(max(t), 4)::INT AS "end" FROM w LEFT JOIN m ON m.id = w.id GROUP BY w.id""",
+    "arabic_mark_states": f"""WITH {_W}, u AS (SELECT unnest(regexp_extract_all(surface, '{_B}{_M}*')) AS u FROM w),
+        c AS (SELECT len(regexp_extract_all(u, '[\u064e\u064f\u0650]')) AS v, len(regexp_extract_all(u, '[\u064b-\u064d]')) AS t, len(regexp_extract_all(u, '\u0652')) AS s, len(regexp_extract_all(u, '\u0651')) AS d FROM u)
+        SELECT CASE WHEN v > 1 OR (v > 0 AND s > 0) OR (t > 0 AND s > 0) OR (v > 0 AND t > 0) OR (d > 0 AND s > 0) THEN 'CONFLICT' WHEN t > 0 THEN 'TANWIN' WHEN v > 0 THEN 'EXPLICIT_VOWEL' WHEN s > 0 THEN 'EXPLICIT_SUKUN' WHEN d > 0 THEN 'SHADDA_COMPOUND' ELSE 'ABSENT' END AS state, count(*) AS n FROM c GROUP BY 1""",
+    "augmented_forms": f"""WITH {_W}, h AS (SELECT id, {_HOST.format(c='surface')} AS h FROM w), f AS (SELECT id, CASE {_FORMS} END AS form FROM h) SELECT * FROM f WHERE form IS NOT NULL""",
     "imperfect_readings": f"""WITH {_TENSE}, p AS (SELECT id, unnest(CASE WHEN bare[1] IN ('أ', 'ء') THEN ['1SGM'] WHEN bare[1] = 'ن' THEN ['1PLM'] WHEN regexp_matches(bare, '(ون|وا)$') AND length(bare) > 4 THEN [CASE bare[1] WHEN 'ت' THEN '2PLM' ELSE '3PLM' END]
           WHEN regexp_matches(bare, '(ين|ي)$') AND bare[1] = 'ت' AND length(bare) > 4 THEN ['2SGF'] WHEN bare LIKE '%ان' AND bare[1] = 'ت' THEN ['2DUM', '3DUF'] WHEN bare LIKE '%ان' THEN ['3DUM']
           WHEN surface LIKE '%ْنَ' THEN [CASE bare[1] WHEN 'ت' THEN '2PLF' ELSE '3PLF' END] WHEN bare[1] = 'ت' THEN ['2SGM', '3SGF'] ELSE ['3SGM'] END) AS png FROM t WHERE tense = 'IMPERFECT')

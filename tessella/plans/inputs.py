@@ -46,3 +46,25 @@ PREPOSITIONS = ["of", "de", "in", "en", "zu"]
 CONJUNCTIONS = ["and", "und", "et", "y"]
 #: Words that put a mood on the word after them.
 MOODS = [("to", "SUBJUNCTIVE"), ("pour", "SUBJUNCTIVE"), ("que", "SUBJUNCTIVE"), ("not", "JUSSIVE"), ("nicht", "JUSSIVE"), ("no", "JUSSIVE"), ("is", "JUSSIVE")]
+
+#: Latin letters of the tables' words, and the Arabic letters and marks that stand for them in queries on Arabic.
+LATIN = "btdrsfqklmnhwyjzvcgpxßàaeiouéèêçäöüáíóúñ"
+ARABIC = "بتدرسفقكلمنهويجزعحغطخشضَْ\u0650ّ\u064fاىآةأؤإئءـ\u064c\u064b"
+_LETTERS = f"[^{LATIN}]+"
+
+
+def arabic_words(spark: SparkSession, sf_dir: str, more: list[tuple[int, str]]) -> DataFrame:
+    """``id, surface``: distinct words of documents in Arabic letters, and ``more`` vocalised ones of the grammar."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(text.words(F.regexp_replace(F.lower("text"), _LETTERS, " "))).alias("id")).distinct()
+    own = words.select("id", F.translate("id", LATIN, ARABIC).alias("surface"))
+    return own.unionByName(rows(spark, "id string, surface string", [(f"word {k}", w) for k, w in more]))
+
+
+def arabic_words_sql(more: list[tuple[int, str]]) -> str:
+    """The same for the oracle, as a table ``w``."""
+    return (
+        values("own", "id, surface", [(f"word {k}", w) for k, w in more])
+        + f""", w AS (SELECT id, translate(id, '{LATIN}', '{ARABIC}') AS surface FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '{_LETTERS}', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS id FROM documents)
+    UNION ALL SELECT * FROM own)"""
+    )

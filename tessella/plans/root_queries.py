@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import morphology, roots
 from tessella.plans.arabic_queries import _HOST, ALIGNED, WORDS
-from tessella.plans.inputs import rows, values
+from tessella.plans.inputs import arabic_words, arabic_words_sql, rows, values
 
 #: Hosts as an analyst reads them: id, host, path, directive, refined host, what was removed, directive of the root, root.
 HOSTS = [
@@ -47,7 +47,7 @@ def slot_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, "id int, surface string", WORDS).select("id", "surface", F.posexplode(roots.cells(F.col("surface"))).alias("pos", "c"))
+    found = arabic_words(spark, sf_dir, WORDS).select("id", "surface", F.posexplode(roots.cells(F.col("surface"))).alias("pos", "c"))
     return found.select("id", "pos", "c.base", "c.vowel", "c.tanwin")
 
 
@@ -89,7 +89,7 @@ ORACLES = {
                HAVING count(*) = any_value(n) AND bool_and(letter AND (want = '' OR i = n OR have = want OR (slot = 2 AND letters[2] = letters[3] AND have = 'ْ')))),
         e AS (SELECT ok.*, (SELECT count(*) FROM wc WHERE wc.word_id = ok.word_id AND wc.i > ok.n) AS extra, (SELECT count(*) FROM wc WHERE wc.word_id = ok.word_id AND wc.i > ok.n AND base = 'ت' AND vowel = 'ْ') AS ts, (SELECT count(*) FROM wc WHERE wc.word_id = ok.word_id AND wc.i > ok.n AND base = 'ة') AS ties FROM ok)
         SELECT word_id, wazn_id, CASE WHEN extra = 0 THEN 'clean' WHEN ts = extra THEN 'inflectional' ELSE 'nominal' END AS ending, coalesce(added, '') AS added, merged FROM e WHERE extra = 0 OR ts = extra OR ties > 0""",
-    "host_cells": f"""WITH {values('w', 'id, surface', WORDS)}, u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i FROM (SELECT id, {_UNITS.format(c=_HOST.format(c='surface'))} AS x FROM w))
+    "host_cells": f"""WITH {arabic_words_sql(WORDS)}, u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i FROM (SELECT id, {_UNITS.format(c=_HOST.format(c='surface'))} AS x FROM w))
         SELECT id, (i - 1)::INT AS pos, u[1] AS base, CASE regexp_extract(u, '[َُِْ]') WHEN 'َ' THEN 'FATHA' WHEN 'ُ' THEN 'DAMMA' WHEN 'ِ' THEN 'KASRA' WHEN 'ْ' THEN 'SUKUN' END AS vowel, regexp_matches(u, '[ًٌٍ]') AS tanwin FROM u""",
     "augmented_words": f"""WITH {_VERBS}, {values('p', 'form, slot, pattern', roots.AUGMENTED)}, {values('a', 'letter, begins', roots.FORM_VIII_FIRST)},
         x AS (SELECT v.root, v.form, slot, begins, replace(replace(replace(translate(pattern, 'فعل', '123'), '1', v.root[1]), '2', v.root[2]), '3', v.root[3]) AS made, v.form = 'FORM_VIII' AND slot = 'PAST' AS eighth, v.root[2] IN ('و', 'ي') AS w2, v.root[3] IN ('و', 'ي') AS w3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import boundary, clitics, entry_rules, glyphs
 from tessella.operators import capabilities
 from tessella.plans.arabic_queries import _B, _M, _OM, _SHADDA, WORDS
-from tessella.plans.inputs import rows, values
+from tessella.plans.inputs import arabic_words, arabic_words_sql, rows, values
 
 #: Words as a reader takes them apart: surface, proclitics, article, host, enclitic, rule.
 SEGMENTED = [
@@ -61,19 +61,19 @@ def word_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("surface")
-    words = rows(spark, "id int, surface string", WORDS)
+    words = arabic_words(spark, sf_dir, WORDS)
     out = boundary.pre_root(words, "surface", s.isin(clitics.OPERATORS), s.isin(clitics.PROTECTED), F.lit("ACCEPT"))
     return out.select("id", "host", "kind", boundary.directive_for(F.col("kind")).alias("directive"), "route", "path", "verdict", F.size("residuals").alias("n_residuals"))
 
 
 def glyph_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, "id int, surface string", WORDS).select("id", F.posexplode(glyphs.traces(F.col("surface"))).alias("pos", "t"))
+    found = arabic_words(spark, sf_dir, WORDS).select("id", F.posexplode(glyphs.traces(F.col("surface"))).alias("pos", "t"))
     return found.select("id", "pos", "t.base", "t.marks", "t.kind", "t.start", "t.stop", glyphs.judgment(F.col("t"))["verdict"].alias("verdict"), glyphs.is_vowelless(F.concat("t.base", "t.marks")).alias("vowelless"), glyphs.first_mark(F.col("t.marks")).alias("first_mark"))
 
 
 def glyph_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    return rows(spark, "id int, surface string", WORDS).select("id", glyphs.traces(F.col("surface")).alias("t")).select("id", glyphs.last_base(t)["base"].alias("last"), glyphs.imperfect_shape(t).alias("imperfect"), glyphs.dual_host(t).alias("dual"))
+    return arabic_words(spark, sf_dir, WORDS).select("id", glyphs.traces(F.col("surface")).alias("t")).select("id", glyphs.last_base(t)["base"].alias("last"), glyphs.imperfect_shape(t).alias("imperfect"), glyphs.dual_host(t).alias("dual"))
 
 
 def word_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [word_segments, word_boundaries, glyph_traces, glyph_shapes, word_capabilities, heading_rules]
 
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
-_W = values("w", "id, surface", WORDS)
+_W = arabic_words_sql(WORDS)
 _SOLAR = "تثدذرزسشصضطظلن"
 _HOST = f"CASE WHEN regexp_matches(surface, '^الْ.') THEN surface[4:] WHEN regexp_matches(surface, '^ال[{_SOLAR}]{_OM}*ّ') THEN regexp_replace(surface[3:], '^(.)({_OM}*)ّ', '\\1\\2') ELSE surface END"
 _BASE = "CASE base " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in glyphs.BASE_CLASSES.items()) + " ELSE CASE WHEN regexp_matches(base, '^[ب-غف-ه]$') THEN 'CONSONANT_PLAIN' ELSE 'UNKNOWN' END END"
@@ -113,8 +113,8 @@ ORACLES = {
         ph AS (SELECT id, i, n, u[1] AS char, u[2:] AS marks, CASE WHEN u[1] IN ('ا', 'ى') OR (u[1] IN ('و', 'ي') AND NOT regexp_matches(u, '[ً-ِ]')) THEN 'VL' WHEN regexp_matches(u, '[ً-ِ]') THEN 'M' ELSE 'S' END AS role FROM u),
         a AS (SELECT id, max(n) AS n, bool_or(i = 1 AND role = 'M') AS m1, bool_or(i = 2 AND role = 'S') AS s2, bool_or(i = 1 AND char IN ('ي', 'ت', 'ن', 'ء') AND contains(marks, 'َ')) AS pre, bool_or(i = n AND role = 'VL') AS vl, count(*) FILTER (role <> 'VL') AS c FROM ph GROUP BY id),
         {values("fw", "word, cls, kind", boundary.FUNCTION_WORDS)}, {values("d", "kind, directive", list(boundary.DIRECTIVES.items()))}, {values("kp", "kind, path", list(boundary.KIND_PATHS.items()))},
-        k AS (SELECT h.*, coalesce(fw.kind, CASE WHEN n = 2 AND m1 AND s2 THEN 'COMPRESSED_VERB_CANDIDATE' WHEN n < 3 THEN 'UNDERLICENSED_SHORT_SURFACE' WHEN n = 3 AND pre AND vl THEN 'AMBIGUOUS' WHEN c >= 2 THEN 'ROOT_ELIGIBLE' ELSE 'NON_VERBAL_SURFACE' END) AS kind
-              FROM h JOIN a USING (id) LEFT JOIN fw ON word = regexp_replace(replace(surface, 'آ', 'ءَا'), '[أإؤئ]', 'ء', 'g')),
+        k AS (SELECT h.*, coalesce(fw.kind, CASE WHEN n = 2 AND m1 AND s2 THEN 'COMPRESSED_VERB_CANDIDATE' WHEN coalesce(n, 0) < 3 THEN 'UNDERLICENSED_SHORT_SURFACE' WHEN n = 3 AND pre AND vl THEN 'AMBIGUOUS' WHEN c >= 2 THEN 'ROOT_ELIGIBLE' ELSE 'NON_VERBAL_SURFACE' END) AS kind
+              FROM h LEFT JOIN a USING (id) LEFT JOIN fw ON word = regexp_replace(replace(surface, 'آ', 'ءَا'), '[أإؤئ]', 'ء', 'g')),
         s AS (SELECT *, (length(surface) >= 5 AND regexp_matches(surface, '^[أإا]') AND contains(surface[4:], 'ا') AND regexp_matches(surface, '[ُِ]$')) OR regexp_matches(surface, '[ًٌٍ]$') AS noun,
               length(surface) >= 4 AND regexp_matches(surface, '^[يتنأ][َُ][^واي]') AND surface NOT LIKE '%ى' AND NOT (length(surface) >= 5 AND surface[1:2] IN ('أَ', 'إِ') AND surface[3] = 'ل' AND contains(surface[3:6], 'ّ')) AS verb,
               regexp_matches(surface, '({"|".join(boundary.NOMINAL_TAILS)})$') AS tail, (length(surface) >= 4 AND regexp_matches(surface, '[ُِ]$')) OR (length(surface) >= 3 AND regexp_matches(surface, '[ُِ]ّ$')) AS mark FROM k),
@@ -125,8 +125,8 @@ ORACLES = {
     "glyph_traces": f"""WITH {_GLYPHS} SELECT id, (i - 1)::INT AS pos, base, marks, kind, (stop - n)::INT AS start, stop::INT AS stop, CASE WHEN kind IN ({_list(glyphs.LICENSED)}) THEN 'PASS' ELSE 'BLOCK' END AS verdict,
         contains(marks, 'ْ') OR NOT regexp_matches(marks, '[ً-ِ]') AS vowelless, nullif(marks[1], '') AS first_mark FROM k""",
     "glyph_shapes": f"""WITH {_GLYPHS}, b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS j, count(*) OVER (PARTITION BY id) AS c FROM k WHERE kind <> 'TATWEEL'),
-        f AS (SELECT id, max(CASE WHEN j = c THEN base END) AS last, max(c) AS c, max(CASE WHEN j = 1 THEN base END) AS b1, max(CASE WHEN j = 2 THEN base END) AS b2, bool_or(j = 1 AND contains(marks, 'َ') AND {_VOWEL.format(m='marks')}) AS fatha, bool_or(j = 2 AND contains(marks, 'ْ')) AS sukun FROM b GROUP BY id)
-        SELECT id, last, c >= 4 AND b1 IN ('ي', 'ت') AND fatha AND sukun AS imperfect, c >= 3 AND b1 <> 'ي' AND fatha AND NOT (b1 = 'ء' AND b2 = 'ل') AS dual FROM f""",
+        f AS (SELECT id, max(CASE WHEN j = c THEN base END) AS last, max(c) AS c, max(CASE WHEN j = 1 THEN base END) AS b1, max(CASE WHEN j = 2 THEN base END) AS b2, bool_or(j = 1 AND contains(marks, 'َ') AND {_VOWEL.format(m='marks')}) AS fatha, bool_or(j = 2 AND contains(marks, 'ْ') AND NOT regexp_matches(marks, '[\u064b-\u0651]')) AS sukun FROM b GROUP BY id)
+        SELECT w.id, last, coalesce(c >= 4 AND b1 IN ('ي', 'ت') AND fatha AND sukun, false) AS imperfect, coalesce(c >= 3 AND b1 <> 'ي' AND fatha AND NOT (b1 = 'ء' AND b2 = 'ل'), false) AS dual FROM w LEFT JOIN f USING (id)""",
     "word_capabilities": f"""WITH {values('r', _RECORD, RECORDS)}, {_FEATURES}, {values('wc', 'cls, ar, en', capabilities.WORD_CLASSES)}, {values('op', 'word, kind', list(_OPS.items()))},
         known AS (SELECT *, nullif(word_class, 'UNKNOWN') AS cls, contains(upper(coalesce(verdict, '')), 'ACCEPT') AS ok FROM r),
         ops AS (SELECT r.id, surface, coalesce(a.kind, b.kind, CASE WHEN word_class LIKE 'HARF%' THEN 'PARTICLE:' || word_class END) AS kind FROM r LEFT JOIN op a ON a.word = surface LEFT JOIN op b ON b.word = regexp_replace(surface, '{_M}', '', 'g')),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arabic
 from tessella.operators import morphology
-from tessella.plans.inputs import arabic_words, arabic_words_sql, rows, values
+from tessella.plans.inputs import arabic_roots, arabic_roots_sql, arabic_words, arabic_words_sql, pick, pick_sql, rows, table, values
 
 WORDS = list(
     enumerate(
@@ -16,10 +16,15 @@ WORDS = list(
     )
 )
 ROOTS = [("ك", "ت", "ب"), ("ر", "د", "د"), ("ق", "و", "ل"), ("ب", "ي", "ع"), ("د", "ع", "و"), ("ر", "م", "ي"), ("و", "ج", "د"), ("ي", "س", "ر"), ("و", "ق", "ي"), ("ط", "و", "ي"), ("ء", "ك", "ل"), ("س", "ء", "ل"), ("ق", "ر", "ء"), ("ف", "ت", "ح"), ("ع", "ل", "م")]
-VERBS = [(r, b) for r in ROOTS for b in ("BAB_I_NASARA", "BAB_III_FATAHA", "BAB_IV_SAMIA", "BAB_FORM_II")]
+BABS = ["BAB_I_NASARA", "BAB_III_FATAHA", "BAB_IV_SAMIA", "BAB_FORM_II"]
+#: How a root's verb class, pattern and ending are told by its letters, in queries that need some of each.
+_BAB, _PATTERN, _ENDING = "ascii(substr(root, 1, 1))", "ascii(substr(root, 2, 1))", "ascii(substr(root, 3, 1))"
+_ENDS = ["", "تْ", "", "ةٌ", "نَا"]
+_PATTERNS = [p[1] for p in morphology.PATTERNS]
 ALIGNED = [(1, "كَتَبَ", "كتب"), (2, "كَتَّبَ", "كتب"), (3, "كَتَبَتْ", "كتب"), (4, "كَاتِبَةٌ", "كتب"), (5, "عَلِمَ", "علم"), (6, "اِسْتَخْرَجَ", "خرج"), (7, "أَكْرَمَ", "كرم"), (8, "كِتَاب", "كتب"), (9, "اِجْتَمَعَ", "جمع"), (10, "مَكْتُوب", "كتب")]
-EVIDENCE = [(1, arabic.FATHA, arabic.DAMMA), (2, arabic.FATHA, None), (3, arabic.KASRA, None), (4, arabic.DAMMA, arabic.DAMMA), (5, arabic.DAMMA, arabic.KASRA)]
-DERIVED = [(1, "MUJARRAD", "TRANSITIVE"), (2, "MUJARRAD", "INTRANSITIVE"), (3, "AUGMENTED", "TRANSITIVE"), (4, "AUGMENTED", "INTRANSITIVE")]
+#: Vowels of a past and of an imperfect, families and transitivities, by numbers that parts have.
+_PAST, _IMPERFECT = [arabic.FATHA, arabic.KASRA, arabic.DAMMA], [arabic.FATHA, arabic.KASRA, arabic.DAMMA, None]
+_FAMILY, _TRANSITIVE = ["MUJARRAD", "AUGMENTED"], ["TRANSITIVE", "INTRANSITIVE", "TRANSITIVE"]
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,37 +67,51 @@ def root_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("id", morphology.analyze_root(F.col("surface")).alias("r")).select("id", "r.*")
 
 
+def _root_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arabic_roots(spark, sf_dir, ROOTS).select(F.split("root", "").alias("root"), F.col("root").alias("word"))
+
+
 def root_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = rows(spark, "root array<string>", [(list(r),) for r in ROOTS])
-    return roots.select(F.concat_ws("", "root").alias("root"), morphology.root_class(F.col("root")).alias("class"))
+    return _root_letters(spark, sf_dir).select(F.col("word").alias("root"), morphology.root_class(F.col("root")).alias("class"))
+
+
+def _verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verb of each root, and those of the listed roots in all classes."""
+    own = arabic_roots(spark, sf_dir, []).select("root", pick(_BAB, BABS).alias("bab_id"))
+    return own.unionByName(rows(spark, "root string, bab_id string", [("".join(r), b) for r in ROOTS for b in BABS])).distinct().select(F.split("root", "").alias("root"), "bab_id")
 
 
 def verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = morphology.conjugate(rows(spark, "root array<string>, bab_id string", [(list(r), b) for r, b in VERBS]))
-    return forms.withColumn("root", F.concat_ws("", "root"))
+    return morphology.conjugate(_verbs(spark, sf_dir)).withColumn("root", F.concat_ws("", "root"))
 
 
 def imperatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vowels = rows(spark, "bab_id string, past string, vowel string", morphology.CLASS_VOWELS)
-    verbs = rows(spark, "root array<string>, bab_id string", [(list(r), b) for r, b in VERBS]).join(F.broadcast(vowels), "bab_id")
+    verbs = _verbs(spark, sf_dir).join(F.broadcast(vowels), "bab_id")
     return verbs.select(F.concat_ws("", "root").alias("root"), "bab_id", morphology.imperative(F.col("root"), F.col("vowel")).alias("surface"))
 
 
-def _hosts(spark: SparkSession) -> DataFrame:
-    return rows(spark, "word_id int, host string, letters string", ALIGNED).withColumn("root", F.filter(F.split("letters", ""), lambda x: x != ""))
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``word_id, host, letters, root``: each root in a pattern with an ending, and listed words."""
+    own = arabic_roots(spark, sf_dir, []).select(F.col("root").alias("word_id"), F.concat(F.translate(pick(_PATTERN, _PATTERNS), "فعل", "123"), pick(_ENDING, _ENDS)).alias("host"), F.col("root").alias("letters"))
+    for k in (1, 2, 3):
+        own = own.withColumn("host", F.replace("host", F.lit(str(k)), F.substring("letters", k, 1)))
+    more = rows(spark, "word_id string, host string, letters string", [(f"word {k}", h, r) for k, h, r in ALIGNED])
+    return own.unionByName(more).withColumn("root", F.split("letters", ""))
 
 
 def aligned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = rows(spark, "wazn_id string, pattern string, family string, evidence_rank int", morphology.PATTERNS)
-    return morphology.align_patterns(_hosts(spark), patterns, "word_id", "host", "root")
+    return morphology.align_patterns(hosts(spark, sf_dir), patterns, "word_id", "host", "root")
 
 
 def decided_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.decide_pattern(_hosts(spark), aligned_patterns(spark, sf_dir), "word_id")
+    return morphology.decide_pattern(hosts(spark, sf_dir), aligned_patterns(spark, sf_dir), "word_id")
 
 
 def verb_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verbs = rows(spark, "verb_id int, past_vowel string, imperfect_vowel string", EVIDENCE)
+    """Parts as verbs: their size and the length of their name tell which vowels are attested."""
+    verbs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("verb_id"), pick("p_size", _PAST).alias("past_vowel"), pick("length(p_name)", _IMPERFECT).alias("imperfect_vowel"))
     return morphology.class_candidates(verbs, rows(spark, "bab_id string, past_vowel string, imperfect_vowel string", morphology.CLASS_VOWELS))
 
 
@@ -114,7 +133,8 @@ def augmented_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.derived_nouns(rows(spark, "verb_id int, family string, transitivity string", DERIVED))
+    verbs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("verb_id"), pick("p_size", _FAMILY).alias("family"), pick("length(p_name)", _TRANSITIVE).alias("transitivity"))
+    return morphology.derived_nouns(verbs)
 
 
 _AUTOMATON = """WITH RECURSIVE t(state, elem, next) AS (SELECT * FROM (VALUES ('', 'C', 'C'), ('C', 'V', 'CV'), ('CV', 'V', 'CVV'), ('CV', 'C', 'CVC'), ('CVV', 'C', 'CVVC'), ('CVC', 'C', 'CVCC'), ('CVVC', 'C', 'CVVCC'),
@@ -139,18 +159,21 @@ _W = arabic_words_sql(WORDS)
 _BARE = f"regexp_replace({{c}}, '{_M}', '', 'g')"
 _UNITS = f"""{_W}, u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT id, regexp_extract_all({_SHADDA.format(c='surface')}, '{_B}{_M}*') AS x FROM w)),
   ph AS (SELECT id, i, n, u, u[1] AS char, u[2:] AS marks, CASE WHEN u[1] IN ('ا', 'ى') OR (u[1] IN ('و', 'ي') AND NOT regexp_matches(u, '[ً-ِ]')) THEN 'VL' WHEN regexp_matches(u, '[ً-ِ]') THEN 'M' ELSE 'S' END AS role FROM u)"""
-_ALIGN = f"""{values('w', 'word_id, host, letters', ALIGNED)}, {values('p', 'wazn_id, pattern, family, evidence_rank', morphology.PATTERNS)},
-  f AS (SELECT *, {_HOST.format(c='host')} AS h, {_HOST.format(c="replace(replace(replace(translate(pattern, 'فعل', '123'), '1', letters[1]), '2', letters[2]), '3', letters[3])")} AS form FROM w, p),
+HOSTS = f"""{arabic_roots_sql([])}, {values('listed', 'word_id, host, letters', [(f"word {k}", h, x) for k, h, x in ALIGNED])},
+  hw AS (SELECT root AS word_id, replace(replace(replace(translate({pick_sql(_PATTERN, _PATTERNS)}, 'فعل', '123'), '1', c1), '2', c2), '3', c3) || {pick_sql(_ENDING, _ENDS)} AS host, root AS letters FROM r UNION ALL SELECT * FROM listed)"""
+_ALIGN = f"""{HOSTS}, {values('p', 'wazn_id, pattern, family, evidence_rank', morphology.PATTERNS)},
+  f AS (SELECT *, {_HOST.format(c='host')} AS h, {_HOST.format(c="replace(replace(replace(translate(pattern, 'فعل', '123'), '1', letters[1]), '2', letters[2]), '3', letters[3])")} AS form FROM hw, p),
   a AS (SELECT *, h[length(form) + 1:] AS rest FROM f WHERE starts_with(h, form)),
   al AS (SELECT word_id, wazn_id, family, evidence_rank, CASE WHEN rest = '' THEN 'clean' WHEN regexp_full_match(rest, '(تْ)+') THEN 'inflectional' WHEN contains(rest, 'ة') THEN 'nominal' END AS ending FROM a)"""
 _TENSE = f"""{_W}, s AS (SELECT id, surface, CASE WHEN regexp_matches(surface, '^[وف]َ.{{4}}') THEN surface[3:] ELSE surface END AS s, {_BARE.format(c='surface')} AS bare FROM w),
   t AS (SELECT *, CASE WHEN regexp_matches(s, '^[أء]َ.ْ.*وا$') THEN 'IMPERATIVE' WHEN regexp_matches(s, '^[يتن][َُ].ْ') OR regexp_matches(s, '^أ[َُ].ْ') THEN 'IMPERFECT'
     WHEN regexp_matches(s, '^ا[ُِ]?[^ل]ْ') AND NOT regexp_matches({_BARE.format(c='s')}, '^.{{3,}}ان$') THEN 'IMPERATIVE' ELSE 'PAST' END AS tense FROM s)"""
-_ROOTV = values("r", "root, c1, c2, c3", [("".join(r), *r) for r in ROOTS])
+_ROOTV = arabic_roots_sql(ROOTS)
 _CLASS = """CASE WHEN c2 = c3 AND c2 NOT IN ('و', 'ي', 'ا', 'ى') THEN 'GEMINATED' WHEN c1 IN ('و', 'ي') AND c3 IN ('و', 'ي') THEN 'LAFIF_MAFRUQ' WHEN c2 IN ('و', 'ي') AND c3 IN ('و', 'ي') THEN 'LAFIF_MAQRUN'
   WHEN c2 = 'و' THEN 'HOLLOW_WAW' WHEN c2 = 'ي' THEN 'HOLLOW_YAA' WHEN c3 = 'و' THEN 'DEFECTIVE_WAW' WHEN c3 IN ('ي', 'ى') THEN 'DEFECTIVE_YAA' WHEN c1 = 'و' THEN 'ASSIMILATED_WAW' WHEN c1 = 'ي' THEN 'ASSIMILATED_YAA'
   WHEN c1 = 'ء' THEN 'HAMZATED_C1' WHEN c2 = 'ء' THEN 'HAMZATED_C2' WHEN c3 = 'ء' THEN 'HAMZATED_C3' ELSE 'SOUND' END"""
-_VERBS = f"""{values('v', 'root, c1, c2, c3, bab_id', [("".join(r), *r, b) for r, b in VERBS])}, {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, vk AS (SELECT v.*, pv, iv, {_CLASS} AS class FROM v LEFT JOIN k USING (bab_id))"""
+_VERBS = f"""{arabic_roots_sql([])}, {values('extra', 'root, bab_id', [("".join(r), b) for r in ROOTS for b in BABS])},
+  v AS (SELECT root, root[1] AS c1, root[2] AS c2, root[3] AS c3, bab_id FROM (SELECT root, {pick_sql(_BAB, BABS)} AS bab_id FROM r UNION SELECT * FROM extra)), {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, vk AS (SELECT v.*, pv, iv, {_CLASS} AS class FROM v LEFT JOIN k USING (bab_id))"""
 _ENDINGS = values("e", "tense, mood, person, number, gender, mark, tail, prefix, special, kind, rest", morphology._forms())
 _FILL = "replace(replace(replace(replace(replace(replace(replace(replace(template, '1', c1), '2', c2), '3', c3), 'p', coalesce(pv, '')), 'i', coalesce(iv, '')), 'P', coalesce(prefix, '')), 'm', mark), 't', tail)"
 _SEATS = "regexp_replace(replace(regexp_replace(regexp_replace({c}, '(ِّ?)ء([َُ])', '\\1ئ\\2', 'g'), 'ء([َُ])', 'أ\\1', 'g'), 'ءِ', 'ئِ'), 'ء([^ْ])', 'أ\\1', 'g')"
@@ -198,8 +221,8 @@ ORACLES = {
         SELECT root, bab_id, {_SEATS.format(c=_FILL)} AS surface FROM y""",
     "aligned_patterns": f"WITH {_ALIGN} SELECT * FROM al WHERE ending IS NOT NULL",
     "decided_patterns": f"""WITH {_ALIGN}, d AS (SELECT word_id, count(*) FILTER (ending IN ('clean', 'inflectional')) AS n, string_agg(wazn_id, ',' ORDER BY evidence_rank, wazn_id) AS candidates FROM al WHERE ending IS NOT NULL GROUP BY word_id)
-        SELECT word_id, CASE WHEN n = 1 THEN 'ACCEPT' WHEN n IS NOT NULL THEN 'DEFER' ELSE 'BLOCK' END AS verdict, coalesce(candidates, '') AS candidates FROM w LEFT JOIN d USING (word_id)""",
-    "verb_class_candidates": f"""WITH {values('v', 'verb_id, p, i', EVIDENCE)}, {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, j AS (SELECT verb_id, bab_id FROM v LEFT JOIN k ON pv = p AND (i IS NULL OR iv = i))
+        SELECT word_id, CASE WHEN n = 1 THEN 'ACCEPT' WHEN n IS NOT NULL THEN 'DEFER' ELSE 'BLOCK' END AS verdict, coalesce(candidates, '') AS candidates FROM hw LEFT JOIN d USING (word_id)""",
+    "verb_class_candidates": f"""WITH v AS (SELECT p_partkey AS verb_id, {pick_sql('p_size', _PAST)} AS p, {pick_sql('length(p_name)', _IMPERFECT)} AS i FROM part), {values('k', 'bab_id, pv, iv', morphology.CLASS_VOWELS)}, j AS (SELECT verb_id, bab_id FROM v LEFT JOIN k ON pv = p AND (i IS NULL OR iv = i))
         SELECT verb_id, CASE count(bab_id) WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'ACCEPT' ELSE 'DEFER' END AS directive, coalesce(string_agg(bab_id, ',' ORDER BY bab_id), '') AS babs FROM j GROUP BY verb_id""",
     "tenses": f"WITH {_TENSE} SELECT id, tense FROM t",
     "past_features": f"""WITH {_TENSE}, {values('e', 'rank, ending, vocal, png', [(k, text, int(vocal), png) for k, (text, vocal, png) in enumerate(morphology.past_endings())])},
@@ -219,7 +242,7 @@ ORACLES = {
           WHEN regexp_matches(bare, '(ين|ي)$') AND bare[1] = 'ت' AND length(bare) > 4 THEN ['2SGF'] WHEN bare LIKE '%ان' AND bare[1] = 'ت' THEN ['2DUM', '3DUF'] WHEN bare LIKE '%ان' THEN ['3DUM']
           WHEN surface LIKE '%ْنَ' THEN [CASE bare[1] WHEN 'ت' THEN '2PLF' ELSE '3PLF' END] WHEN bare[1] = 'ت' THEN ['2SGM', '3SGF'] ELSE ['3SGM'] END) AS png FROM t WHERE tense = 'IMPERFECT')
         SELECT id, png[1] AS person, png[2:3] AS number, png[4] AS gender FROM p""",
-    "derived_nouns": f"""WITH {values('v', 'verb_id, family, transitivity', DERIVED)}, {values('e', 'kind, family, transitivity, verdict', morphology.ELIGIBLE)}, f AS (SELECT verb_id, kind, verdict, count(*) FILTER (verdict = 'ACCEPT') OVER (PARTITION BY verb_id) AS n_accepted FROM v JOIN e USING (family, transitivity))
+    "derived_nouns": f"""WITH v AS (SELECT p_partkey AS verb_id, {pick_sql('p_size', _FAMILY)} AS family, {pick_sql('length(p_name)', _TRANSITIVE)} AS transitivity FROM part), {values('e', 'kind, family, transitivity, verdict', morphology.ELIGIBLE)}, f AS (SELECT verb_id, kind, verdict, count(*) FILTER (verdict = 'ACCEPT') OVER (PARTITION BY verb_id) AS n_accepted FROM v JOIN e USING (family, transitivity))
         SELECT verb_id, kind, verdict, CASE WHEN n_accepted = 8 THEN 'ACCEPT' WHEN n_accepted > 0 THEN 'PARTIAL_ACCEPT' ELSE 'DEFER' END AS overall, n_accepted FROM f""",
     "accepted_strings": _AUTOMATON.format(text="VARCHAR"),
 }

@@ -58,13 +58,47 @@ def arabic_words(spark: SparkSession, sf_dir: str, more: list[tuple[int, str]])
     docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(text.words(F.regexp_replace(F.lower("text"), _LETTERS, " "))).alias("id")).distinct()
     own = words.select("id", F.translate("id", LATIN, ARABIC).alias("surface"))
+    if not more:
+        return own
     return own.unionByName(rows(spark, "id string, surface string", [(f"word {k}", w) for k, w in more]))
 
 
 def arabic_words_sql(more: list[tuple[int, str]]) -> str:
     """The same for the oracle, as a table ``w``."""
+    own = values("own", "id, surface", [(f"word {k}", w) for k, w in more]) if more else "own AS (SELECT '' AS id, '' AS surface WHERE false)"
     return (
-        values("own", "id, surface", [(f"word {k}", w) for k, w in more])
+        own
         + f""", w AS (SELECT id, translate(id, '{LATIN}', '{ARABIC}') AS surface FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '{_LETTERS}', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS id FROM documents)
     UNION ALL SELECT * FROM own)"""
     )
+
+
+#: Letters that are no radical as they stand.
+_NO_RADICAL = "[^ء-غف-ي]|[اىآأإؤئةـ]"
+_RADICALS = f"left(regexp_replace(surface, '{_NO_RADICAL}', ''{{g}}), 3)"
+
+
+def arabic_roots(spark: SparkSession, sf_dir: str, more: list[tuple[str, str, str]]) -> DataFrame:
+    """``root``: the first three radicals of each word of ``arabic_words``, as a string; and ``more``."""
+    own = arabic_words(spark, sf_dir, []).select(F.expr(_RADICALS.format(g="")).alias("root")).where("length(root) = 3")
+    return own.union(rows(spark, "root string", [("".join(r),) for r in more])).distinct()
+
+
+def arabic_roots_sql(more: list[tuple[str, str, str]]) -> str:
+    """The same for the oracle: tables ``w`` and ``r``, this with the radicals as c1, c2 and c3."""
+    known = values("known", "root", [("".join(r),) for r in more]) if more else "known AS (SELECT '' AS root WHERE false)"
+    return (
+        arabic_words_sql([])
+        + f""", {known}, r AS (SELECT root, root[1] AS c1, root[2] AS c2, root[3] AS c3 FROM
+    (SELECT {_RADICALS.format(g=", 'g'")} AS root FROM w UNION SELECT root FROM known) WHERE length(root) = 3)"""
+    )
+
+
+def pick(number: str, items: list) -> Column:
+    """One of some values by a whole number, an expression that both engines read alike."""
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (F.expr(number) % len(items) + 1).cast("int"))
+
+
+def pick_sql(number: str, items: list) -> str:
+    quoted = ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in items)
+    return f"([{quoted}])[({number}) % {len(items)} + 1]"

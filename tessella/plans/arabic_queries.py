@@ -179,6 +179,12 @@ _FILL = "replace(replace(replace(replace(replace(replace(replace(replace(templat
 _SEATS = "regexp_replace(replace(regexp_replace(regexp_replace({c}, '(ِّ?)ء([َُ])', '\\1ئ\\2', 'g'), 'ء([َُ])', 'أ\\1', 'g'), 'ءِ', 'ئِ'), 'ء([^ْ])', 'أ\\1', 'g')"
 _L = f"string_split({_BARE.format(c=_HOST.format(c='surface'))}, '')"
 _V = "[\u064e\u064f\u0650]"
+#: The analysis of roots of a table of words: ``a(id, directive, root, residual)``.
+_ROOT_OF = f"""l AS (SELECT id, {_L} AS c FROM {{w}}), n AS (SELECT *, len(c) AS n, c[1] IN ('و', 'ي') AS f, c[2] IN ('ا', 'و') AS a, c[3] IN ('ا', 'ى', 'ي') AS l FROM l),
+        rr AS (SELECT *, CASE WHEN n < 2 THEN 'block:root:insufficient_consonants' WHEN n = 2 THEN 'defer:root:two_consonant_form_unresolved' WHEN n = 4 THEN 'defer:root:quadriliteral_beyond_scope' WHEN n > 4 THEN 'defer:root:non_standard_consonant_count'
+          WHEN f AND l AND NOT a THEN 'defer:root:lafif_mafruq_unresolved' WHEN a AND l THEN 'defer:root:lafif_maqrun_unresolved' WHEN a THEN 'defer:root:hollow_underlying_radical_unresolved' WHEN l THEN 'defer:root:defective_lam_unresolved'
+          WHEN f THEN 'defer:root:assimilated_fa_unresolved' WHEN list_contains(c, 'ا') OR list_contains(c, 'ى') THEN 'defer:root:prohibited_or_ambiguous_radical' ELSE '' END AS residual FROM n),
+        a AS (SELECT id, CASE WHEN residual = '' THEN 'ACCEPT' WHEN residual LIKE 'block%' THEN 'BLOCK' ELSE 'DEFER' END AS directive, CASE WHEN residual = '' THEN array_to_string(c, '') END AS root, residual FROM rr)"""
 #: Skeletons of the augmented forms in order; {2} marks a letter that must be the one before it, which RE2 cannot say.
 _FORMS = " ".join(
     f"WHEN regexp_matches(h, '^{p.format(v=_V, a='.', b='.')}$')" + (f" AND regexp_extract(h, '^{p.format(v=_V, a='(.)', b='.')}$', 1) = regexp_extract(h, '^{p.format(v=_V, a='.', b='(.)')}$', 1)" if "{a}" in p else "") + f" THEN '{form}'"
@@ -202,11 +208,7 @@ ORACLES = {
           FROM f JOIN x ON x.id = f.id AND x.i = f.i + 1),
         z AS (SELECT f.id, CASE WHEN pat = '' THEN done ELSE list_append(done, pat) END AS s FROM f JOIN (SELECT id, max(i) AS n FROM ph GROUP BY id) m ON m.id = f.id AND f.i = m.n)
         SELECT w.id, coalesce(array_to_string(s, '.'), '') AS patterns, CASE WHEN s IS NULL THEN 'DEFER' WHEN len(list_filter(s, lambda p: p NOT IN ('WASL', 'FARQA', 'C', 'CV', 'CVV', 'CVC', 'CVVC', 'CVCC', 'CVVCC'))) > 0 THEN 'BLOCK' WHEN list_contains(s, 'C') THEN 'DEFER' ELSE 'ACCEPT' END AS verdict FROM w LEFT JOIN z ON z.id = w.id""",
-    "root_analysis": f"""WITH {_W}, l AS (SELECT id, {_L} AS c FROM w), n AS (SELECT *, len(c) AS n, c[1] IN ('و', 'ي') AS f, c[2] IN ('ا', 'و') AS a, c[3] IN ('ا', 'ى', 'ي') AS l FROM l),
-        r AS (SELECT *, CASE WHEN n < 2 THEN 'block:root:insufficient_consonants' WHEN n = 2 THEN 'defer:root:two_consonant_form_unresolved' WHEN n = 4 THEN 'defer:root:quadriliteral_beyond_scope' WHEN n > 4 THEN 'defer:root:non_standard_consonant_count'
-          WHEN f AND l AND NOT a THEN 'defer:root:lafif_mafruq_unresolved' WHEN a AND l THEN 'defer:root:lafif_maqrun_unresolved' WHEN a THEN 'defer:root:hollow_underlying_radical_unresolved' WHEN l THEN 'defer:root:defective_lam_unresolved'
-          WHEN f THEN 'defer:root:assimilated_fa_unresolved' WHEN list_contains(c, 'ا') OR list_contains(c, 'ى') THEN 'defer:root:prohibited_or_ambiguous_radical' ELSE '' END AS residual FROM n)
-        SELECT id, CASE WHEN residual = '' THEN 'ACCEPT' WHEN residual LIKE 'block%' THEN 'BLOCK' ELSE 'DEFER' END AS directive, CASE WHEN residual = '' THEN array_to_string(c, '') END AS root, residual FROM r""",
+    "root_analysis": f"""WITH {_W}, {_ROOT_OF.format(w='w')} SELECT * FROM a""",
     "root_classes": f"WITH {_ROOTV} SELECT root, {_CLASS} AS class FROM r",
     "verb_forms": f"""WITH {_VERBS}, {_ENDINGS}, vo AS (SELECT unnest(['ACTIVE', 'PASSIVE']) AS voice), {values("st", "stem, tense, voice, key, template", morphology.STEMS)},
         x AS (SELECT vk.*, CASE WHEN class LIKE 'HAMZATED%' THEN 'SOUND' ELSE class END AS stem, e.*, voice FROM vk, e, vo),

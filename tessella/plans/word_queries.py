@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import boundary, clitics, entry_rules, glyphs
 from tessella.operators import capabilities
 from tessella.plans.arabic_queries import _B, _M, _OM, _SHADDA, WORDS
-from tessella.plans.inputs import arabic_words, arabic_words_sql, rows, values
+from tessella.plans.inputs import arabic_words, arabic_words_sql, pick, pick_sql, rows, table, values
 
 #: Words as a reader takes them apart: surface, proclitics, article, host, enclitic, rule.
 SEGMENTED = [
@@ -24,20 +24,24 @@ SEGMENTED = [
     ("بِدَيْنٍ", "بِ", None, "دَيْنٍ", None, "PROCLITIC_INVENTORY"), ("هَذَا", "", None, "هَذَا", None, "LEXICALLY_PROTECTED_HOST"), ("كِتَابُنَا", "", None, "كِتَابُ", "نَا", "ENCLITIC_INVENTORY"), ("فَبِالْحَقِّ", "فَ+بِ", "الْ", "حَقِّ", None, "PROCLITIC_INVENTORY"),
     ("وَهُوَ", "وَ", None, "هُوَ", None, "PROCLITIC_PLUS_PROTECTED_HOST"), ("أَوْ", "", None, "أَوْ", None, "OPERATOR_WHOLE_TOKEN"), ("وَلَا", "وَ", None, "لَا", None, "PROCLITIC_PLUS_OPERATOR_HOST"), ("لَنَا", "", None, "لَنَا", None, "NO_CLITIC_FOUND"),
 ]
-#: Records of words: id, surface, class, verdict, error, number, person, gender, article, definiteness, state, irab, derivation, root, pattern, verbal noun.
-RECORDS = [
-    (1, "كَتَبَ", "FI3L_MADI", "ACCEPTED", None, "SG", "3", "M", False, None, None, None, None, "كتب", "فَعَلَ", None),
-    (2, "الْكِتَابُ", "ISM", "ACCEPTED", None, "SINGULAR", None, "MASC", True, None, "MURAB", "NOM", "JAMID", "كتب", None, None),
-    (3, "مِنْ", "HARF_JAR", "ACCEPTED", None, None, None, None, False, None, None, None, None, None, None, None),
-    (4, "إِذَا", "HARF_SHART", "ACCEPTED", None, None, None, None, None, None, None, None, None, None, None, None),
-    (5, "كَاتِبَانِ", "ISM_FAIL", "DEFERRED", None, "2", None, "M", False, "NAKED", "MURAB", "NOMINATIVE", "MUSHTAQ", "كتب", "فَاعِل", None),
-    (6, "يَكْتُبُ", "FI3L_MUDARI", "ACCEPT", None, "2", "3", "M", False, None, "MURAB", "ODD", None, None, None, "كِتَابَة"),
-    (7, "كَلَام", "UNKNOWN", None, None, "3", None, "F", True, "CONSTRUCT", None, "GEN", "FROZEN", "كلم", None, None),
-    (8, "فَ", None, None, "no host", None, None, None, None, None, None, None, None, None, None, None),
-    (9, "يَا", "HARF_NIDA", "ACCEPTED", None, None, None, "COMMON", None, "OTHER", None, None, "ODD", None, None, None),
-    (10, "بَعْضُ", "HARFX", "ACCEPTED", None, "7", None, "X", None, None, None, None, None, None, None, None),
-]
-_RECORD = "id, surface, word_class, verdict, error, number, person, gender, article, definiteness, state, irab, derivation, root, pattern, verbal_noun"
+#: What a part's numbers choose for each field of a word's record.
+RECORD = {
+    "surface": ("p_size", ["كَتَبَ", "الْكِتَابُ", "مِنْ", "إِذَا", "كَاتِبَانِ", "يَكْتُبُ", "كَلَام", "فَ", "يَا", "بَعْضُ"]),
+    "word_class": ("p_size + length(p_name)", ["FI3L_MADI", "ISM", "HARF_JAR", "HARF_SHART", "ISM_FAIL", "FI3L_MUDARI", "UNKNOWN", None, "HARF_NIDA", "HARFX"]),
+    "verdict": ("length(p_name)", ["ACCEPTED", "DEFERRED", "ACCEPT", None, "ACCEPTED"]),
+    "error": ("length(p_type) + p_size", [None, None, None, "no host", None, ""]),
+    "number": ("length(p_type)", ["SG", "SINGULAR", None, "2", "3", "7", "PL"]),
+    "person": ("p_size + length(p_type)", [None, "3", "1", None]),
+    "gender": ("p_size + 2 * length(p_name)", ["M", "MASC", None, "F", "COMMON", "X"]),
+    "article": ("p_size", [False, True, None]),
+    "definiteness": ("length(p_name) + 2 * length(p_type)", [None, "NAKED", "CONSTRUCT", "OTHER", None]),
+    "state": ("length(p_name)", ["MURAB", None, "MABNI"]),
+    "irab": ("p_size + 3 * length(p_type)", [None, "NOM", "NOMINATIVE", "ODD", "GEN"]),
+    "derivation": ("p_size + 3 * length(p_name)", ["JAMID", None, "MUSHTAQ", "FROZEN", "ODD"]),
+    "root": ("length(p_type)", ["كتب", "كلم", None]),
+    "pattern": ("p_size", ["فَعَلَ", None, "فَاعِل", None, None]),
+    "verbal_noun": ("p_size + length(p_name)", [None, None, None, "كِتَابَة", None]),
+}
 #: Headings: id, heading, stored root, the root it spells, reason, type, kind of its senses, chapter named, bracketed root.
 HEADINGS = [
     (1, "(جلس) الجيم واللام والسين أصل واحد", "جلس", "جلس", "already_correct", "SINGULAR", "SINGULAR", "الجيم", "جلس"),
@@ -77,8 +81,9 @@ def glyph_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = {"id": "int", "article": "boolean"}
-    return capabilities.capabilities(rows(spark, ", ".join(f"{c} {types.get(c, 'string')}" for c in _RECORD.split(", ")), RECORDS), "id")
+    """Parts as records of words."""
+    records = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(pick(number, items).alias(c) for c, (number, items) in RECORD.items()))
+    return capabilities.capabilities(records, "id")
 
 
 def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +132,7 @@ ORACLES = {
     "glyph_shapes": f"""WITH {_GLYPHS}, b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS j, count(*) OVER (PARTITION BY id) AS c FROM k WHERE kind <> 'TATWEEL'),
         f AS (SELECT id, max(CASE WHEN j = c THEN base END) AS last, max(c) AS c, max(CASE WHEN j = 1 THEN base END) AS b1, max(CASE WHEN j = 2 THEN base END) AS b2, bool_or(j = 1 AND contains(marks, 'َ') AND {_VOWEL.format(m='marks')}) AS fatha, bool_or(j = 2 AND contains(marks, 'ْ') AND NOT regexp_matches(marks, '[\u064b-\u0651]')) AS sukun FROM b GROUP BY id)
         SELECT w.id, last, coalesce(c >= 4 AND b1 IN ('ي', 'ت') AND fatha AND sukun, false) AS imperfect, coalesce(c >= 3 AND b1 <> 'ي' AND fatha AND NOT (b1 = 'ء' AND b2 = 'ل'), false) AS dual FROM w LEFT JOIN f USING (id)""",
-    "word_capabilities": f"""WITH {values('r', _RECORD, RECORDS)}, {_FEATURES}, {values('wc', 'cls, ar, en', capabilities.WORD_CLASSES)}, {values('op', 'word, kind', list(_OPS.items()))},
+    "word_capabilities": f"""WITH r AS (SELECT p_partkey AS id, {", ".join(f"{pick_sql(number, items)} AS {c}" for c, (number, items) in RECORD.items())} FROM part), {_FEATURES}, {values('wc', 'cls, ar, en', capabilities.WORD_CLASSES)}, {values('op', 'word, kind', list(_OPS.items()))},
         known AS (SELECT *, nullif(word_class, 'UNKNOWN') AS cls, contains(upper(coalesce(verdict, '')), 'ACCEPT') AS ok FROM r),
         ops AS (SELECT r.id, surface, coalesce(a.kind, b.kind, CASE WHEN word_class LIKE 'HARF%' THEN 'PARTICLE:' || word_class END) AS kind FROM r LEFT JOIN op a ON a.word = surface LEFT JOIN op b ON b.word = regexp_replace(surface, '{_M}', '', 'g')),
         refs AS (SELECT id, CASE WHEN verbal_noun IS NOT NULL THEN verbal_noun WHEN root IS NOT NULL AND pattern IS NOT NULL THEN root || ' (' || pattern || ')' ELSE root END AS form, CASE WHEN verbal_noun IS NOT NULL THEN 'masdar:' || verbal_noun WHEN pattern IS NOT NULL THEN 'root:' || root || ' pattern:' || pattern ELSE 'root:' || root END AS label,

@@ -1,4 +1,4 @@
-"""Words taken apart and routed, glyph traces, capabilities, headings: fixtures that both sides share."""
+"""Words taken apart and routed, glyph traces, capabilities, headings, over the words of documents in Arabic letters."""
 
 from __future__ import annotations
 
@@ -8,22 +8,16 @@ from pyspark.sql import functions as F
 from tessella.functions import boundary, clitics, entry_rules, glyphs
 from tessella.operators import capabilities
 from tessella.plans.arabic_queries import _B, _M, _OM, _SHADDA, WORDS
-from tessella.plans.inputs import arabic_words, arabic_words_sql, pick, pick_sql, rows, table, values
-
-#: Words as a reader takes them apart: surface, proclitics, article, host, enclitic, rule.
-SEGMENTED = [
-    ("وَالْكِتَابُ", "وَ", "الْ", "كِتَابُ", None, "PROCLITIC_INVENTORY"), ("فَلْيَكْتُبْ", "فَ+لْ", None, "يَكْتُبْ", None, "PROCLITIC_INVENTORY"), ("بِالْعَدْلِ", "بِ", "الْ", "عَدْلِ", None, "PROCLITIC_INVENTORY"),
-    ("كَاتِبٌ", "", None, "كَاتِبٌ", None, "NO_CLITIC_FOUND"), ("لِلنَّاسِ", "لِ", "ل", "نَّاسِ", None, "CONTRACTED_LI_PLUS_AL"), ("سَيَقُولُ", "سَ", None, "يَقُولُ", None, "PROCLITIC_INVENTORY"),
-    ("سَفِيهًا", "", None, "سَفِيهًا", None, "NO_CLITIC_FOUND"), ("كِتَابُهُ", "", None, "كِتَابُ", "هُ", "ENCLITIC_INVENTORY"), ("كِتَابُهَا", "", None, "كِتَابُ", "هَا", "ENCLITIC_INVENTORY"),
-    ("مِنْهُ", "", None, "مِنْ", "هُ", "ENCLITIC_INVENTORY"), ("عَلَيْهِمْ", "", None, "عَلَيْ", "هِمْ", "ENCLITIC_INVENTORY"), ("وَاللَّهُ", "وَ", None, "اللَّهُ", None, "PROCLITIC_PLUS_PROTECTED_HOST"),
-    ("اللَّهُ", "", None, "اللَّهُ", None, "LEXICALLY_PROTECTED_HOST"), ("بِهِ", "", None, "بِهِ", None, "NO_CLITIC_FOUND"), ("فَقِيرٌ", "", None, "فَقِيرٌ", None, "NO_CLITIC_FOUND"), ("وَعَدَ", "", None, "وَعَدَ", None, "NO_CLITIC_FOUND"),
-    ("يَكُونَا", "", None, "يَكُونَا", None, "NO_CLITIC_FOUND"), ("كَتَبُوا", "", None, "كَتَبُوا", None, "NO_CLITIC_FOUND"), ("يَكْتُبُونَ", "", None, "يَكْتُبُونَ", None, "NO_CLITIC_FOUND"), ("بَيْنَكُمْ", "", None, "بَيْنَ", "كُمْ", "ENCLITIC_INVENTORY"),
-    ("فَاكْتُبُوهُ", "فَ", None, "اكْتُبُو", "هُ", "PROCLITIC_INVENTORY"), ("وَلِيُّهُ", "", None, "وَلِيُّ", "هُ", "ENCLITIC_INVENTORY"), ("الشَّمْسُ", "", "ال", "شَّمْسُ", None, "DEFINITE_ARTICLE_PATTERN"),
-    ("الْكِتَابَ", "", "الْ", "كِتَابَ", None, "DEFINITE_ARTICLE_PATTERN"), ("رَبَّهُ", "", None, "رَبَّ", "هُ", "ENCLITIC_INVENTORY"), ("مِنْ", "", None, "مِنْ", None, "OPERATOR_WHOLE_TOKEN"), ("وَمِنْ", "وَ", None, "مِنْ", None, "PROCLITIC_PLUS_OPERATOR_HOST"),
-    ("بِكُمْ", "بِ", None, None, "كُمْ", "CLITIC_ONLY_CONSTRUCTION"), ("سَمِعَ", "", None, "سَمِعَ", None, "NO_CLITIC_FOUND"), ("فُسُوقٌ", "", None, "فُسُوقٌ", None, "NO_CLITIC_FOUND"), ("وَسَيَعْلَمُ", "وَ+سَ", None, "يَعْلَمُ", None, "PROCLITIC_INVENTORY"),
-    ("بِدَيْنٍ", "بِ", None, "دَيْنٍ", None, "PROCLITIC_INVENTORY"), ("هَذَا", "", None, "هَذَا", None, "LEXICALLY_PROTECTED_HOST"), ("كِتَابُنَا", "", None, "كِتَابُ", "نَا", "ENCLITIC_INVENTORY"), ("فَبِالْحَقِّ", "فَ+بِ", "الْ", "حَقِّ", None, "PROCLITIC_INVENTORY"),
-    ("وَهُوَ", "وَ", None, "هُوَ", None, "PROCLITIC_PLUS_PROTECTED_HOST"), ("أَوْ", "", None, "أَوْ", None, "OPERATOR_WHOLE_TOKEN"), ("وَلَا", "وَ", None, "لَا", None, "PROCLITIC_PLUS_OPERATOR_HOST"), ("لَنَا", "", None, "لَنَا", None, "NO_CLITIC_FOUND"),
-]
+from tessella.plans.inputs import arabic_roots, arabic_roots_sql, arabic_words, arabic_words_sql, pick, pick_sql, rows, table, values
+
+#: Words with prefixes, articles and pronouns joined to them; the tests hold their parts.
+JOINED = list(
+    enumerate(
+        "وَالْكِتَابُ فَلْيَكْتُبْ بِالْعَدْلِ كَاتِبٌ لِلنَّاسِ سَيَقُولُ سَفِيهًا كِتَابُهُ كِتَابُهَا مِنْهُ عَلَيْهِمْ وَاللَّهُ اللَّهُ بِهِ فَقِيرٌ وَعَدَ "
+        "يَكُونَا كَتَبُوا يَكْتُبُونَ بَيْنَكُمْ فَاكْتُبُوهُ وَلِيُّهُ الشَّمْسُ الْكِتَابَ رَبَّهُ مِنْ وَمِنْ بِكُمْ سَمِعَ فُسُوقٌ وَسَيَعْلَمُ بِدَيْنٍ "
+        "هَذَا كِتَابُنَا فَبِالْحَقِّ وَهُوَ أَوْ وَلَا لَنَا".split()
+    )
+)
 #: What a part's numbers choose for each field of a word's record.
 RECORD = {
     "surface": ("p_size", ["كَتَبَ", "الْكِتَابُ", "مِنْ", "إِذَا", "كَاتِبَانِ", "يَكْتُبُ", "كَلَام", "فَ", "يَا", "بَعْضُ"]),
@@ -42,23 +36,17 @@ RECORD = {
     "pattern": ("p_size", ["فَعَلَ", None, "فَاعِل", None, None]),
     "verbal_noun": ("p_size + length(p_name)", [None, None, None, "كِتَابَة", None]),
 }
-#: Headings: id, heading, stored root, the root it spells, reason, type, kind of its senses, chapter named, bracketed root.
-HEADINGS = [
-    (1, "(جلس) الجيم واللام والسين أصل واحد", "جلس", "جلس", "already_correct", "SINGULAR", "SINGULAR", "الجيم", "جلس"),
-    (2, "(حلد) الخاء واللام والدال أصلٌ واحدٌ يدلّ", "حلد", "خلد", "ha_kha_swap_pos0:ح→خ:حلد→خلد", "SINGULAR", "SINGULAR", "الخاء", "حلد"),
-    (3, "(بتر) النون والتاء والراء أصلان", "بتر", "نتر", "first_letter_corrected:ب→ن", None, "DUAL", "النون", "بتر"),
-    (4, "(تمر) التاء والميم والدال كلمة تدل", "تمر", "تمد", "one_radical_corrected:تمر→تمد", "SINGULAR", "SINGULAR", "التاء", "تمر"),
-    (5, "(كوي) الكاف والواو والحرف المعتل أصول صحيحة", "كوي", "كو", "conflict:كوي≠كو", "MULTIPLE", "SOUND_ROOTS", "الكاف", "كوي"),
-    (6, "ليس بأصل", "قام", None, "parse_failed", "NOT_ROOT", "NONE", "", None),
-    (7, "(ع)", "", None, "parse_failed", "CHAPTER_HEADER", "NONE", "", "ع"),
-    (8, "الهمزة والراء والضاد ثلاثة أصول", "ا", "ءرض", "bad_quality:single_letter", "MULTIPLE", "TRIPLE", "الهمزة", None),
-    (9, "المين واللام والميم قد مضى ذكره", "abc", "علم", "bad_quality:non_arabic", "CROSS_REFERENCE", "NONE", "اللام", None),
-]
+#: What follows the letters of a heading, and what the catalog has stored for its root, by numbers of the root's letters.
+PHRASES = [" أصل واحد", " أصلان", " ثلاثة أصول", " كلمة تدل على", " والحرف المعتل أصول صحيحة", " ليس بأصل", " قد مضى ذكره", " كلمتان", " أصل صحيح يدل", " أصلٌ واحدٌ يدلّ", " بناء صحيح", ""]
+STORED = ["root", "root", "concat('ب', substr(root, 2, 2))", "concat('ح', substr(root, 2, 2))", "concat(substr(root, 1, 2), 'ن')", "substr(root, 1, 1)", "''", "concat('x', root)", "concat(root, root)", "substr(root, 1, 2)", "concat('خ', substr(root, 2, 2))"]
+_CODE, _OTHER = "ascii(substr(root, 1, 1)) + 2 * ascii(substr(root, 3, 1))", "ascii(substr(root, 2, 1)) + ascii(substr(root, 3, 1))"
+_FIRST_NAMES = {letter: name for name, letter in reversed(entry_rules.LETTER_NAMES)}
+_LAST_NAMES = {letter: name for name, letter in entry_rules.LETTER_NAMES}
 
 
 def word_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = rows(spark, "surface string", [(r[0],) for r in SEGMENTED])
-    found = clitics.segment(words, "surface")
+    """Words of documents taken apart; the cascade has no SQL, its parts are held by the tests."""
+    found = clitics.segment(arabic_words(spark, sf_dir, JOINED), "surface")
     whole = F.array_join(F.transform("segments", lambda x: x["surface"]), "")
     return found.select("surface", F.array_join("proclitics", "+").alias("proclitics"), "article", "host", "enclitic", "rule", (whole == F.col("surface")).alias("whole"))
 
@@ -86,10 +74,21 @@ def word_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capabilities.capabilities(records, "id")
 
 
+def _case_of(value: str, known: dict[str, str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in known.items()) + " ELSE 'كذا' END"
+
+
+#: A heading as SQL that both engines read: the root in brackets, its letters by name, and a phrase.
+_HEADING = f"concat('(', root, ') ', {_case_of('substr(root, 1, 1)', _FIRST_NAMES)}, ' و', {_case_of('substr(root, 2, 1)', _LAST_NAMES)}, ' و', {_case_of('substr(root, 3, 1)', _FIRST_NAMES)}, phrase)"
+_STORED = f"CASE ({_OTHER}) % {len(STORED)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(STORED)) + " END"
+
+
 def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = rows(spark, "id int, heading string, stored string", [r[:3] for r in HEADINGS]).withColumn("spelled", entry_rules.spelled_root(F.col("heading")))
-    r = entry_rules.repair(F.col("stored"), F.col("spelled"))
-    return h.select("id", "spelled", r["reason"].alias("reason"), entry_rules.heading_kind(F.col("heading")).alias("type"), entry_rules.senses(F.col("heading"))["kind"].alias("senses"), entry_rules.chapter_in(F.col("heading")).alias("chapter"), entry_rules.root_in_brackets(F.col("heading")).alias("bracketed"))
+    """A heading for each root of the words of documents, and what the rules read from it."""
+    known = arabic_roots(spark, sf_dir, []).withColumn("phrase", pick(_CODE, PHRASES))
+    h = known.select("root", F.expr(_HEADING).alias("heading"), F.expr(_STORED).alias("stored")).withColumn("spelled", entry_rules.spelled_root(F.col("heading")))
+    r = entry_rules.repairs(h, "stored", "spelled")
+    return r.select("root", "spelled", "repair", "reason", entry_rules.heading_kind(F.col("heading")).alias("type"), entry_rules.senses(F.col("heading"))["kind"].alias("senses"), entry_rules.chapter_in(F.col("heading")).alias("chapter"), entry_rules.root_in_brackets(F.col("heading")).alias("bracketed"))
 
 
 QUERIES = [word_segments, word_boundaries, glyph_traces, glyph_shapes, word_capabilities, heading_rules]
@@ -113,7 +112,6 @@ def _feature(capability: str, name: str, raw: str, status: str, residual: str, o
 
 
 ORACLES = {
-    "word_segments": f"WITH {values('g', 'surface, proclitics, article, host, enclitic, rule', SEGMENTED)} SELECT *, true AS whole FROM g",
     "word_boundaries": f"""WITH h AS (WITH {_W} SELECT id, surface AS given, {_HOST} AS surface FROM w), u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT id, regexp_extract_all({_SHADDA.format(c='surface')}, '{_B}{_M}*') AS x FROM h)),
         ph AS (SELECT id, i, n, u[1] AS char, u[2:] AS marks, CASE WHEN u[1] IN ('ا', 'ى') OR (u[1] IN ('و', 'ي') AND NOT regexp_matches(u, '[ً-ِ]')) THEN 'VL' WHEN regexp_matches(u, '[ً-ِ]') THEN 'M' ELSE 'S' END AS role FROM u),
         a AS (SELECT id, max(n) AS n, bool_or(i = 1 AND role = 'M') AS m1, bool_or(i = 2 AND role = 'S') AS s2, bool_or(i = 1 AND char IN ('ي', 'ت', 'ن', 'ء') AND contains(marks, 'َ')) AS pre, bool_or(i = n AND role = 'VL') AS vl, count(*) FILTER (role <> 'VL') AS c FROM ph GROUP BY id),
@@ -155,5 +153,18 @@ ORACLES = {
           CASE WHEN error <> '' THEN 'غير جاهز' WHEN cls IS NOT NULL AND ok THEN 'جاهز للعلاقة' ELSE 'مؤجل' END, CASE WHEN error <> '' THEN 'NOT_READY' WHEN cls IS NOT NULL AND ok THEN 'READY_FOR_RELATION' ELSE 'DEFERRED' END, CASE WHEN error <> '' THEN 'PIPELINE_ERROR:' || error WHEN cls IS NOT NULL AND ok THEN NULL ELSE 'WORD_CLASS_NOT_ACCEPTED' END FROM known
         UNION ALL SELECT id, 'CAP_DAL_ONLY_READINESS', CASE WHEN error <> '' THEN 'BLOCKED' WHEN cls IS NOT NULL THEN 'PROVIDED' ELSE 'DEFERRED' END, CASE WHEN coalesce(error, '') = '' AND cls IS NOT NULL THEN 'true' ELSE 'false' END,
           CASE WHEN error <> '' THEN 'مانع' WHEN cls IS NOT NULL THEN 'جاهز للدال' ELSE 'مؤجل' END, CASE WHEN error <> '' THEN 'BLOCKED' WHEN cls IS NOT NULL THEN 'READY_FOR_DAL_ONLY' ELSE 'DEFERRED' END, CASE WHEN error <> '' THEN 'PIPELINE_ERROR:' || error WHEN cls IS NOT NULL THEN NULL ELSE 'WORD_CLASS_MISSING' END FROM known""",
-    "heading_rules": f"WITH {values('g', 'id, heading, stored, spelled, reason, type, senses, chapter, bracketed', HEADINGS)} SELECT id, spelled, reason, type, senses, chapter, bracketed FROM g",
+    "heading_rules": f"""WITH {arabic_roots_sql([])}, h AS (SELECT root, {_HEADING} AS heading, {_STORED} AS stored FROM (SELECT root, {pick_sql(_CODE, PHRASES)} AS phrase FROM r)),
+        {values('nm', 'name, letter', entry_rules.LETTER_NAMES)}, {values('sn', 'i, phrase, kind', [(i, p, k) for i, (p, k, _) in enumerate(entry_rules.SENSES)])},
+        {values('ty', 'i, phrase, kind', [(i, p.replace('(?!ان)', '($|[^ا]|ا($|[^ن]))'), k) for i, (k, ps) in enumerate(entry_rules.HEADINGS.items()) for p in ps])},
+        tok AS (SELECT root, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT root, string_split(regexp_replace(regexp_replace(heading, '[\u064b-\u0670]', '', 'g'), 'و(ا[لنت])', ' \\1', 'g'), ' ') AS x FROM h)),
+        stop AS (SELECT root, min(i) AS i FROM tok WHERE t IN ({_list(entry_rules.DESCRIPTIONS)}) GROUP BY root),
+        sp AS (SELECT tok.root, left(string_agg(letter, '' ORDER BY tok.i), 4) AS spelled FROM tok JOIN nm ON name = t LEFT JOIN stop USING (root) WHERE stop.i IS NULL OR tok.i < stop.i GROUP BY tok.root),
+        f AS (SELECT h.root, heading, stored AS s, CASE WHEN length(spelled) >= 2 THEN spelled END AS p FROM h LEFT JOIN sp USING (root)),
+        j AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN length(s) = 1 THEN 'single_letter' WHEN regexp_matches(s, '[a-z]') THEN 'non_arabic' WHEN length(s) > 4 THEN 'too_long' END AS bad, s[1] IN ('ا', 'ب', 'ت', 'ث', 'ج') AS gap, length(s) = length(p) AS level,
+              (s[1] = p[1])::INT + (length(s) >= 2 AND s[2] = p[2])::INT + (length(s) >= 3 AND s[3] = p[3])::INT AS same FROM f),
+        v AS (SELECT *, CASE WHEN p IS NULL THEN 'parse_failed' WHEN bad IS NOT NULL THEN 'bad_quality:' || bad WHEN s = p THEN 'already_correct' WHEN gap AND s[1] <> p[1] THEN 'first_letter_corrected:' || s[1] || '→' || p[1]
+              WHEN gap AND level AND length(s) = 3 AND same = 2 THEN 'one_radical_corrected:' || s || '→' || p WHEN level AND s[2:] = p[2:] AND s[1] || p[1] IN ('حخ', 'خح') THEN 'ha_kha_swap_pos0:' || s[1] || '→' || p[1] || ':' || s || '→' || p ELSE 'conflict:' || s || '≠' || p END AS reason FROM j)
+        SELECT root, p AS spelled, NOT regexp_matches(reason, '^(parse_failed|already_correct|conflict)') AS repair, reason, (SELECT arg_min(kind, i) FROM ty WHERE regexp_matches(regexp_replace(heading, '[\u064b-\u0652\u0670]', '', 'g'), phrase)) AS type,
+               coalesce((SELECT arg_min(kind, i) FROM sn WHERE regexp_matches(regexp_replace(heading, '[\u064b-\u065f]', '', 'g'), phrase)), 'NONE') AS senses,
+               regexp_extract(heading, '({"|".join(sorted({*entry_rules.CHAPTERS.values(), "الهمزة"}))})', 1) AS chapter, root AS bracketed FROM v""",
 }

@@ -235,7 +235,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``line_dedup`` found taken out of their texts."""
     key, digest, gone = free(docs.columns, "key", "digest", "gone")
-    found = removed.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(digest)).agg(F.first("removed").alias(gone))
+    found = removed.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(digest)).agg(F.min("removed").alias(gone))
     own = F.xxhash64(text_of(docs, text_col))
     left = F.filter(F.split(text_of(docs, text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce(gone, F.array().cast("array<int>")), i + 1))
     return docs.join(found, docs[id_col].eqNullSafe(F.col(key)) & (own == F.col(digest)), "left").withColumn(text_col, F.array_join(left, "\n")).drop(key, digest, gone)

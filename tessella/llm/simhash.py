@@ -154,16 +154,18 @@ def simhash_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay, one of each component of linked fingerprints.
 
     That is the row of the smallest id; a null id stays only in a component without ids,
-    a tie goes to the smaller hash of the text, and of rows that repeat id and text one
-    stays. Columns may have any names; an empty table gives an empty result.
+    a tie goes to the smaller hash of the text, and of rows that repeat id and text the least
+    stays, column by column, however the table is dealt out (rows with map columns compare
+    as JSON). Columns may have any names; an empty table gives an empty result.
     """
     signed = checkpoint(fingerprints(docs, id_col, text_col))
     fps = checkpoint(signed.groupBy("fp").agg(F.min("key").alias("least")))
     stay = _firsts(fps, distance, groups, block).select(F.col("first.none").alias("n"), F.coalesce("first.id", F.lit(0)).alias("i"), F.col("first.tie").alias("t")).distinct()
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    own_type = docs.schema.simpleString()
     key = _key(docs, id_col, text_col)
     rows = docs.select(key["none"].alias("n"), F.coalesce(key["id"], F.lit(0)).alias("i"), key["tie"].alias("t"), own.alias("row"))
-    kept = rows.join(stay, ["n", "i", "t"], "left_semi").groupBy("n", "i", "t").agg(F.first("row").alias("row"))
+    kept = rows.join(stay, ["n", "i", "t"], "left_semi").groupBy("n", "i", "t").agg((F.min_by("row", F.to_json("row")) if "map<" in own_type else F.min("row")).alias("row"))
     return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 

@@ -456,6 +456,15 @@ def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
     assert stages["toxicity"](spark, df, str(tmp_path)).count() == len(rows)
 
 
+def test_near_copies_stay_the_same_however_dealt(spark):
+    """Rows that share id and text and differ elsewhere: one partitioning after another keeps the same."""
+    rows = [(k % 3, "one of the texts " * 9, f"source {k % 7}", {"k": k} if k % 2 else None) for k in range(40)] + [(None, None, f"none {k}", None) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    for kept in (df, df.drop("more")):
+        found = {str(sorted(map(str, simhash.simhash_distinct(kept.repartition(n)).collect()))) for n in (1, 3, 8)}
+        assert len(found) == 1
+
+
 CLASHING = "doc_id long, text string, lang string, score double, rejected boolean, lang_pred string, __null string, __id string, __text int, __row int, `key` int, fp long, component_id long, line_no int, removed string, n_tokens int"
 
 

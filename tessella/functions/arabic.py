@@ -6,6 +6,8 @@ letters and marks are in the basic plane, so Java's regular expressions see one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ _BASE = "[ء-غف-ي]"
 _VOWEL = f"[{FATHA}{DAMMA}{KASRA}{TANWIN}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_marks(c: Column) -> Column:
     return F.regexp_replace(c, _MARK, "")
 

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.arabic import _MARK, TANWIN, count_letters, strip_marks
+from tessella.functions.arabic import _MARK, TANWIN, count_letters, let, strip_marks
 
 #: Words that are never taken apart.
 PROTECTED = [
@@ -96,24 +96,34 @@ def proclitics(c: Column) -> Column:
     The rest must be a listed word, begin with the article or have enough letters; after a
     conjunction also without the attached pronoun that it may end with.
     """
-    bare = strip_marks(c)
-    listed = [*PROTECTED_BARE, *OPERATORS_BARE]
-    one, rest1 = split_after(c, 1)
-    two, rest2 = split_after(c, 2)
+    (one, rest1), (two, rest2) = split_after(c, 1), split_after(c, 2)
+    cuts = F.struct(strip_marks(c).alias("bare"), one.alias("one"), rest1.alias("rest1"), two.alias("two"), rest2.alias("rest2"))
+    return let(cuts, lambda x: let(_measured(x), lambda y: _proclitics(x, y)))
+
+
+def _measured(x: Column) -> Column:
+    """What the rules ask of the rests after one and two letters."""
+    rest1, rest2 = x["rest1"], x["rest2"]
+    bare1, listed = strip_marks(rest1), [*PROTECTED_BARE, *OPERATORS_BARE]
+    known1 = F.when(rest1.rlike(_MARK), rest1.isin(*OPERATORS, *PROTECTED)).otherwise(bare1.isin(listed))
+    host = count_letters(F.regexp_replace(bare1, f"^(.+?)({'|'.join(ENCLITICS)})$", "$1"))
+    return F.struct(
+        count_letters(rest1).alias("n1"), count_letters(rest2).alias("n2"), known1.alias("known1"), (strip_marks(rest2).isin(listed) | has_article(rest2)).alias("known2"),
+        has_article(rest1).alias("article1"), host.alias("host"), future_host(rest1).alias("future"),
+    )
+
+
+def _proclitics(x: Column, y: Column) -> Column:
+    bare, one, rest1, two, rest2 = (x[k] for k in ("bare", "one", "rest1", "two", "rest2"))
     second = F.substring(two, F.length(one) + 1, F.length(two))
-    n1, n2 = count_letters(rest1), count_letters(rest2)
-    known2 = strip_marks(rest2).isin(listed) | has_article(rest2)
-    exact = rest1.isin(*OPERATORS, *PROTECTED)
-    known1 = F.when(rest1.rlike(_MARK), exact).otherwise(strip_marks(rest1).isin(listed))
-    host = count_letters(F.regexp_replace(strip_marks(rest1), f"^(.+?)({'|'.join(ENCLITICS)})$", "$1"))
     option = lambda parts, rest, kinds: F.struct(F.array(*parts).alias("parts"), rest.alias("rest"), F.array(*[F.lit(k) for k in kinds]).alias("kinds"))
-    rules = [F.when(bare.startswith(pair) & (known2 | (n2 >= 3)), option([one, second], rest2, ["CONJUNCTION", kind])) for pair, kind in PAIRS]
+    rules = [F.when(bare.startswith(pair) & (y["known2"] | (y["n2"] >= 3)), option([one, second], rest2, ["CONJUNCTION", kind])) for pair, kind in PAIRS]
     for letter, mark, kind, least in PROCLITICS:
-        ok = known1 | has_article(rest1) | (n1 >= least)
+        ok = y["known1"] | y["article1"] | (y["n1"] >= least)
         if kind == "FUTURE_PARTICLE":
-            ok = ok & future_host(rest1)
+            ok = ok & y["future"]
         if kind == "CONJUNCTION":
-            ok = ok & (known1 | has_article(rest1) | (host >= 3))
+            ok = ok & (y["known1"] | y["article1"] | (y["host"] >= 3))
         rules.append(F.when(bare.startswith(letter) & (F.length(bare) > 1) & mark_compatible(one, mark) & ok, option([one], rest1, [kind])))
     return F.when(~bare.isin(ROOT_INITIAL), F.coalesce(*rules))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tessella.operators.lineage import checkpoint
 from pyspark.sql import types as T
 
 from tessella.operators.quality import share
@@ -65,24 +67,28 @@ def merge_lines(lined: DataFrame, page: str = "page", k: int = 3) -> DataFrame:
 def _before(counts: DataFrame, book: str, part: str, n: str) -> DataFrame:
     """``<book>, <part>, before``: the sum of ``n`` over the earlier parts of a book.
 
-    Parts are dealt by ranges; a window over the ranges' sums, one row for each range of a
-    book, and one within each range give the prefix sums.
+    Parts are dealt by ranges and kept so; a window over the ranges' sums, one row for each
+    range of a book, and one within each range give the prefix sums. No task holds more
+    than a range.
     """
-    ranged = counts.repartitionByRange(book, part).select("*", F.spark_partition_id().alias("__r"))
-    ranges = ranged.groupBy(book, "__r").agg(F.sum(n).alias("__n"), F.collect_list(F.struct(part, n)).alias("__parts"))
+    ranged = checkpoint(counts.repartitionByRange(book, part).select("*", F.spark_partition_id().alias("__r")))
+    sums = ranged.groupBy(book, "__r").agg(F.sum(n).alias("__n"))
     earlier = F.sum("__n").over(Window.partitionBy(book).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
-    parts = ranges.select(book, "__r", F.coalesce(earlier, F.lit(0)).alias("__past"), "__parts").select(book, "__r", "__past", F.inline("__parts"))
+    past = sums.select(F.col(book).alias("__b"), F.col("__r").alias("__range"), F.coalesce(earlier, F.lit(0)).alias("__past"))
     within = F.sum(n).over(Window.partitionBy(book, "__r").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    return parts.select(book, part, (F.col("__past") + F.coalesce(within, F.lit(0))).alias("before"))
+    rows = ranged.withColumn("__within", F.coalesce(within, F.lit(0)))
+    met = rows.join(past, F.col(book).eqNullSafe(F.col("__b")) & (F.col("__r") == F.col("__range")))
+    return met.select(book, part, (F.col("__past") + F.col("__within")).alias("before"))
 
 
-def entries(lines: DataFrame, book: str, part: str, k: str, pos: str, heading: Column, text: str, origin: str) -> DataFrame:
+def entries(lines: DataFrame, book: str, part: str, k: str, heading: Column, text: str, origin: str) -> DataFrame:
     """A heading opens an entry; lines belong to it until the next, across pages and parts.
 
-    A book's lines are in order of ``part`` and ``k``; ``pos`` is what names a line. The
-    first line that matches ``origin`` gives the entry's origin and makes it AUTO. Lines
-    before the first heading belong to no entry. Headings are numbered within each part,
-    and after those of earlier parts, so no task sorts a whole book.
+    A book's lines are in order of ``part`` and ``k``, which name a line: ``first_part``, ``first_k``,
+    ``last_part`` and ``last_k`` tell where an entry begins and ends. The first line that
+    matches ``origin`` gives the entry's origin and makes it AUTO. Lines before the first
+    heading belong to no entry. Headings are numbered within each part, and after those of
+    earlier parts, so no task sorts a whole book.
     """
     rows = lines.withColumn("__h", heading)
     h = F.col("__h").cast("int")
@@ -92,11 +98,13 @@ def entries(lines: DataFrame, book: str, part: str, k: str, pos: str, heading: C
     rows = rows.withColumn("__in", F.coalesce(F.sum(h).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     rows = rows.join(before, F.col(book).eqNullSafe(F.col("__book")) & F.col(part).eqNullSafe(F.col("__part")))
     rows = rows.withColumn("entry", F.col("before") + F.col("__in")).where("entry > 0")
-    at = F.struct(part, k)
+    at = F.struct(F.col(part).alias("part"), F.col(k).alias("k"))
     found = F.min_by(text, F.when(~F.col("__h") & F.col(text).rlike(origin), at))
-    return rows.groupBy(book, "entry").agg(
-        F.min_by(text, at).alias("heading"), (F.count(F.lit(1)) - 1).alias("n_lines"), found.alias("origin"), F.when(found.isNotNull(), "AUTO").otherwise("REVIEW").alias("status"), F.min_by(pos, at).alias("first_pos"), F.max_by(pos, at).alias("last_pos")
+    made = rows.groupBy(book, "entry").agg(
+        F.min_by(text, at).alias("heading"), (F.count(F.lit(1)) - 1).alias("n_lines"), found.alias("origin"), F.when(found.isNotNull(), "AUTO").otherwise("REVIEW").alias("status"), F.min(at).alias("__first"), F.max(at).alias("__last")
     )
+    ends = [F.col(f"__{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in ("part", "k")]
+    return made.select(book, "entry", "heading", "n_lines", "origin", "status", *ends)
 
 
 def region(x0: Column, x1: Column, y: Column, width: Column, heading: Column) -> Column:

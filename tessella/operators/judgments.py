@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.lineage import checkpoint
+
 #: Verdicts in order of severity: a later one prevails.
 SEVERITY = ["ACCEPT", "DEFER", "BLOCK"]
 
@@ -20,15 +22,6 @@ def verdict_of(level: Column) -> Column:
     return F.element_at(F.lit(SEVERITY), level + 1)
 
 
-def _checkpoints(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the session names; below the warehouse where it names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def propagate(nodes: DataFrame, edges: DataFrame, policy: dict[tuple[str, str], tuple[str, str]]) -> DataFrame:
     """``node, level, own, verdict, decided_by``: verdicts carried along a DAG, the worst of each node's prevailing.
 
@@ -50,9 +43,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, policy: dict[tuple[str, str],
     for (domain, scope), (defer, block) in policy.items():
         at = (F.col("domain") == domain) & (F.col("scope") == scope)
         carried = F.when(at, F.when(F.col("severity") == 2, SEVERITY.index(block)).when(F.col("severity") == 1, SEVERITY.index(defer)).otherwise(0)).otherwise(carried)
-    edges = _checkpoints(edges)
+    edges = checkpoint(edges)
     waits = edges.groupBy("target").agg(F.count("*").alias("waits")).withColumnRenamed("target", "node")
-    state = _checkpoints(known.join(waits, "node", "left").select("node", "own", F.coalesce("waits", F.lit(0).cast("long")).alias("waits"), F.lit(0).alias("worst"), F.lit(None).cast(dict(edges.dtypes)["source"]).alias("by")))
+    state = checkpoint(known.join(waits, "node", "left").select("node", "own", F.coalesce("waits", F.lit(0).cast("long")).alias("waits"), F.lit(0).alias("worst"), F.lit(None).cast(dict(edges.dtypes)["source"]).alias("by")))
     done, level = [], 0
     while True:
         ready = state.where("waits = 0").select("node", F.lit(level).alias("level"), "own", F.greatest("own", "worst").alias("severity"), F.when(F.col("worst") > F.col("own"), F.col("by")).alias("by"))
@@ -65,7 +58,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, policy: dict[tuple[str, str],
         step = waiting.join(news, "node", "left")
         gain, s = F.coalesce("n", F.lit(0).cast("long")), F.coalesce("s", F.lit(0))
         by = F.when(s > F.col("worst"), F.col("new")).when(s == F.col("worst"), F.least("by", "new")).otherwise(F.col("by"))
-        state = _checkpoints(step.select("node", "own", (F.col("waits") - gain).alias("waits"), F.greatest("worst", s).alias("worst"), by.alias("by")))
+        state = checkpoint(step.select("node", "own", (F.col("waits") - gain).alias("waits"), F.greatest("worst", s).alias("worst"), by.alias("by")))
         level += 1
         if state.where("waits = 0").isEmpty():
             break
@@ -129,7 +122,6 @@ def classify(items: DataFrame, item: str, evidence: DataFrame, rules: DataFrame)
     of evidence rows, and evidence combines by rule before items are shuffled.
     """
     spoken = evidence.select(F.col(item).alias("__item"), "kind", "value").distinct()
-    rules = F.broadcast(rules)  # a closed list
     by_kind = spoken.join(rules, "kind").where(rules["value"].isNull() | (spoken["value"] == rules["value"]))
     fired = by_kind.groupBy("__item", "rule", "priority", "class", "effect", "unless_kind", "unless_value").agg(F.min(spoken["value"]).alias("by"))
     held = spoken.select(F.col("__item").alias("__has"), F.col("kind").alias("unless_kind"), F.col("value").alias("__value"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.arabic import ALEF, ALEF_MAQSURA, DAMMA, FATHA, HAMZA, KASRA, SHADDA, SUKUN, WAW, YEH, letters, normalize_host, strip_marks
+from tessella.functions.arabic import ALEF, ALEF_MAQSURA, DAMMA, FATHA, HAMZA, KASRA, SHADDA, SUKUN, WAW, YEH, let, letters, normalize_host, strip_marks
 
 #: Vowel on the second radical in the past and the imperfect, by verb class.
 CLASS_VOWELS = [
@@ -186,10 +186,15 @@ ROOT_RESIDUALS = [
 
 def analyze_root(host: Column) -> Column:
     """``directive, root, residual`` of a host by the number and weakness of its letters."""
-    cs, code = letters(normalize_host(host)), ROOT_RESIDUALS
+    return let(letters(normalize_host(host)), lambda cs: let(_residual(cs), lambda r: _analysis(cs, r)))
+
+
+def _residual(cs: Column) -> Column:
+    """What stands in the way of taking these letters as a root; empty if nothing does."""
+    code = ROOT_RESIDUALS
     n, fa, ayn, lam = F.size(cs), F.get(cs, F.lit(0)), F.get(cs, F.lit(1)), F.get(cs, F.lit(2))
     fa_weak, ayn_weak, lam_weak = fa.isin(WAW, YEH), ayn.isin(ALEF, WAW), lam.isin(ALEF, ALEF_MAQSURA, YEH)
-    residual = (
+    return (
         F.when(n < 2, code[0])
         .when(n == 2, code[1])
         .when(n == 4, code[2])
@@ -202,6 +207,9 @@ def analyze_root(host: Column) -> Column:
         .when(F.exists(cs, lambda c: c.isin(ALEF, ALEF_MAQSURA)), code[9])
         .otherwise("")
     )
+
+
+def _analysis(cs: Column, residual: Column) -> Column:
     directive = F.when(residual == "", "ACCEPT").when(residual.startswith("block"), "BLOCK").otherwise("DEFER")
     return F.struct(directive.alias("directive"), F.when(residual == "", F.concat_ws("", cs)).alias("root"), residual.alias("residual"))
 
@@ -231,7 +239,7 @@ def align_patterns(words: DataFrame, patterns: DataFrame, word_id: str, host: st
     kept. Each host meets the patterns of its root's arity, a catalog of fixed size.
     """
     catalog = patterns.select("wazn_id", "pattern", "family", "evidence_rank", F.lit(3).alias("arity"))
-    pairs = words.withColumn("arity", F.size(root)).join(F.broadcast(catalog), "arity")
+    pairs = words.withColumn("arity", F.size(root)).join(catalog, "arity")
     form = normalize_host(fill_pattern(F.col("pattern"), F.col(root)))
     given = normalize_host(F.col(host))
     rest = F.substring(given, F.length(form) + 1, F.length(given))
@@ -253,7 +261,7 @@ def class_candidates(verbs: DataFrame, catalog: DataFrame) -> DataFrame:
     One candidate accepts, several defer, none blocks; all candidates are kept.
     """
     open_ = F.col("v.imperfect_vowel").isNull()
-    pairs = verbs.alias("v").join(F.broadcast(catalog.alias("c")), (F.col("v.past_vowel") == F.col("c.past_vowel")) & (open_ | (F.col("v.imperfect_vowel") == F.col("c.imperfect_vowel"))), "left")
+    pairs = verbs.alias("v").join(catalog.alias("c"), (F.col("v.past_vowel") == F.col("c.past_vowel")) & (open_ | (F.col("v.imperfect_vowel") == F.col("c.imperfect_vowel"))), "left")
     found = pairs.groupBy("v.verb_id").agg(F.count("c.bab_id").alias("n"), F.array_join(F.array_sort(F.collect_list("c.bab_id")), ",").alias("babs"))
     return found.select("verb_id", F.when(F.col("n") == 1, "ACCEPT").when(F.col("n") > 1, "DEFER").otherwise("BLOCK").alias("directive"), "babs")
 

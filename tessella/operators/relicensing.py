@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.lineage import checkpoint
+
 
 class Hypothesis(NamedTuple):
     """A change that may uncover the licensed form.
@@ -67,10 +69,6 @@ def relicense(words: DataFrame, word_id: str, word: str, licensed: DataFrame, hy
     the first. The frontier holds deferred words alone and is checkpointed each round.
     """
     bits = _checked(hypotheses)
-    spark = words.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     roots = licensed.select(F.col("root").alias("form"), F.lit(True).alias("__licensed")).where("form IS NOT NULL").distinct()
     start = words.select(F.col(word_id).alias("__id"), F.col(word).alias("form"), F.coalesce(blocked, F.lit(True)).alias("__blocked"))
     shut = start.where("__blocked OR form IS NULL")
@@ -88,7 +86,7 @@ def relicense(words: DataFrame, word_id: str, word: str, licensed: DataFrame, hy
             free = F.col("used").bitwiseAND(bits[h.name]) == 0
             free = free & (F.col("used").bitwiseAND(licence) != 0) if licence else free
             ways.append(F.when(free, F.struct(_applied(F.col("form"), h, shortest).alias("form"), F.col("used").bitwiseOR(bits[h.name]).alias("used"))))
-        stepped = open_.select("__id", "used", F.explode(F.array_compact(F.array(*ways))).alias("w")).where("w.form IS NOT NULL").select("__id", "w.form", "w.used").distinct().checkpoint()
+        stepped = checkpoint(open_.select("__id", "used", F.explode(F.array_compact(F.array(*ways))).alias("w")).where("w.form IS NOT NULL").select("__id", "w.form", "w.used").distinct())
         carried = stepped.select("__id").distinct()
         done.append(open_.select("__id").distinct().join(carried, "__id", "left_anti").select("__id", F.lit("DEFER").alias("verdict"), F.lit(None).cast("string").alias("root"), F.lit(k).alias("rounds"), F.lit(0).cast("long").alias("used")))
         frontier = stepped

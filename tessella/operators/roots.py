@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.arabic import _BASE, _MARK, DAMMA, FATHA, HAMZA, KASRA, SEATED_HAMZA, SHADDA, SUKUN, TANWIN, WAW, YEH, letters, normalize_host
+from tessella.functions.arabic import _BASE, _MARK, DAMMA, FATHA, HAMZA, KASRA, SEATED_HAMZA, SHADDA, SUKUN, TANWIN, WAW, YEH, let, letters, normalize_host
 from tessella.operators.morphology import analyze_root, fill_pattern, root_type
 
 #: Letters that patterns add to a root.
@@ -58,7 +58,10 @@ def refine_host(host: Column, path: Column, directive: Column) -> Column:
     Three letters and more must be left of a verb, two of a noun before a tied ta; the letter
     before an open ta has a vowel. Nothing is taken from a host that is blocked.
     """
-    units = F.regexp_extract_all(host, F.lit(f"({_BASE}{_MARK}*)"), F.lit(1))
+    return let(F.regexp_extract_all(host, F.lit(f"({_BASE}{_MARK}*)"), F.lit(1)), lambda units: _refined(units, host, path, directive))
+
+
+def _refined(units: Column, host: Column, path: Column, directive: Column) -> Column:
     n, last, before = F.size(units), F.try_element_at(units, F.lit(-1)), F.try_element_at(units, F.lit(-2))
     vowelled = before.rlike(f"[{FATHA}{DAMMA}{KASRA}]") & ~last.rlike(f"[{TANWIN}]") & (n >= 4)
     verbal = (path == "verbal_root_path") & last.rlike(f"^ت{_MARK}*[{SUKUN}{KASRA}]") & vowelled
@@ -70,7 +73,10 @@ def refine_host(host: Column, path: Column, directive: Column) -> Column:
 
 def resolve_root(host: Column, directive: Column) -> Column:
     """``directive, root, residual``: the analysis of a host, which a directive can only lower."""
-    a = analyze_root(host)
+    return let(analyze_root(host), lambda a: _resolved(a, directive))
+
+
+def _resolved(a: Column, directive: Column) -> Column:
     held = (directive == "DEFER") & (a["directive"] == "ACCEPT")
     made = lambda d, r, x: F.struct(d.alias("directive"), r.alias("root"), x.alias("residual"))
     return (
@@ -174,7 +180,7 @@ def align(words: DataFrame, patterns: DataFrame, word_id: str, host: str, root:
     third is the same letter (``merged``). ``added`` are the letters that are no radicals.
     """
     catalog = patterns.select("wazn_id", "pattern").withColumn("arity", F.lit(3))
-    pairs = words.withColumn("arity", F.size(root)).join(F.broadcast(catalog), "arity").withColumn("found", cells(F.col(host))).withColumn("want", template(F.col("pattern"), F.col(root)))
+    pairs = words.withColumn("arity", F.size(root)).join(catalog, "arity").withColumn("found", cells(F.col(host))).withColumn("want", template(F.col("pattern"), F.col(root)))
     n = F.size("want")
     slots = F.zip_with(F.slice("found", F.lit(1), n), "want", lambda c, w: F.struct(c.alias("c"), w.alias("w")))
     merged = (F.get(F.col(root), F.lit(1)) == F.get(F.col(root), F.lit(2)))

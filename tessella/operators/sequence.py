@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 def boundaries(tokens: DataFrame, markers: DataFrame, surface: str = "surface", bare: Column | None = None) -> DataFrame:
     """``boundary``: the type of the marker a token is, by its surface or else its bare form.
 
-    ``markers(marker, boundary, priority)`` is a closed list of words, hence broadcast.
+    ``markers(marker, boundary, priority)`` is a list of words, which Spark broadcasts if its size allows.
     """
     kinds = markers.groupBy("marker").agg(F.min_by("boundary", "priority").alias("boundary"), F.min("priority").alias("priority"))
     full = kinds.select(F.col("marker").alias("__m1"), F.col("boundary").alias("__b1"), F.col("priority").alias("__p1"))
     own = kinds.select(F.col("marker").alias("__m2"), F.col("boundary").alias("__b2"), F.col("priority").alias("__p2"))
     bare = F.col(surface) if bare is None else bare
-    out = tokens.withColumn("__bare", bare).join(F.broadcast(full), F.col(surface) == F.col("__m1"), "left").join(F.broadcast(own), F.col("__bare") == F.col("__m2"), "left")
+    out = tokens.withColumn("__bare", bare).join(full, F.col(surface) == F.col("__m1"), "left").join(own, F.col("__bare") == F.col("__m2"), "left")
     kind = F.when(F.col("__p2") < F.coalesce("__p1", F.lit(1 << 30)), F.col("__b2")).otherwise(F.col("__b1"))
     return out.withColumn("boundary", kind).select(*tokens.columns, "boundary")
 
@@ -63,7 +63,7 @@ def carry_mood(tokens: DataFrame, governs: DataFrame, seq: str, pos: str, surfac
     one of ``after`` governs nothing. The state lives for one row, so it is a window.
     """
     order = Window.partitionBy(seq).orderBy(pos)
-    out = tokens.join(F.broadcast(governs.select(F.col("marker").alias("__m"), F.col("mood").alias("__mood"))), F.col(surface) == F.col("__m"), "left")
+    out = tokens.join(governs.select(F.col("marker").alias("__m"), F.col("mood").alias("__mood")), F.col(surface) == F.col("__m"), "left")
     idle = F.col(surface).isin(list(negators)) & F.coalesce(F.lag(surface).over(order).isin(list(after)), F.lit(False))
     out = out.withColumn("__own", F.when(~idle, F.col("__mood")))
     return out.withColumn("carried_mood", F.lag("__own").over(order)).select(*tokens.columns, "carried_mood")

@@ -12,13 +12,12 @@ from tessella.sources import readers
 
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents of a source as one book."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return docs.select("source", "doc_id", (F.col("doc_id") * 100000 + F.col("k")).alias("pos"), "k", "line")
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
 
 
 def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.length("line") < 40
-    return dictionary.entries(_doc_lines(spark, sf_dir), "source", "doc_id", "k", "pos", heading, "line", "(License|licensed)")
+    return dictionary.entries(_doc_lines(spark, sf_dir), "source", "doc_id", "k", heading, "line", "(License|licensed)")
 
 
 def dictionary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def repaired_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a catalog keyed by type: keys that repeat."""
-    return readers.catalog_violations(table(spark, sf_dir, "events").where("value > 60"), "event_type")
+    return readers.catalog_violations(table(spark, sf_dir, "events"), "event_type")
 
 
 def corpus_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +54,9 @@ def corpus_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [dictionary_entries, dictionary_coverage, line_groups, line_regions, repaired_roots, catalog_problems, corpus_problems]
 
-_LINES = """l AS (SELECT source, doc_id * 100000 + k - 1 AS pos, k - 1 AS k, line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))"""
-_ENTRIES = f"""{_LINES}, e AS (SELECT *, length(line) < 40 AS h, sum((length(line) < 40)::INT) OVER (PARTITION BY source ORDER BY pos) AS entry FROM l),
-  en AS (SELECT source, entry::BIGINT AS entry, arg_min(line, pos) AS heading, count(*) - 1 AS n_lines, arg_min(line, pos) FILTER (NOT h AND regexp_matches(line, 'License|licensed')) AS origin, min(pos) AS first_pos, max(pos) AS last_pos FROM e WHERE entry > 0 GROUP BY ALL),
+_LINES = """l AS (SELECT source, doc_id, (k - 1)::INT AS k, line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))"""
+_ENTRIES = f"""{_LINES}, e AS (SELECT *, length(line) < 40 AS h, sum((length(line) < 40)::INT) OVER (PARTITION BY source ORDER BY doc_id, k) AS entry FROM l),
+  en AS (SELECT source, entry::BIGINT AS entry, arg_min(line, (doc_id, k)) AS heading, count(*) - 1 AS n_lines, arg_min(line, (doc_id, k)) FILTER (NOT h AND regexp_matches(line, 'License|licensed')) AS origin, min(doc_id) AS first_part, arg_min(k, (doc_id, k)) AS first_k, max(doc_id) AS last_part, arg_max(k, (doc_id, k)) AS last_k FROM e WHERE entry > 0 GROUP BY ALL),
   ent AS (SELECT *, CASE WHEN origin IS NULL THEN 'REVIEW' ELSE 'AUTO' END AS status FROM en)"""
 ORACLES = {
     "dictionary_entries": f"WITH {_ENTRIES} SELECT * FROM ent",
@@ -69,7 +68,7 @@ ORACLES = {
         r AS (SELECT *, CASE WHEN coalesce(b, '') = '' THEN 'NO_PARSE' WHEN coalesce(a, '') = '' THEN 'WAS_BLANK' WHEN a = b THEN 'SAME' WHEN length(b) NOT BETWEEN 2 AND 4 THEN 'BAD_LENGTH' WHEN list_sort(string_split(a, '')) = list_sort(string_split(b, '')) THEN 'SWAP'
           WHEN a[1] <> b[1] THEN 'FIRST_LETTER' WHEN (a[1] <> b[1])::INT + (a[2] <> b[2])::INT + (a[3] <> b[3])::INT = 1 THEN 'ONE_RADICAL' ELSE 'TOO_DIFFERENT' END AS reason FROM p)
         SELECT p_partkey, reason IN ('WAS_BLANK', 'ONE_RADICAL', 'SWAP') AS repair, reason FROM r""",
-    "catalog_problems": "SELECT 'REPEATED_KEY' AS rule, event_type AS key FROM events WHERE value > 60 GROUP BY event_type HAVING count(*) > 1",
+    "catalog_problems": "SELECT 'REPEATED_KEY' AS rule, event_type AS key FROM events GROUP BY event_type HAVING count(*) > 1",
     "corpus_problems": """WITH c AS (SELECT (c_custkey % 400)::VARCHAR AS case_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS surface, c_mktsegment AS section FROM customer)
         SELECT case_id, 'blank:surface' AS rule FROM c WHERE trim(surface) = '' UNION ALL SELECT case_id, 'domain:section' FROM c WHERE section NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')
         UNION ALL SELECT case_id, 'repeated' FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT NULL, 'count' FROM c HAVING count(*) <> 7""",

@@ -24,7 +24,8 @@ def values(alias: str, columns: str, items: list[tuple]) -> str:
 
 
 def seq_of(conv: Column, turn: Column) -> Column:
-    return conv * 100000 + turn
+    """A turn's name, told apart from all others however many turns there are."""
+    return F.concat(conv.cast("string"), F.lit(":"), turn.cast("string"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = r"""tokens AS (SELECT seq, unnest(ws) AS surface, generate_subscripts(ws, 1) - 1 AS pos FROM
-  (SELECT conv_id * 100000 + turn AS seq, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM conversations))"""
+  (SELECT conv_id || ':' || turn AS seq, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM conversations))"""
 
 #: Marker words of the tables' languages, as a clause segmenter takes them.
 MARKERS = [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import boundary, clitics, entry_rules, glyphs
-from tessella.operators import capabilities
+from tessella.operators import capabilities, lexicon
 from tessella.plans.arabic_queries import _B, _M, _OM, _SHADDA, WORDS
 from tessella.plans.inputs import arabic_roots, arabic_roots_sql, arabic_words, arabic_words_sql, pick, pick_sql, rows, table, values
 
@@ -91,7 +91,14 @@ def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("root", "spelled", "repair", "reason", entry_rules.heading_kind(F.col("heading")).alias("type"), entry_rules.senses(F.col("heading"))["kind"].alias("senses"), entry_rules.chapter_in(F.col("heading")).alias("chapter"), entry_rules.root_in_brackets(F.col("heading")).alias("bracketed"))
 
 
-QUERIES = [word_segments, word_boundaries, glyph_traces, glyph_shapes, word_capabilities, heading_rules]
+def vocalised_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents, their sukuns not written, among the words of documents as they are."""
+    known = arabic_words(spark, sf_dir, WORDS)
+    words = known.select("id", F.regexp_replace("surface", "\u0652", "").alias("surface"))
+    return lexicon.lookup_vocalised(words, "id", "surface", known.select(F.col("surface").alias("entry")))
+
+
+QUERIES = [vocalised_lookup, word_segments, word_boundaries, glyph_traces, glyph_shapes, word_capabilities, heading_rules]
 
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
 _W = arabic_words_sql(WORDS)
@@ -112,6 +119,11 @@ def _feature(capability: str, name: str, raw: str, status: str, residual: str, o
 
 
 ORACLES = {
+    "vocalised_lookup": f"""WITH {_W}, q AS (SELECT id, regexp_replace(surface, '\u0652', '', 'g') AS s FROM w), k AS (SELECT DISTINCT surface AS entry FROM w),
+        met AS (SELECT id, s, entry, regexp_extract_all(s, '{_B}{_M}*') AS a, regexp_extract_all(entry, '{_B}{_M}*') AS b FROM q JOIN k ON regexp_replace(s, '{_M}', '', 'g') = regexp_replace(entry, '{_M}', '', 'g') WHERE regexp_replace(s, '{_M}', '', 'g') <> ''),
+        fit AS (SELECT id, CASE WHEN len(a) = len(b) AND len(list_filter(list_zip(a, b), lambda x: NOT (x[1][1] = x[2][1] AND (length(x[1]) = 1 OR x[1] = x[2])))) = 0 THEN entry END AS e FROM met),
+        n AS (SELECT id, count(DISTINCT e) AS n, min(e) AS one FROM fit GROUP BY id)
+        SELECT w.id, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'COLLISION' WHEN n = 0 THEN 'CONTRADICTED' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN one END AS entry, coalesce(n, 0) AS n_entries FROM w LEFT JOIN n USING (id)""",
     "word_boundaries": f"""WITH h AS (WITH {_W} SELECT id, surface AS given, {_HOST} AS surface FROM w), u AS (SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT id, regexp_extract_all({_SHADDA.format(c='surface')}, '{_B}{_M}*') AS x FROM h)),
         ph AS (SELECT id, i, n, u[1] AS char, u[2:] AS marks, CASE WHEN u[1] IN ('ا', 'ى') OR (u[1] IN ('و', 'ي') AND NOT regexp_matches(u, '[ً-ِ]')) THEN 'VL' WHEN regexp_matches(u, '[ً-ِ]') THEN 'M' ELSE 'S' END AS role FROM u),
         a AS (SELECT id, max(n) AS n, bool_or(i = 1 AND role = 'M') AS m1, bool_or(i = 2 AND role = 'S') AS s2, bool_or(i = 1 AND char IN ('ي', 'ت', 'ن', 'ء') AND contains(marks, 'َ')) AS pre, bool_or(i = n AND role = 'VL') AS vl, count(*) FILTER (role <> 'VL') AS c FROM ph GROUP BY id),

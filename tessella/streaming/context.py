@@ -63,7 +63,7 @@ def carry_mood(tokens: DataFrame, governs: DataFrame, seq: str, pos: str, surfac
     null. Needs the state store that ``STORE`` names.
     """
     moods = governs.select(F.col("marker").alias("__m"), F.col("mood").alias("__mood"))
-    marked = tokens.select(seq, pos, surface).join(F.broadcast(moods), F.col(surface) == F.col("__m"), "left").drop("__m")
+    marked = tokens.select(seq, pos, surface).join(moods, F.col(surface) == F.col("__m"), "left").drop("__m")
     schema = T.StructType([*(T.StructField(c, marked.schema[c].dataType) for c in (seq, pos, surface)), T.StructField("carried_mood", T.StringType())])
     carry = _Carry(seq, pos, surface, list(negators), list(after), ttl_ms)
     return marked.groupBy(seq).transformWithState(carry, schema, "append", "processingTime")

@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import spans
+from tessella.functions import spans, text
 from tessella.plans.inputs import table
 
 
-def _words(df: DataFrame, key: str, word_of: str) -> DataFrame:
-    """One row for each word span ``a`` with its image ``b`` and the image of that, ``c``."""
-    cut = F.substring(word_of, F.col("s.a.start") + 1, F.col("s.a.end") - F.col("s.a.start"))
-    return df.select(key, word_of, F.posexplode(F.arrays_zip("a", "b", "c")).alias("k", "s")).select(key, (F.col("k") + 1).alias("k"), cut.alias("word"), "s")
-
-
 def _cleaned_words(docs: DataFrame, key: str, column: str, **flags: bool) -> DataFrame:
-    """``<key>, k, word``, span in the cleaned text, span in the raw one."""
-    mapped = spans.with_clean_map(docs.select(key, column), column, **flags)
-    found = mapped.withColumn("a", spans.word_spans(F.col("cleaned"))).withColumn("b", spans.project_to_raw("map", "a")).withColumn("c", F.col("b"))
-    return _words(found, key, "cleaned").select(
-        key, "k", "word", F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"), F.col("s.b.start").alias("raw_start"), F.col("s.b.end").alias("raw_end")
+    """``<key>, k, word``, span in the cleaned text, span in the raw one.
+
+    Words and spans are arrays of a document until they are rows: no row carries its text.
+    """
+    mapped = spans.with_clean_map(docs.select(key, column), column, **flags).withColumn("a", spans.word_spans(F.col("cleaned")))
+    found = mapped.select(key, "a", text.words(F.col("cleaned")).alias("w"), spans.project_to_raw("map", "a").alias("b"))
+    rows = found.select(key, F.posexplode(F.arrays_zip("w", "a", "b")).alias("k", "s"))
+    return rows.select(
+        key, (F.col("k") + 1).alias("k"), F.col("s.w").alias("word"), F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"), F.col("s.b.start").alias("raw_start"), F.col("s.b.end").alias("raw_end")
     )
 
 
@@ -39,10 +37,13 @@ def raw_word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     What cleaning removes whole has no span there.
     """
     mapped = spans.with_clean_map(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = mapped.withColumn("a", spans.word_spans(F.col("text"))).withColumn("b", spans.project_to_norm("map", "a")).withColumn("c", spans.project_to_raw("map", "b"))
-    left = F.trim(F.substring("cleaned", F.col("s.b.start") + 1, F.col("s.b.end") - F.col("s.b.start"))) != ""
-    rows = found.select("doc_id", "cleaned", F.posexplode(F.arrays_zip("a", "b", "c")).alias("k", "s")).withColumn("left", left)
-    of = lambda s, e, alias: F.when(F.col("left"), F.col(f"s.{s}.{e}")).alias(alias)
+    found = mapped.withColumn("a", spans.word_spans(F.col("text"))).withColumn("b", spans.project_to_norm("map", "a"))
+    found = found.withColumn("w", spans.word_spans(F.col("cleaned"))).select("doc_id", "a", "b", "w", spans.project_to_raw("map", "b").alias("c"), spans.enclosing("b", "w").alias("n"))
+    # a word is left where its image starts within a word of the cleaned text
+    at = lambda x: F.get("w", x["n"] - 1)
+    left = F.transform(F.arrays_zip("b", "n"), lambda x: F.coalesce((x["b"]["start"] >= at(x)["start"]) & (x["b"]["start"] < at(x)["end"]), F.lit(False)))
+    rows = found.select("doc_id", F.posexplode(F.arrays_zip("a", "b", "c", left.alias("left"))).alias("k", "s"))
+    of = lambda s, e, alias: F.when(F.col("s.left"), F.col(f"s.{s}.{e}")).alias(alias)
     return rows.select(
         "doc_id", (F.col("k") + 1).alias("k"), F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"),
         of("b", "start", "clean_start"), of("b", "end", "clean_end"), of("c", "start", "back_start"), of("c", "end", "back_end"),
@@ -52,7 +53,8 @@ def raw_word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_map_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the composed maps of all documents hold: characters kept, replaced, contracted and removed."""
     mapped = spans.with_clean_map(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = mapped.select("doc_id", F.length("text").alias("n_raw"), F.length("cleaned").alias("n_clean"), F.explode("map").alias("e"))
+    sized = mapped.select("doc_id", F.length("text").alias("n_raw"), F.length("cleaned").alias("n_clean"), "map")
+    rows = sized.select("doc_id", "n_raw", "n_clean", F.explode("map").alias("e"))
     raw, norm = F.col("e.raw_end") - F.col("e.raw_start"), F.col("e.norm_end") - F.col("e.norm_start")
     op = spans.op_of(F.col("e"))
     return rows.groupBy("doc_id", "n_raw", "n_clean").agg(
@@ -63,11 +65,10 @@ def clean_map_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a document with its line and its offsets, from 0, in the document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("a", spans.word_spans(F.col("text")))
-    found = docs.withColumn("line", spans.enclosing("a", spans.line_spans(F.col("text"))))
-    rows = found.select("doc_id", "text", F.posexplode(F.arrays_zip("a", "line")).alias("k", "s"))
-    start, end = F.col("s.a.start"), F.col("s.a.end")
-    return rows.select("doc_id", (F.col("k") + 1).alias("k"), F.col("s.line").alias("line_no"), start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("word"))
+    docs = table(spark, sf_dir, "documents").withColumn("a", spans.word_spans(F.col("text")))
+    found = docs.select("doc_id", "a", text.words(F.col("text")).alias("w"), spans.enclosing("a", spans.line_spans(F.col("text"))).alias("line"))
+    rows = found.select("doc_id", F.posexplode(F.arrays_zip("w", "a", "line")).alias("k", "s"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("k"), F.col("s.line").alias("line_no"), F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"), F.col("s.w").alias("word"))
 
 
 QUERIES = [clean_word_spans, page_word_spans, raw_word_round_trip, clean_map_ops, text_token_spans]

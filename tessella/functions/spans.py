@@ -13,6 +13,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 MAP = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("raw_start", "raw_end", "norm_start", "norm_end")), T.StructField("changed", T.BooleanType())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: Rows that are merged together.
+ROWS = 256
 UPPER = r"[\p{IsUppercase}\p{Lt}]+"
 
 
@@ -95,8 +98,7 @@ def _before(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-@F.arrow_udf(MAP)
-def span_map(lengths: pa.Array) -> pa.Array:
+def _span_map(lengths: pa.Array) -> pa.Array:
     """The map of one substitution: what stays is an entry, and so is each match."""
     gaps, matched, made, changed = lengths.flatten()
     n = matched.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -122,8 +124,7 @@ def _sides(starts: np.ndarray, to: np.ndarray, p: np.ndarray) -> tuple[np.ndarra
     return np.where(starts[first] == p, to[first], after), after, holds
 
 
-@F.arrow_udf(MAP)
-def compose(first: pa.Array, then: pa.Array) -> pa.Array:
+def _compose(first: pa.Array, then: pa.Array) -> pa.Array:
     """raw -> mid and mid -> final as raw -> final: a merge of both lists along the middle text.
 
     The middle is cut wherever either map has a boundary and neither has an entry across it
@@ -181,24 +182,21 @@ def _project(maps: _Entries, spans: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), made)
 
 
-@F.arrow_udf(SPANS)
-def project_to_raw(maps: pa.Array, spans: pa.Array) -> pa.Array:
+def _project_to_raw(maps: pa.Array, asked: pa.Array) -> pa.Array:
     """Where spans of the norm text lie in the raw one.
 
     A part of a linear entry is exact; of any other the whole raw span is meant. A span that
     spans nothing goes to an empty one; spans are cut off at the text's ends.
     """
-    return _project(_Entries.of(maps), spans)
+    return _project(_Entries.of(maps), asked)
 
 
-@F.arrow_udf(SPANS)
-def project_to_norm(maps: pa.Array, spans: pa.Array) -> pa.Array:
+def _project_to_norm(maps: pa.Array, asked: pa.Array) -> pa.Array:
     """Where spans of the raw text lie in the norm one; what is gone is an empty span in its place."""
-    return _project(_Entries.of(maps).turned(), spans)
+    return _project(_Entries.of(maps).turned(), asked)
 
 
-@F.arrow_udf(SPANS)
-def spans_between(lengths: pa.Array) -> pa.Array:
+def _spans_between(lengths: pa.Array) -> pa.Array:
     """Spans of what a pattern leaves, empty ones aside: words between white space, say."""
     gaps, matched, _, _ = lengths.flatten()
     n = gaps.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -214,8 +212,7 @@ def spans_between(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(n))))).astype(np.int32), made)
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def enclosing(inner: pa.Array, outer: pa.Array) -> pa.Array:
+def _enclosing(inner: pa.Array, outer: pa.Array) -> pa.Array:
     """For each span of ``inner`` the number, from 1, of the span of ``outer`` where it starts.
 
     ``outer`` ascends; a place before or between its spans belongs to the span before it.
@@ -228,15 +225,68 @@ def enclosing(inner: pa.Array, outer: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(found - np.repeat(_before(m), n), pa.int32()))
 
 
+def _composed(*lengths: pa.Array) -> pa.Array:
+    """The map of several substitutions, one after the other."""
+    return reduce(_compose, map(_span_map, lengths))
+
+
+def _words_to_raw(words: pa.Array, *lengths: pa.Array) -> pa.Array:
+    """Spans of a cleaned text's words and where they lie in the raw text."""
+    own = _spans_between(words)
+    return pa.StructArray.from_arrays([own, _project_to_raw(_composed(*lengths), own)], names=["own", "raw"])
+
+
+def _round_trip(words: pa.Array, cleaned: pa.Array, *lengths: pa.Array) -> pa.Array:
+    """Spans of a raw text's words, their images, the images of these, and in which cleaned words they start."""
+    own, left, whole = _spans_between(words), _spans_between(cleaned), _composed(*lengths)
+    image = _project_to_norm(whole, own)
+    return pa.StructArray.from_arrays([own, image, _project_to_raw(whole, image), left, _enclosing(image, left)], names=["own", "image", "back", "left", "at"])
+
+
+def _words_in_lines(words: pa.Array, lines: pa.Array) -> pa.Array:
+    own = _spans_between(words)
+    return pa.StructArray.from_arrays([own, _enclosing(own, _spans_between(lines))], names=["own", "line"])
+
+
+def _udf(f: Callable[..., pa.Array], kind: T.DataType) -> Callable[..., Column]:
+    """``f`` on columns, a few rows at a time: what it makes meanwhile is bounded by them, however large a batch is."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        made = [f(*(c.slice(k, ROWS) for c in columns)) for k in range(0, max(1, len(columns[0])), ROWS)]
+        return pa.concat_arrays(made)
+
+    run.__doc__ = f.__doc__
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
+
+
+_INTS = T.ArrayType(T.IntegerType())
+span_map, compose, composed = _udf(_span_map, MAP), _udf(_compose, MAP), _udf(_composed, MAP)
+project_to_raw, project_to_norm, spans_between = _udf(_project_to_raw, SPANS), _udf(_project_to_norm, SPANS), _udf(_spans_between, SPANS)
+enclosing = _udf(_enclosing, _INTS)
+words_to_raw = _udf(_words_to_raw, T.StructType([T.StructField("own", SPANS), T.StructField("raw", SPANS)]))
+round_trip = _udf(_round_trip, T.StructType([*(T.StructField(n, SPANS) for n in ("own", "image", "back", "left")), T.StructField("at", _INTS)]))
+words_in_lines = _udf(_words_in_lines, T.StructType([T.StructField("own", SPANS), T.StructField("line", _INTS)]))
+
+
+def words_of(c: Column) -> Column:
+    """Lengths of words and of the white space between them."""
+    return substitution(c, r"(?U)\s+", lambda m: m)
+
+
 def word_spans(c: Column) -> Column:
     """Spans of the words between white space."""
-    return spans_between(substitution(c, r"(?U)\s+", lambda m: m))
+    return spans_between(words_of(c))
 
 
-def line_spans(c: Column) -> Column:
-    """Spans of the lines, each with the end of line after it, so that none is empty."""
+def lines_of(c: Column) -> Column:
+    """Lengths of the lines, each with the end of line after it, so that none is empty."""
     lengths = substitution(c, "\n", lambda m: m)
-    return spans_between(F.struct(F.transform(lengths["gaps"], lambda g: g + 1), F.transform(lengths["matched"], lambda _: F.lit(0)), lengths["made"], lengths["changed"]))
+    return F.struct(F.transform(lengths["gaps"], lambda g: g + 1), F.transform(lengths["matched"], lambda _: F.lit(0)), lengths["made"], lengths["changed"])
+
+
+def line_spans(c: Column) -> Column:
+    """Spans of the lines, each with the end of line after it."""
+    return spans_between(lines_of(c))
 
 
 def clean_steps(*, lowercase: bool = True, punctuation: bool = True, numbers: bool = False, urls: bool = True, html: bool = True) -> list[tuple[str, str, Callable[[Column], Column], Callable[[Column], Column]]]:
@@ -254,19 +304,23 @@ def clean_steps(*, lowercase: bool = True, punctuation: bool = True, numbers: bo
     return [s[1:] for s in steps if s[0]]
 
 
-def with_clean_map(df: DataFrame, text_col: str = "text", cleaned: str = "cleaned", map_col: str = "map", **flags: bool) -> DataFrame:
-    """``df`` with its text as ``text.clean`` makes it and the map from the raw text to it.
+def with_clean_steps(df: DataFrame, text_col: str = "text", cleaned: str = "cleaned", **flags: bool) -> tuple[DataFrame, list[str]]:
+    """``df`` with its text as ``text.clean`` makes it, and columns with the lengths of each step, whose names come too.
 
-    A null text has a null cleaned text and an empty map. Each step is a projection of its
-    own, so that its text is computed once; all of it is narrow.
+    Each step is a projection of its own, so that its text is computed once; all is narrow.
     """
-    out = df.withColumn(cleaned, F.col(text_col))
-    maps = []
+    out, steps = df.withColumn(cleaned, F.col(text_col)), []
     for name, pattern, made, step in clean_steps(**flags):
         out = out.withColumns({f"__{name}": substitution(F.col(cleaned), pattern, made), f"__{cleaned}": step(F.col(cleaned))})
         out = out.drop(cleaned).withColumnRenamed(f"__{cleaned}", cleaned)
-        maps.append(f"__{name}")
-    whole = span_map(F.col(maps[0]))
-    for name in maps[1:]:
-        whole = compose(whole, span_map(F.col(name)))
-    return out.select(*df.columns, cleaned, whole.alias(map_col))
+        steps.append(f"__{name}")
+    return out, steps
+
+
+def with_clean_map(df: DataFrame, text_col: str = "text", cleaned: str = "cleaned", map_col: str = "map", **flags: bool) -> DataFrame:
+    """``df`` with its text as ``text.clean`` makes it and the map from the raw text to it.
+
+    A null text has a null cleaned text and an empty map.
+    """
+    out, steps = with_clean_steps(df, text_col, cleaned, **flags)
+    return out.select(*df.columns, cleaned, composed(*steps).alias(map_col))

@@ -14,9 +14,9 @@ def _cleaned_words(docs: DataFrame, key: str, column: str, **flags: bool) -> Dat
 
     Words and spans are arrays of a document until they are rows: no row carries its text.
     """
-    mapped = spans.with_clean_map(docs.select(key, column), column, **flags).withColumn("a", spans.word_spans(F.col("cleaned")))
-    found = mapped.select(key, "a", text.words(F.col("cleaned")).alias("w"), spans.project_to_raw("map", "a").alias("b"))
-    rows = found.select(key, F.posexplode(F.arrays_zip("w", "a", "b")).alias("k", "s"))
+    cleaned, steps = spans.with_clean_steps(docs.select(key, column), column, **flags)
+    found = cleaned.select(key, text.words(F.col("cleaned")).alias("w"), spans.words_to_raw(spans.words_of(F.col("cleaned")), *steps).alias("u"))
+    rows = found.select(key, F.posexplode(F.arrays_zip("w", F.col("u.own").alias("a"), F.col("u.raw").alias("b"))).alias("k", "s"))
     return rows.select(
         key, (F.col("k") + 1).alias("k"), F.col("s.w").alias("word"), F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"), F.col("s.b.start").alias("raw_start"), F.col("s.b.end").alias("raw_end")
     )
@@ -36,9 +36,9 @@ def raw_word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What cleaning removes whole has no span there.
     """
-    mapped = spans.with_clean_map(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = mapped.withColumn("a", spans.word_spans(F.col("text"))).withColumn("b", spans.project_to_norm("map", "a"))
-    found = found.withColumn("w", spans.word_spans(F.col("cleaned"))).select("doc_id", "a", "b", "w", spans.project_to_raw("map", "b").alias("c"), spans.enclosing("b", "w").alias("n"))
+    cleaned, steps = spans.with_clean_steps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = cleaned.select("doc_id", spans.round_trip(spans.words_of(F.col("text")), spans.words_of(F.col("cleaned")), *steps).alias("u"))
+    found = found.select("doc_id", F.col("u.own").alias("a"), F.col("u.image").alias("b"), F.col("u.back").alias("c"), F.col("u.left").alias("w"), F.col("u.at").alias("n"))
     # a word is left where its image starts within a word of the cleaned text
     at = lambda x: F.get("w", x["n"] - 1)
     left = F.transform(F.arrays_zip("b", "n"), lambda x: F.coalesce((x["b"]["start"] >= at(x)["start"]) & (x["b"]["start"] < at(x)["end"]), F.lit(False)))
@@ -65,9 +65,9 @@ def clean_map_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a document with its line and its offsets, from 0, in the document."""
-    docs = table(spark, sf_dir, "documents").withColumn("a", spans.word_spans(F.col("text")))
-    found = docs.select("doc_id", "a", text.words(F.col("text")).alias("w"), spans.enclosing("a", spans.line_spans(F.col("text"))).alias("line"))
-    rows = found.select("doc_id", F.posexplode(F.arrays_zip("w", "a", "line")).alias("k", "s"))
+    c = F.col("text")
+    found = table(spark, sf_dir, "documents").select("doc_id", text.words(c).alias("w"), spans.words_in_lines(spans.words_of(c), spans.lines_of(c)).alias("u"))
+    rows = found.select("doc_id", F.posexplode(F.arrays_zip("w", F.col("u.own").alias("a"), F.col("u.line").alias("line"))).alias("k", "s"))
     return rows.select("doc_id", (F.col("k") + 1).alias("k"), F.col("s.line").alias("line_no"), F.col("s.a.start").alias("start"), F.col("s.a.end").alias("end"), F.col("s.w").alias("word"))
 
 

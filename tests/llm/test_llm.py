@@ -477,17 +477,25 @@ def _hard(spark):
 def test_hard_rows_through_all_operators(spark, tmp_path):
     _hard(spark).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (1, None, None, None), (None, 2, "", " \n"), (2, 1, "assistant", "w" * 70_000), (3, None, "tool", "")]
+    spark.createDataFrame([(*t, "x", 1, "y") for t in turns], "conv_id long, turn long, role string, text string, id string, cost int, audit string").write.parquet(f"{tmp_path}/conversations.parquet")
+    vectors = [(1, [0.1, 0.2]), (1, [0.1, 0.2]), (None, [0.5, -0.2]), (2, None), (3, [None, 1.0]), (4, []), (5, [float("nan"), 0.0]), (6, [9.0])]
+    spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id long, embedding array<float>, n int, component string").write.parquet(f"{tmp_path}/embeddings.parquet")
     n = _hard(spark).count()
     for name, query in queries.queries().items():
         found = query(spark, str(tmp_path))
         if name == "op7_licenses":
             assert found.count() == 0
+        elif name == "op11_turn_repair":
+            assert {r["conv_id"] for r in found.collect()} == {1, 2, 3, None}
+        elif name == "op12_whitening":
+            assert Counter(r["vec_id"] for r in found.collect()) == {1: 4, None: 2, 6: 1}
         elif name == "op8_packing":
             assert found.where("start = 0").count() == n
         else:
             assert found.count() == n, name
     (tmp_path / "none").mkdir()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/none/{t}.parquet")
     for query in queries.queries().values():
         assert query(spark, f"{tmp_path}/none").count() == 0

@@ -22,12 +22,12 @@ SLOTS, EXCERPT = 512, 1024
 BLOCK = 2048
 #: Lazy matching that also takes matches of three bytes: syllables count.
 LEVEL, SHORTEST = 6, 3
-#: Zstandard stores very short blocks raw, so a shorter text is compressed with itself
-#: repeated up to so many bytes; the repeats cost every language the same.
-SHORT = 256
+#: Zstandard stores very short blocks raw, so each block, of any length, is followed by so
+#: many bytes of itself, over and over; the repeats cost every language the same.
+REPEATED = 256
 #: A text is rejected if its second-best size exceeds the best by at most so many square
 #: roots of the best: sizes vary about so with their own length, so one rule fits all
-#: lengths. Measured on 4000 documents: two of 0 (one word each), all others 0.21 or more.
+#: lengths. Of 3358 held-out documents it rejects 6, of which 5 have a wrong language.
 NARROW = 0.15
 UNKNOWN = "und"
 NAMES = ("lang_pred", "score", "rejected")
@@ -78,13 +78,15 @@ class Compressors:
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(
-                level, source_size=BLOCK, dict_size=len(content[lang]), min_match=SHORTEST, write_checksum=False, write_content_size=False, write_dict_id=False
+                level, source_size=BLOCK + REPEATED, dict_size=len(content[lang]), min_match=SHORTEST, write_checksum=False, write_content_size=False, write_dict_id=False
             )
             d.precompute_compress(compression_params=how)
             self.of.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
     def sizes(self, raw: bytes, block: int = BLOCK) -> np.ndarray:
-        return np.array([sum(len(c.compress(raw[k : k + block])) for k in range(0, len(raw), block)) for c in self.of], np.int64)
+        parts = [raw[k : k + block] + b" " for k in range(0, len(raw), block)]
+        parts = [x + (x * (REPEATED // len(x) + 1))[:REPEATED] for x in parts]
+        return np.array([sum(len(c.compress(x)) for x in parts) for c in self.of], np.int64)
 
     def predict(self, text: str | None, narrow: float = NARROW) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected. Ties go to the first in alphabet."""
@@ -92,10 +94,7 @@ class Compressors:
             return UNKNOWN, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        raw = _letters(text).encode()
-        if len(raw) < SHORT:
-            raw = (raw + b" ") * (SHORT // (len(raw) + 1) + 1)
-        sizes = self.sizes(raw)
+        sizes = self.sizes(_letters(text).encode())
         best, second = np.partition(sizes, 1)[:2].tolist()
         return self.langs[int(np.argmin(sizes))], float(1 - 0.5 * np.exp(-25 * (second - best) / second)), second - best <= narrow * best**0.5
 
@@ -115,11 +114,12 @@ def classify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     """
     kept = list(dict.fromkeys([id_col, *keep]))
     key = hash(tuple(sorted(content.items())))
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # SLOTS * EXCERPT characters a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:
             _made.clear()
-            _made[key] = Compressors(content)
+            _made[key] = Compressors(shared.value)
         for batch in batches:
             found = [_made[key].predict(x, narrow) for x in batch.column(0).to_pylist()]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())

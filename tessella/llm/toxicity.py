@@ -25,10 +25,12 @@ WINDOW, STRIDE = 32, 16
 #: Sizes: word vector, trigram vector, states of each direction, attention.
 WORD, CHAR, STATE, ATTEND = 8, 8, 8, 8
 TRIGRAMS = 1 << 13
-#: Learning is from so many documents of each label at most, drawn from those of at most
-#: LONGEST characters; scoring reads texts of any length.
-SAMPLE, LONGEST = 1200, 20_000
+#: Learning is from so many documents of each label at most, each with one excerpt of so
+#: many characters at most, from a place that a hash chooses; scoring reads whole texts.
+SAMPLE, EXCERPT = 1200, 20_000
 EPOCHS, RATE, BATCH, SEED = 18, 0.01, 256, 5
+#: RATE falls evenly, epoch by epoch, to nearly this share of it.
+LAST = 0.05
 #: Small samples take smaller batches, and more epochs till they have made so many steps.
 STEPS = 400
 #: The first epochs take windows by their words; then the network chooses, every few epochs.
@@ -38,6 +40,9 @@ SEEN = 3
 #: So many negatives also give a window of one of their words only, as junk texts have;
 #: and one window in a hundred is empty and negative.
 REPEATED = 0.3
+#: Share of a batch's words that lose their own vectors while learning, so that single
+#: documents are not learned by their rare words and trigrams carry what they can.
+DROPPED = 0.5
 THRESHOLD = 0.3
 #: Windows scored at a time: keeps a step's arrays in cache.
 CHUNK = 2048
@@ -215,6 +220,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     size = min(BATCH, max(32, len(y) // 8))
     epochs = max(epochs, -(-STEPS * size // (2 * len(y))))
     for epoch in range(epochs):
+        rate = RATE * (1 - (1 - LAST) * epoch / epochs)
         if epoch < FIRST:
             best = [np.array([max((odds[w] for w in ws[s : s + WINDOW]), default=0.0) for s in windows(len(ws))]) for ws in lists]
         elif (epoch - FIRST) % AGAIN == 0:
@@ -235,9 +241,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             for i, (ws, _) in enumerate(batch):
                 index[i, : len(ws)] = [known.setdefault(w, len(known) + 1) for w in ws]
             x, own, ids, sizes = net.vectors(list(known))
+            gone = rng.random(len(own)) < DROPPED
+            own[gone], x[gone, :WORD] = 0, 0
             g, d_x = net.gradients(x, index, np.array([one for _, one in batch], np.float32))
             g["word"] = np.zeros_like(net.p["word"])
-            g["word"][own[1:]] += d_x[1:, :WORD]  # distinct words: each row of its own
+            g["word"][own[1:]] += d_x[1:, :WORD]  # distinct words: each row of its own, but for row 0
             g["word"][0] = 0
             spread = np.repeat(d_x[1:, WORD:] / sizes[:, None], sizes, axis=0) if len(sizes) else np.zeros((0, CHAR), np.float32)
             g["char"] = np.stack([np.bincount(ids, spread[:, j], TRIGRAMS) for j in range(CHAR)], axis=1)
@@ -246,30 +254,31 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                net.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, excerpt: int = EXCERPT) -> Network:
     """Train on a bounded sample: of each label up to ``sample`` documents, dealt by a hash of the id.
 
-    Only labelled documents of at most ``longest`` characters are drawn from, so a slot
-    of the sample is filled as long as any such document falls into it. Ids and lengths
-    alone are joined to ``labels`` and aggregated, which combines before its shuffle; the
-    number of ids bounds the broadcast that fetches their texts. Of ids that several rows
-    share the first text in order is learned from.
+    Labelled documents of any length are drawn from; a longer text than ``excerpt`` gives so
+    many of its characters. Ids alone are joined to ``labels`` and aggregated, which
+    combines before its shuffle; the number of ids bounds the broadcast that fetches their
+    excerpts. Of ids that several rows share the first excerpt in order is learned from.
+    Rows without id or text are not learned from.
     """
-    h = F.xxhash64("__id")
-    short = docs.where((F.length(text_col) <= longest) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
+    h, text = F.xxhash64("__id"), F.col(text_col)
+    place = F.pmod(F.xxhash64("__text", F.lit("place")), F.greatest(F.lit(1), F.length("__text") - excerpt + 1)).cast("int") + 1
+    given = docs.where(text.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"))
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     picked = (
-        marked.join(short, "__id", "left_semi")
+        marked.join(given.select("__id"), "__id", "left_semi")
         .groupBy("__y", F.pmod(h, F.lit(sample)).alias("__slot"))
         .agg(F.min_by("__id", F.struct(h, F.col("__id"))).alias("__id"))
         .select("__id", "__y")
     )
-    texts = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id", "__y").collect()
+    drawn = given.join(F.broadcast(picked), "__id").select("__id", "__y", F.substring("__text", place, F.lit(excerpt)).alias("__text"))
+    rows = drawn.groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id", "__y").collect()
     return train([r["__text"] for r in rows], [r["__y"] for r in rows])
 
 

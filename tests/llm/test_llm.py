@@ -595,3 +595,12 @@ def test_language_against_plain_compression():
         best, second = sorted(sizes.values())[:2]
         lang, _, rejected = made.predict(text)
         assert sizes[lang] == best and rejected == (second - best <= langid.NARROW * best**0.5)
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    folder = "/root/testdata/sf0.01"
+    scored = {r["doc_id"]: r for r in queries.queries()["op5_toxicity"](spark, folder).where("held_out").collect()}
+    marked = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").distinct().collect()
+    found = Counter((r["toxic"], scored[r["doc_id"]]["predicted"]) for r in marked if r["doc_id"] in scored)
+    assert found[1, 1] >= 0.5 * (found[1, 0] + found[1, 1]) > 0
+    assert found[0, 1] <= 0.05 * (found[0, 0] + found[0, 1])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's \s alone is ASCII.
-_SPACE = r"(?U)\s+"
+SPACE = r"(?U)\s+"
 
 
 def lower(c: Column) -> Column:
@@ -22,7 +22,7 @@ def remove_punctuation(c: Column) -> Column:
 
 def squeeze_space(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, _SPACE, " "))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def remove_urls(c: Column) -> Column:
@@ -47,7 +47,7 @@ def clean(c: Column, *, lowercase: bool = True, punctuation: bool = True, number
 
 def words(c: Column) -> Column:
     """Words between white space."""
-    return F.filter(F.split(c, _SPACE), lambda w: w != "")
+    return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
 def sentences(c: Column) -> Column:

@@ -343,7 +343,10 @@ def derived_nouns(verbs: DataFrame) -> DataFrame:
 
 def augmented_form(host: Column) -> Column:
     """Augmented verb form of a past host by its skeleton, or null."""
-    h = normalize_host(host)
+    return let(normalize_host(host), _form_of)
+
+
+def _form_of(h: Column) -> Column:
     v = "[َُِ]"
     return (
         F.when(h.rlike(f"^ا{v}?سْت{v}.ْ.{v}.{v}?$"), "FORM_X").when(h.rlike(f"^ا{v}?نْ.{v}.{v}.{v}?$"), "FORM_VII").when(h.rlike(f"^ا{v}?.ْت{v}.{v}.{v}?$"), "FORM_VIII")

@@ -100,13 +100,18 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(more).withColumn("root", F.split("letters", ""))
 
 
-def aligned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _aligned(spark: SparkSession, words: DataFrame) -> DataFrame:
     patterns = rows(spark, "wazn_id string, pattern string, family string, evidence_rank int", morphology.PATTERNS)
-    return morphology.align_patterns(hosts(spark, sf_dir), patterns, "word_id", "host", "root")
+    return morphology.align_patterns(words, patterns, "word_id", "host", "root")
+
+
+def aligned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, hosts(spark, sf_dir))
 
 
 def decided_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.decide_pattern(hosts(spark, sf_dir), aligned_patterns(spark, sf_dir), "word_id")
+    words = hosts(spark, sf_dir)
+    return morphology.decide_pattern(words, _aligned(spark, words), "word_id")
 
 
 def verb_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

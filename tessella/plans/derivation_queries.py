@@ -9,7 +9,7 @@ from tessella.functions import text
 from tessella.operators import accounting, compounds, inverse, lexicon, relicensing
 from tessella.operators.inverse import Rule
 from tessella.operators.relicensing import Hypothesis
-from tessella.plans.inputs import table, values
+from tessella.plans.inputs import distinct_words, table, values
 from tessella.plans.lexicon_queries import _LEVEL
 
 SUFFIXES = ["ing", "ed", "er", "s", "tion", "eux", "ung", "en", "ción"]
@@ -43,13 +43,12 @@ COSTS = accounting.Costs(
 
 def _words(spark: SparkSession, sf_dir: str, name: str = "documents", c: Column | None = None) -> DataFrame:
     """Distinct words of a table's texts."""
-    words = table(spark, sf_dir, name).select(F.explode(text.words(F.col("text") if c is None else c)).alias("word"))
-    return words.distinct()
+    return distinct_words(table(spark, sf_dir, name), F.col("text") if c is None else c, text.SPACE, "word")
 
 
 def _plain_words(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """Distinct words in lower case, of letters alone."""
-    return _words(spark, sf_dir, name, F.regexp_replace(F.lower("text"), f"[^a-z{VOWELS}]+", " "))
+    return distinct_words(table(spark, sf_dir, name), F.lower("text"), f"[^a-z{VOWELS}]+", "word")
 
 
 def longest_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

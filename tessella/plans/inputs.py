@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators.lineage import checkpoint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +55,19 @@ ARABIC = "بتدرسفقكلمنهويجزعحغطخشضَْ\u0650ّ\u064fاىآ
 _LETTERS = f"[^{LATIN}]+"
 
 
+def distinct_words(df: DataFrame, c: Column, other: str, name: str) -> DataFrame:
+    """``name``: the distinct words of a column's texts, parted by a pattern of what is no word.
+
+    They are checkpointed: Spark moves a condition on a word below the distinct, where it
+    would be tested anew at each place where the word stands, and a query that names the
+    words twice would read all texts twice.
+    """
+    return checkpoint(df.select(F.explode(F.split(c, other)).alias(name)).where(F.col(name) != "").distinct())
+
+
 def arabic_words(spark: SparkSession, sf_dir: str, more: list[tuple[int, str]]) -> DataFrame:
     """``id, surface``: distinct words of documents in Arabic letters, and ``more`` vocalised ones of the grammar."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.explode(text.words(F.regexp_replace(F.lower("text"), _LETTERS, " "))).alias("id")).distinct()
+    words = distinct_words(table(spark, sf_dir, "documents"), F.lower("text"), _LETTERS, "id")
     own = words.select("id", F.translate("id", LATIN, ARABIC).alias("surface"))
     if not more:
         return own
@@ -82,7 +92,7 @@ _RADICALS = f"left(regexp_replace(surface, '{_NO_RADICAL}', ''{{g}}), 3)"
 def arabic_roots(spark: SparkSession, sf_dir: str, more: list[tuple[str, str, str]]) -> DataFrame:
     """``root``: the first three radicals of each word of ``arabic_words``, as a string; and ``more``."""
     own = arabic_words(spark, sf_dir, []).select(F.expr(_RADICALS.format(g="")).alias("root")).where("length(root) = 3")
-    return own.union(rows(spark, "root string", [("".join(r),) for r in more])).distinct()
+    return checkpoint(own.union(rows(spark, "root string", [("".join(r),) for r in more])).distinct())
 
 
 def arabic_roots_sql(more: list[tuple[str, str, str]]) -> str:

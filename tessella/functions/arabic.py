@@ -214,6 +214,27 @@ def project_span(entries: Column, start: Column, end: Column) -> Column:
     return F.struct(F.coalesce(low, start).alias("start"), F.coalesce(high, end).alias("end"))
 
 
+def _units(c: Column) -> Column:
+    """Letters, each with its marks."""
+    return F.regexp_extract_all(c, F.lit(f"({_BASE}{_MARK}*)"), F.lit(1))
+
+
+def mark_mask(c: Column) -> Column:
+    """A digit for each letter of a word: 1 if it has marks, else 0."""
+    return F.array_join(F.transform(_units(c), lambda u: F.when(F.length(u) == 1, "0").otherwise("1")), "")
+
+
+def masked_marks(c: Column, mask: Column | None = None) -> Column:
+    """The letters of a word with the marks of those that ``mask`` marks with 1; without one, with all.
+
+    A word is compatible with a known form of the same letters where both are the same under
+    the word's own mask.
+    """
+    if mask is None:
+        return F.array_join(_units(c), "")
+    return F.array_join(F.transform(_units(c), lambda u, i: F.when(F.substr(mask, i + 1, F.lit(1)) == "0", F.substring(u, 1, 1)).otherwise(u)), "")
+
+
 def marks_compatible(given: Column, known: Column) -> Column:
     """Whether each mark that is written also stands at that letter of the known form."""
     units = lambda c: F.regexp_extract_all(c, F.lit(f"({_BASE}{_MARK}*)"), F.lit(1))

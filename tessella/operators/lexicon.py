@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.arabic import marks_compatible, strip_marks
+from tessella.functions.arabic import mark_mask, masked_marks, strip_marks
 
 
 def tiered_lookup(words: DataFrame, word_id: str, tiers: list[tuple[str, Column, DataFrame, bool]]) -> DataFrame:
@@ -40,18 +40,22 @@ def lookup_or_collide(words: DataFrame, word_id: str, tiers: list[tuple[str, Col
 def lookup_vocalised(words: DataFrame, word_id: str, word: str, known: DataFrame) -> DataFrame:
     """``<word_id>, status, entry, n_entries``: a word with few marks among fully vocalised entries.
 
-    Words and the ``entry`` column of ``known`` meet by their letters without marks, in one
-    equi-join; of what meets, entries whose marks contradict a mark that is written are
-    left out. One entry is FOUND, several are a COLLISION with none named, none is
+    Words and the ``entry`` column of ``known`` meet by their letters without marks and by the
+    marks that a word writes: for each set of letters that are marked in some word, an entry is
+    cut down to the marks of these and counted. No word meets all entries of its letters.
+    One entry is FOUND, several are a COLLISION with none named, none is
     NOT_FOUND, or CONTRADICTED if letters met and marks did not agree. Null words are NOT_FOUND.
+    ``word_id`` names a word.
     """
+    at = ["__bare", "__mask", "__key"]
     entries = known.select(F.col("entry"), strip_marks(F.col("entry")).alias("__bare")).where("__bare <> ''").distinct()
-    met = words.select(F.col(word_id).alias("__id"), F.col(word).alias("__word"), strip_marks(F.col(word)).alias("__bare")).join(entries, "__bare")
-    fits = F.when(marks_compatible(F.col("__word"), F.col("entry")), F.col("entry"))
-    # entries of a word's letters are counted, never gathered
-    n = met.groupBy("__id").agg(F.count_distinct(fits).alias("n"), F.min(fits).alias("one"))
-    status = F.when(F.col("n") == 1, "FOUND").when(F.col("n") > 1, "COLLISION").when(F.col("n") == 0, "CONTRADICTED").otherwise("NOT_FOUND")
-    found = words.select(word_id).join(n, F.col(word_id) == F.col("__id"), "left")
+    given = words.select(word_id, strip_marks(F.col(word)).alias("__bare"), mark_mask(F.col(word)).alias("__mask"), masked_marks(F.col(word)).alias("__key"))
+    masks = given.select("__bare", "__mask").distinct()
+    cut = masks.join(entries, "__bare").select("__bare", "__mask", masked_marks(F.col("entry"), F.col("__mask")).alias("__key"), "entry")
+    n = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("one"))
+    letters = entries.select("__bare", F.lit(True).alias("__met")).distinct()
+    found = given.join(letters, "__bare", "left").join(n, at, "left")
+    status = F.when(F.col("n") == 1, "FOUND").when(F.col("n") > 1, "COLLISION").when(F.col("__met"), "CONTRADICTED").otherwise("NOT_FOUND")
     return found.select(word_id, status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("entry"), F.coalesce("n", F.lit(0).cast("long")).alias("n_entries"))
 
 

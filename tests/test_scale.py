@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import DATA
 
+from tessella.functions import arabic
+from tessella.operators import lexicon
 from tessella.plans import arabic_queries, root_queries
 
 
@@ -15,3 +19,35 @@ def _plan(df) -> str:
 @pytest.mark.parametrize("query", [arabic_queries.augmented_forms, arabic_queries.past_features, arabic_queries.imperfect_readings, arabic_queries.aligned_patterns, arabic_queries.decided_patterns, root_queries.derived_words], ids=lambda f: f.__name__)
 def test_conditions_on_words_meet_distinct_words_alone(spark, query):
     assert "parquet" not in _plan(query(spark, DATA))  # no condition can move down to the texts
+
+
+def test_vocalised_lookup_against_a_plain_search(spark):
+    rng = random.Random(5)
+    marks = ["", arabic.FATHA, arabic.KASRA, arabic.FATHA + arabic.SHADDA]
+    made = lambda: "".join(rng.choice("بتـ ") + rng.choice(marks) for _ in range(rng.randint(0, 4)))
+    words, entries = [(k, made()) for k in range(300)] + [(300, None)], sorted({made() for _ in range(300)}) + [None]
+
+    def units(w):
+        out = []
+        for ch in w:
+            if ch in "بت":
+                out.append(ch)
+            elif ch in "".join(marks) and out and w:
+                out[-1] += ch
+        return out
+
+    def bare(w):
+        return "".join(ch for ch in w if ch not in "".join(marks))
+
+    # marks after a character that is no letter belong to none
+    plain = lambda w: w is not None and not any(a in "ـ " and b in "".join(marks) for a, b in zip(w, w[1:], strict=False))
+    words, entries = [x for x in words if x[1] is None or plain(x[1])], [e for e in entries if e is None or plain(e)]
+    want = set()
+    for k, w in words:
+        met = [e for e in entries if e is not None and w is not None and bare(e) and bare(e) == bare(w)]
+        fit = [e for e in met if all(len(a) == 1 or a == b for a, b in zip(units(w), units(e), strict=True))]
+        want.add((k, "FOUND" if len(fit) == 1 else "COLLISION" if fit else "CONTRADICTED" if met else "NOT_FOUND", fit[0] if len(fit) == 1 else None, len(fit)))
+    assert {x[1] for x in want} == {"FOUND", "COLLISION", "CONTRADICTED", "NOT_FOUND"}
+    found = lexicon.lookup_vocalised(spark.createDataFrame(words, "id int, w string"), "id", "w", spark.createDataFrame([(e,) for e in entries], "entry string"))
+    assert {tuple(r) for r in found.collect()} == want
+    assert "__mask" in _plan(found)  # words meet entries by what is marked, not all entries of their letters

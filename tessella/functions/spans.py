@@ -230,24 +230,6 @@ def _composed(*lengths: pa.Array) -> pa.Array:
     return reduce(_compose, map(_span_map, lengths))
 
 
-def _words_to_raw(words: pa.Array, *lengths: pa.Array) -> pa.Array:
-    """Spans of a cleaned text's words and where they lie in the raw text."""
-    own = _spans_between(words)
-    return pa.StructArray.from_arrays([own, _project_to_raw(_composed(*lengths), own)], names=["own", "raw"])
-
-
-def _round_trip(words: pa.Array, cleaned: pa.Array, *lengths: pa.Array) -> pa.Array:
-    """Spans of a raw text's words, their images, the images of these, and in which cleaned words they start."""
-    own, left, whole = _spans_between(words), _spans_between(cleaned), _composed(*lengths)
-    image = _project_to_norm(whole, own)
-    return pa.StructArray.from_arrays([own, image, _project_to_raw(whole, image), left, _enclosing(image, left)], names=["own", "image", "back", "left", "at"])
-
-
-def _words_in_lines(words: pa.Array, lines: pa.Array) -> pa.Array:
-    own = _spans_between(words)
-    return pa.StructArray.from_arrays([own, _enclosing(own, _spans_between(lines))], names=["own", "line"])
-
-
 def _udf(f: Callable[..., pa.Array], kind: T.DataType) -> Callable[..., Column]:
     """``f`` on columns, a few rows at a time: what it makes meanwhile is bounded by them, however large a batch is."""
 
@@ -263,9 +245,6 @@ _INTS = T.ArrayType(T.IntegerType())
 span_map, compose, composed = _udf(_span_map, MAP), _udf(_compose, MAP), _udf(_composed, MAP)
 project_to_raw, project_to_norm, spans_between = _udf(_project_to_raw, SPANS), _udf(_project_to_norm, SPANS), _udf(_spans_between, SPANS)
 enclosing = _udf(_enclosing, _INTS)
-words_to_raw = _udf(_words_to_raw, T.StructType([T.StructField("own", SPANS), T.StructField("raw", SPANS)]))
-round_trip = _udf(_round_trip, T.StructType([*(T.StructField(n, SPANS) for n in ("own", "image", "back", "left")), T.StructField("at", _INTS)]))
-words_in_lines = _udf(_words_in_lines, T.StructType([T.StructField("own", SPANS), T.StructField("line", _INTS)]))
 
 
 def words_of(c: Column) -> Column:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
+import string
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from tessella.functions import arabic
+from tessella.functions import spans as maps
 from tessella.operators import lexicon
-from tessella.plans import arabic_queries, root_queries
+from tessella.plans import arabic_queries, root_queries, span_queries
 
 
 def _plan(df) -> str:
@@ -51,3 +55,61 @@ def test_vocalised_lookup_against_a_plain_search(spark):
     found = lexicon.lookup_vocalised(spark.createDataFrame(words, "id int, w string"), "id", "w", spark.createDataFrame([(e,) for e in entries], "entry string"))
     assert {tuple(r) for r in found.collect()} == want
     assert "__mask" in _plan(found)  # words meet entries by what is marked, not all entries of their letters
+
+
+HARD = ["", None, " ", "!!! a", "<a href> x", "foo<i b>bar", "a ... b. c .d", "İA b", "see https://a.b/c?d www.x.y <b>now</b>", "tab\tend\u0085next ", "\U0001f600 X\U0001f600, y", "A7 8b", "line\n\nend\n", "word " * 3000, "..."]
+
+
+def _clean(t):
+    """Characters that are left with their raw places, one by one; white space between words is one space."""
+    keep = [(ch, i) for i, ch in enumerate(t)]
+    for pattern in (r"<[^>]+>", r"https?://[^ \t\n\x0b\f\r]+|www\.[^ \t\n\x0b\f\r]+"):
+        gone = {i for m in re.finditer(pattern, "".join(ch for ch, _ in keep)) for i in range(*m.span())}
+        keep = [x for k, x in enumerate(keep) if k not in gone]
+    return [(low, i) for ch, i in keep if ch not in string.punctuation for low in ch.lower()]
+
+
+def _clean_words(t):
+    out, word = [], []
+    for ch, i in [*_clean(t), (" ", -1)]:
+        if not ch.isspace():
+            word.append((ch, i))
+        elif word:
+            out.append(word)
+            word = []
+    return out
+
+
+def test_alignment_against_a_plain_one(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spans, trips = {}, {}
+    for k, t in enumerate(HARD):
+        at = 0
+        for n, w in enumerate(_clean_words(t or ""), 1):
+            spans[k, n] = ("".join(ch for ch, _ in w), at, at + len(w), w[0][1], w[-1][1] + 1)
+            at += len(w) + 1
+        placed = [(spans[k, n][1] + j, i) for n, w in enumerate(_clean_words(t or ""), 1) for j, (_, i) in enumerate(w)]
+        for n, m in enumerate(re.finditer(r"\S+", t or ""), 1):
+            held = [x for x in placed if m.start() <= x[1] < m.end()]
+            trips[k, n] = (*m.span(), *((held[0][0], held[-1][0] + 1, held[0][1], held[-1][1] + 1) if held else (None,) * 4))
+    assert {tuple(r[:2]): tuple(r[2:]) for r in span_queries.clean_word_spans(spark, str(tmp_path)).collect()} == spans
+    assert {tuple(r[:2]): tuple(r[2:]) for r in span_queries.raw_word_round_trip(spark, str(tmp_path)).collect()} == trips
+    found = {r[0]: r for r in span_queries.clean_map_ops(spark, str(tmp_path)).collect()}
+    assert set(found) == {k for k, t in enumerate(HARD) if t}
+    for k, r in found.items():
+        assert (r["raw_covered"], r["clean_covered"]) == (r["n_raw"], r["n_clean"]) == (len(HARD[k]), max([e for (d, _), (_, _, e, _, _) in spans.items() if d == k], default=0))
+    old = {r[0]: r for r in _mapped(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert {k: (r["lowered"], r["removed"]) for k, r in found.items()} == {k: tuple(r)[1:] for k, r in old.items()}
+
+
+def _mapped(docs):
+    """Characters replaced and removed by the composed maps of ``spans``."""
+    e = F.col("e")
+    raw, norm, op = e["raw_end"] - e["raw_start"], e["norm_end"] - e["norm_start"], maps.op_of(e)
+    rows = maps.with_clean_map(docs).select("doc_id", F.explode("map").alias("e"))
+    return rows.groupBy("doc_id").agg(F.sum(F.when(op == "REPLACE", raw).otherwise(0)), F.sum(F.when(norm == 0, raw).otherwise(0) + F.when((op == "CONTRACT") & (norm > 0), raw - norm).otherwise(0)))
+
+
+def test_no_maps_are_built_for_words(spark):
+    for query in (span_queries.clean_map_ops, span_queries.clean_word_spans, span_queries.raw_word_round_trip, span_queries.page_word_spans, span_queries.text_token_spans):
+        assert "regexp_extract_all" not in _plan(query(spark, DATA))  # lengths of all matches, step by step, cost most of the time

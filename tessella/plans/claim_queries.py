@@ -14,7 +14,8 @@ _NONE = "CAST(array() AS array<string>)"
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part as a word: the longer words of its name and type are patterns, its brand's digits are radicals."""
-    return table(spark, sf_dir, "part").selectExpr(
+    # a file of few row groups would be few tasks, and a bundle is much work for its few bytes
+    return table(spark, sf_dir, "part").repartition("p_partkey").selectExpr(
         "p_partkey AS token_id", "p_name AS original", "lower(p_name) AS normalized", "split(lower(p_name), ' ')[0] AS host",
         "filter(split(concat_ws(' ', p_name, p_type), ' '), w -> length(w) > p_size % 7) AS patterns", "if(p_size % 4 = 0, NULL, substring(p_brand, 7, 1)) AS r1", "substring(p_brand, 8, 1) AS r2", "p_brand AS root",
         "p_size % 5 = 0 AS closed", "if(p_size % 5 = 0, 'MABNI_BOUNDARY', 'OPEN_MORPHOLOGY') AS boundary", "CASE p_size % 7 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'ACCEPT' WHEN 2 THEN 'ACCEPT' WHEN 3 THEN 'OTHER' ELSE 'DEFER' END AS directive",

@@ -93,20 +93,29 @@ def relation_type(source: Column, target: Column, prepositions: list[str], conju
     return F.when(source.isin(prepositions), "PREPOSITIONAL").when(target.isin(conjunctions) | source.isin(conjunctions), "COORDINATION").otherwise("SYNTACTIC_DEPENDENCY")
 
 
-def adjacent_relations(tokens: DataFrame, seq: str, pos: str, rank: str, kind) -> DataFrame:
-    """``source, target, relation, confidence`` of neighbours; confidence is the lower rank, 1 at least."""
+def adjacent_relations(tokens: DataFrame, seq: str, pos: str, rank: str, kind, closed: bool = False) -> DataFrame:
+    """``source, target, relation, confidence`` of neighbours; confidence is the lower rank, 1 at least.
+
+    With ``closed`` also the ``status`` that ``close_relations`` gives, by the ranks at hand: nothing is joined.
+    """
     order = Window.partitionBy(seq).orderBy(pos)
     pairs = tokens.select(seq, F.col(pos).alias("source_pos"), F.col("surface").alias("source"), F.lead("surface").over(order).alias("target"), F.lead(pos).over(order).alias("target_pos"), F.col(rank).alias("__a"), F.lead(rank).over(order).alias("__b"))
     pairs = pairs.where("target_pos is not null")
-    return pairs.select(seq, "source_pos", "target_pos", "source", "target", kind(F.col("source"), F.col("target")).alias("relation"), F.greatest(F.least("__a", "__b"), F.lit(1)).alias("confidence"))
+    status = [_status(F.col("__a"), F.col("__b")).alias("status")] if closed else []
+    return pairs.select(seq, "source_pos", "target_pos", "source", "target", kind(F.col("source"), F.col("target")).alias("relation"), F.greatest(F.least("__a", "__b"), F.lit(1)).alias("confidence"), *status)
+
+
+def _status(source_rank: Column, target_rank: Column) -> Column:
+    zero, none = F.lit(0), F.lit("")
+    good = (F.coalesce(source_rank, zero) > 0) & (F.coalesce(target_rank, zero) > 0) & (F.coalesce("source", none) != "") & (F.coalesce("target", none) != "")
+    return F.when(good, "CLOSED").otherwise("OPEN")
 
 
 def close_relations(relations: DataFrame, ranks: DataFrame, seq: str, pos: str, rank: str) -> DataFrame:
     """CLOSED where both parties have a rank above 0 and a surface, else OPEN."""
     side = lambda name: ranks.select(seq, F.col(pos).alias(f"{name}_pos"), F.col(rank).alias(f"{name}_rank"))
     out = relations.join(side("source"), [seq, "source_pos"], "left").join(side("target"), [seq, "target_pos"], "left")
-    good = (F.coalesce("source_rank", F.lit(0)) > 0) & (F.coalesce("target_rank", F.lit(0)) > 0) & (F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "")
-    return out.withColumn("status", F.when(good, "CLOSED").otherwise("OPEN")).drop("source_rank", "target_rank")
+    return out.withColumn("status", _status(F.col("source_rank"), F.col("target_rank"))).drop("source_rank", "target_rank")
 
 
 def government(tokens: DataFrame, seq: str, pos: str, governors: list[str], surface: str = "surface") -> DataFrame:

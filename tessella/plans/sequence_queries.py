@@ -38,15 +38,17 @@ def subject_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "agrees")
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relations(spark: SparkSession, sf_dir: str, closed: bool) -> DataFrame:
     ranked = tokens(spark, sf_dir).withColumn("rank", F.least(F.length("surface"), F.lit(5)) - 1)
-    return sequence.adjacent_relations(ranked, "seq", "pos", "rank", lambda s, t: sequence.relation_type(s, t, PREPOSITIONS, CONJUNCTIONS))
+    return sequence.adjacent_relations(ranked, "seq", "pos", "rank", lambda s, t: sequence.relation_type(s, t, PREPOSITIONS, CONJUNCTIONS), closed)
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(spark, sf_dir, False)
 
 
 def closed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tokens(spark, sf_dir).withColumn("rank", F.least(F.length("surface"), F.lit(5)) - 1)
-    found = sequence.adjacent_relations(ranked, "seq", "pos", "rank", lambda s, t: sequence.relation_type(s, t, PREPOSITIONS, CONJUNCTIONS))
-    return sequence.close_relations(found, ranked, "seq", "pos", "rank")
+    return _relations(spark, sf_dir, True)
 
 
 def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:

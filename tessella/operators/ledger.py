@@ -42,16 +42,18 @@ def densify(executed: DataFrame, item: str) -> DataFrame:
     """One row for each item and stage: ``ordinal, stage_id, status, executed``.
 
     ``executed(item, ordinal, status)``. A token stage without a record was NOT_OPENED; a
-    stage of wider scope is NOT_APPLICABLE_AT_TOKEN_SCOPE. The records of an item are
-    gathered into a map of 19 entries at most and spread over the fixed list, so no item
-    is joined with the list and the items are shuffled once.
+    stage of wider scope is NOT_APPLICABLE_AT_TOKEN_SCOPE. An item's stages are columns of
+    one aggregation and are spread over the fixed list, so no item is joined with the list and
+    records are dealt and sorted by item once.
     """
-    done = executed.groupBy(item, "ordinal").agg(F.max("status").alias("status")).groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "status"))).alias("__m"))
-    fixed = F.array(*[F.struct(F.lit(o).alias("ordinal"), F.lit(s).alias("stage_id"), F.lit(c).alias("scope")) for o, s, c in STAGES])
-    rows = done.select(item, "__m", F.explode(fixed).alias("s")).select(item, "__m", "s.*")
-    own = F.col("__m")[F.col("ordinal")]
-    status = F.when(F.col("scope") != "TOKEN", "NOT_APPLICABLE_AT_TOKEN_SCOPE").otherwise(F.coalesce(own, F.lit("NOT_OPENED")))
-    return rows.select(item, "ordinal", "stage_id", status.alias("status"), (own.isNotNull() & (F.col("scope") == "TOKEN")).alias("executed"))
+    dealt = executed.select(item, "ordinal", "status").repartition(F.col(item)).sortWithinPartitions(item)
+    done = dealt.groupBy(item).agg(*[F.max(F.when(F.col("ordinal") == o, F.col("status"))).alias(f"__{o}") for o, _, scope in STAGES if scope == "TOKEN"])
+    fixed = F.array(*[
+        F.struct(F.lit(o).alias("ordinal"), F.lit(s).alias("stage_id"), F.lit(c).alias("scope"), (F.col(f"__{o}") if c == "TOKEN" else F.lit(None).cast("string")).alias("own")) for o, s, c in STAGES
+    ])
+    rows = done.select(item, F.inline(fixed))
+    status = F.when(F.col("scope") != "TOKEN", "NOT_APPLICABLE_AT_TOKEN_SCOPE").otherwise(F.coalesce("own", F.lit("NOT_OPENED")))
+    return rows.select(item, "ordinal", "stage_id", status.alias("status"), F.col("own").isNotNull().alias("executed"))
 
 
 def missing_stages(records: DataFrame, item: str) -> DataFrame:
@@ -65,14 +67,19 @@ def impossible(records: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame, item: str, approved: str, stopped: list[str]) -> DataFrame:
-    """Executed stages, the last approved one and the last stop of each item."""
-    at = lambda cond: F.max_by("stage_id", F.when(cond, F.col("ordinal")))
-    return records.groupBy(item).agg(
+    """Executed stages, the last approved one and the last stop of each item, by the fixed list of stages.
+
+    Only numbers are aggregated, so records are not sorted; the stage of a number comes after.
+    """
+    at = lambda cond: F.max(F.when(cond, F.col("ordinal")))
+    found = records.groupBy(item).agg(
         F.count_if("executed").alias("n_executed"),
         F.count_if(F.col("status") == "NOT_OPENED").alias("n_not_opened"),
         at(F.col("status") == approved).alias("last_approved"),
         at(F.col("status").isin(stopped)).alias("last_stop"),
     )
+    stage = lambda c: F.get(F.array(*[F.lit(s) for _, s, _ in STAGES]), F.col(c) - 1).alias(c)
+    return found.select(item, "n_executed", "n_not_opened", stage("last_approved"), stage("last_stop"))
 
 
 def broken_order(records: DataFrame, item: str, accept: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arabic
 from tessella.functions import spans as maps
-from tessella.operators import lexicon
-from tessella.plans import arabic_queries, root_queries, span_queries
+from tessella.operators import ledger, lexicon
+from tessella.plans import arabic_queries, claim_queries, ledger_queries, root_queries, sequence_queries, span_queries
 
 
 def _plan(df) -> str:
@@ -113,3 +113,23 @@ def _mapped(docs):
 def test_no_maps_are_built_for_words(spark):
     for query in (span_queries.clean_map_ops, span_queries.clean_word_spans, span_queries.raw_word_round_trip, span_queries.page_word_spans, span_queries.text_token_spans):
         assert "regexp_extract_all" not in _plan(query(spark, DATA))  # lengths of all matches, step by step, cost most of the time
+
+
+def _shuffled_sorts(df) -> tuple[int, int]:
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning"), len(re.findall(r"(?<![A-Za-z])Sort \[", plan))
+
+
+def test_one_shuffle_and_one_sort(spark):
+    """Each of these sorted or shuffled its rows more often."""
+    assert _shuffled_sorts(ledger_queries.ledger_summary(spark, DATA)) == (1, 1)
+    assert _shuffled_sorts(sequence_queries.closed_relations(spark, DATA)) == (1, 1)
+    assert _shuffled_sorts(sequence_queries.propositions(spark, DATA)) == (1, 1)
+    assert _shuffled_sorts(root_queries.eligible_nouns(spark, DATA)) == (0, 0)
+    assert _shuffled_sorts(claim_queries.claim_bundles(spark, DATA)) == (1, 0)
+
+
+def test_stages_that_an_item_never_reached(spark):
+    log = spark.createDataFrame([(1, 1, "EXECUTED_STOPPED"), (1, 1, "EXECUTED_APPROVED"), (1, 3, "EXECUTED_APPROVED"), (2, 16, "EXECUTED_APPROVED"), (3, None, "EXECUTED_APPROVED")], "item int, ordinal int, status string")
+    found = ledger.summary(ledger.densify(log, "item"), "item", "EXECUTED_APPROVED", ["EXECUTED_STOPPED"])
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 13, "P0_GLYPH_CLASSIFICATION", "P0_UNICODE_CANDIDATE"), (2, 0, 15, None, None), (3, 0, 15, None, None)}

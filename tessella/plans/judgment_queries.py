@@ -54,7 +54,7 @@ def judged_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         of_order.select(name("O", "l_orderkey").alias("source"), name("L", "l_orderkey", "l_linenumber").alias("target"), F.lit("ORDER").alias("domain"), "scope"),
         line.select(name("L", "l_orderkey", "l_linenumber").alias("source"), name("S", "l_suppkey").alias("target"), F.lit("SUPPLY").alias("domain"), s_scope.alias("scope")),
     ]
-    return judgments.propagate(nodes[0].union(nodes[1]).union(nodes[2]).union(nodes[3]), edges[0].union(edges[1]).union(edges[2]), POLICY)
+    return judgments.propagate_stages(list(zip(nodes, [None, *edges], strict=True)), POLICY)
 
 
 def _part_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,10 @@ def streamed_mood(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", context.STORE)
     path = f"{sf_dir}/conversations.parquet"
     turns = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    words = turns.select(seq_of(F.col("conv_id"), F.col("turn")).alias("seq"), F.posexplode(text.words(F.lower("text"))).alias("pos", "surface"))
-    found = context.carry_mood(words, rows(spark, "marker string, mood string", MOODS), "seq", "pos", negators=["not", "no"], after=["or", "of"])
+    words = turns.select(seq_of(F.col("conv_id"), F.col("turn")).alias("seq"), F.lit(0).alias("pos"), text.words(F.lower("text")).alias("words"))
+    found = context.carry_mood_lists(words, F.broadcast(rows(spark, "marker string, mood string", MOODS)), "seq", "pos", "words", negators=["not", "no"], after=["or", "of"])
     folder = _folder(spark, "streamed_mood")
-    # one batch and out: timers of processing time would keep a stream of all available data running
+    # one batch and out: state that ends by processing time would keep a stream of all available data running
     found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(once=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/rows").where("carried_mood IS NOT NULL")
 

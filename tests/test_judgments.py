@@ -9,7 +9,7 @@ from collections import defaultdict
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tessella.operators import judgments
+from tessella.operators import judgments, sequence
 from tessella.plans import judgment_queries
 from tessella.sources import digests, page_files
 from tessella.streaming import context
@@ -138,6 +138,47 @@ def test_streamed_context_ends(spark, tmp_path):
         assert (later[1, 3], later[3, 1]) == carried
 
 
+def test_streamed_lists_carry_as_tables_do(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", context.STORE)
+    governs = F.broadcast(spark.createDataFrame([("to", "SUBJUNCTIVE"), ("not", "JUSSIVE")], "marker string, mood string"))
+    rng, rows, batches = random.Random(8), [], ([], [])
+    for seq in range(40):
+        words = [rng.choice(["to", "not", "or", "go", None]) for _ in range(rng.randint(1, 12))]
+        rows += [(seq, k, w) for k, w in enumerate(words)]
+        at = 0
+        while at < len(words):  # in pieces of one word up, later ones in the second batch
+            n = rng.randint(1, 4)
+            batches[at > 5].append((seq, at, words[at : at + n]))
+            at += n
+    batches[0].extend([(50, 0, []), (51, 0, None)])
+    schema, last = "seq long, pos int, list array<string>", None
+    for batch in batches:
+        spark.createDataFrame(rng.sample(batch, len(batch)), schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        found = context.carry_mood_lists(spark.readStream.schema(schema).json(f"{tmp_path}/in"), governs, "seq", "pos", "list", negators=["not"], after=["or"])
+        query = found.writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(once=True).start()
+        query.awaitTermination()
+        last = query.lastProgress
+    want = sequence.carry_mood(spark.createDataFrame(rows, "seq long, pos int, surface string"), governs, "seq", "pos", negators=["not"], after=["or"])
+    assert found.schema.names == ["seq", "pos", "surface", "carried_mood"] and [f.dataType for f in found.schema] == [f.dataType for f in want.schema]
+    back = spark.read.schema(found.schema).json(f"{tmp_path}/out")
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect())) and back.where("carried_mood IS NOT NULL").count() > 20
+    assert last["stateOperators"][0]["numRowsTotal"] == 40  # a word for each sequence
+
+
+def test_streamed_state_is_dropped_without_timers(spark, tmp_path):
+    assert "handleExpiredTimer" not in vars(context._Carry)  # each timer is a call of the state server
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", context.STORE)
+    governs = spark.createDataFrame([("to", "SUBJUNCTIVE")], "marker string, mood string")
+    for seqs in (range(30), range(30, 35)):
+        spark.createDataFrame([(k, 0, "to") for k in seqs], "seq long, pos int, surface string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        words = spark.readStream.schema("seq long, pos int, surface string").json(f"{tmp_path}/in")
+        query = context.carry_mood(words, governs, "seq", "pos", ttl_ms=2_000).writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(once=True).start()
+        query.awaitTermination()
+        left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        time.sleep(2.5)
+    assert left <= 5
+
+
 def test_page_files(spark, tmp_path):
     rows = [(f"b{k % 3}", k, f"page {k}\né" * (k % 50)) for k in range(600)] + [("b1", 7, "again"), ("b1", None, "no number"), (None, 5, None)]
     df = spark.createDataFrame(rows, "book string, page long, text string")

@@ -18,8 +18,8 @@ SIMILAR = 0.8
 RARITY_BUCKETS, MATCH_BITS = 1 << 18, 1 << 20
 #: Repeated ids up to so many are broadcast.
 LISTED = 100_000
-#: Lines with a word.
-WORDED = "[^ \\t\\r\\f\\x0B]"
+#: What parts the words of a line.
+BLANKS = " \t\r\f\x0b"
 #: Lines of more distinct words have twice as many parities.
 LONG = 64
 
@@ -57,6 +57,11 @@ def _split(line: Column) -> Column:
     return F.split(F.when(other, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line), " ")
 
 
+def _worded(line: Column) -> Column:
+    """Whether a line has a word: seen at its first characters, without decoding the line."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
 def _words(line: Column) -> Column:
     """A line's distinct words."""
     return F.array_remove(F.array_distinct(_split(line)), "")
@@ -64,7 +69,7 @@ def _words(line: Column) -> Column:
 
 def _rarity(rows: DataFrame) -> list[int]:
     """Counts of all texts' words by hash bucket, as logarithms: a table of fixed size."""
-    words = rows.select(F.explode(F.split(F.translate("text", "\n\t\r\f\x0b", "     "), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
+    words = rows.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
     levels = [0] * RARITY_BUCKETS
     for b, n in words.groupBy("b").count().collect():
         levels[b] = min(127, int(3 * math.log2(n)))
@@ -80,10 +85,11 @@ def _ordered(line: Column, levels: list[int]) -> Column:
     """Each distinct word as a number, sorted: rarer words come first; equal words are equal.
 
     Words are told apart by 64-bit hashes here; verification compares the words themselves.
+    Nothing in the array can be null, so it is sorted as plain numbers.
     """
     table = _numbers(levels, "bigint")
     hashes = F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _bitmap(keys: Column, odd: bool = False) -> Column:
@@ -220,13 +226,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     every = _rows(docs, id_col, text_col)
     own = _document(every)
-    worded = F.col("line").rlike(WORDED)
-    kept = _lines(every).where(worded).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct(*own, "line_no")).alias("at")).select("at.*")
+    kept = _lines(every).where(_worded(F.col("line"))).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct(*own, "line_no")).alias("at")).select("at.*")
     later = similar_lines(every, similar).withColumn("later", F.lit(1))
     same = reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*own, "line_no")])
     kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy(*own).agg(F.collect_list("line_no").alias("kept"))
     rows = every.select(*own, F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("ls"))
-    rows = rows.select(*own, "text_hash", F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(WORDED), i + 1)), lambda x: x.isNotNull()).alias("worded"))
+    rows = rows.select(*own, "text_hash", F.size("ls").alias("n_lines"), F.filter(F.transform("ls", lambda x, i: F.when(_worded(x), i + 1)), lambda x: x.isNotNull()).alias("worded"))
     out = rows.alias("k").join(kept.alias("l"), reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in own]), "left")
     removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
     return out.select(F.col("k.doc").alias(id_col), "n_lines", removed.alias("removed"), "text_hash").select(id_col, "n_lines", F.size("removed").alias("n_removed"), "removed", "text_hash")

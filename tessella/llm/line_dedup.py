@@ -13,9 +13,9 @@ from .common import checkpoint, free, shared_folder, text_of
 
 #: Jaccard similarity from which two lines match.
 SIMILAR = 0.8
-#: Buckets of the word counts that rarity is read from; bits of the set of lines that may match
-#: another. A full set lets more lines through and loses none.
-RARITY_BUCKETS, MATCH_BITS = 1 << 18, 1 << 20
+#: Buckets of the word counts that rarity is read from, few enough for a task to count in its cache; bits
+#: of the set of lines that may match another. A full set lets more lines through and loses none.
+RARITY_BUCKETS, MATCH_BITS = 1 << 15, 1 << 20
 #: Repeated ids up to so many are broadcast.
 LISTED = 100_000
 #: What parts the words of a line.
@@ -51,10 +51,14 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(*own, F.posexplode(F.split("text", "\n")).alias("k", "line")).select(*own, (F.col("k") + 1).alias("line_no"), "line")
 
 
-def _split(line: Column) -> Column:
-    """A line between its blanks, empty strings included; most lines have spaces only."""
+def _split(line: Column, whole: bool = False) -> Column:
+    """A line, or a ``whole`` text of lines, between its blanks, empty strings included; most have spaces only.
+
+    Line ends are replaced after the search, as a generator would do it anew for each blank that is searched.
+    """
     other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
-    return F.split(F.when(other, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line), " ")
+    plain = F.replace(line, F.lit("\n"), F.lit(" ")) if whole else line
+    return F.split(F.when(other, F.translate(plain, "\t\r\f\x0b", "    ")).otherwise(plain), " ")
 
 
 def _worded(line: Column) -> Column:
@@ -69,7 +73,7 @@ def _words(line: Column) -> Column:
 
 def _rarity(rows: DataFrame) -> list[int]:
     """Counts of all texts' words by hash bucket, as logarithms: a table of fixed size."""
-    words = rows.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
+    words = rows.select(F.explode(_split(F.col("text"), whole=True)).alias("w")).select(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("b"))
     levels = [0] * RARITY_BUCKETS
     for b, n in words.groupBy("b").count().collect():
         levels[b] = min(127, int(3 * math.log2(n)))
@@ -87,9 +91,9 @@ def _ordered(line: Column, levels: list[int]) -> Column:
     Words are told apart by 64-bit hashes here; verification compares the words themselves.
     Nothing in the array can be null, so it is sorted as plain numbers.
     """
-    table = _numbers(levels, "bigint")
+    table = _numbers([level << 56 for level in levels], "bigint")
     hashes = F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(table, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _bitmap(keys: Column, odd: bool = False) -> Column:
@@ -106,22 +110,29 @@ def _place(df: DataFrame) -> list[str]:
     return [*_document(df), "line_no"]
 
 
-def _postings(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
-    """``doc, [tie,] line_no, bits, odd, size, key``: a row for each word of the prefix of each distinct text.
+def _classes(lines: DataFrame, levels: list[int], similar: float) -> DataFrame:
+    """``text, n, bits, odd, at, prefix``: a row for each distinct text, with its first place.
 
-    The place is the text's first; ``size`` holds the number of words, and in its lower half
-    the word's position. Two sets of at least this similarity share one of the first
-    n - ceil(similar * n) + 1 of their words in any common order. Texts are told apart
-    by a hash, their number of words and their parities; copies are combined before the
-    shuffle, and no text is shuffled. Rows are flat and narrow, since there are many.
+    Two sets of at least this similarity share one of the first n - ceil(similar * n) + 1 of
+    their words in any common order. Texts are told apart by a hash, their number of words
+    and their parities; copies are combined before the shuffle, and no text is shuffled. A
+    line without a word has no prefix.
     """
     rows = lines.select(F.struct(*_place(lines)).alias("at"), F.xxhash64("line").alias("text"), _ordered(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(similar) - F.lit(1e-9)).cast("int") + 1)
     odd = F.when(n > LONG, _bitmap(F.col("keys"), odd=True)).otherwise(F.lit(0).cast("long"))
     rows = rows.select("at", "text", n.alias("n"), _bitmap(F.col("keys")).alias("bits"), odd.alias("odd"), prefix.alias("prefix"))
-    once = rows.groupBy("text", "n", "bits", "odd").agg(F.min("at").alias("at"), F.min("prefix").alias("prefix"))
-    spread = once.select("at", "n", "bits", "odd", F.posexplode("prefix").alias("i", "key"))
+    return rows.groupBy("text", "n", "bits", "odd").agg(F.min("at").alias("at"), F.min("prefix").alias("prefix"))
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """``doc, [tie,] line_no, bits, odd, size, key``: a row for each word of the prefix of each class.
+
+    ``size`` holds the number of words, and in its lower half the word's position. Rows are
+    flat and narrow, since there are many.
+    """
+    spread = classes.select("at", "n", "bits", "odd", F.posexplode("prefix").alias("i", "key"))
     return spread.select("at.*", "bits", "odd", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("size"), "key")
 
 
@@ -148,7 +159,7 @@ def _may_match(similar: float) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Of pairs (x, y) of places, the x whose Jaccard similarity is high enough."""
+    """Of pairs (x, y) of places, the x whose Jaccard similarity is high enough: their words are compared."""
     x, y = (texts.select(F.col("at").alias(side), F.col("line").alias(f"l{side}")) for side in "xy")
     both = pairs.join(x, "x").join(y, "y").select("x", _words(F.col("lx")).alias("wx"), _words(F.col("ly")).alias("wy"))
     shared = F.size(F.array_intersect("wx", "wy"))
@@ -176,12 +187,13 @@ def _in_set(members: list[int], at: Column) -> Column:
     return F.getbit(word, _spot(at).bitwiseAND(31).cast("int")) == 1
 
 
-def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc, [tie,] line_no`` of each line of ``rows(doc, [tie,] text)`` that is the first of its text yet matches an earlier line.
+def compared_lines(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """``doc, [tie,] line_no`` of the first line of each text of ``rows(doc, [tie,] text)`` that has a word; of those that match an earlier line.
 
     1. Each text is one class, so copies cost nothing in what follows.
     2. Postings of all prefixes meet by word; a semi-join with the filters keeps those that
-       may match another, at most one row for each posting. Both sides are one shuffle.
+       may match another, at most one row for each posting. Both sides are one shuffle. The
+       places of all classes are written in the same job, so no other pass looks for copies.
     3. Texts of those classes only are fetched. Each class is verified against one first
        class of its words' lists, that of the nearest bitmap. In a large group of near
        copies nearly all are settled here by one pair each.
@@ -189,12 +201,18 @@ def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     No list is cut and no pair is left out: what step 3 settles has an earlier match.
     """
     lines, spark = _lines(rows), rows.sparkSession
-    postings = _postings(lines, _rarity(rows), similar)
+    classes = _classes(lines, _rarity(rows), similar)
+    postings = _postings(classes)
     earlier = F.col("b.at") < F.col("a.at")
     a, b = postings.alias("a"), postings.alias("b")
     place = _place(lines)
     other = reduce(or_, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place])
-    hits = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & other, "left_semi")).withColumn("at", F.struct(*place))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & _may_match(similar) & other, "left_semi")
+    heads = classes.where(F.size("prefix") > 0).select("at.*")
+    found = shared_folder(spark, "line_postings")
+    met.unionByName(heads, allowMissingColumns=True).write.parquet(found)
+    both = spark.read.schema(postings.schema).parquet(found)
+    heads, hits = both.where("key IS NULL").select(*place), both.where("key IS NOT NULL").withColumn("at", F.struct(*place))
     held = _in_set(_bit_set(hits.select("at")), F.col("at"))
     folder = shared_folder(spark, "line_texts")
     lines.select(F.struct(*place).alias("at"), "line").where(held).write.parquet(folder)
@@ -210,7 +228,7 @@ def similar_lines(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     a, b = still.alias("a"), hits.alias("b")
     rest = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & _may_match(similar)).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct()
     rest = rest.join(tried, ["x", "y"], "left_anti")
-    return settled.unionByName(_verified(rest, texts, similar)).select("x.*")
+    return heads, settled.unionByName(_verified(rest, texts, similar)).select("x.*")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -226,8 +244,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     every = _rows(docs, id_col, text_col)
     own = _document(every)
-    kept = _lines(every).where(_worded(F.col("line"))).groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min(F.struct(*own, "line_no")).alias("at")).select("at.*")
-    later = similar_lines(every, similar).withColumn("later", F.lit(1))
+    kept, later = compared_lines(every, similar)
     same = reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*own, "line_no")])
     kept = kept.alias("k").join(later.alias("l"), same, "left_anti").groupBy(*own).agg(F.collect_list("line_no").alias("kept"))
     rows = every.select(*own, F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("ls"))
